@@ -132,7 +132,7 @@ def predictions(spark: SparkSession, sf: str) -> DataFrame:
         F.lit("crude").alias("pred_type"),
         F.col("user_id").alias("person_id"),
         (F.col("value") > 50).cast("int").alias("y_true"),
-        F.round((F.col("k") + F.least(F.col("value"), F.lit(100.0))) / 200, 4).alias("y_pred"),
+        (F.floor((F.col("k") * 100 + F.least(F.round(F.col("value") * 100), F.lit(10000.0))) / 2) / 10000).alias("y_pred"),
     )
 
 
@@ -190,7 +190,7 @@ SQL = {
     "predictions": f"""SELECT event_id AS id, 'study_' || CAST(({K}) % 2 AS VARCHAR) AS study_name,
         {_case('user_id % 3', ['dev', 'test', 'test_new'])} AS dataset, 'crude' AS pred_type, user_id AS person_id,
         CASE WHEN value > 50 THEN 1 ELSE 0 END AS y_true,
-        round((({K}) + least(value, 100.0)) / 200, 4) AS y_pred FROM events""",
+        floor((({K}) * 100 + least(round(value * 100), 10000)) / 2) / 10000 AS y_pred FROM events""",
     "vectors": "SELECT vec_id AS id, embedding AS x, CASE WHEN label >= 5 THEN 1 ELSE 0 END AS y FROM embeddings",
     "valid_labs": f"""SELECT * FROM labs WHERE code IN ('DNK35131', 'DNK35301', 'DNK35302') AND egfr IS NOT NULL
         AND egfr_datetime BETWEEN TIMESTAMP '{SINCE}' AND TIMESTAMP '{UNTIL}'""",
