@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from episodica.functions.timing import bucket, plus, years_before
+from episodica.functions.timing import bucket, years_before
 from episodica.operators.ordered import HOT_ROWS, ordered
 
 
@@ -109,23 +109,17 @@ def seen_in_years(
     return hits.select(*keep, *what).distinct()
 
 
-def lookback_join(
-    anchors: DataFrame, events: DataFrame, key: str, day: str, anchor_day: str, years: int | None = 5, closed: bool = True
-) -> DataFrame:
-    """Pairs of an anchor with each earlier event of the same key: within `years` (both ends included), or, with
-    years=None, any time before (closed=False leaves out the anchor day itself).
+def lookback_join(anchors: DataFrame, events: DataFrame, key: str, day: str, anchor_day: str, years: int = 5) -> DataFrame:
+    """Pairs of an anchor with each event of the same key within `years` calendar years before it, both ends included.
 
-    The pairs are the result; counts and code sets are cheaper through count_in_range, seen_in_years and first_seen.
+    The pairs are the result; counts and code sets come cheaper from count_in_range, seen_in_years and seen_before.
     """
-    upper = F.col(day) <= F.col(anchor_day) if closed else F.col(day) < F.col(anchor_day)
-    if years is None:
-        return anchors.join(events, key).filter(upper)
     dated = events.withColumn("_year", F.year(day))
     spread = anchors.withColumn("_since", years_before(F.col(anchor_day), years)).withColumn(
         "_year", F.explode(F.sequence(F.year("_since"), F.year(anchor_day)))
     )
-    pairs = spread.join(dated, [key, "_year"]).filter((F.col(day) >= F.col("_since")) & upper)
-    return pairs.drop("_year", "_since")
+    pairs = spread.join(dated, [key, "_year"])
+    return pairs.filter(F.col(day).between(F.col("_since"), F.col(anchor_day))).drop("_year", "_since")
 
 
 def seen_before(
@@ -231,8 +225,3 @@ def settings_grid(spark, **axes: Sequence) -> DataFrame:
     for name, values in axes.items():
         grid = grid.withColumn(name, F.explode(F.array(*[F.lit(v) for v in values])))
     return grid
-
-
-def window_after(anchor: str, days: int = 0, hours: int = 0) -> Column:
-    """End of a follow-up window that starts at column `anchor`."""
-    return plus(F.col(anchor), days=days, hours=hours)

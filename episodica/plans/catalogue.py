@@ -1,6 +1,6 @@
 """All registered queries."""
 
-from episodica.plans import filter_queries, join_queries, metric_queries, window_queries  # noqa: F401
+from episodica.plans import feature_queries, filter_queries, join_queries, metric_queries, window_queries  # noqa: F401
 from episodica.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
