@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -62,3 +64,8 @@ def cyclic_hour(ts: Column) -> Column:
 def weekday(ts: Column) -> Column:
     """Three-letter weekday in lower case."""
     return F.lower(F.date_format(ts, "E"))
+
+
+def circle_hour(ts: Column) -> Column:
+    """Sum of the unit-circle coordinates of the hour."""
+    return F.sin(math.pi * F.hour(ts) / 12) + F.cos(math.pi * F.hour(ts) / 12)

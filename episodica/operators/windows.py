@@ -22,7 +22,7 @@ def dose_over_limit(
     """
     spans = eras.select("admission_id", "person_id", "era_start_datetime", "era_end_datetime")
     inside = interval_join(admins, spans, "person_id", "admin_datetime", "era_start_datetime", "era_end_datetime")
-    dated = inside.withColumn("admin_date", F.to_date("admin_datetime"))
+    dated = durable(inside.withColumn("admin_date", F.to_date("admin_datetime")), "dated")
     summed = ordered(
         dated,
         ["admission_id", "admin_date"],

@@ -1,6 +1,15 @@
 """All registered queries."""
 
-from episodica.plans import feature_queries, filter_queries, join_queries, metric_queries, window_queries  # noqa: F401
+from episodica.plans import (  # noqa: F401
+    dataset_queries,
+    feature_queries,
+    filter_queries,
+    join_queries,
+    metric_queries,
+    scalar_queries,
+    source_queries,
+    window_queries,
+)
 from episodica.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
