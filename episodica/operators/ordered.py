@@ -159,8 +159,10 @@ def ranked(
     the values look like. They are written to the shared folder first, because slice numbers must not change between
     the rows and their summary.
     """
-    sliced = df.repartitionByRange(*by, *order).withColumn("_slice", F.spark_partition_id().cast("long"))
-    return over_slices(durable(sliced, "ranked"), by, order, running=running)
+    grouped, by = (df, list(by)) if by else (df.withColumn("_all", F.lit(0)), ["_all"])
+    sliced = grouped.repartitionByRange(*by, *order).withColumn("_slice", F.spark_partition_id().cast("long"))
+    out = over_slices(durable(sliced, "ranked"), by, order, running=running)
+    return out.drop("_all") if by == ["_all"] else out
 
 
 def hash_ranked(df: DataFrame, by: Sequence[str], key: str, seed: object, out: str = "rank") -> DataFrame:

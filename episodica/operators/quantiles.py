@@ -20,8 +20,8 @@ def exact_quantiles(df: DataFrame, by: Sequence[str], col: str, quantiles: Mappi
     by = list(by)
     counted = df.filter(F.col(col).isNotNull()).groupBy(*by, F.col(col).alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
     if not by:
-        counted = counted.withColumn("_all", F.lit(0))
-    groups = by or ["_all"]
+        counted = counted.withColumn("_whole", F.lit(0))
+    groups = by or ["_whole"]
     upto = ranked(counted, groups, ["_v"], {"_upto": F.col("_n")})
     totals = durable(upto.groupBy(*groups).agg(F.max("_upto").alias("_total")), "totals")
     placed = upto.join(totals, groups)

@@ -6,6 +6,7 @@ from episodica.plans import (  # noqa: F401
     filter_queries,
     join_queries,
     metric_queries,
+    sampling_queries,
     scalar_queries,
     source_queries,
     window_queries,

@@ -229,13 +229,13 @@ def apply_norm(spark, sf):
     return rounded(scaled.select("admission_id", *CONTINUOUS, "sex_female"), CONTINUOUS)
 
 
-@query("denorm", with_views(f"""SELECT admission_id, {", ".join(f'round("{c}", 6) AS "{c}"' for c in CONTINUOUS)}, sex_female
+@query("denorm", with_views(f"""SELECT admission_id, {", ".join(f'round("{c}", 4) AS "{c}"' for c in CONTINUOUS)}, sex_female
     FROM split WHERE "set" <> 'dev'""", *MODEL_NEEDS, **MODEL_VIEWS))
 def denorm(spark, sf):
     sets = rs.data_sets(split_table(spark, sf).drop("index_datetime"))
     factors = rs.fit_norm(sets["dev"])
     back = rs.denormalise(rs.normalise(sets["test"], factors), factors)
-    return rounded(back.select("admission_id", *CONTINUOUS, "sex_female"), CONTINUOUS)
+    return rounded(back.select("admission_id", *CONTINUOUS, "sex_female"), CONTINUOUS, places=4)
 
 
 def model_sets(spark, sf):

@@ -16,7 +16,7 @@ def parse_number(spark, sf):
     text = (
         F.when(k == 0, F.concat(F.lit("DKK "), price, F.lit(" net")))
         .when(k == 1, F.concat(F.lit("-"), price))
-        .when(k == 2, F.concat(F.lit("no."), F.col("o_custkey").cast("string"), F.lit(" of 9")))
+        .when(k == 2, F.concat(F.lit("no "), F.col("o_custkey").cast("string"), F.lit(" of 9")))
         .otherwise("none")
     )
     return P.table(spark, sf, "orders").select("o_orderkey", x.parse_number(text).alias("n"))
