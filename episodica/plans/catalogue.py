@@ -6,6 +6,8 @@ from episodica.plans import (  # noqa: F401
     filter_queries,
     join_queries,
     metric_queries,
+    model_queries,
+    report_queries,
     sampling_queries,
     scalar_queries,
     source_queries,
