@@ -153,6 +153,7 @@ def cohort(
     )
     kept = kept.withColumn("index_datetime", plus(F.col("admission_datetime"), hours=min_hours))
     if seed is not None:
+        kept = durable(kept, "eligible")  # read three times: two hour distributions and the rows
         kept = impute_hours(kept, "admission_datetime", "admission_id", seed)
         kept = impute_hours(kept, "discharge_datetime", "admission_id", seed)
     chosen = with_low_lab(labs, kept, threshold, min_hours)

@@ -38,13 +38,14 @@ def kde(
     """
     by = list(by)
     stats = bandwidths(df, by, col)
+    bw, reach = F.col("bw").alias("_bw"), 3 * F.col("bw")
     if limits is None:
-        grid = stats.select(*by, "bw", (F.col("lo") - 3 * F.col("bw")).alias("g_lo"), (F.col("hi") + 3 * F.col("bw")).alias("g_hi"))
+        grid = stats.select(*by, bw, (F.col("lo") - reach).alias("_from"), (F.col("hi") + reach).alias("_to"))
     else:
-        ends = df.groupBy(*by).agg(F.min(limits[0]).alias("g_lo"), F.max(limits[1]).alias("g_hi"))
-        grid = stats.select(*by, "bw").join(ends, by)
-    grid = durable(grid.withColumn("step", (F.col("g_hi") - F.col("g_lo")) / (n - 1)), "grid")
-    at = F.when(F.col("step") > 0, (F.col(col) - F.col("g_lo")) / F.col("step")).otherwise(F.lit(0.0))
+        ends = df.groupBy(*by).agg(F.min(limits[0]).alias("_from"), F.max(limits[1]).alias("_to"))
+        grid = stats.select(*by, bw).join(ends, by)
+    grid = durable(grid.withColumn("_step", (F.col("_to") - F.col("_from")) / (n - 1)), "grid")
+    at = F.when(F.col("_step") > 0, (F.col(col) - F.col("_from")) / F.col("_step")).otherwise(F.lit(0.0))
     below = F.least(F.floor(at), F.lit(n - 2))
     shares = F.array(
         F.struct(below.cast("int").alias("i"), (1 - (at - below)).alias("w")),
@@ -53,23 +54,23 @@ def kde(
     weights = (
         df.select(*by, col)
         .join(grid, by)
-        .select(*by, F.explode(shares).alias("s"))
-        .groupBy(*by, F.col("s.i").alias("i"))
-        .agg(F.sum("s.w").alias("w"))
+        .select(*by, F.explode(shares).alias("_share"))
+        .groupBy(*by, F.col("_share.i").alias("_i"))
+        .agg(F.sum("_share.w").alias("_w"))
         .groupBy(*by)
-        .agg(F.array_sort(F.collect_list(F.struct("i", "w"))).alias("cells"))
+        .agg(F.array_sort(F.collect_list(F.struct(F.col("_i").alias("i"), F.col("_w").alias("w")))).alias("_cells"))
     )
-    points = weights.join(grid, by).withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-    scale = F.col("step") / F.col("bw")
+    points = weights.join(grid, by).withColumn("_g", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    scale = F.col("_step") / F.col("_bw")
 
     def add(total, cell):
-        u = (F.col("g") - cell["i"]) * scale
+        u = (F.col("_g") - cell["i"]) * scale
         return total + cell["w"] * F.exp(-0.5 * u * u)
 
     raw = points.select(
         *by,
-        (F.col("g_lo") + F.col("g") * F.col("step")).alias(col),
-        F.aggregate("cells", F.lit(0.0), add).alias("_raw"),
+        (F.col("_from") + F.col("_g") * F.col("_step")).alias(col),
+        F.aggregate("_cells", F.lit(0.0), add).alias("_raw"),
     )
     raw = durable(raw, "density")
     peaks = raw.groupBy(*by).agg(F.max("_raw").alias("_peak"))
@@ -83,31 +84,34 @@ def trend(df: DataFrame, by: Sequence[str], x: str, y: str, n: int = 50, span: f
     Each bin keeps the sums (n, x, y, xx, xy); the weighted straight line through neighbouring bins has a closed form.
     """
     by = list(by)
-    ends = durable(df.groupBy(*by).agg(F.min(x).alias("lo"), F.max(x).alias("hi")), "ends")
-    width = (F.col("hi") - F.col("lo")) / n
-    at = F.when(width > 0, F.least(F.floor((F.col(x) - F.col("lo")) / width), F.lit(n - 1))).otherwise(F.lit(0))
+    ends = durable(df.groupBy(*by).agg(F.min(x).alias("_lo"), F.max(x).alias("_hi")), "ends")
+    width = (F.col("_hi") - F.col("_lo")) / n
+    at = F.when(width > 0, F.least(F.floor((F.col(x) - F.col("_lo")) / width), F.lit(n - 1))).otherwise(F.lit(0))
     bins = (
         df.join(ends, by)
-        .groupBy(*by, at.cast("int").alias("b"))
+        .groupBy(*by, at.cast("int").alias("_b"))
         .agg(
-            F.count(F.lit(1)).cast("double").alias("n"), F.sum(x).alias("x"), F.sum(y).alias("y"),
-            F.sum(F.col(x) * F.col(x)).alias("xx"), F.sum(F.col(x) * F.col(y)).alias("xy"),
+            F.struct(
+                F.count(F.lit(1)).cast("double").alias("n"), F.sum(x).cast("double").alias("x"),
+                F.sum(y).cast("double").alias("y"), F.sum(F.col(x) * F.col(x)).cast("double").alias("xx"),
+                F.sum(F.col(x) * F.col(y)).cast("double").alias("xy"),
+            ).alias("_sums")
         )
         .groupBy(*by)
-        .agg(F.array_sort(F.collect_list(F.struct("b", "n", "x", "y", "xx", "xy"))).alias("bins"))
+        .agg(F.array_sort(F.collect_list(F.struct("_b", "_sums"))).alias("_bins"))
     )
     reach = span * n / 2 + 1e-9
-    spread = bins.join(ends, by).withColumn("bin", F.explode(F.transform("bins", lambda c: c["b"])))
+    spread = bins.join(ends, by).withColumn("bin", F.explode(F.transform("_bins", lambda c: c["_b"])))
 
     def add(total, c):
-        d = F.least(F.abs(c["b"] - F.col("bin")) / F.lit(reach), F.lit(1.0))
+        d = F.least(F.abs(c["_b"] - F.col("bin")) / F.lit(reach), F.lit(1.0))
         w = F.pow(1 - F.pow(d, F.lit(3.0)), F.lit(3.0))
-        return F.struct(*[(total[k] + w * c[k]).alias(k) for k in ("n", "x", "y", "xx", "xy")])
+        return F.struct(*[(total[k] + w * c["_sums"][k]).alias(k) for k in ("n", "x", "y", "xx", "xy")])
 
     zero = F.struct(*[F.lit(0.0).alias(k) for k in ("n", "x", "y", "xx", "xy")])
-    sums = spread.withColumn("s", F.aggregate("bins", zero, add))
-    s = {k: F.col(f"s.{k}") for k in ("n", "x", "y", "xx", "xy")}
-    middle = F.col("lo") + (F.col("bin") + 0.5) * width
+    sums = spread.withColumn("_fit", F.aggregate("_bins", zero, add))
+    s = {k: F.col(f"_fit.{k}") for k in ("n", "x", "y", "xx", "xy")}
+    middle = F.col("_lo") + (F.col("bin") + 0.5) * width
     spread_x = s["n"] * s["xx"] - s["x"] * s["x"]
     slope = F.when(spread_x > 1e-12 * s["n"] * s["xx"], (s["n"] * s["xy"] - s["x"] * s["y"]) / spread_x).otherwise(F.lit(0.0))
     level = (s["y"] - slope * s["x"]) / s["n"]

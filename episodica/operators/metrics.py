@@ -30,11 +30,8 @@ def score_table(preds: DataFrame, by: Sequence[str], y: str = "y_true", p: str =
     counted = preds.groupBy(*by, F.col(p).alias("score")).agg(
         F.sum(F.when(F.col(y) == 1, 1).otherwise(0)).alias("pos"), F.sum(F.when(F.col(y) == 1, 0).otherwise(1)).alias("neg")
     )
-    upto = ranked(counted, by, ["score"], {"pos_upto": F.col("pos"), "neg_upto": F.col("neg")})
-    totals = durable(
-        upto.groupBy(*by).agg(F.max("pos_upto").alias("n_pos"), F.max("neg_upto").alias("n_neg")), "totals"
-    )
-    return upto.join(totals, by)
+    running = {"pos_upto": F.col("pos"), "neg_upto": F.col("neg")}
+    return ranked(counted, by, ["score"], running, {"n_pos": "pos_upto", "n_neg": "neg_upto"})
 
 
 def area_metrics(table: DataFrame, by: Sequence[str]) -> DataFrame:

@@ -64,37 +64,39 @@ def over_slices(
     previous: Mapping[str, str] | None = None,
     following: Mapping[str, str] | None = None,
     running: Mapping[str, Column] | None = None,
+    totals: Mapping[str, str] | None = None,
 ) -> DataFrame:
     """lag, lead and running sums over `keys` ordered by `order`, for df that already carries _slice.
 
     previous / following map an output name to the column whose neighbouring value it takes; running maps an output
-    name to the expression summed up to and including the row (ROWS semantics).
+    name to the expression summed up to and including the row (ROWS semantics). totals maps an output name to the
+    running sum whose final value per key it takes; that needs every row to have a slice.
+
+    The keys are packed into one struct, which compares null as equal to null, so the window and the join with the
+    slice summary share one hash partitioning: the rows are shuffled once.
     """
-    previous, following, running = previous or {}, following or {}, running or {}
-    keys, order = list(keys), list(order)
-    inside = W.partitionBy(*keys, "_slice").orderBy(*order)
+    previous, following, running, totals = previous or {}, following or {}, running or {}, totals or {}
+    packed = df.withColumn("_key", F.struct(*keys))
+    inside = W.partitionBy("_key", "_slice").orderBy(*order)
     up_to_here = inside.rowsBetween(W.unboundedPreceding, W.currentRow)
 
-    summary_input = df.filter(F.col("_slice").isNotNull())
-    summaries = []
     position = F.struct(*order)
+    summaries = [F.sum(expr).alias(f"_sum_{name}") for name, expr in running.items()]
     if previous:
         summaries.append(F.max_by(F.struct(*dict.fromkeys(previous.values())), position).alias("_tail"))
     if following:
         summaries.append(F.min_by(F.struct(*dict.fromkeys(following.values())), position).alias("_head"))
-    summaries += [F.sum(expr).alias(f"_sum_{name}") for name, expr in running.items()]
-    per_slice = summary_input.groupBy(*keys, "_slice").agg(*summaries)
-    across = W.partitionBy(*keys).orderBy("_slice")
+    per_slice = packed.filter(F.col("_slice").isNotNull()).groupBy("_key", "_slice").agg(*summaries)
+    whole = W.partitionBy("_key")
+    across = whole.orderBy("_slice")
     before = across.rowsBetween(W.unboundedPreceding, -1)
-    carried = []
+    carried = [F.sum(f"_sum_{name}").over(before).alias(f"_off_{name}") for name in running]
+    carried += [F.sum(f"_sum_{name}").over(whole).alias(f"_tot_{out}") for out, name in totals.items()]
     if previous:
         carried.append(F.lag("_tail").over(across).alias("_tail"))
     if following:
         carried.append(F.lead("_head").over(across).alias("_head"))
-    carried += [F.sum(f"_sum_{name}").over(before).alias(f"_off_{name}") for name in running]
-    border = per_slice.select(
-        *[F.col(k).alias(f"_b_{k}") for k in keys], F.col("_slice").alias("_b_slice"), *carried
-    )
+    border = per_slice.select("_key", "_slice", *carried)
 
     inner = {}
     if previous:
@@ -104,11 +106,7 @@ def over_slices(
         inner["_last"] = F.lead(F.lit(True)).over(inside).isNull()
         inner |= {f"_f_{out}": F.lead(src).over(inside) for out, src in following.items()}
     inner |= {f"_r_{out}": F.sum(expr).over(up_to_here) for out, expr in running.items()}
-
-    same = F.col("_slice") == F.col("_b_slice")
-    for k in keys:
-        same = same & F.col(k).eqNullSafe(F.col(f"_b_{k}"))
-    joined = df.withColumns(inner).join(border, same, "left")
+    joined = packed.withColumns(inner).join(border, ["_key", "_slice"], "left")
 
     result = {
         out: F.when(F.col("_first"), F.col(f"_tail.{src}")).otherwise(F.col(f"_p_{out}"))
@@ -119,6 +117,7 @@ def over_slices(
         for out, src in following.items()
     }
     result |= {out: F.col(f"_r_{out}") + F.coalesce(F.col(f"_off_{out}"), F.lit(0)) for out in running}
+    result |= {out: F.col(f"_tot_{out}") for out in totals}
     kept = [F.col(c) for c in df.columns if c != "_slice"]
     return joined.select(*kept, *[expr.alias(out) for out, expr in result.items()])
 
@@ -152,17 +151,20 @@ def ranked(
     by: Sequence[str],
     order: Sequence[str],
     running: Mapping[str, Column],
+    totals: Mapping[str, str] | None = None,
 ) -> DataFrame:
-    """Running sums over a total order for the few, huge groups of reports (study, data set, feature).
+    """Running sums over a total order for the few, huge groups of reports (study, data set, feature), and, by name of
+    the running sum, their totals per group.
 
     Slices are the partitions of a range shuffle on (by, order): Spark samples the data to make them even, whatever
     the values look like. They are written to the shared folder first, because slice numbers must not change between
     the rows and their summary.
     """
-    grouped, by = (df, list(by)) if by else (df.withColumn("_all", F.lit(0)), ["_all"])
-    sliced = grouped.repartitionByRange(*by, *order).withColumn("_slice", F.spark_partition_id().cast("long"))
-    out = over_slices(durable(sliced, "ranked"), by, order, running=running)
-    return out.drop("_all") if by == ["_all"] else out
+    sliced = df.repartitionByRange(*by, *order).withColumn("_slice", F.spark_partition_id().cast("long"))
+    kept = durable(sliced, "ranked")
+    if by:
+        return over_slices(kept, by, order, running=running, totals=totals)
+    return over_slices(kept.withColumn("_all", F.lit(0)), ["_all"], order, running=running, totals=totals).drop("_all")
 
 
 def hash_ranked(df: DataFrame, by: Sequence[str], key: str, seed: object, out: str = "rank") -> DataFrame:

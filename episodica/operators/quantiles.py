@@ -19,12 +19,7 @@ def exact_quantiles(df: DataFrame, by: Sequence[str], col: str, quantiles: Mappi
     """
     by = list(by)
     counted = df.filter(F.col(col).isNotNull()).groupBy(*by, F.col(col).alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
-    if not by:
-        counted = counted.withColumn("_whole", F.lit(0))
-    groups = by or ["_whole"]
-    upto = ranked(counted, groups, ["_v"], {"_upto": F.col("_n")})
-    totals = durable(upto.groupBy(*groups).agg(F.max("_upto").alias("_total")), "totals")
-    placed = upto.join(totals, groups)
+    placed = ranked(counted, by, ["_v"], {"_upto": F.col("_n")}, {"_total": "_upto"})
     aggregates = []
     for name, q in quantiles.items():
         at = (F.col("_total") - 1) * F.lit(float(q))
@@ -38,7 +33,7 @@ def exact_quantiles(df: DataFrame, by: Sequence[str], col: str, quantiles: Mappi
         aggregates.append(value_at(low).alias(f"_low_{name}"))
         aggregates.append(value_at(high).alias(f"_high_{name}"))
         aggregates.append(F.max(at - low).alias(f"_part_{name}"))
-    found = placed.groupBy(*groups).agg(*aggregates)
+    found = placed.groupBy(*by).agg(*aggregates)
     return found.select(
         *by,
         *[
@@ -64,14 +59,12 @@ def ntile_by(
     group, which makes n depend on the data.
     """
     by = list(by)
-    placed = ranked(df, by, [col, tie], {"_rn": F.lit(1)})
-    sizes = placed.groupBy(*by).agg(F.max("_rn").alias("_rows"))
+    placed = ranked(df, by, [col, tie], {"_rn": F.lit(1)}, {"_rows": "_rn"})
     if cap_by_distinct:
         values = df.select(*by, col).distinct().groupBy(*by).agg(F.count(F.lit(1)).alias("_values"))
-        sizes = sizes.join(values, by).withColumn("_bins", F.least(F.col("_values"), F.lit(n)))
+        placed = placed.join(durable(values, "values"), by).withColumn("_bins", F.least(F.col("_values"), F.lit(n)))
     else:
-        sizes = sizes.withColumn("_bins", F.lit(n).cast("long"))
-    sizes = durable(sizes.select(*by, "_rows", "_bins"), "sizes")
+        placed = placed.withColumn("_bins", F.lit(n).cast("long"))
     rn, rows, bins = F.col("_rn"), F.col("_rows"), F.col("_bins")
     more = rows % bins
     size = ((rows - more) / bins).cast("long")
@@ -79,4 +72,4 @@ def ntile_by(
     bin_of = F.when(in_larger, F.ceil(rn / (size + 1))).otherwise(
         more + F.ceil((rn - more * (size + 1)) / F.when(size > 0, size))
     )
-    return placed.join(sizes, by).withColumn(out, bin_of.cast("long")).drop("_rn", "_rows", "_bins")
+    return placed.withColumn(out, bin_of.cast("long")).drop("_rn", "_rows", "_bins", "_values")

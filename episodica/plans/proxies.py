@@ -156,8 +156,10 @@ def cohort_of(spark: SparkSession, sf: str) -> DataFrame:
 
 def eras_of(spark: SparkSession, sf: str) -> DataFrame:
     from episodica.operators.cohort import derive_eras, valid_labs
+    from episodica.session import durable
 
-    return derive_eras(valid_labs(labs(spark, sf), EGFR_CODES, SINCE, UNTIL), cohort_of(spark, sf))
+    chosen = durable(cohort_of(spark, sf), "cohort")
+    return derive_eras(valid_labs(labs(spark, sf), EGFR_CODES, SINCE, UNTIL), chosen)
 
 
 def _case(column: str, values: list[str]) -> str:

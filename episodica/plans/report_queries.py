@@ -113,7 +113,7 @@ STUDIES = """SELECT o_orderkey AS trial_id, CASE o_custkey % 3 WHEN 0 THEN 'bina
     CASE WHEN param_name = 'class_handling' THEN dense_rank() OVER (PARTITION BY study_name, param_name ORDER BY real_param_value)
     ELSE CAST(CASE WHEN param_name = 'class_handling' THEN NULL ELSE real_param_value END AS DOUBLE) END AS y, value AS metric_value,
     trial_id = first_value(trial_id) OVER (PARTITION BY study_name ORDER BY value, trial_id) AS is_best,
-    value > quantile_cont(value, 0.75) OVER (PARTITION BY study_name) AS above_q75 FROM (
+    value > quantile_cont(value, 0.75) OVER (PARTITION BY study_name, param_name) AS above_q75 FROM (
     SELECT study_name, 'batch_size' AS param_name, trial_id, CASE o_orderkey % 5 WHEN 0 THEN '32' WHEN 1 THEN '64' WHEN 2 THEN '128'
         WHEN 3 THEN '256' ELSE '512' END AS real_param_value, value FROM st
     UNION ALL SELECT study_name, 'class_handling', trial_id, CASE o_custkey % 3 WHEN 0 THEN 'random_over' WHEN 1 THEN 'none'

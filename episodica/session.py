@@ -10,20 +10,34 @@ from pyspark.sql import DataFrame, SparkSession
 
 def build_session(app: str = "episodica", cores: str = "*", partitions: int = 8, memory: str = "8g") -> SparkSession:
     """Local session for tests and benchmarks; a cluster brings its own through spark-submit."""
-    return (
+    session = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName(app)
-        .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.shuffle.partitions", str(partitions))
-        .config("spark.sql.adaptive.enabled", "true")
-        .config("spark.sql.adaptive.skewJoin.enabled", "true")
-        .config("spark.sql.adaptive.forceOptimizeSkewedJoin", "true")
         .config("spark.driver.memory", memory)
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .getOrCreate()
     )
+    return configure(session)
+
+
+def configure(spark: SparkSession) -> SparkSession:
+    """Settings every query relies on, also in sessions that others have built.
+
+    Timestamps are zone-free: arithmetic on them is only right where every day has 24 hours. Joins of rows with a
+    per-key table must be split at run time when one key owns much of the rows, even if that costs another shuffle.
+    """
+    for key, value in {
+        "spark.sql.session.timeZone": "UTC",
+        "spark.sql.adaptive.enabled": "true",
+        "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    }.items():
+        if spark.conf.get(key, None) != value:
+            spark.conf.set(key, value)
+    return spark
 
 
 def shared_dir(spark: SparkSession) -> str:
