@@ -40,14 +40,16 @@ def test_save_and_drop(spark, tmp_path):
 
 def test_shared_dir_is_read_from_the_session(spark, tmp_path):
     before = spark.conf.get("spark.checkpoint.dir", None)
-    assert before is None
     spark.conf.set("spark.checkpoint.dir", str(tmp_path))
     try:
         kept = session.durable(spark.range(5), "five")
         assert kept.count() == 5
         assert [p.name.split("-")[0] for p in Path(tmp_path).iterdir()] == ["five"]
     finally:
-        spark.conf.unset("spark.checkpoint.dir")
+        if before is None:
+            spark.conf.unset("spark.checkpoint.dir")
+        else:
+            spark.conf.set("spark.checkpoint.dir", before)
 
 
 def test_durable_survives_a_changed_source(spark):
