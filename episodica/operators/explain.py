@@ -11,10 +11,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from episodica.functions.text import prettify, sentence
-from episodica.operators.density import kde
-from episodica.operators.quantiles import ntile_by
+from episodica.operators.density import kde, trend
+from episodica.operators.ordered import hash_ranked
+from episodica.operators.quantiles import distinct_values, ntile_by, trim_upper
 from episodica.operators.reshape import denormalise_long
 from episodica.operators.sampling import sample_n
+from episodica.operators.windows import group_range, min_max_scale
 from episodica.session import durable
 
 # Names of the ICD-10 chapters.
@@ -165,22 +167,55 @@ def pretty_feature(feature: Column, atc_names: Mapping[str, str], kidney_names:
     )
 
 
+def summary_by_bin(binned: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Mean contribution and mean feature value per group and bin, with the mean value scaled to [0, 1] per group."""
+    means = durable(
+        binned.groupBy(*by, "feature_value_bin").agg(
+            F.avg("shap_value").alias("shap_value"), F.avg("feature_value").alias("feature_value")
+        ),
+        "means",
+    )
+    return min_max_scale(means, by, "feature_value", "colour_var")
+
+
+def bivariate_data(
+    long: DataFrame, by: Sequence[str], feature: str, key: str, sample_size: int | None = None, cutoff: float = 0.999,
+    seed: object = 42, n_dens: int = 512, n_trend: int = 50,
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """What the figure of contribution against feature value shows, per feature and group `by` (model, outcome).
+
+    Values above the cutoff quantile of the feature are left out; sample_size, where given, keeps that many (row,
+    feature) pairs per feature. Binary features get a density of the contributions per value and its range, all others
+    a smooth trend: (densities, ranges, trends).
+    """
+    kept = trim_upper(long, [feature], "feature_value", cutoff)
+    if sample_size is not None:
+        ids = kept.select(feature, *by, key).withColumn("_id", F.concat_ws("|", feature, *by, F.col(key).cast("string")))
+        chosen = hash_ranked(ids, [feature], "_id", seed, "_rank").filter(F.col("_rank") <= sample_size)
+        kept = kept.join(chosen.select(feature, *by, key), [feature, *by, key], "left_semi")
+    kinds = kept.groupBy(feature).agg(F.bool_and(F.col("feature_value").isin(0.0, 1.0)).alias("_binary"))
+    marked = durable(kept.join(durable(kinds, "kinds"), feature), "bivariate")
+    groups = [feature, *by]
+    densities = kde(marked.filter("_binary"), [*groups, "feature_value"], "shap_value", n_dens)
+    densities = durable(densities, "densities")
+    ranges = group_range(densities, [*groups, "feature_value"], "shap_value")
+    trends = trend(marked.filter("not _binary"), groups, "feature_value", "shap_value", n_trend)
+    return densities, ranges, trends
+
+
 def binned_features(long: DataFrame, by: Sequence[str], key: str, n_bins: int = 5) -> DataFrame:
     """Feature values scaled to [0, 1] per group, put into at most n_bins equal-count bins (binary features keep their
     two values), with the mean value of each bin."""
     by = list(by)
-    stats = durable(
-        long.groupBy(*by).agg(
-            F.min("feature_value").alias("_lo"), F.max("feature_value").alias("_hi"),
-            (F.count_distinct("feature_value") == 2).alias("feature_is_binary"),
-        ),
-        "stats",
-    )
+    stats = distinct_values(long, by, "feature_value").withColumnsRenamed({"lo": "_lo", "hi": "_hi", "n_values": "_values"})
     width = F.col("_hi") - F.col("_lo")
-    scaled = long.join(stats, by).withColumn(
-        "feature_value", (F.col("feature_value") - F.col("_lo")) / F.when(width != 0, width)
+    scaled = long.join(stats, by).withColumns(
+        {
+            "feature_is_binary": F.col("_values") == 2,
+            "feature_value": (F.col("feature_value") - F.col("_lo")) / F.when(width != 0, width),
+        }
     )
-    binned = ntile_by(scaled.drop("_lo", "_hi"), by, "feature_value", key, n_bins, "_bin", cap_by_distinct=True)
+    binned = ntile_by(scaled.drop("_lo", "_hi"), by, "feature_value", key, n_bins, "_bin", cap="_values").drop("_values")
     chosen = F.when(F.col("feature_is_binary"), F.col("feature_value")).otherwise(F.col("_bin").cast("double"))
     binned = binned.withColumn("feature_value_bin", chosen).drop("_bin")
     means = durable(

@@ -50,26 +50,29 @@ def trim_upper(df: DataFrame, by: Sequence[str], col: str, q: float = 0.999) ->
     return df.join(cuts, list(by)).filter(F.col(col) <= F.col("_cut")).drop("_cut")
 
 
+def distinct_values(df: DataFrame, by: Sequence[str], col: str) -> DataFrame:
+    """Smallest and largest value and the number of distinct values per group, through one row per value."""
+    values = df.select(*by, col).filter(F.col(col).isNotNull()).distinct()
+    stats = values.groupBy(*by).agg(F.min(col).alias("lo"), F.max(col).alias("hi"), F.count(F.lit(1)).alias("n_values"))
+    return durable(stats, "values")
+
+
 def ntile_by(
-    df: DataFrame, by: Sequence[str], col: str, tie: str, n: int, out: str = "bin", cap_by_distinct: bool = False
+    df: DataFrame, by: Sequence[str], col: str, tie: str, n: int, out: str = "bin", cap: str | None = None
 ) -> DataFrame:
     """Equal-count bins 1..n within `by`, ties in col broken by the unique column `tie`.
 
-    The first (rows mod n) bins get one row more. cap_by_distinct lowers n to the number of distinct values of the
-    group, which makes n depend on the data.
+    The first (rows mod n) bins get one row more. cap names a column, constant per group, that lowers n; the number of
+    distinct values of the group (see distinct_values) makes n depend on the data.
     """
     by = list(by)
     placed = ranked(df, by, [col, tie], {"_rn": F.lit(1)}, {"_rows": "_rn"})
-    if cap_by_distinct:
-        values = df.select(*by, col).distinct().groupBy(*by).agg(F.count(F.lit(1)).alias("_values"))
-        placed = placed.join(durable(values, "values"), by).withColumn("_bins", F.least(F.col("_values"), F.lit(n)))
-    else:
-        placed = placed.withColumn("_bins", F.lit(n).cast("long"))
-    rn, rows, bins = F.col("_rn"), F.col("_rows"), F.col("_bins")
+    bins = F.lit(n).cast("long") if cap is None else F.least(F.col(cap), F.lit(n).cast("long"))
+    rn, rows = F.col("_rn"), F.col("_rows")
     more = rows % bins
     size = ((rows - more) / bins).cast("long")
     in_larger = rn <= more * (size + 1)
     bin_of = F.when(in_larger, F.ceil(rn / (size + 1))).otherwise(
         more + F.ceil((rn - more * (size + 1)) / F.when(size > 0, size))
     )
-    return placed.withColumn(out, bin_of.cast("long")).drop("_rn", "_rows", "_bins", "_values")
+    return placed.withColumn(out, bin_of.cast("long")).drop("_rn", "_rows")

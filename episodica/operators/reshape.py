@@ -53,10 +53,9 @@ def one_hot(df: DataFrame, by: str, col: str, prefix: str, values: Sequence | No
     )
 
 
-def flags(df: DataFrame, col: str, prefix: str, values: Sequence) -> DataFrame:
+def flags(value: Column, prefix: str, values: Sequence) -> list[Column]:
     """One-hot columns for a category with exactly one value per row: a projection, no grouping."""
-    added = {f"{prefix}{v}": F.coalesce((F.col(col) == v).cast("int"), F.lit(0)) for v in values}
-    return df.withColumns(added).drop(col)
+    return [F.coalesce((value == v).cast("int"), F.lit(0)).alias(f"{prefix}{v}") for v in values]
 
 
 def left_one_hot(
@@ -74,18 +73,16 @@ def long_form(df: DataFrame, ids: Sequence[str], values: Sequence[str] | None =
 def base_features(cohort: DataFrame) -> DataFrame:
     """Features known from the admission itself."""
     admitted = F.col("admission_datetime")
-    base = cohort.select(
+    # fixed values: weekday and sex categories
+    return cohort.select(
         "admission_id",
         "person_id",
         "index_datetime",
         age_years(F.col("date_of_birth"), F.to_date(admitted)).alias("age_at_admission"),
         cyclic_hour(admitted).alias("hour_of_admission_cyclical"),
-        weekday(admitted).alias("_weekday"),
-        F.lower("sex").alias("_sex"),
+        *flags(weekday(admitted), "admitted_", ["sun", "mon", "tue", "wed", "thu", "fri", "sat"]),
+        *flags(F.lower("sex"), "sex_", ["female", "male"]),
     )
-    # fixed values: weekday and sex categories
-    base = flags(base, "_weekday", "admitted_", ["sun", "mon", "tue", "wed", "thu", "fri", "sat"])
-    return flags(base, "_sex", "sex_", ["female", "male"])
 
 
 def build_dataset(
@@ -98,23 +95,21 @@ def build_dataset(
     """Outcomes joined with all features, one row per admission.
 
     single: feature tables with one row per admission; categories: (long table, column, prefix, pinned values or None).
-    Everything is keyed by admission_id, so the joins share one partitioning.
+    Everything is keyed by admission_id, so the joins share one partitioning; one projection at the end fills the gaps,
+    casts and adds the labels.
     """
-    features = base_features(cohort)
-    for table in single:
-        features = left_features(features, table, "admission_id")
-    for table, col, prefix, values in categories:
-        features = left_one_hot(features, table, col, prefix, values=values)
+    base = base_features(cohort)
+    tables = [*single, *[one_hot(t, "admission_id", col, prefix, values) for t, col, prefix, values in categories]]
     drug_counts = [c for c in outcome.columns if c.startswith("r_")]
-    df = outcome.drop(*drug_counts).join(features, "admission_id")
-    whole = [
-        c for c in df.columns
-        if c not in ("admission_id", "person_id", "index_datetime", "time_at_risk", "age_at_admission")
-    ]
-    df = cast_cols(df, whole, "int")
+    df = outcome.drop(*drug_counts).join(base, "admission_id")
+    for table in tables:
+        df = df.join(table, "admission_id", "left")
+    as_they_are = ["admission_id", "person_id", "index_datetime", "time_at_risk", "age_at_admission"]
+    added = [c for c in df.columns if c not in as_they_are]
     r, t = F.col("r"), F.col("time_at_risk")
-    labels = {"daily_rate_not_zero": (r > 0).cast("int")} | {f"daily_rate_geq_{k}": rate_flag(r, t, k) for k in rates}
-    return df.withColumns(labels)
+    labels = [(r > 0).cast("int").alias("daily_rate_not_zero"), *[rate_flag(r, t, k).alias(f"daily_rate_geq_{k}") for k in rates]]
+    filled = [F.coalesce(F.col(c), F.lit(0)).cast("int").alias(c) for c in added]
+    return df.select(*as_they_are, *filled, *labels)
 
 
 def temporal_split(df: DataFrame, ts: str, cutoff: str, person: str, out: str = "set") -> DataFrame:

@@ -8,6 +8,7 @@ from episodica.operators import reshape as rs
 from episodica.plans import proxies as P
 from episodica.plans.proxies import TARGET_ATC, with_views
 from episodica.plans.registry import query
+from episodica.plans.sampling_queries import impute_views
 from episodica.session import durable
 
 # A small documented subset of the published comorbidity tables, enough for the diagnoses in the data; the full
@@ -25,6 +26,26 @@ def cohort(spark, sf):
     return P.cohort_of(spark, sf)
 
 
+IMPUTED = with_views("""SELECT admission_id, person_id, admission_datetime, discharge_datetime, index_datetime
+    FROM imputed w WHERE EXISTS (SELECT 1 FROM valid_labs l WHERE l.person_id = w.person_id AND l.egfr <= 30
+    AND l.egfr_datetime BETWEEN w.admission_datetime AND w.admission_datetime + INTERVAL 25 HOUR)""", "washed", "valid_labs",
+    **impute_views("admission_datetime", "washed"), **impute_views("discharge_datetime", "washed"),
+    imputed="""SELECT admission_id, person_id, a.admission_datetime, d.discharge_datetime, index_datetime FROM washed w
+        JOIN admission_datetime_new a USING (admission_id) JOIN discharge_datetime_new d USING (admission_id)""")
+
+
+@query("cohort_imputed", IMPUTED)
+def cohort_imputed(spark, sf):
+    """The cohort with invalid hours replaced; index times stay where they were."""
+    from episodica.operators.cohort import cohort as select_cohort
+    from episodica.operators.cohort import valid_labs
+
+    out = select_cohort(
+        valid_labs(P.labs(spark, sf), P.EGFR_CODES, P.SINCE, P.UNTIL), P.stays(spark, sf), P.person(spark, sf), P.SINCE, P.UNTIL,
+        washout_days=2, seed=42)
+    return out.select("admission_id", "person_id", "admission_datetime", "discharge_datetime", "index_datetime")
+
+
 @query("capped_sum", with_views("""SELECT admission_id, round(least(30.0, sum(date_diff('microsecond', era_start_datetime,
     era_end_datetime)) / 86400000000.0::DOUBLE), 6) AS time_at_risk FROM eras WHERE egfr_is_low GROUP BY admission_id""", "eras"))
 def capped_sum(spark, sf):

@@ -203,6 +203,37 @@ def shap_long(spark, sf):
         "admission_id", "feature_pretty", "shap_value", "feature_value", "feature_is_binary", "feature_value_bin")
 
 
+@query("group_mean", with_views("""SELECT feature_pretty, CAST(floor(v / 10) AS BIGINT) AS bin, round(avg(shap_value), 6) AS shap_value
+    FROM u GROUP BY ALL""", ev="SELECT *, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events", u=UNFOLDED))
+def group_mean(spark, sf):
+    tens = F.floor(F.col("feature_value") / 10).alias("bin")
+    return rounded(shap_rows(spark, sf).groupBy("feature_pretty", tens).agg(F.avg("shap_value").alias("shap_value")), "shap_value")
+
+
+@query("shap_summary")
+def shap_summary(spark, sf):
+    binned = ex.binned_features(shap_rows(spark, sf), ["feature_pretty"], "admission_id")
+    return rounded(ex.summary_by_bin(binned, ["feature_pretty"]), "shap_value", "feature_value", "colour_var")
+
+
+@query("bivariate_ranges", with_views("""SELECT feature_pretty, v AS feature_value, round(min(shap_value) - 3 * bw, 5) AS y_min,
+    round(max(shap_value) + 3 * bw, 5) AS y_max FROM kept JOIN (SELECT feature_pretty, v, 0.9 * CASE WHEN least(sd, iqr / 1.34) > 0
+    THEN least(sd, iqr / 1.34) WHEN sd > 0 THEN sd WHEN lo <> 0 THEN abs(lo) ELSE 1 END * pow(n, -0.2) AS bw FROM (
+    SELECT feature_pretty, v, count(*) AS n, stddev_samp(shap_value) AS sd, min(shap_value) AS lo, quantile_cont(shap_value, 0.75)
+    - quantile_cont(shap_value, 0.25) AS iqr FROM kept GROUP BY ALL) s) b USING (feature_pretty, v) GROUP BY feature_pretty, v, bw""",
+    ev="SELECT *, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events", u=UNFOLDED,
+    kept="""SELECT u.* FROM u JOIN (SELECT feature_pretty FROM u GROUP BY 1 HAVING bool_and(v IN (0, 1))) b USING (feature_pretty)"""))
+def bivariate_ranges(spark, sf):
+    _, ranges, _ = ex.bivariate_data(shap_rows(spark, sf), [], "feature_pretty", "admission_id", n_dens=64)
+    return rounded(ranges, "y_min", "y_max", places=5)
+
+
+@query("bivariate_trends")
+def bivariate_trends(spark, sf):
+    _, _, trends = ex.bivariate_data(shap_rows(spark, sf), [], "feature_pretty", "admission_id", sample_size=5000, n_dens=64)
+    return rounded(trends, "x_mid", "y_smooth")
+
+
 @query("shap_density")
 def shap_density(spark, sf):
     binned = durable(ex.binned_features(shap_rows(spark, sf), ["feature_pretty"], "admission_id"), "binned")

@@ -44,8 +44,8 @@ def head_n(spark, sf):
     return sp.head_n(P.table(spark, sf, "events").select("event_id", "value"), "event_id", 100)
 
 
-def _impute_views(col):
-    valid = f"SELECT hour({col}) AS h FROM stays WHERE second({col}) <> 1"
+def impute_views(col, source):
+    valid = f"SELECT hour({col}) AS h FROM {source} WHERE second({col}) <> 1"
     u = _u("admission_id", f"42{col}h")
     u1, u2 = _u("admission_id", f"42{col}na"), _u("admission_id", f"42{col}nb")
     return {
@@ -55,13 +55,13 @@ def _impute_views(col):
             * pow(count(*), -0.2) AS bw FROM {col}_valid""",
         f"{col}_new": f"""SELECT admission_id, CASE WHEN second({col}) = 1 THEN {col} + to_hours(CAST(least(23, greatest(0,
             round_even((SELECT min(h) FROM {col}_cdf WHERE upto > {u} * n) + sqrt(-2 * ln(1 - {u1})) * cos(2 * pi() * {u2}) * bw, 0)))
-            - hour({col}) AS BIGINT)) ELSE {col} END AS {col} FROM stays, {col}_stat""",
+            - hour({col}) AS BIGINT)) ELSE {col} END AS {col} FROM {source}, {col}_stat""",
     }
 
 
 @query("impute_hours", with_views("""SELECT admission_id, admission_datetime, discharge_datetime
     FROM admission_datetime_new JOIN discharge_datetime_new USING (admission_id)""", "stays",
-    **_impute_views("admission_datetime"), **_impute_views("discharge_datetime")))
+    **impute_views("admission_datetime", "stays"), **impute_views("discharge_datetime", "stays")))
 def impute_hours(spark, sf):
     stays = P.stays(spark, sf).drop("person_id")
     for col in ("admission_datetime", "discharge_datetime"):

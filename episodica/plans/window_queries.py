@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from episodica.functions.timing import bucket
 from episodica.operators import cohort as c
 from episodica.operators import windows as w
-from episodica.operators.quantiles import ntile_by
+from episodica.operators.quantiles import distinct_values, ntile_by
 from episodica.plans import proxies as P
 from episodica.plans.proxies import with_views
 from episodica.plans.registry import query
@@ -100,7 +100,8 @@ def running_dose(spark, sf):
 def ntile_bins(spark, sf):
     v = F.when(F.col("event_type") == "view", (F.col("event_id") % 3).cast("double")).otherwise(F.col("value"))
     events = P.table(spark, sf, "events").select("event_id", "event_type", v.alias("v"))
-    binned = ntile_by(events, ["event_type"], "v", "event_id", 5, cap_by_distinct=True)
+    capped = events.join(distinct_values(events, ["event_type"], "v"), "event_type")
+    binned = ntile_by(capped, ["event_type"], "v", "event_id", 5, cap="n_values")
     return binned.select("event_id", "event_type", "bin")
 
 
