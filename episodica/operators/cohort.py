@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from episodica.functions.hashing import normal, uniform
-from episodica.functions.timing import bucket, days_between, hours_between, micros, plus
+from episodica.functions.timing import days_between, hours_between, micros, plus
 from episodica.operators.joins import interval_join, seen_in_span
 from episodica.operators.ordered import HOT_ROWS, ordered
 from episodica.session import durable
@@ -46,7 +46,6 @@ def eligible(
 def washout(
     admissions: DataFrame,
     days: float,
-    slice_hours: int = 24 * 30,
     hot_rows: int = HOT_ROWS,
     count_on: DataFrame | None = None,
 ) -> DataFrame:
@@ -58,7 +57,6 @@ def washout(
         admissions,
         ["person_id"],
         ["admission_datetime", "discharge_datetime", "admission_id"],
-        bucket(F.col("admission_datetime"), slice_hours),
         previous={"_left": "discharge_datetime"},
         hot_rows=hot_rows,
         count_on=count_on,
@@ -171,20 +169,17 @@ def labs_in_follow_up(labs: DataFrame, cohort: DataFrame, fu_days: int = 30) ->
 
 
 def run_ids(
-    df: DataFrame, by: str, order: Sequence[str], flag: str, ts: str, out: str = "run_id", hot_rows: int = HOT_ROWS
+    df: DataFrame, by: str, order: Sequence[str], flag: str, out: str = "run_id", hot_rows: int = HOT_ROWS
 ) -> DataFrame:
     """Number runs of equal flag values within `by`, from 1."""
-    at = bucket(F.col(ts), 1)
-    linked = ordered(df, [by], order, at, previous={"_before": flag}, hot_rows=hot_rows)
+    linked = ordered(df, [by], order, previous={"_before": flag}, hot_rows=hot_rows)
     starts = F.when(F.col("_before").isNull() | (F.col("_before") != F.col(flag)), 1).otherwise(0)
-    return ordered(linked, [by], order, at, running={out: starts}, hot_rows=hot_rows, count_on=df).drop("_before")
+    return ordered(linked, [by], order, running={out: starts}, hot_rows=hot_rows, count_on=df).drop("_before")
 
 
-def run_starts(
-    df: DataFrame, by: str, order: Sequence[str], flag: str, ts: str, hot_rows: int = HOT_ROWS
-) -> DataFrame:
+def run_starts(df: DataFrame, by: str, order: Sequence[str], flag: str, hot_rows: int = HOT_ROWS) -> DataFrame:
     """The first row of every run: all that an era needs, found without numbering and regrouping the rows."""
-    linked = ordered(df, [by], order, bucket(F.col(ts), 1), previous={"_before": flag}, hot_rows=hot_rows)
+    linked = ordered(df, [by], order, previous={"_before": flag}, hot_rows=hot_rows)
     return linked.filter(F.col("_before").isNull() | (F.col("_before") != F.col(flag))).drop("_before")
 
 
@@ -199,7 +194,7 @@ def derive_eras(
     """
     seen = durable(flag_low(labs_in_follow_up(labs, cohort, fu_days), "egfr", threshold, "egfr_is_low"), "seen")
     starts = run_starts(
-        seen, "admission_id", ["egfr_datetime", "egfr", "lab_id"], "egfr_is_low", "egfr_datetime", hot_rows
+        seen, "admission_id", ["egfr_datetime", "egfr", "lab_id"], "egfr_is_low", hot_rows
     ).select(
         "admission_id", "person_id", "egfr_is_low", "los_hours", "index_datetime", "egfr", "lab_id",
         F.col("egfr_datetime").alias("era_start_datetime"),
@@ -208,7 +203,6 @@ def derive_eras(
         starts,
         ["admission_id"],
         ["era_start_datetime", "egfr", "lab_id"],
-        bucket(F.col("era_start_datetime"), 1),
         following={"_next": "era_start_datetime"},
         hot_rows=hot_rows,
         count_on=seen,

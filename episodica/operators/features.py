@@ -15,6 +15,7 @@ from episodica.operators.joins import (
     seen_in_years,
     visit_diagnoses,
 )
+from episodica.session import durable
 
 
 def _anchors(cohort: DataFrame) -> DataFrame:
@@ -114,7 +115,7 @@ def comorbidity_scores(
         "prefix",
         F.explode(F.transform(F.sequence(F.lit(1), F.length("diag_code")), lambda n: F.substring("diag_code", F.lit(1), n))),
     )
-    mapped = cut.join(prefixes, "prefix").select("diag_code", "category").distinct()
+    mapped = durable(cut.join(prefixes, "prefix").select("diag_code", "category").distinct(), "mapped")
     seen = seen_before(
         coded.join(mapped, "diag_code"), _anchors(cohort), "person_id", "departure_date", "anchor_day", ["category"],
         ["admission_id"],

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from episodica.functions.timing import bucket, years_before
 from episodica.operators.ordered import HOT_ROWS, ordered
+from episodica.session import durable
 
 
 def _spread(spans: DataFrame, lo: str, hi: str, width_hours: int) -> DataFrame:
@@ -142,25 +143,25 @@ def count_in_range(
     hi: Column,
     ts: str,
     out: str,
-    slice_hours: int = 24 * 30,
     hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Per anchor, the number of events with equal key and lo <= ts <= hi, without forming the pairs.
 
     Events and both ends of each anchor's range are put on one time line per key; the running event count at the upper
-    end minus the one just before the lower end is the answer. Work is linear in events plus anchors.
+    end minus the one just before the lower end is the answer. Work is linear in events plus anchors. Events at the
+    same time are counted together first.
     """
-    moment = events.select(key, F.col(ts).alias("_t"), F.lit(1).alias("_kind"), F.lit(None).cast("long").alias("_id"))
+    moment = events.groupBy(key, F.col(ts).alias("_t")).agg(F.count(F.lit(1)).alias("_n"))
+    moment = moment.select(key, "_t", F.lit(1).alias("_kind"), F.lit(None).cast("long").alias("_id"), "_n")
+    none = F.lit(0).cast("long").alias("_n")
     ends = anchors.select(key, lo.alias("_lo"), hi.alias("_hi"), F.col(anchor_id).cast("long").alias("_id"))
-    lower = ends.select(key, F.col("_lo").alias("_t"), F.lit(0).alias("_kind"), "_id")
-    upper = ends.select(key, F.col("_hi").alias("_t"), F.lit(2).alias("_kind"), "_id")
-    line = moment.unionByName(lower).unionByName(upper)
+    lower = ends.select(key, F.col("_lo").alias("_t"), F.lit(0).alias("_kind"), "_id", none)
+    upper = ends.select(key, F.col("_hi").alias("_t"), F.lit(2).alias("_kind"), "_id", none)
     counted = ordered(
-        line,
+        moment.unionByName(lower).unionByName(upper),
         [key],
-        ["_t", "_kind"],
-        bucket(F.col("_t"), slice_hours),
-        running={"_seen": F.when(F.col("_kind") == 1, 1).otherwise(0)},
+        ["_t", "_kind", "_id"],
+        running={"_seen": F.col("_n")},
         hot_rows=hot_rows,
         count_on=events.select(key).unionByName(anchors.select(key)).unionByName(anchors.select(key)),
     )
@@ -198,7 +199,7 @@ def restrict_to(df: DataFrame, cohort: DataFrame, key: str, multiplicity: str =
 def keep_frequent(df: DataFrame, col: str, at_least: int) -> DataFrame:
     """Rows whose value of col occurs in at least that many rows."""
     frequent = df.groupBy(col).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= at_least)
-    return df.join(frequent.select(col), col, "left_semi")
+    return df.join(durable(frequent.select(col), "frequent"), col, "left_semi")
 
 
 def left_features(base: DataFrame, features: DataFrame, on: str, fill: object = 0) -> DataFrame:

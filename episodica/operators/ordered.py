@@ -1,8 +1,9 @@
 """Window operations that keep working when one group holds a large part of all rows.
 
-A window over partitionBy(key) puts a whole key into one task. Here a hot key is cut into slices that follow the
-window order; functions run inside (key, slice), and what crosses a slice border (the row before, the row after, the
-running total) comes from one summary row per slice. Where no key is hot the plan is the plain window.
+A window over partitionBy(key) puts a whole key into one task. Here the rows of hot keys are range-shuffled by (key,
+order) instead, which cuts every hot key into even slices that follow the order; functions run inside (key, slice), and
+what crosses a slice border (the row before, the row after, the running total) comes from one summary row per slice.
+Keys that are not hot keep the plain window.
 """
 
 from __future__ import annotations
@@ -23,21 +24,29 @@ def hot_keys(df: DataFrame, keys: Sequence[str], hot_rows: int) -> DataFrame | N
     """Keys with at least hot_rows rows, or None if there are none.
 
     One counting pass over the key columns; the driver learns only whether a hot key exists. There can be at most
-    rows/hot_rows of them, which is what bounds the broadcast in mark_slices.
+    rows/hot_rows of them, which is what bounds the broadcasts in `ordered`.
     """
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     hot = counts.filter(F.col("_n") >= hot_rows).select(*keys)
     return None if hot.isEmpty() else durable(hot, "hot")
 
 
-def mark_slices(df: DataFrame, keys: Sequence[str], slice_by: Column, hot: DataFrame) -> DataFrame:
-    """Add _slice: slice_by for hot keys, null for all others."""
-    flagged = hot.select(*[F.col(k).alias(f"_h_{k}") for k in keys], F.lit(True).alias("_hot"))
+def _same_keys(keys: Sequence[str]) -> Column:
     matched = F.lit(True)
     for k in keys:
         matched = matched & F.col(k).eqNullSafe(F.col(f"_h_{k}"))
-    marked = df.withColumn("_at", slice_by.cast("long")).join(F.broadcast(flagged), matched, "left")
-    return marked.withColumn("_slice", F.when(F.col("_hot"), F.col("_at"))).drop("_hot", "_at", *[f"_h_{k}" for k in keys])
+    return matched
+
+
+def range_slices(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """Add _slice: the number of the row's partition after a range shuffle by (keys, order).
+
+    Spark samples the data to make the partitions even, whatever the values look like; (keys, order) should be unique,
+    so that ties can be cut too. The result is written to the shared folder, because slice numbers must not change
+    between the rows and their summary.
+    """
+    sliced = df.repartitionByRange(*keys, *order).withColumn("_slice", F.spark_partition_id().cast("long"))
+    return durable(sliced, "sliced")
 
 
 def plain(
@@ -126,14 +135,13 @@ def ordered(
     df: DataFrame,
     keys: Sequence[str],
     order: Sequence[str],
-    slice_by: Column,
     previous: Mapping[str, str] | None = None,
     following: Mapping[str, str] | None = None,
     running: Mapping[str, Column] | None = None,
     hot_rows: int = HOT_ROWS,
     count_on: DataFrame | None = None,
 ) -> DataFrame:
-    """lag / lead / running sum per key; slice_by must not decrease along `order` (a day number, for example).
+    """lag / lead / running sum per key; (keys, order) should be unique.
 
     Without hot keys this is the plain window. count_on names a cheaper frame to look for hot keys in: one with the
     same key columns and at least as many rows per key, such as the table that df was filtered from.
@@ -142,8 +150,10 @@ def ordered(
     hot = hot_keys(df if count_on is None else count_on, keys, hot_rows)
     if hot is None:
         return plain(df, keys, order, previous, following, running)
-    marked = durable(mark_slices(df, keys, slice_by, hot), "sliced")
-    return over_slices(marked, keys, order, previous, following, running)
+    listed = F.broadcast(hot.select(*[F.col(k).alias(f"_h_{k}") for k in keys]))
+    rest = plain(df.join(listed, _same_keys(keys), "left_anti"), keys, order, previous, following, running)
+    sliced = range_slices(df.join(listed, _same_keys(keys), "left_semi"), keys, order)
+    return rest.unionByName(over_slices(sliced, keys, order, previous, following, running))
 
 
 def ranked(
@@ -154,17 +164,11 @@ def ranked(
     totals: Mapping[str, str] | None = None,
 ) -> DataFrame:
     """Running sums over a total order for the few, huge groups of reports (study, data set, feature), and, by name of
-    the running sum, their totals per group.
-
-    Slices are the partitions of a range shuffle on (by, order): Spark samples the data to make them even, whatever
-    the values look like. They are written to the shared folder first, because slice numbers must not change between
-    the rows and their summary.
-    """
-    sliced = df.repartitionByRange(*by, *order).withColumn("_slice", F.spark_partition_id().cast("long"))
-    kept = durable(sliced, "ranked")
+    the running sum, their totals per group. Every group is treated as hot."""
+    sliced = range_slices(df, by, order)
     if by:
-        return over_slices(kept, by, order, running=running, totals=totals)
-    return over_slices(kept.withColumn("_all", F.lit(0)), ["_all"], order, running=running, totals=totals).drop("_all")
+        return over_slices(sliced, by, order, running=running, totals=totals)
+    return over_slices(sliced.withColumn("_all", F.lit(0)), ["_all"], order, running=running, totals=totals).drop("_all")
 
 
 def hash_ranked(df: DataFrame, by: Sequence[str], key: str, seed: object, out: str = "rank") -> DataFrame:

@@ -7,7 +7,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from episodica.functions.timing import bucket
 from episodica.operators.joins import interval_join
 from episodica.operators.ordered import HOT_ROWS, ordered
 from episodica.session import durable
@@ -27,7 +26,6 @@ def dose_over_limit(
         dated,
         ["admission_id", "admin_date"],
         ["admin_datetime", "admin_id"],
-        bucket(F.col("admin_datetime"), 1),
         running={"cum_daily_dose": F.col("given_dose")},
         hot_rows=hot_rows,
     )
@@ -41,11 +39,10 @@ def top_by(df: DataFrame, by: Sequence[str], order: Sequence[Column], keep: Sequ
 
 
 def diff_lag(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], col: str, slice_by: Column, out: str = "diff",
-    hot_rows: int = HOT_ROWS,
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], col: str, out: str = "diff", hot_rows: int = HOT_ROWS
 ) -> DataFrame:
     """Absolute difference from the previous value."""
-    linked = ordered(df, keys, order, slice_by, previous={"_before": col}, hot_rows=hot_rows)
+    linked = ordered(df, keys, order, previous={"_before": col}, hot_rows=hot_rows)
     return linked.withColumn(out, F.abs(F.col(col) - F.col("_before"))).drop("_before")
 
 

@@ -2,7 +2,6 @@
 
 from pyspark.sql import functions as F
 
-from episodica.functions.timing import bucket
 from episodica.operators import cohort as c
 from episodica.operators import windows as w
 from episodica.operators.quantiles import distinct_values, ntile_by
@@ -29,14 +28,14 @@ def _seen(spark, sf):
     ORDER BY ts, event_id) IS DISTINCT FROM (value <= 30) THEN 1 ELSE 0 END AS changed FROM events) t""")
 def run_id(spark, sf):
     events = P.table(spark, sf, "events").select("event_id", "user_id", "ts", (F.col("value") <= 30).alias("low"))
-    return c.run_ids(events, "user_id", ["ts", "event_id"], "low", "ts").select("event_id", "user_id", "run_id")
+    return c.run_ids(events, "user_id", ["ts", "event_id"], "low").select("event_id", "user_id", "run_id")
 
 
 @query("era_aggregate", with_views("""SELECT admission_id, person_id, egfr_is_low, los_hours, index_datetime,
     era_start_datetime FROM run_groups""", "run_groups"))
 def era_aggregate(spark, sf):
     starts = c.run_starts(
-        _seen(spark, sf), "admission_id", ["egfr_datetime", "egfr", "lab_id"], "egfr_is_low", "egfr_datetime")
+        _seen(spark, sf), "admission_id", ["egfr_datetime", "egfr", "lab_id"], "egfr_is_low")
     return starts.select(
         "admission_id", "person_id", "egfr_is_low", "los_hours", "index_datetime",
         F.col("egfr_datetime").alias("era_start_datetime"))
@@ -61,7 +60,7 @@ def era_end(spark, sf):
         (25 + key % 900).alias("los_hours"),
     )
     linked = ordered(
-        rows, ["o_custkey"], ["era_start_datetime", "admission_id"], bucket(F.col("era_start_datetime"), 720),
+        rows, ["o_custkey"], ["era_start_datetime", "admission_id"],
         following={"_next": "era_start_datetime"})
     return c.era_bounds(linked).drop("_next", "o_custkey")
 
@@ -118,7 +117,7 @@ def top1_per_group(spark, sf):
     AS diff FROM events""")
 def diff_lag(spark, sf):
     events = P.table(spark, sf, "events").select("event_id", "user_id", "ts", "value")
-    out = w.diff_lag(events, ["user_id"], ["ts", "event_id"], "value", bucket(F.col("ts"), 24))
+    out = w.diff_lag(events, ["user_id"], ["ts", "event_id"], "value")
     return out.select("event_id", F.round("diff", 6).alias("diff"))
 
 

@@ -45,7 +45,7 @@ def test_washout(spark, hot_rows):
          (4, 1, D + days(99), D + days(100)),  # 29 days after 3, which is itself dropped: dropped
          (5, 2, D, D + days(200)), (6, 2, D + days(10), D + days(12)),  # nested: negative gap
          (7, 2, D + days(50), D + days(51))], ADM)  # compared with 6, not with the longer 5: kept
-    assert ids(c.washout(adm, 30, slice_hours=24 * 7, hot_rows=hot_rows)) == [1, 2, 5, 7]
+    assert ids(c.washout(adm, 30, hot_rows=hot_rows)) == [1, 2, 5, 7]
 
 
 def test_every_person_keeps_an_admission(spark, sf):
@@ -152,7 +152,7 @@ def test_eras_alternate_and_do_not_overlap(spark):
 def test_run_ids_number_runs(spark):
     flags = [True, True, False, True, True, False, False]
     df = spark.createDataFrame([(1, D + hours(i), i, f) for i, f in enumerate(flags)], "a int, t timestamp_ntz, id long, low boolean")
-    out = c.run_ids(df, "a", ["t", "id"], "low", "t", hot_rows=1).orderBy("id").collect()
+    out = c.run_ids(df, "a", ["t", "id"], "low", hot_rows=1).orderBy("id").collect()
     assert [r.run_id for r in out] == [1, 1, 2, 3, 3, 4, 4]
 
 

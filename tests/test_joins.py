@@ -56,7 +56,7 @@ def test_seen_in_span_when_all_spans_cross(points, spans):
 @pytest.mark.parametrize("hot_rows", [1, 10**9])
 def test_count_in_range(points, spans, hot_rows):
     usable = spans.filter(F.col("hi") >= F.col("lo"))
-    got = j.count_in_range(usable, points, "p", "span", F.col("lo"), F.col("hi"), "ts", "n", slice_hours=7, hot_rows=hot_rows)
+    got = j.count_in_range(usable, points, "p", "span", F.col("lo"), F.col("hi"), "ts", "n", hot_rows=hot_rows)
     want = {s.span: 0 for s in usable.collect()}
     for s, _ in brute(points, usable):
         want[s.span] += 1
