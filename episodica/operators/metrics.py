@@ -24,14 +24,18 @@ MCC_STEPS = 100
 NB_STEPS = 10
 
 
-def score_table(preds: DataFrame, by: Sequence[str], y: str = "y_true", p: str = "y_pred") -> DataFrame:
-    """Per distinct score: events and non-events, their running totals from the lowest score up, and group totals."""
-    by = list(by)
-    counted = preds.groupBy(*by, F.col(p).alias("score")).agg(
-        F.sum(F.when(F.col(y) == 1, 1).otherwise(0)).alias("pos"), F.sum(F.when(F.col(y) == 1, 0).otherwise(1)).alias("neg")
+def score_counts(preds: DataFrame, by: Sequence[str], y: str = "y_true", p: str = "y_pred") -> DataFrame:
+    """Events and non-events per distinct score: the one pass over the rows that most measures need."""
+    event = F.col(y) == 1
+    return preds.groupBy(*by, F.col(p).alias("score")).agg(
+        F.sum(F.when(event, 1).otherwise(0)).alias("pos"), F.sum(F.when(event, 0).otherwise(1)).alias("neg")
     )
+
+
+def score_table(counts: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Score counts with their running totals from the lowest score up, and the totals of the group."""
     running = {"pos_upto": F.col("pos"), "neg_upto": F.col("neg")}
-    return ranked(counted, by, ["score"], running, {"n_pos": "pos_upto", "n_neg": "neg_upto"})
+    return ranked(counts, by, ["score"], running, {"n_pos": "pos_upto", "n_neg": "neg_upto"})
 
 
 def area_metrics(table: DataFrame, by: Sequence[str]) -> DataFrame:
@@ -59,16 +63,15 @@ def _steps_below(score: Column, step: float) -> Column:
     return (k + (score > k * F.lit(step)).cast("int") + (score > (k + 1) * F.lit(step)).cast("int")).cast("int")
 
 
-def threshold_table(preds: DataFrame, by: Sequence[str], steps: int = MCC_STEPS, y="y_true", p="y_pred") -> DataFrame:
-    """Confusion counts for `score > threshold` at the thresholds 0, 1/steps, ..., (steps-1)/steps.
+def threshold_table(counts: DataFrame, by: Sequence[str], steps: int = MCC_STEPS) -> DataFrame:
+    """Confusion counts for `score > threshold` at the thresholds 0, 1/steps, ..., (steps-1)/steps, from score counts.
 
-    Rows are counted once per bucket between thresholds; the counts above each threshold are running sums over at most
+    Scores are summed up per bucket between thresholds; the counts above each threshold are running sums over at most
     steps+1 buckets per group.
     """
     by = list(by)
-    buckets = preds.groupBy(*by, F.least(_steps_below(F.col(p), 1.0 / steps), F.lit(steps)).alias("_b")).agg(
-        F.sum(F.when(F.col(y) == 1, 1).otherwise(0)).alias("_pos"), F.sum(F.when(F.col(y) == 1, 0).otherwise(1)).alias("_neg")
-    )
+    bucket = F.least(_steps_below(F.col("score"), 1.0 / steps), F.lit(steps)).alias("_b")
+    buckets = counts.groupBy(*by, bucket).agg(F.sum("pos").alias("_pos"), F.sum("neg").alias("_neg"))
     grid = buckets.select(*by).distinct().withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(steps))))
     full = grid.join(buckets, [*by, "_b"], "left").na.fill(0, ["_pos", "_neg"])
     whole = W.partitionBy(*by)
@@ -86,12 +89,12 @@ def threshold_table(preds: DataFrame, by: Sequence[str], steps: int = MCC_STEPS,
     )
 
 
-def best_threshold(preds: DataFrame, by: Sequence[str], steps: int = MCC_STEPS, mode: str = "best") -> DataFrame:
-    """Threshold with the largest Matthews correlation (the lowest one on ties).
+def best_threshold(counts: DataFrame, by: Sequence[str], steps: int = MCC_STEPS, mode: str = "best") -> DataFrame:
+    """From score counts, the threshold with the largest Matthews correlation (the lowest one on ties).
 
     mode='reference' gives the largest threshold with a positive correlation, 0 if there is none.
     """
-    table = threshold_table(preds, by, steps).withColumn(
+    table = threshold_table(counts, by, steps).withColumn(
         "mcc", mcc(F.col("tp"), F.col("fp"), F.col("n_pos") - F.col("tp"), F.col("n_neg") - F.col("fp"))
     )
     if mode == "reference":
@@ -104,17 +107,17 @@ def best_threshold(preds: DataFrame, by: Sequence[str], steps: int = MCC_STEPS,
     return table.groupBy(*by).agg(best).select(*by, "best.threshold", "best.mcc")
 
 
-def confusion_metrics(preds: DataFrame, by: Sequence[str], threshold: Column, y="y_true", p="y_pred") -> DataFrame:
-    """MCC, precision and recall for `score > threshold`."""
-    hit, event = F.col(p) > threshold, F.col(y) == 1
-    counts = preds.groupBy(*by).agg(
-        F.sum(F.when(hit & event, 1).otherwise(0)).alias("tp"),
-        F.sum(F.when(hit & ~event, 1).otherwise(0)).alias("fp"),
-        F.sum(F.when(~hit & event, 1).otherwise(0)).alias("fn"),
-        F.sum(F.when(~hit & ~event, 1).otherwise(0)).alias("tn"),
+def confusion_metrics(counts: DataFrame, by: Sequence[str], threshold: Column) -> DataFrame:
+    """MCC, precision and recall for `score > threshold`, from score counts."""
+    hit = F.col("score") > threshold
+    cells = counts.groupBy(*by).agg(
+        F.sum(F.when(hit, F.col("pos")).otherwise(0)).alias("tp"),
+        F.sum(F.when(hit, F.col("neg")).otherwise(0)).alias("fp"),
+        F.sum(F.when(~hit, F.col("pos")).otherwise(0)).alias("fn"),
+        F.sum(F.when(~hit, F.col("neg")).otherwise(0)).alias("tn"),
     )
     tp, fp, fn, tn = (F.col(c) for c in ("tp", "fp", "fn", "tn"))
-    return counts.select(
+    return cells.select(
         *by,
         mcc(tp, fp, fn, tn).alias("mcc"),
         F.when(tp + fp == 0, 0.0).otherwise(tp / F.nullif(tp + fp, F.lit(0))).alias("precision"),
@@ -124,16 +127,18 @@ def confusion_metrics(preds: DataFrame, by: Sequence[str], threshold: Column, y=
 
 def evaluation_metrics(preds: DataFrame, study: str = "study_name", dataset: str = "dataset", dev: str = "dev") -> DataFrame:
     """One row per study and data set. The threshold is chosen on the development set of the study."""
-    cuts = durable(best_threshold(preds.filter(F.col(dataset) == dev), [study]).select(study, "threshold"), "cuts")
-    areas = area_metrics(score_table(preds, [study, dataset]), [study, dataset])
-    confusion = confusion_metrics(preds.join(cuts, study), [study, dataset, "threshold"], F.col("threshold"))
-    return areas.join(confusion, [study, dataset])
+    by = [study, dataset]
+    counts = durable(score_counts(preds, by), "counts")
+    cuts = best_threshold(counts.filter(F.col(dataset) == dev), [study]).select(study, "threshold")
+    areas = area_metrics(score_table(counts, by), by)
+    confusion = confusion_metrics(counts.join(durable(cuts, "cuts"), study), [*by, "threshold"], F.col("threshold"))
+    return areas.join(confusion, by)
 
 
 def roc(preds: DataFrame, by: Sequence[str]) -> DataFrame:
     """(fpr, tpr) at every distinct score used as cut-off, plus the origin."""
     by = list(by)
-    table = score_table(preds, by)
+    table = score_table(score_counts(preds, by), by)
     tpr = (F.col("n_pos") - F.col("pos_upto") + F.col("pos")) / F.col("n_pos")
     fpr = (F.col("n_neg") - F.col("neg_upto") + F.col("neg")) / F.col("n_neg")
     points = table.filter((F.col("n_pos") > 0) & (F.col("n_neg") > 0)).select(
@@ -147,7 +152,7 @@ def roc(preds: DataFrame, by: Sequence[str]) -> DataFrame:
 
 def calibration(preds: DataFrame, by: Sequence[str], tie: str, n: int = 10, y="y_true", p="y_pred") -> DataFrame:
     """Equal-count bins of the predicted risk: mean prediction, observed share and event counts."""
-    binned = ntile_by(preds, by, p, tie, n, out="q")
+    binned = ntile_by(preds.select(*by, p, y, tie), by, p, tie, n, out="q")
     return binned.groupBy(*by, "q").agg(
         F.avg(p).alias("y_pred"),
         F.avg(F.col(y).cast("double")).alias("y_true"),
@@ -310,20 +315,22 @@ def net_benefit_limits(
     )
 
 
-def log_loss(y: Column, p: Column, eps: float = 1e-7) -> Column:
-    """Aggregate: mean cross-entropy with predictions kept away from 0 and 1."""
+def cross_entropy(y: Column, p: Column, eps: float = 1e-7) -> Column:
+    """Loss of one prediction, kept away from 0 and 1."""
     kept = F.least(F.greatest(p, F.lit(eps)), F.lit(1 - eps))
-    return F.avg(-(y * F.log(kept) + (1 - y) * F.log(1 - kept)))
+    return -(y * F.log(kept) + (1 - y) * F.log(1 - kept))
 
 
 def set_evaluation(preds: DataFrame, by: Sequence[str]) -> DataFrame:
     """Loss, accuracy (at 0.5), AUROC and area under the precision-recall curve per group, also as JSON text."""
-    y, p = F.col("y_true"), F.col("y_pred")
-    simple = preds.groupBy(*by).agg(
-        F.round(log_loss(y, p), 6).alias("loss"),
-        F.round(F.avg(((p > 0.5).cast("int") == y).cast("double")), 6).alias("accuracy"),
+    counts = durable(score_counts(preds, by), "counts")
+    score, pos, neg = F.col("score"), F.col("pos"), F.col("neg")
+    loss = pos * cross_entropy(F.lit(1), score) + neg * cross_entropy(F.lit(0), score)
+    right = F.when(score > 0.5, pos).otherwise(neg)
+    simple = counts.groupBy(*by).agg(
+        F.round(F.sum(loss) / F.sum(pos + neg), 6).alias("loss"), F.round(F.sum(right) / F.sum(pos + neg), 6).alias("accuracy")
     )
-    areas = area_metrics(score_table(preds, by), by).select(
+    areas = area_metrics(score_table(counts, by), by).select(
         *by, F.round("auroc", 6).alias("auroc"), F.round("avg_prec_score", 6).alias("auprc")
     )
     joined = simple.join(areas, list(by))

@@ -20,13 +20,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from episodica.functions.hashing import uniform
-from episodica.operators.metrics import log_loss
+from episodica.operators.metrics import cross_entropy
 from episodica.operators.reshape import union_with_label
 from episodica.operators.sampling import rebalance
 from episodica.session import durable
 
-STATES = {"COMPLETE", "PRUNED", "FAIL"}
-
 
 def feature_array(df: DataFrame, cols: Sequence[str], out: str = "x") -> DataFrame:
     """Feature columns as one array of doubles."""
@@ -129,7 +127,7 @@ def search(
         model = fit_with(train[f, hp.get("class_handling", "none")], model_type, y, hp, max_iter)
         scored = risk(held_out[f], model)
         hit = ((F.col("y_pred") > 0.5).cast("int") == F.col(y)).cast("double")
-        row = scored.agg(log_loss(F.col(y), F.col("y_pred")).alias("loss"), F.avg(hit).alias("accuracy")).first()
+        row = scored.agg(F.avg(cross_entropy(F.col(y), F.col("y_pred"))).alias("loss"), F.avg(hit).alias("accuracy")).first()
         params = {k: v for k, v in hp.items() if k != "number"}
         return (study, int(hp["number"]), int(f), json.dumps(params), json.dumps(row.asDict()))
 

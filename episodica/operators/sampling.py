@@ -56,8 +56,11 @@ def assign_folds(df: DataFrame, group: str, y: str, k: int = 5, seed: object = 4
 
 
 def class_counts(df: DataFrame, y: str) -> dict[int, int]:
-    """Rows per class: as many entries as classes."""
-    return {r[0]: r[1] for r in df.groupBy(y).agg(F.count(F.lit(1))).collect()}
+    """Rows per class. More than a hundred classes are refused: such a column is not a class."""
+    counts = {r[0]: r[1] for r in df.groupBy(y).agg(F.count(F.lit(1))).limit(101).collect()}
+    if len(counts) > 100:
+        raise ValueError(f"{y} has more than 100 values")
+    return counts
 
 
 def class_weights(df: DataFrame, y: str, out: str = "weight") -> DataFrame:

@@ -66,7 +66,7 @@ def binary_metrics(spark, sf):
     "predictions", thresholds=THRESHOLDS, mccs=MCC, best=BEST))
 def mcc_threshold(spark, sf):
     dev = P.predictions(spark, sf).filter(F.col("dataset") == "dev")
-    return rounded(m.best_threshold(dev, ["study_name"]), "threshold", "mcc")
+    return rounded(m.best_threshold(m.score_counts(dev, ["study_name"]), ["study_name"]), "threshold", "mcc")
 
 
 @query("mcc_threshold_last_positive", with_views("""SELECT study_name,
@@ -74,7 +74,7 @@ def mcc_threshold(spark, sf):
     "predictions", thresholds=THRESHOLDS, mccs=MCC))
 def mcc_threshold_last_positive(spark, sf):
     dev = P.predictions(spark, sf).filter(F.col("dataset") == "dev")
-    return rounded(m.best_threshold(dev, ["study_name"], mode="reference"), "threshold")
+    return rounded(m.best_threshold(m.score_counts(dev, ["study_name"]), ["study_name"], mode="reference"), "threshold")
 
 
 @query("roc_curve", with_views("""SELECT study_name, dataset, score AS cutoff, round(fp / n_neg, 6) AS fpr,

@@ -38,14 +38,14 @@ def avg_prec(y, p):
 
 
 def test_areas(preds, data):
-    row = m.area_metrics(m.score_table(preds, ["study_name"]), ["study_name"]).first()
+    row = m.area_metrics(m.score_table(m.score_counts(preds, ["study_name"]), ["study_name"]), ["study_name"]).first()
     assert row.auroc == pytest.approx(auroc(*data))
     assert row.avg_prec_score == pytest.approx(avg_prec(*data))
 
 
 def test_auroc_does_not_change_under_monotone_maps(preds):
     areas = [
-        m.area_metrics(m.score_table(preds.withColumn("y_pred", f), ["study_name"]), ["study_name"]).first().auroc
+        m.area_metrics(m.score_table(m.score_counts(preds.withColumn("y_pred", f), ["study_name"]), ["study_name"]), ["study_name"]).first().auroc
         for f in (F.col("y_pred"), F.exp("y_pred") * 3, F.col("y_pred") ** 3)]
     assert areas[0] == pytest.approx(areas[1]) == pytest.approx(areas[2])
 
@@ -67,16 +67,16 @@ def mcc_at(y, p, t):
 def test_thresholds(preds, data):
     grid = np.linspace(0, 1, 100, endpoint=False)
     scores = [round(mcc_at(*data, t), 9) for t in grid]
-    best = m.best_threshold(preds, ["study_name"]).first()
+    best = m.best_threshold(m.score_counts(preds, ["study_name"]), ["study_name"]).first()
     assert best.threshold == pytest.approx(grid[int(np.argmax(scores))]) and best.mcc == pytest.approx(max(scores), abs=1e-8)
-    last = m.best_threshold(preds, ["study_name"], mode="reference").first()
+    last = m.best_threshold(m.score_counts(preds, ["study_name"]), ["study_name"], mode="reference").first()
     assert last.threshold == pytest.approx(max([t for t, s in zip(grid, scores) if s > 0], default=0))
 
 
 def test_threshold_counts_at_exact_grid_points(spark):
     grid = [float(t) for t in np.linspace(0, 1, 100, endpoint=False)]
     df = spark.createDataFrame([("s", 1, t) for t in [*grid, 1.0]], "s string, y_true int, y_pred double")
-    rows = m.threshold_table(df, ["s"]).orderBy("threshold").collect()
+    rows = m.threshold_table(m.score_counts(df, ["s"]), ["s"]).orderBy("threshold").collect()
     assert [r.tp for r in rows] == [sum(v > t for v in [*grid, 1.0]) for t in grid]
 
 

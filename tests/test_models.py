@@ -22,7 +22,7 @@ def test_logistic(rows):
     assert model.coefficients[0] > 1 and model.coefficients[1] < -0.5
     assert abs(md.fit_logistic(rows, "y", l2=1.0).coefficients[0]) < abs(model.coefficients[0]) / 2
     preds = md.risk(rows, model).select(F.lit("s").alias("s"), F.col("y").alias("y_true"), "y_pred")
-    assert m.area_metrics(m.score_table(preds, ["s"]), ["s"]).first().auroc > 0.75
+    assert m.area_metrics(m.score_table(m.score_counts(preds, ["s"]), ["s"]), ["s"]).first().auroc > 0.75
 
 
 def test_linear_contributions_add_up(rows):
