@@ -180,15 +180,16 @@ def summary_by_bin(binned: DataFrame, by: Sequence[str]) -> DataFrame:
 
 def bivariate_data(
     long: DataFrame, by: Sequence[str], feature: str, key: str, sample_size: int | None = None, cutoff: float = 0.999,
-    seed: object = 42, n_dens: int = 512, n_trend: int = 50,
+    seed: object = 42, n_dens: int = 512, n_trend: int = 50, cutoff_over: str = "feature",
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """What the figure of contribution against feature value shows, per feature and group `by` (model, outcome).
 
-    Values above the cutoff quantile of the feature are left out; sample_size, where given, keeps that many (row,
+    Values above the cutoff quantile of the feature are left out (cutoff_over='all': of all features taken together, as
+    a filter does that is evaluated on the whole table); sample_size, where given, keeps that many (row,
     feature) pairs per feature. Binary features get a density of the contributions per value and its range, all others
     a smooth trend: (densities, ranges, trends).
     """
-    kept = trim_upper(long, [feature], "feature_value", cutoff)
+    kept = trim_upper(long, [feature] if cutoff_over == "feature" else [], "feature_value", cutoff)
     if sample_size is not None:
         ids = kept.select(feature, *by, key).withColumn("_id", F.concat_ws("|", feature, *by, F.col(key).cast("string")))
         chosen = hash_ranked(ids, [feature], "_id", seed, "_rank").filter(F.col("_rank") <= sample_size)
@@ -196,9 +197,10 @@ def bivariate_data(
     kinds = kept.groupBy(feature).agg(F.bool_and(F.col("feature_value").isin(0.0, 1.0)).alias("_binary"))
     marked = durable(kept.join(durable(kinds, "kinds"), feature), "bivariate")
     groups = [feature, *by]
-    densities = kde(marked.filter("_binary"), [*groups, "feature_value"], "shap_value", n_dens)
+    cells = [*groups, "feature_value"]
+    densities = with_tile_width(kde(marked.filter("_binary"), cells, "shap_value", n_dens), cells, n_dens)
     densities = durable(densities, "densities")
-    ranges = group_range(densities, [*groups, "feature_value"], "shap_value")
+    ranges = group_range(densities, cells, "shap_value")
     trends = trend(marked.filter("not _binary"), groups, "feature_value", "shap_value", n_trend)
     return densities, ranges, trends
 
@@ -225,12 +227,17 @@ def binned_features(long: DataFrame, by: Sequence[str], key: str, n_bins: int =
 
 
 def shap_density(binned: DataFrame, feature: str = "feature_pretty", n: int = 1000, min_dens: float = 0.001) -> DataFrame:
-    """Density bands of contributions per feature and value bin, over the range of the feature's contributions."""
-    ends = durable(
-        binned.groupBy(feature).agg(F.min("shap_value").alias("_from"), F.max("shap_value").alias("_to")), "ends"
-    )
-    bands = kde(
-        binned.join(ends, feature), [feature, "mean_feature_value"], "shap_value", n, ("_from", "_to"), min_dens
-    )
-    width = ends.select(feature, ((F.col("_to") - F.col("_from")) / (n - 1)).alias("tile_width"))
-    return bands.join(width, feature)
+    """Density bands of contributions per feature and value bin, all on one grid over the range of all contributions,
+    so that the bands of different features can share an axis."""
+    ends = binned.agg(F.struct(F.min("shap_value").alias("lo"), F.max("shap_value").alias("hi")).alias("e")).scalar()
+    ranged = binned.select(feature, "mean_feature_value", "shap_value").withColumn("_e", ends)
+    ranged = ranged.select("*", F.col("_e.lo").alias("_start"), F.col("_e.hi").alias("_end")).drop("_e")
+    by = [feature, "mean_feature_value"]
+    bands = kde(ranged, by, "shap_value", n, ("_start", "_end"))
+    return with_tile_width(bands, by, n).filter(F.col("dens") >= min_dens)
+
+
+def with_tile_width(bands: DataFrame, by: Sequence[str], n: int) -> DataFrame:
+    """Add the distance between grid points, which is the height of a drawn tile."""
+    widths = bands.groupBy(*by).agg(((F.max("shap_value") - F.min("shap_value")) / (n - 1)).alias("tile_width"))
+    return bands.join(widths, list(by))

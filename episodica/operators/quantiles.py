@@ -44,9 +44,11 @@ def exact_quantiles(df: DataFrame, by: Sequence[str], col: str, quantiles: Mappi
 
 
 def trim_upper(df: DataFrame, by: Sequence[str], col: str, q: float = 0.999) -> DataFrame:
-    """Drop values above the q-quantile of their group. The cut table is written first, so the planner sees its true
-    size and broadcasts it only when small."""
+    """Drop values above the q-quantile of their group, or of the whole column without groups. The cut table is written
+    first, so the planner sees its true size and broadcasts it only when small."""
     cuts = durable(exact_quantiles(df, by, col, {"_cut": q}), "cuts")
+    if not by:
+        return df.filter(F.col(col) <= cuts.select("_cut").scalar())
     return df.join(cuts, list(by)).filter(F.col(col) <= F.col("_cut")).drop("_cut")
 
 

@@ -190,13 +190,17 @@ UNFOLDED = " UNION ALL ".join(
     AS shap_value FROM ev""" for f, pretty, e in zip(FEATURES, PRETTY, EXPR))
 
 
-@query("shap_long", with_views("""SELECT admission_id, feature_pretty, round(shap_value, 6) AS shap_value, round(v, 6) AS feature_value,
-    d = 2 AS feature_is_binary, round(CASE WHEN d = 2 THEN v ELSE CASE WHEN rn <= mm * (size + 1) THEN ceil(rn / (size + 1.0))
-    ELSE mm + ceil((rn - mm * (size + 1)) / size::DOUBLE) END END, 6) AS feature_value_bin FROM (
+SHAP_BINS = """SELECT admission_id, feature_pretty, shap_value, v, d = 2 AS feature_is_binary,
+    CASE WHEN d = 2 THEN v ELSE CASE WHEN rn <= mm * (size + 1) THEN ceil(rn / (size + 1.0))
+    ELSE mm + ceil((rn - mm * (size + 1)) / size::DOUBLE) END END AS feature_value_bin FROM (
     SELECT *, n % b AS mm, n // b AS size FROM (SELECT admission_id, feature_pretty, shap_value, (v - lo) / (hi - lo) AS v, d, n, least(d, 5) AS b,
     row_number() OVER (PARTITION BY feature_pretty ORDER BY v, admission_id) AS rn FROM u JOIN (SELECT feature_pretty, count(DISTINCT v) AS d,
-    count(*) AS n, min(v) AS lo, max(v) AS hi FROM u GROUP BY 1) s USING (feature_pretty)) x) y""",
-    ev="SELECT *, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events", u=UNFOLDED))
+    count(*) AS n, min(v) AS lo, max(v) AS hi FROM u GROUP BY 1) s USING (feature_pretty)) x) y"""
+
+
+@query("shap_long", with_views("""SELECT admission_id, feature_pretty, round(shap_value, 6) AS shap_value, round(v, 6) AS feature_value,
+    feature_is_binary, round(feature_value_bin, 6) AS feature_value_bin FROM binned""",
+    ev="SELECT *, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events", u=UNFOLDED, binned=SHAP_BINS))
 def shap_long(spark, sf):
     binned = ex.binned_features(shap_rows(spark, sf), ["feature_pretty"], "admission_id")
     return rounded(binned, "shap_value", "feature_value", "feature_value_bin").select(
@@ -234,10 +238,34 @@ def bivariate_trends(spark, sf):
     return rounded(trends, "x_mid", "y_smooth")
 
 
-@query("shap_density")
+SHAP_POINTS = 200
+
+
+@query("shap_density", with_views(f"""SELECT feature_pretty, round(m, 6) AS mean_feature_value, g AS place, round(dens, 5) AS dens FROM (
+    SELECT feature_pretty, m, g, raw / max(raw) OVER (PARTITION BY feature_pretty, m) AS dens FROM (
+    SELECT feature_pretty, m, g, sum(w * exp(-0.5 * pow((g - i) * step / bw, 2))) AS raw
+    FROM weights JOIN bands USING (feature_pretty, m), ends, range({SHAP_POINTS}) t(g) GROUP BY feature_pretty, m, g) r) d
+    WHERE dens >= 0.01""",
+    ev="SELECT *, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events", u=UNFOLDED, binned=SHAP_BINS,
+    means="SELECT feature_pretty, feature_value_bin, avg(v) AS m FROM binned GROUP BY ALL",
+    b="SELECT feature_pretty, m, shap_value FROM binned JOIN means USING (feature_pretty, feature_value_bin)",
+    ends=f"SELECT min(shap_value) AS lo, (max(shap_value) - min(shap_value)) / {SHAP_POINTS - 1} AS step FROM b",
+    bands="""SELECT feature_pretty, m, 0.9 * CASE WHEN least(sd, iqr / 1.34) > 0 THEN least(sd, iqr / 1.34) WHEN sd > 0 THEN sd
+        WHEN lo <> 0 THEN abs(lo) ELSE 1 END * pow(n, -0.2) AS bw FROM (SELECT feature_pretty, m, count(*) AS n,
+        stddev_samp(shap_value) AS sd, min(shap_value) AS lo, quantile_cont(shap_value, 0.75) - quantile_cont(shap_value, 0.25) AS iqr
+        FROM b GROUP BY feature_pretty, m) s""",
+    spot=f"""SELECT feature_pretty, m, (shap_value - lo) / step AS pos, least(floor((shap_value - lo) / step), {SHAP_POINTS - 2}) AS below
+        FROM b, ends""",
+    weights="""SELECT feature_pretty, m, i, sum(w) AS w FROM (SELECT feature_pretty, m, below AS i, 1 - (pos - below) AS w FROM spot
+        UNION ALL SELECT feature_pretty, m, below + 1, pos - below FROM spot) s GROUP BY feature_pretty, m, i"""))
 def shap_density(spark, sf):
     binned = durable(ex.binned_features(shap_rows(spark, sf), ["feature_pretty"], "admission_id"), "binned")
-    return ex.shap_density(binned, n=200)
+    out = ex.shap_density(binned, n=SHAP_POINTS)
+    low = binned.agg(F.min("shap_value")).first()[0]
+    place = F.round((F.col("shap_value") - F.lit(low)) / F.col("tile_width")).cast("long")
+    kept = out.filter(F.col("dens") >= 0.01)
+    return kept.select("feature_pretty", F.round("mean_feature_value", 6).alias("mean_feature_value"), place.alias("place"),
+                       F.round("dens", 5).alias("dens"))
 
 
 @query("report")

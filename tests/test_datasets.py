@@ -83,6 +83,8 @@ def test_trim_upper(spark):
     kept = q.trim_upper(df, ["g"], "v", 0.999)
     assert kept.groupBy("g").agg(F.max("v")).orderBy("g").collect()[0][1] == 999.0
     assert kept.filter("g = 'b'").count() == 1
+    whole = q.trim_upper(df, [], "v", 0.999)
+    assert whole.count() == 1000 and whole.agg(F.max("v")).first()[0] == 998.0
 
 
 def test_small_windows(spark):
