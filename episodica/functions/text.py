@@ -51,6 +51,13 @@ def prettify(text: Column, pairs: Sequence[tuple[str, str]]) -> Column:
     return text
 
 
+def feature_title(feature: Column) -> Column:
+    """Feature name as the title of a figure panel."""
+    # fixed values: the replacements, in order
+    words = prettify(feature, [("n_", "No. "), ("icd", "ICD"), ("atc", "ATC"), ("_", " ")])
+    return F.concat(F.upper(F.substring(words, 1, 1)), F.substring(words, 2, 2147483647))
+
+
 def split_to(df: DataFrame, col: str, sep: str, names: Sequence[str]) -> DataFrame:
     """Split one text column into named columns; sep is taken literally."""
     parts = F.split(F.col(col), r"\Q" + sep + r"\E")

@@ -125,7 +125,7 @@ def with_low_lab(labs: DataFrame, admissions: DataFrame, threshold: float = 30.0
     low = flag_low(labs, "egfr", threshold).filter("is_low")
     hits = seen_in_span(
         low, spans, "person_id", "egfr_datetime", "admission_datetime", "_until", [], ["admission_id"],
-        width_hours=24, spans_cross_buckets=hours >= 24,
+        width_hours=24, spans_cross_buckets=hours >= 24, clip=False,
     )
     return admissions.join(hits, "admission_id", "left_semi")
 
@@ -164,7 +164,7 @@ def labs_in_follow_up(labs: DataFrame, cohort: DataFrame, fu_days: int = 30) ->
         "_until", plus(F.col("index_datetime"), days=fu_days)
     )
     points = labs.select("person_id", "lab_id", "egfr", "egfr_datetime")
-    joined = interval_join(points, spans, "person_id", "egfr_datetime", "admission_datetime", "_until", 240)
+    joined = interval_join(points, spans, "person_id", "egfr_datetime", "admission_datetime", "_until", 240, clip=False)
     return joined.drop("_until")
 
 

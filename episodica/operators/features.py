@@ -40,7 +40,7 @@ def given_before_index(cohort: DataFrame, admins: DataFrame, what: Column, name:
     valid = admins.filter(F.col("atc").rlike(FULL_ATC)).select("person_id", "admin_datetime", what.alias(name))
     return seen_in_span(
         valid, cohort, "person_id", "admin_datetime", "admission_datetime", "index_datetime", [name], ["admission_id"],
-        width_hours=24, spans_cross_buckets=True,
+        width_hours=24, spans_cross_buckets=True, clip=False,
     )
 
 

@@ -17,21 +17,31 @@ from episodica.operators.ordered import HOT_ROWS, ordered
 from episodica.session import durable
 
 
-def _spread(spans: DataFrame, lo: str, hi: str, width_hours: int) -> DataFrame:
-    """One row per time bucket that a span touches."""
-    first, last = bucket(F.col(lo), width_hours), bucket(F.col(hi), width_hours)
-    return spans.filter(F.col(lo) <= F.col(hi)).withColumn("_bucket", F.explode(F.sequence(first, last)))
+def _spread(
+    spans: DataFrame, lo: str, hi: str, width_hours: int, points: DataFrame | None = None, ts: str | None = None
+) -> DataFrame:
+    """One row per time bucket that a span touches. With points, only buckets between the first and the last of them
+    count, so a span that ends in the year 9999 does not become millions of rows."""
+    first, last = F.col(lo), F.col(hi)
+    if points is not None:
+        ends = points.agg(F.struct(F.min(ts).alias("first"), F.max(ts).alias("last")).alias("_ends")).scalar()
+        spans = spans.withColumn("_ends", ends)
+        first, last = F.greatest(first, F.col("_ends.first")), F.least(last, F.col("_ends.last"))
+    buckets = F.sequence(bucket(first, width_hours), bucket(last, width_hours))
+    kept = spans.filter((F.col(lo) <= F.col(hi)) & (first <= last))
+    return kept.withColumn("_bucket", F.explode(buckets)).drop("_ends")
 
 
 def interval_join(
-    points: DataFrame, spans: DataFrame, key: str, ts: str, lo: str, hi: str, width_hours: int = 120
+    points: DataFrame, spans: DataFrame, key: str, ts: str, lo: str, hi: str, width_hours: int = 120, clip: bool = True
 ) -> DataFrame:
     """Pairs with equal key and lo <= ts <= hi (closed at both ends).
 
-    Choose width_hours near the usual span length: a span is copied once per bucket it touches.
+    Choose width_hours near the usual span length: a span is copied once per bucket it touches. clip=False saves the
+    pass that finds the first and last point, where the length of spans is bounded.
     """
     left = points.withColumn("_bucket", bucket(F.col(ts), width_hours))
-    right = _spread(spans, lo, hi, width_hours)
+    right = _spread(spans, lo, hi, width_hours, points if clip else None, ts)
     pairs = left.join(right, [key, "_bucket"])
     return pairs.filter(F.col(ts).between(F.col(lo), F.col(hi))).drop("_bucket")
 
@@ -47,6 +57,7 @@ def seen_in_span(
     keep: Sequence[str],
     width_hours: int,
     spans_cross_buckets: bool = False,
+    clip: bool = True,
 ) -> DataFrame:
     """Distinct (keep, what) such that some point with equal key has lo <= ts <= hi.
 
@@ -66,13 +77,13 @@ def seen_in_span(
     inside_one = bucket(F.col(lo), width_hours) == bucket(F.col(hi), width_hours)
     long_spans = narrow if spans_cross_buckets else narrow.filter(~inside_one)
     hits = (
-        _spread(long_spans, lo, hi, width_hours)
+        _spread(long_spans, lo, hi, width_hours, points if clip else None, ts)
         .join(cells, [key, "_bucket"])
         .filter((F.col("_latest") >= F.col(lo)) & (F.col("_earliest") <= F.col(hi)))
         .select(*keep, *what)
     )
     if not spans_cross_buckets:
-        direct = interval_join(points.select(key, ts, *what), narrow.filter(inside_one), key, ts, lo, hi, width_hours)
+        direct = interval_join(points.select(key, ts, *what), narrow.filter(inside_one), key, ts, lo, hi, width_hours, False)
         hits = hits.unionByName(direct.select(*keep, *what))
     return hits.distinct()
 

@@ -22,7 +22,9 @@ def time_at_risk(eras: DataFrame, cap: float = 30.0) -> DataFrame:
 def era_counts(admins: DataFrame, eras: DataFrame) -> DataFrame:
     """Administrations per admission and drug that fall inside an era."""
     spans = eras.select("admission_id", "person_id", "era_start_datetime", "era_end_datetime")
-    inside = interval_join(admins, spans, "person_id", "admin_datetime", "era_start_datetime", "era_end_datetime")
+    inside = interval_join(
+        admins, spans, "person_id", "admin_datetime", "era_start_datetime", "era_end_datetime", clip=False
+    )  # eras end with the follow-up
     return inside.groupBy("admission_id", "atc").agg(F.count(F.lit(1)).alias("r"))
 
 

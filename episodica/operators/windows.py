@@ -20,7 +20,9 @@ def dose_over_limit(
     Rows are added one at a time in (time, id) order; equal times do not share a total.
     """
     spans = eras.select("admission_id", "person_id", "era_start_datetime", "era_end_datetime")
-    inside = interval_join(admins, spans, "person_id", "admin_datetime", "era_start_datetime", "era_end_datetime")
+    inside = interval_join(
+        admins, spans, "person_id", "admin_datetime", "era_start_datetime", "era_end_datetime", clip=False
+    )  # eras end with the follow-up
     dated = durable(inside.withColumn("admin_date", F.to_date("admin_datetime")), "dated")
     summed = ordered(
         dated,

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from episodica.functions.text import cut, redact
+from episodica.functions.text import cut, feature_title, redact
 from episodica.operators import explain as ex
 from episodica.operators import metrics as m
 from episodica.operators import models as md
@@ -37,7 +37,7 @@ def summary_rows(spark, sf):
         (F.col("value") > 100).cast("int").alias("daily_rate_not_zero"),
         cut(k % 9, COUNT_BREAKS, COUNT_LABELS).alias("r"),
     )
-    return first_seen(rows, ["person_id"], ["set"], "id", "n_persons")
+    return durable(first_seen(rows, ["person_id"], ["set"], "id", "n_persons"), "summary")
 
 
 SUMMARY = """SELECT event_id AS id, CASE user_id % 3 WHEN 0 THEN 'dev' WHEN 1 THEN 'test' ELSE 'test_new' END AS "set",
@@ -234,8 +234,8 @@ def bivariate_ranges(spark, sf):
 
 @query("bivariate_trends")
 def bivariate_trends(spark, sf):
-    _, _, trends = ex.bivariate_data(shap_rows(spark, sf), [], "feature_pretty", "admission_id", sample_size=5000, n_dens=64)
-    return rounded(trends, "x_mid", "y_smooth")
+    _, _, trends = ex.bivariate_data(shap_rows(spark, sf), [], "feature", "admission_id", sample_size=5000, n_dens=64)
+    return rounded(trends.withColumn("feature", feature_title(F.col("feature"))), "x_mid", "y_smooth")
 
 
 SHAP_POINTS = 200

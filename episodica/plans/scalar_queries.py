@@ -60,7 +60,6 @@ STUDY_NAMES = """CASE k % 2 WHEN 0 THEN 'binary' ELSE 'refmodel' END || '__' ||
 # Replacements for study names, in order.
 STUDY_REPLACEMENTS = [("binary__|__final", ""), ("mlp", "MLP"), ("linear", "Linear"), ("geq", ">="), ("not_zero", ">0"),
                       ("__", ", "), ("_", " ")]
-FEATURE_REPLACEMENTS = [("n_", "No. "), ("icd", "ICD"), ("atc", "ATC"), ("_", " ")]
 
 
 def study_names(spark, sf):

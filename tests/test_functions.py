@@ -36,6 +36,8 @@ def test_text(spark):
     assert apply(spark, ["abc"], x.reverse_text) == ["cba"]
     assert apply(spark, ["a__b_c"], lambda c: x.prettify(c, [("__", ", "), ("_", " ")])) == ["a, b c"]
     assert apply(spark, ["mg/ml", "MG"], x.dose_unit) == ["mg", "mg"]
+    titles = apply(spark, ["n_previous_admissions", "icd10_chapter_4", "age_at_admission"], x.feature_title)
+    assert titles == ["No. previous admissions", "ICD10 chapter 4", "Age at admission"]
 
 
 @pytest.mark.parametrize("cell,want", [("0 (0.0)", "0 (0.0)"), ("1 (2.0)", "<5"), ("4 (2.0)", "<5"), ("5 (2.0)", "5 (2.0)"), ("12.5 [1, 2]", "12.5 [1, 2]"), ("", "")])

@@ -53,6 +53,19 @@ def test_seen_in_span_when_all_spans_cross(points, spans):
     assert sorted(map(tuple, got)) == sorted({(s.span, p.code) for s, p in brute(points, long)})
 
 
+def test_spans_without_an_end(spark, points):
+    """Placeholder dates far away must not be unfolded bucket by bucket."""
+    open_ended = spark.createDataFrame(
+        [(1, 1, datetime(1900, 1, 1), datetime(9999, 12, 31)), (2, 2, datetime(9000, 1, 1), datetime(9999, 12, 31))],
+        "p int, span long, lo timestamp_ntz, hi timestamp_ntz")
+    spread = j._spread(open_ended, "lo", "hi", 1, points, "ts")
+    assert spread.count() <= 401
+    mine = points.filter("p = 1")
+    assert j.interval_join(points, open_ended, "p", "ts", "lo", "hi", 1).count() == mine.count()
+    seen = j.seen_in_span(points, open_ended, "p", "ts", "lo", "hi", ["code"], ["span"], 1)
+    assert seen.count() == mine.select("code").distinct().count()
+
+
 @pytest.mark.parametrize("hot_rows", [1, 10**9])
 def test_count_in_range(points, spans, hot_rows):
     usable = spans.filter(F.col("hi") >= F.col("lo"))
