@@ -1,5 +1,3 @@
-from pathlib import Path
-
 import pytest
 from pyspark.sql import functions as F
 
@@ -38,18 +36,14 @@ def test_save_and_drop(spark, tmp_path):
     assert not spark.catalog.tableExists("save_test")
 
 
-def test_shared_dir_is_read_from_the_session(spark, tmp_path):
-    before = spark.conf.get("spark.checkpoint.dir", None)
-    spark.conf.set("spark.checkpoint.dir", str(tmp_path))
-    try:
-        kept = session.durable(spark.range(5), "five")
-        assert kept.count() == 5
-        assert [p.name.split("-")[0] for p in Path(tmp_path).iterdir()] == ["five"]
-    finally:
-        if before is None:
-            spark.conf.unset("spark.checkpoint.dir")
-        else:
-            spark.conf.set("spark.checkpoint.dir", before)
+def test_shared_dir_is_read_from_the_session(spark):
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    folder = session.shared_dir(spark)
+    if named is not None:
+        assert folder == named.rstrip("/")
+    kept = session.durable(spark.range(5), "five")
+    assert kept.count() == 5
+    assert kept.inputFiles()[0].removeprefix("file://").startswith(f"{folder}/five-")
 
 
 def test_durable_survives_a_changed_source(spark):
