@@ -8,8 +8,9 @@ full bitmap costs shuffle, never results.
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.broadcast import Broadcast
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -22,7 +23,7 @@ def bitmap(keys: DataFrame, column: str, bits: int) -> Broadcast:
     words = (
         keys.filter(F.col(column).isNotNull())
         .groupBy(F.shiftrightunsigned(slot, 6).alias("word"))
-        .agg(F.bit_or(F.shiftleft(F.lit(1).cast("long"), slot.bitwiseAND(63).cast("int"))).alias("held"))
+        .agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), slot.bitwiseAND(63).cast("int"))).alias("held"))
         .toArrow()
     )
     table = np.zeros(1 << (bits - 6), dtype=np.uint64)
@@ -35,3 +36,13 @@ def possible(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
     """Which uint64 keys may be in the set."""
     slot = keys >> np.uint64(64 - (len(table).bit_length() - 1 + 6))
     return (table[slot >> np.uint64(6)] >> (slot & np.uint64(63))) & np.uint64(1) == 1
+
+
+def with_possible(df: DataFrame, key: Column, table: Broadcast) -> DataFrame:
+    """Add a column `possible`: whether the key, a long, may be in the set. Only the key goes through Python."""
+
+    @F.pandas_udf("boolean")
+    def held(keys: pd.Series) -> pd.Series:
+        return pd.Series(possible(table.value, keys.to_numpy().view(np.uint64)))
+
+    return df.withColumn("possible", held(key))

@@ -4,12 +4,106 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from episodica.llm import simhash
+from episodica.llm import (
+    decontamination,
+    mixing,
+    perplexity,
+    pseudonyms,
+    secret_scan,
+    sharding,
+    simhash,
+    substring_dedup,
+    suffix_dedup,
+    warc,
+)
 from episodica.llm.registry import ORACLES, QUERIES, query, table
 
 __all__ = ["ORACLES", "QUERIES"]
 
+#: A real run takes its key from a key store; this one makes the query repeatable.
+DEMO_KEY = b"key of the registered query"
+
+SUBSTRING_SQL = r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), g AS (
+  SELECT doc_id, i, array_to_string(w[i:i + 12], ' ') AS s
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM d)
+), f AS (
+  SELECT s, min(doc_id) AS m FROM g GROUP BY s
+), r AS (
+  SELECT DISTINCT doc_id, p
+  FROM (SELECT g.doc_id, unnest(range(g.i, g.i + 13)) AS p FROM g JOIN f USING (s) WHERE f.m < g.doc_id)
+), k AS (
+  SELECT x.doc_id, string_agg(x.v, ' ' ORDER BY x.p) AS kept, count(*) AS n
+  FROM (SELECT doc_id, unnest(w) AS v, unnest(range(1, len(w) + 1)) AS p FROM d) x
+  ANTI JOIN r ON x.doc_id = r.doc_id AND x.p = r.p
+  GROUP BY x.doc_id
+)
+SELECT d.doc_id, len(d.w)::BIGINT AS n_words, (len(d.w) - coalesce(k.n, 0))::BIGINT AS n_removed,
+       sha256(coalesce(k.kept, '')) AS kept_sha256
+FROM d LEFT JOIN k ON d.doc_id = k.doc_id
+"""
+
+WARC_SQL = """
+WITH p AS (
+  SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages
+), g AS (
+  SELECT payload_digest, max(page_id) AS original FROM p WHERE payload_bytes >= 1000 GROUP BY payload_digest
+)
+SELECT p.page_id, p.payload_bytes, p.payload_digest,
+       CASE WHEN g.original > p.page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN g.original > p.page_id THEN g.original END AS refers_to
+FROM p LEFT JOIN g USING (payload_digest)
+"""
+
+
+@query("op1_de_bruijn_dedup", SUBSTRING_SQL)
+def de_bruijn_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.deduplicated(table(spark, sf_dir, "documents"), keep_text=False)
+
+
+@query("op2_benchmark_decontamination")
+def benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.drop("text_md5")
+
+
+@query("op3_perplexity_quality")
+def perplexity_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return perplexity.quality(table(spark, sf_dir, "documents")).drop("text_md5")
+
+
+@query("op4_suffix_array_dedup")
+def suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.deduplicated(table(spark, sf_dir, "documents"), keep_text=False)
+
+
+@query("op5_minimax_sharding")
+def minimax_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.sharded(table(spark, sf_dir, "documents"))
+
+
+@query("op6_pfair_mixing")
+def pfair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixed(table(spark, sf_dir, "documents"))
+
 
 @query("op7_simhash_near_dedup")
 def simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query("op8_warc_revisits", WARC_SQL)
+def warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
+@query("op9_feistel_pseudonyms")
+def feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pseudonyms.pseudonymised(table(spark, sf_dir, "documents"), DEMO_KEY)
+
+
+@query("op10_secret_ownership")
+def secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.scanned(table(spark, sf_dir, "documents"))
