@@ -105,7 +105,8 @@ def rate_flag(r: Column, t: Column, at_least: float) -> Column:
 
 
 def clamp(value: Column, lo, hi) -> Column:
-    return F.least(F.greatest(value, F.lit(lo)), F.lit(hi))
+    """The value, or the bound it is beyond; null stays null."""
+    return F.when(value.isNotNull(), F.least(F.greatest(value, F.lit(lo)), F.lit(hi)))
 
 
 def json_num(text: Column, path: str) -> Column:

@@ -100,7 +100,7 @@ def hour_distribution(df: DataFrame, ts: str) -> DataFrame:
         high = F.least(low + 1, F.col("n") - 1)
         return value_at(low) + (at - low) * (value_at(high) - value_at(low))
 
-    sd = F.sqrt((F.col("squares") - F.col("n") * F.col("mean") * F.col("mean")) / (F.col("n") - 1))
+    sd = F.sqrt((F.col("squares") - F.col("n") * F.col("mean") * F.col("mean")) / F.nullif(F.col("n") - 1, F.lit(0)))
     iqr = (quantile(0.75) - quantile(0.25)) / 1.34
     spread = F.when(F.least(sd, iqr) > 0, F.least(sd, iqr)).when(sd > 0, sd).otherwise(F.lit(1.0))
     return one.select("cumulative", "n", (0.9 * spread * F.pow(F.col("n").cast("double"), F.lit(-0.2))).alias("bw"))

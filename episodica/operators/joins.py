@@ -231,9 +231,9 @@ def label_codes(df: DataFrame, col: str, labels: dict[str, str], out: str) -> Da
     return df.withColumn(out, F.element_at(F.create_map(*pairs), F.col(col)))
 
 
-def settings_grid(spark, **axes: Sequence) -> DataFrame:
-    """All combinations of the given settings, in order of the arguments."""
-    grid = spark.range(1).select()
+def settings_grid(spark, base: DataFrame | None = None, **axes: Sequence) -> DataFrame:
+    """All combinations of the given settings, in order of the arguments; with `base`, of its rows with the settings."""
+    grid = spark.range(1).select() if base is None else base
     for name, values in axes.items():
         grid = grid.withColumn(name, F.explode(F.array(*[F.lit(v) for v in values])))
     return grid

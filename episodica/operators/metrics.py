@@ -24,10 +24,19 @@ MCC_STEPS = 100
 NB_STEPS = 10
 
 
+def rated(preds: DataFrame, y: str = "y_true", p: str = "y_pred") -> DataFrame:
+    """The rows that have both a score and an outcome."""
+    known = F.col(p).isNotNull() & ~F.isnan(F.col(p).cast("double")) & F.col(y).isNotNull()
+    return preds.filter(known)
+
+
 def score_counts(preds: DataFrame, by: Sequence[str], y: str = "y_true", p: str = "y_pred") -> DataFrame:
-    """Events and non-events per distinct score: the one pass over the rows that most measures need."""
+    """Events and non-events per distinct score: the one pass over the rows that most measures need.
+
+    Rows without a score or an outcome take no part, here and in all other measures.
+    """
     event = F.col(y) == 1
-    return preds.groupBy(*by, F.col(p).alias("score")).agg(
+    return rated(preds, y, p).groupBy(*by, F.col(p).alias("score")).agg(
         F.sum(F.when(event, 1).otherwise(0)).alias("pos"), F.sum(F.when(event, 0).otherwise(1)).alias("neg")
     )
 
@@ -152,7 +161,7 @@ def roc(preds: DataFrame, by: Sequence[str]) -> DataFrame:
 
 def calibration(preds: DataFrame, by: Sequence[str], tie: str, n: int = 10, y="y_true", p="y_pred") -> DataFrame:
     """Equal-count bins of the predicted risk: mean prediction, observed share and event counts."""
-    binned = ntile_by(preds.select(*by, p, y, tie), by, p, tie, n, out="q")
+    binned = ntile_by(rated(preds, y, p).select(*by, p, y, tie), by, p, tie, n, out="q")
     return binned.groupBy(*by, "q").agg(
         F.avg(p).alias("y_pred"),
         F.avg(F.col(y).cast("double")).alias("y_true"),
@@ -183,8 +192,8 @@ def _inc_beta(a: float, b: float, x: float) -> float:
         c = 1.0 + odd / c or tiny
         total *= c * d
         if abs(c * d - 1.0) < 1e-14:
-            break
-    return front * total
+            return front * total
+    raise ArithmeticError(f"incomplete beta function of {a}, {b} at {x} does not settle")
 
 
 def beta_quantile(q: float, a: float, b: float) -> float:
@@ -216,7 +225,7 @@ def benefit_cells(preds: DataFrame, by: Sequence[str], steps: int = NB_STEPS, y=
         (F.col(p) >= F.lit(0.0)).cast("int")
         + F.when(F.col(p) >= (k + 1) / F.lit(float(steps)), k + 1).when(F.col(p) >= k / F.lit(float(steps)), k).otherwise(k - 1)
     ).cast("int")
-    return preds.groupBy(*by, F.least(reached, F.lit(steps + 1)).alias("bucket")).agg(
+    return rated(preds, y, p).groupBy(*by, F.least(reached, F.lit(steps + 1)).alias("bucket")).agg(
         F.sum(F.col(y).cast("long")).alias("pos"), F.sum(1 - F.col(y).cast("long")).alias("neg")
     )
 

@@ -177,7 +177,7 @@ def hash_ranked(df: DataFrame, by: Sequence[str], key: str, seed: object, out: s
     The leading hex digits of the digest are evenly spread and follow the order, so they serve as slices.
     """
     tagged = df.withColumn("_digest", digest(F.col(key), seed)).withColumn(
-        "_slice", F.conv(F.substring("_digest", 1, 3), 16, 10).cast("long")
+        "_slice", F.conv(F.substring("_digest", 1, 5), 16, 10).cast("long")
     )
     if by:
         return over_slices(tagged, by, ["_digest"], running={out: F.lit(1)}).drop("_digest")

@@ -13,9 +13,6 @@ from episodica.functions.timing import age_years, cyclic_hour, weekday
 from episodica.operators.filters import cast_cols, feature_columns
 from episodica.operators.joins import left_features
 
-MAX_COLUMNS = 2000
-
-
 def union_all(*frames: DataFrame) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b), frames)
 
@@ -30,13 +27,12 @@ def union_with_label(frames: Mapping[str, DataFrame], label: str) -> DataFrame:
     return union_all(*[df.withColumn(label, F.lit(name)) for name, df in frames.items()])
 
 
-def vocabulary(df: DataFrame, col: str, limit: int = MAX_COLUMNS) -> list:
-    """Sorted distinct values of a category that is to become columns. More than `limit` is refused: such a category
-    belongs in a long table or a sparse vector."""
-    values = [r[0] for r in df.select(col).filter(F.col(col).isNotNull()).distinct().limit(limit + 1).collect()]
-    if len(values) > limit:
-        raise ValueError(f"{col} has more than {limit} values")
-    return sorted(values)
+def vocabulary(df: DataFrame, col: str) -> list:
+    """Sorted distinct values of a category that is to become columns: the names of a table's columns.
+
+    A category with very many values belongs in a long table; pass pinned values to choose the columns.
+    """
+    return sorted(r[0] for r in df.select(col).filter(F.col(col).isNotNull()).distinct().collect())
 
 
 def pivot_fill(df: DataFrame, by: str, key: str, value: str, names: Sequence | None = None) -> DataFrame:
@@ -155,11 +151,11 @@ def norm_factors(factors: DataFrame) -> dict[str, tuple[float | None, float | No
 
 
 def normalise(df: DataFrame, factors: DataFrame) -> DataFrame:
-    """z-scores with stored factors; features without factors pass through."""
+    """z-scores with stored factors; features without factors pass through, a constant one becomes null."""
     found = norm_factors(factors)
     return df.withColumns(
         {
-            c: (F.col(c) - F.lit(found[c][0])) / F.lit(found[c][1])
+            c: (F.col(c) - F.lit(found[c][0])) / F.lit(found[c][1] or None).cast("double")
             for c in df.columns
             if c in found and found[c][0] is not None and found[c][1] is not None
         }

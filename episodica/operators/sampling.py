@@ -55,30 +55,28 @@ def assign_folds(df: DataFrame, group: str, y: str, k: int = 5, seed: object = 4
     return df.join(durable(folds, "folds"), group)
 
 
-def class_counts(df: DataFrame, y: str) -> dict[int, int]:
-    """Rows per class. More than a hundred classes are refused: such a column is not a class."""
-    counts = {r[0]: r[1] for r in df.groupBy(y).agg(F.count(F.lit(1))).limit(101).collect()}
-    if len(counts) > 100:
-        raise ValueError(f"{y} has more than 100 values")
-    return counts
+def class_counts(df: DataFrame, y: str) -> DataFrame:
+    """(class, n): rows per class; rows without a class are left out."""
+    return df.filter(F.col(y).isNotNull()).groupBy(F.col(y).alias("class")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def class_weights(df: DataFrame, y: str, out: str = "weight") -> DataFrame:
-    """Balanced weights: rows / (classes * rows of the class)."""
-    counts = class_counts(df, y)
-    total = sum(counts.values())
-    weight = F.lit(None).cast("double")
-    for label, n in counts.items():
-        weight = F.when(F.col(y) == label, F.lit(total / (len(counts) * n))).otherwise(weight)
-    return df.withColumn(out, weight)
+    """Balanced weights: rows / (classes * rows of the class); null for rows without a class."""
+    counts = durable(class_counts(df, y), "classes")
+    overall = counts.agg(F.struct(F.sum("n").alias("rows"), F.count(F.lit(1)).alias("classes")).alias("o")).scalar()
+    weights = counts.withColumn("_o", overall).select(
+        F.col("class").alias(y), (F.col("_o.rows") / (F.col("_o.classes") * F.col("n"))).alias(out)
+    )
+    return df.join(weights, y, "left").select(*df.columns, out)
 
 
 def _smaller_larger(df: DataFrame, y: str) -> tuple[int, int, int, int]:
-    counts = class_counts(df, y)
-    if len(counts) != 2:
-        raise ValueError(f"{y} must have two classes, has {sorted(counts)}")
-    small, large = sorted(counts, key=lambda label: (counts[label], label))
-    return small, counts[small], large, counts[large]
+    """Label and size of the smaller and of the larger of two classes; the smaller label is the smaller class on ties."""
+    place = F.struct("n", "class")
+    row = class_counts(df, y).agg(F.count(F.lit(1)).alias("classes"), F.min(place).alias("lo"), F.max(place).alias("hi")).first()
+    if row["classes"] != 2:
+        raise ValueError(f"{y} must have two classes, has {row['classes']}")
+    return row["lo"]["class"], row["lo"]["n"], row["hi"]["class"], row["hi"]["n"]
 
 
 def _draws(df: DataFrame, n: int, size: int, seed: object) -> DataFrame:
@@ -137,16 +135,18 @@ def nearest(
         ps = ps.sort_values("p_id")
         p_id, px = ps["p_id"].to_numpy(), np.stack(ps["p_x"].to_numpy())
         p_norm = (px * px).sum(axis=1)
+        size = np.sqrt(p_norm.max())
         out = []
         for start in range(0, len(qs), 512):
             part = qs.iloc[start : start + 512]
             q_id, qx = part["q_id"].to_numpy(), np.stack(part["q_x"].to_numpy())
             squared = (qx * qx).sum(axis=1)[:, None] + p_norm[None, :] - 2.0 * qx @ px.T
             squared[q_id[:, None] == p_id[None, :]] = np.inf
-            take = min(k + 8, len(p_id))  # a few more than k, then exact distances decide
-            near = np.argpartition(squared, take - 1, axis=1)[:, :take]
-            for i, row in enumerate(near):
-                row = row[np.isfinite(squared[i, row])]
+            # everything up to the k-th distance, ties and what rounding may hide included; exact distances decide
+            kth = np.partition(squared, min(k, len(p_id)) - 1, axis=1)[:, min(k, len(p_id)) - 1]
+            slack = 1e-12 * (np.sqrt((qx * qx).sum(axis=1)) + size) ** 2 * qx.shape[1]
+            for i in range(len(q_id)):
+                row = np.flatnonzero((squared[i] <= kth[i] + slack[i]) & np.isfinite(squared[i]))
                 exact = np.sqrt(((qx[i] - px[row]) ** 2).sum(axis=1))
                 chosen = np.lexsort((p_id[row], exact))[:k]
                 out.append(pd.DataFrame({"q_id": q_id[i], "p_id": p_id[row][chosen], "distance": exact[chosen]}))

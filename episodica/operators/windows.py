@@ -12,12 +12,17 @@ from episodica.operators.ordered import HOT_ROWS, ordered
 from episodica.session import durable
 
 
+#: Doses are counted in thousandths of their unit.
+DOSE_PARTS = 1000
+
+
 def dose_over_limit(
     admins: DataFrame, eras: DataFrame, limit: float = 5.0, hot_rows: int = HOT_ROWS
 ) -> DataFrame:
     """Administrations inside an era at which the running dose of the admission and day exceeds the limit.
 
-    Rows are added one at a time in (time, id) order; equal times do not share a total.
+    Rows are added one at a time in (time, id) order; equal times do not share a total. Doses are added in whole
+    thousandths, so the total does not depend on how the rows of a day are dealt out; a null dose adds nothing.
     """
     spans = eras.select("admission_id", "person_id", "era_start_datetime", "era_end_datetime")
     inside = interval_join(
@@ -28,10 +33,11 @@ def dose_over_limit(
         dated,
         ["admission_id", "admin_date"],
         ["admin_datetime", "admin_id"],
-        running={"cum_daily_dose": F.col("given_dose")},
+        running={"_total": F.coalesce(F.round(F.col("given_dose") * DOSE_PARTS).cast("long"), F.lit(0))},
         hot_rows=hot_rows,
     )
-    return summed.filter(F.col("cum_daily_dose") > limit)
+    over = summed.filter(F.col("_total") > F.lit(round(limit * DOSE_PARTS)))
+    return over.withColumn("cum_daily_dose", F.col("_total") / F.lit(float(DOSE_PARTS))).drop("_total")
 
 
 def top_by(df: DataFrame, by: Sequence[str], order: Sequence[Column], keep: Sequence[str]) -> DataFrame:
@@ -49,9 +55,10 @@ def diff_lag(
 
 
 def zscore(df: DataFrame, col: str, out: str) -> DataFrame:
-    """Standardise over the whole column; the two statistics enter as one scalar subquery."""
+    """Standardise over the whole column; null where it is constant. The two statistics enter as one scalar subquery."""
     stats = df.agg(F.struct(F.avg(col).alias("mean"), F.stddev_samp(col).alias("sd")).alias("s")).scalar()
-    return df.withColumn("_s", stats).withColumn(out, (F.col(col) - F.col("_s.mean")) / F.col("_s.sd")).drop("_s")
+    scaled = (F.col(col) - F.col("_s.mean")) / F.nullif(F.col("_s.sd"), F.lit(0.0))
+    return df.withColumn("_s", stats).withColumn(out, scaled).drop("_s")
 
 
 def category_code(df: DataFrame, by: Sequence[str], label: str, out: str = "code") -> DataFrame:

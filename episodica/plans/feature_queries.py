@@ -56,11 +56,11 @@ def capped_sum(spark, sf):
 LOW = "SELECT * FROM eras WHERE egfr_is_low"
 COUNTS = """SELECT admission_id, atc, count(*) AS r FROM target_admins d JOIN low e ON d.person_id = e.person_id
     AND d.admin_datetime BETWEEN e.era_start_datetime AND e.era_end_datetime WHERE atc <> 'B01AF02' GROUP BY admission_id, atc
-    UNION ALL SELECT admission_id, atc, count(*) FROM (SELECT e.admission_id, d.atc, sum(given_dose) OVER (
+    UNION ALL SELECT admission_id, atc, count(*) FROM (SELECT e.admission_id, d.atc, sum(CAST(round(given_dose * 1000) AS BIGINT)) OVER (
     PARTITION BY e.admission_id, CAST(d.admin_datetime AS DATE) ORDER BY d.admin_datetime, d.admin_id
     ROWS UNBOUNDED PRECEDING) AS total FROM target_admins d JOIN low e ON d.person_id = e.person_id
     AND d.admin_datetime BETWEEN e.era_start_datetime AND e.era_end_datetime WHERE atc = 'B01AF02') t
-    WHERE total > 5 GROUP BY admission_id, atc"""
+    WHERE total > 5000 GROUP BY admission_id, atc"""
 # The same over every stay as one long low era, so that the counts are not only a handful of rows.
 WIDE_LOW = """SELECT admission_id, person_id, admission_datetime AS era_start_datetime,
     discharge_datetime AS era_end_datetime FROM stays"""

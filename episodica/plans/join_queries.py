@@ -140,8 +140,8 @@ def bridge_map(spark, sf):
 @query("cross_product", """SELECT DISTINCT t.outcome_type || '__' || m.model_type || '__' || e.event_type AS study_name
     FROM (VALUES ('binary'), ('refmodel')) t(outcome_type), (VALUES ('mlp'), ('linear')) m(model_type), events e""")
 def cross_product(spark, sf):
-    kinds = [r[0] for r in P.table(spark, sf, "events").select("event_type").distinct().limit(100).collect()]
-    grid = j.settings_grid(spark, outcome_type=["binary", "refmodel"], model_type=["mlp", "linear"], event_type=kinds)
+    kinds = P.table(spark, sf, "events").select("event_type").distinct()
+    grid = j.settings_grid(spark, kinds, outcome_type=["binary", "refmodel"], model_type=["mlp", "linear"])
     return grid.select(F.concat_ws("__", "outcome_type", "model_type", "event_type").alias("study_name"))
 
 

@@ -80,7 +80,8 @@ def scan_null_token(spark, sf):
 def sql_template(spark, sf):
     name = _name("events_view")
     P.table(spark, sf, "events").createOrReplaceTempView(name)
-    text = "SELECT event_type, count(*) AS n FROM @source WHERE value > @low GROUP BY event_type HAVING count(*) > @few"
+    text = """SELECT event_type, count(*) AS n FROM @source -- mail to a@few
+        WHERE value > @low AND event_type <> 'x@low' GROUP BY event_type HAVING count(*) > @few"""
     return t.run_sql(spark, text, names={"source": name}, low=50, few=10)
 
 
@@ -112,18 +113,21 @@ def sink_table_append(spark, sf):
 def replace_slice(spark, sf):
     path = scratch_path(spark, "predictions_table")
     preds = P.predictions(spark, sf).select("id", "study_name", "y_pred")
-    t.replace_slice(preds, path, "study_name")
+    gone = preds.withColumn("study_name", F.lit("007"))
     again = preds.filter(F.col("study_name") == "study_1").withColumn("y_pred", F.round(F.col("y_pred") / 2, 6))
-    t.replace_slice(again, path, "study_name")
-    t.replace_slice(again, path, "study_name")
-    return spark.read.parquet(path)
+    t.replace_slice(preds, path, "study_name")
+    t.replace_slice(gone, path, "study_name", ["007"])
+    t.replace_slice(again, path, "study_name", ["study_1"])
+    t.replace_slice(again, path, "study_name", ["study_1"])
+    t.replace_slice(gone.filter("id is null"), path, "study_name", ["007"])
+    return spark.read.schema(preds.schema).parquet(path)
 
 
 @query("select_into", with_views("""SELECT admission_id, admission_id * 2 AS visit_id FROM stays""", "stays"))
 def select_into(spark, sf):
     name = _name("visit_lookup")
     pairs = P.stays(spark, sf).select("admission_id", (F.col("admission_id") * 2).alias("visit_id"))
-    t.select_into(spark, pairs.limit(1), name, scratch_path(spark, "lookup"))
+    t.select_into(spark, P.stays(spark, sf).select("person_id"), name, scratch_path(spark, "lookup"))
     return t.select_into(spark, pairs, name, scratch_path(spark, "lookup"))
 
 

@@ -72,13 +72,13 @@ def egfr_eras(spark, sf):
 
 RUNNING = """SELECT admin_id, admission_id, atc, admin_date, cum_daily_dose FROM (
     SELECT d.admin_id, e.admission_id, d.atc, CAST(d.admin_datetime AS DATE) AS admin_date,
-    sum(given_dose) OVER (PARTITION BY e.admission_id, CAST(d.admin_datetime AS DATE)
+    sum(CAST(round(given_dose * 1000) AS BIGINT)) OVER (PARTITION BY e.admission_id, CAST(d.admin_datetime AS DATE)
     ORDER BY d.admin_datetime, d.admin_id ROWS UNBOUNDED PRECEDING) AS cum_daily_dose
     FROM drug_admins d JOIN spans e ON d.person_id = e.person_id
-    AND d.admin_datetime BETWEEN e.era_start_datetime AND e.era_end_datetime) t WHERE cum_daily_dose > 5"""
+    AND d.admin_datetime BETWEEN e.era_start_datetime AND e.era_end_datetime) t WHERE cum_daily_dose > 5000"""
 
 
-@query("running_dose", with_views(RUNNING.replace("cum_daily_dose FROM (", "round(cum_daily_dose, 6) AS cum_daily_dose FROM (", 1),
+@query("running_dose", with_views(RUNNING.replace("cum_daily_dose FROM (", "round(cum_daily_dose / 1000.0::DOUBLE, 6) AS cum_daily_dose FROM (", 1),
     "drug_admins", "stays", spans="""SELECT admission_id, person_id, admission_datetime AS era_start_datetime,
     discharge_datetime AS era_end_datetime FROM stays"""))
 def running_dose(spark, sf):

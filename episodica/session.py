@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -57,9 +59,48 @@ def shared_dir(spark: SparkSession) -> str:
     return context.getCheckpointDir().removeprefix("file:")
 
 
+_made: list[str] = []
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path below the shared folder."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    """A fresh path below the shared folder; `run_scope` removes what was written there."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _made.append(path)
+    return path
+
+
+def child_paths(spark: SparkSession, path: str) -> list[str]:
+    """Paths of the entries of a folder in whatever file system it is; none if there is no such folder."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    return [str(entry.getPath()) for entry in system.listStatus(folder)] if system.exists(folder) else []
+
+
+def remove_path(spark: SparkSession, path: str) -> None:
+    """Delete a folder with what is in it."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+@contextmanager
+def run_scope(spark: SparkSession) -> Iterator[None]:
+    """Remove at its end what was written to the shared folder inside the block, and the tables made there.
+
+    A lazy result must be used inside: it reads those files.
+    """
+    first = len(_made)
+    tables = {t.name for t in spark.catalog.listTables()}
+    try:
+        yield
+    finally:
+        for table in spark.catalog.listTables():
+            if table.name not in tables:
+                if table.isTemporary:
+                    spark.catalog.dropTempView(table.name)
+                else:
+                    spark.sql("DROP TABLE IF EXISTS IDENTIFIER(:name)", args={"name": table.name})
+        while len(_made) > first:
+            remove_path(spark, _made.pop())
 
 
 def durable(df: DataFrame, name: str = "kept") -> DataFrame:

@@ -5,11 +5,14 @@ from __future__ import annotations
 import re
 from collections.abc import Mapping, Sequence
 from pathlib import Path
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from episodica.session import child_paths, remove_path
+
 # Raw column name -> canonical name.
 HEADER_LOOKUP = {
     "cpr": "person_id",
@@ -39,7 +42,8 @@ TSV_FORMATS = {
     "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS",
     "dateFormat": "yyyy-MM-dd",
 }
-IDENTIFIER = re.compile(r"@(\w+)")
+# Quoted text, quoted names and comments come first, so that an @ inside them is left alone.
+IDENTIFIER = re.compile(r"""'(?:[^'\\]|\\.)*'|"(?:[^"\\]|\\.)*"|`[^`]*`|--[^\n]*|/\*.*?\*/|@(\w+)""", re.DOTALL)
 
 
 def load(spark: SparkSession, name: str) -> DataFrame:
@@ -89,7 +93,7 @@ def read_with_header(
 
 
 def run_sql(spark: SparkSession, text: str, names: Mapping[str, str] | None = None, **values) -> DataFrame:
-    """SQL text, or the path of a file holding it, with @name parameters.
+    """SQL text, or the path of a file holding it, with @name parameters; an @ in quotes or comments stays as it is.
 
     Values become bound parameters and table or column names become IDENTIFIER() clauses: nothing is pasted into the
     text, so a value cannot change the statement.
@@ -100,6 +104,8 @@ def run_sql(spark: SparkSession, text: str, names: Mapping[str, str] | None = No
 
     def marker(match: re.Match) -> str:
         key = match.group(1)
+        if key is None:
+            return match.group(0)
         return f"IDENTIFIER(:{key})" if key in names else f":{key}"
 
     return spark.sql(IDENTIFIER.sub(marker, text), args={**names, **values})
@@ -120,13 +126,22 @@ def save(df: DataFrame, name: str, mode: str = "overwrite", path: str | None = N
     writer.saveAsTable(name)
 
 
-def replace_slice(df: DataFrame, path: str, col: str) -> None:
-    """Replace the rows of those values of `col` that df contains and leave the others alone.
+def replace_slice(df: DataFrame, path: str, col: str, values: Sequence | None = None) -> None:
+    """Replace the rows of some values of `col` and leave the others alone.
 
-    The table is partitioned by `col`; only the partitions present in df are overwritten, so running the same write
-    twice gives the same table.
+    The table is partitioned by `col`. values names the slices to replace (default: those that df contains); a named
+    slice of which df has no rows is emptied. Running the same write twice gives the same table. Read it with the schema
+    of df: partition names carry no types.
     """
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(col).parquet(path)
+    if values is None:
+        return
+    kept = {str(row[0]) for row in df.select(col).distinct().filter(F.col(col).isin(*values)).collect()}
+    empty = {str(v) for v in values} - kept
+    for folder in child_paths(df.sparkSession, path):
+        name, _, value = unquote(folder.rpartition("/")[2]).partition("=")
+        if name == col and value in empty:
+            remove_path(df.sparkSession, folder)
 
 
 def select_into(spark: SparkSession, df: DataFrame, name: str, path: str) -> DataFrame:
