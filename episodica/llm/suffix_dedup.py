@@ -25,7 +25,7 @@ from episodica.llm.bitmaps import bitmap, with_possible
 from episodica.session import durable
 
 WINDOW = 200
-GRAM = 16
+GRAM = 96
 RUN_WINDOWS = 128
 DOC_BITS = 22
 #: Bytes whose suffixes are sorted together, unless one anchor has more.
