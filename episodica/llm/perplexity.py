@@ -1,15 +1,20 @@
 """Quality rules: text statistics and the perplexity of a modified Kneser-Ney model per language.
 
 Spark counts the n-grams of the bytes of all texts (a task adds up its own texts first), derives continuation counts,
-discounts and interpolated probabilities order by order with joins, and keeps the log probabilities as whole millionths.
-The finished model is a table of n-grams. If it has at most MODEL_ROWS rows it goes to the tasks as sorted arrays of keys
-and values, which are searched for all positions of a text at once; a larger one stays a table that is joined with the
-n-gram counts of the texts. Sums of whole numbers make both ways agree exactly.
+discounts, interpolated probabilities and back-off weights order by order with joins, and keeps their logarithms as whole
+millionths. The model goes to the tasks as sorted arrays of keys and values, which are searched for all positions of a
+text at once. Languages are taken together as long as their arrays have no more than MODEL_ROWS entries and one after the
+other beyond; one language has at most 256**3 trigrams. Sums of whole numbers make any grouping give the same result.
+
+A document is judged by the band of its language. One that is above it is scored again in short segments, each with the
+language that suits it best, so that a clean document that quotes another language is not taken for noise.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -27,9 +32,11 @@ UNIT = 1_000_000
 MIN_WORDS = 20
 REPEAT_WINDOW = 8
 REPEAT_PERCENT = 30
-#: Half width of a band in robust standard deviations, and the least deviation counted (in nats per byte).
-BAND_WIDTH = 8.0
-LEAST_DEVIATION = 0.02
+#: Half width of a band in robust standard deviations, and the deviation (in nats per byte) that texts of any length have.
+BAND_WIDTH = 4.0
+LEAST_DEVIATION = 0.015
+#: N-grams of a segment.
+SEGMENT = 48
 #: Resolution of the tables of scores from which medians are taken.
 BINS = 10_000
 
@@ -104,41 +111,93 @@ def _discounts(counts: DataFrame) -> DataFrame:
 
 
 def kneser_ney(counts: DataFrame, order: int = ORDER) -> DataFrame:
-    """(lang, gram, logp) for every counted n-gram: millionths of the natural logarithm of its probability."""
+    """(lang, kind, gram, value): the model, in millionths of natural logarithms.
+
+    kind m from 1 to order: the probability of a gram of m bytes given the first m - 1; kind -m: the back-off weight of a
+    context of m bytes. An n-gram that is not listed has the weight of its context (1 if that is not listed either) times
+    the probability of the n-gram without its first byte; below one byte, 1/256.
+    """
     levels = {order: counts}
     for m in range(order - 1, 0, -1):
         suffix = F.col("gram").bitwiseAND(F.lit((1 << 8 * m) - 1)).alias("gram")
         levels[m] = levels[m + 1].select("lang", suffix).groupBy("lang", "gram").agg(F.count(F.lit(1)).alias("n"))
     lower: DataFrame | None = None
+    parts = []
+    log = lambda c: F.round(F.log(c) * UNIT).cast("long").alias("value")
     for m in range(1, order + 1):
         own = levels[m].withColumn("context", F.shiftright("gram", 8))
         discounted = own.join(_discounts(levels[m]), "lang").withColumn(
             "d", F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3"))
         )
-        contexts = discounted.groupBy("lang", "context").agg(F.sum("n").alias("total"), F.sum("d").alias("left"))
+        contexts = discounted.groupBy("lang", "context").agg((F.sum("d") / F.sum("n")).alias("weight"), F.sum("n").alias("total"))
+        contexts = durable(contexts, "contexts")
         rows = discounted.select("lang", "gram", "context", "n", "d").join(contexts, ["lang", "context"])
         if lower is None:
             rows = rows.withColumn("below", F.lit(1.0 / 256))
         else:
             rows = rows.withColumn("short", F.col("gram").bitwiseAND(F.lit((1 << 8 * (m - 1)) - 1)))
             rows = rows.join(lower.select("lang", F.col("gram").alias("short"), F.col("p").alias("below")), ["lang", "short"])
-        p = (F.col("n") - F.col("d")) / F.col("total") + F.col("left") / F.col("total") * F.col("below")
-        lower = rows.select("lang", "gram", p.alias("p"))
-        if m < order:
-            lower = durable(lower, "order")
-    return lower.select("lang", "gram", F.round(F.log("p") * UNIT).cast("long").alias("logp"))
-
-
-def _sorted_arrays(model: DataFrame, order: int) -> Broadcast:
-    """Languages, sorted keys and their values of a model whose number of rows has been checked."""
-    rows = model.toArrow()
-    langs = sorted(set(rows["lang"].to_pylist()))
-    at = {lang: np.uint64(i) for i, lang in enumerate(langs)}
-    own = np.asarray([at[x] for x in rows["lang"].to_pylist()], dtype=np.uint64)
-    keys = (own << np.uint64(8 * order)) | rows["gram"].to_numpy().astype(np.uint64)
-    turn = np.argsort(keys)
-    values = rows["logp"].to_numpy()[turn].astype(np.int32)
-    return model.sparkSession.sparkContext.broadcast((langs, keys[turn], values))
+        p = (F.col("n") - F.col("d")) / F.col("total") + F.col("weight") * F.col("below")
+        lower = durable(rows.select("lang", "gram", p.alias("p")), "order")
+        parts.append(lower.select("lang", F.lit(m).alias("kind"), "gram", log(F.col("p"))))
+        parts.append(contexts.select("lang", F.lit(1 - m).alias("kind"), F.col("context").alias("gram"), log(F.col("weight"))))
+    return reduce(DataFrame.unionByName, parts)
+
+
+@dataclass
+class Model:
+    """Sorted keys and values for some languages. A key holds language, kind and gram."""
+
+    order: int
+    langs: list[str]
+    keys: np.ndarray
+    values: np.ndarray
+
+    def look_up(self, lang: int, kind: int, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Values, and whether there is one (else the value is 0)."""
+        head = np.uint64(((lang << 5) | (kind + 16)) << (8 * self.order))
+        place = np.searchsorted(self.keys, grams | head)
+        place[place == len(self.keys)] = 0
+        found = self.keys[place] == grams | head
+        return np.where(found, self.values[place], 0).astype(np.int64), found
+
+    def scores(self, lang: int, grams: np.ndarray) -> np.ndarray:
+        """Logarithms of the probabilities of the last bytes of the grams, with back-off."""
+        result = np.zeros(len(grams), dtype=np.int64)
+        left, kind = np.arange(len(grams)), self.order
+        while len(left) and kind:
+            own = grams[left] & np.uint64((1 << 8 * kind) - 1)
+            value, found = self.look_up(lang, kind, own)
+            result[left] += value
+            left, own = left[~found], own[~found]
+            result[left] += self.look_up(lang, 1 - kind, own >> np.uint64(8))[0]
+            kind -= 1
+        result[left] += round(float(np.log(1 / 256)) * UNIT)
+        return result
+
+
+def _models(model: DataFrame, order: int, model_rows: int) -> list[Broadcast]:
+    """The model as arrays: as many languages together as have no more than model_rows entries, at least one each."""
+    sizes = sorted((row["lang"], row["n"]) for row in model.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect())
+    groups: list[list[str]] = []
+    room = 0
+    for lang, n in sizes:
+        if not groups or n > room:
+            groups.append([])
+            room = max(model_rows, n)
+        groups[-1].append(lang)
+        room -= n
+    held = []
+    for langs in groups:
+        rows = model.filter(F.col("lang").isin(langs)).toArrow()
+        at = {lang: i for i, lang in enumerate(langs)}
+        own = np.asarray([at[x] for x in rows["lang"].to_pylist()], dtype=np.uint64)
+        kinds = (rows["kind"].to_numpy() + 16).astype(np.uint64)
+        keys = (((own << np.uint64(5)) | kinds) << np.uint64(8 * order)) | rows["gram"].to_numpy().astype(np.uint64)
+        turn = np.argsort(keys)
+        arrays_ = Model(order, langs, keys[turn], rows["value"].to_numpy()[turn].astype(np.int32))
+        held.append(model.sparkSession.sparkContext.broadcast(arrays_))
+    return held
 
 
 def _per_text(flags: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -191,23 +250,27 @@ def _statistics(piece: arrays.Piece) -> list[np.ndarray]:
     ]
 
 
-def _scored(docs: DataFrame, model: Broadcast | None, order: int) -> DataFrame:
-    """Statistics of every row and, with a model in arrays, the sum of its log probabilities."""
+def _texts(docs: DataFrame) -> DataFrame:
+    text = F.col("text").cast("string")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), _language().alias("lang"), F.md5(text).alias("text_md5"), text.alias("text"))
+
+
+def _scored(texts: DataFrame, model: Broadcast | None, order: int) -> DataFrame:
+    """Statistics of every row, the number of its n-grams and the sum of their scores in its own language."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        langs, keys, values = model.value if model is not None else ([], None, None)
-        known = {lang: i for i, lang in enumerate(langs)}
+        held = model.value if model is not None else None
+        known = {lang: i for i, lang in enumerate(held.langs)} if held else {}
         for batch in batches:
-            own = np.asarray([known.get(x, 0) for x in batch.column("lang").to_pylist()], dtype=np.uint64)
+            own = np.asarray([known.get(x, -1) for x in batch.column("lang").to_pylist()])
             found: list[list[np.ndarray]] = []
             for piece in arrays.pieces(batch.column("text")):
-                lengths = np.maximum(np.diff(piece.offsets) - order + 1, 0)
-                total = np.zeros(piece.count, dtype=np.int64)
-                if keys is not None and len(keys) and lengths.any():
-                    codes, _ = _grams(piece, order)
-                    codes |= np.repeat(own[piece.rows], lengths) << np.uint64(8 * order)
-                    score = values[np.searchsorted(keys, codes)]
-                    total = np.diff(np.concatenate(([0], np.cumsum(score, dtype=np.int64)))[np.append(0, np.cumsum(lengths))])
+                codes, lengths = _grams(piece, order)
+                lang = np.repeat(own[piece.rows], lengths)
+                scores = np.zeros(len(codes), dtype=np.int64)
+                for i in np.unique(lang[lang >= 0]).tolist():
+                    scores[lang == i] = held.scores(i, codes[lang == i])
+                total = np.diff(np.concatenate(([0], np.cumsum(scores)))[np.append(0, np.cumsum(lengths))])
                 found.append([*_statistics(piece), lengths, total])
             if found:
                 columns = [pa.array(np.concatenate(x).astype(np.int64)) for x in zip(*found, strict=True)]
@@ -215,52 +278,48 @@ def _scored(docs: DataFrame, model: Broadcast | None, order: int) -> DataFrame:
                 names = ["doc_id", "lang", "text_md5", *COUNTS, "grams", "score"]
                 yield pa.RecordBatch.from_arrays([*ids, *columns], names=names)
 
-    texts = docs.select(
-        F.col("doc_id").cast("long"), _language().alias("lang"), F.md5(F.col("text").cast("string")).alias("text_md5"), F.col("text").cast("string")
-    )
     longs = ", ".join(f"{c} long" for c in (*COUNTS, "grams", "score"))
     return texts.mapInArrow(run, f"doc_id long, lang string, text_md5 string, {longs}")
 
 
-def _joined_scores(docs: DataFrame, model: DataFrame, order: int) -> DataFrame:
-    """(lang, text_md5, score) by a join of the n-gram counts of each distinct text with the model table."""
+def _segments(texts: DataFrame, model: Broadcast, order: int) -> DataFrame:
+    """(text_md5, best): per segment of a text the largest sum of scores that a language of the model gives."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = model.value
         for batch in batches:
+            best: list[np.ndarray] = []
             for piece in arrays.pieces(batch.column("text")):
                 codes, lengths = _grams(piece, order)
-                first = np.concatenate(([0], np.cumsum(lengths)))
-                for i in range(piece.count):
-                    grams, counts = np.unique(codes[first[i] : first[i + 1]], return_counts=True)
-                    row = batch.slice(piece.rows.start + i, 1)
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array(row.column("lang").to_pylist() * len(grams), pa.string()),
-                            pa.array(row.column("text_md5").to_pylist() * len(grams), pa.string()),
-                            pa.array(grams.astype(np.int64)),
-                            pa.array(counts),
-                        ],
-                        names=["lang", "text_md5", "gram", "n"],
-                    )
-
-    texts = docs.select(_language().alias("lang"), F.md5(F.col("text").cast("string")).alias("text_md5"), F.col("text").cast("string"))
-    texts = texts.filter("text is not null").dropDuplicates(["lang", "text_md5"])
-    grams = texts.mapInArrow(run, "lang string, text_md5 string, gram long, n long")
-    total = F.sum(F.col("n") * F.col("logp")).alias("score")
-    return grams.join(model, ["lang", "gram"]).groupBy("lang", "text_md5").agg(total)
-
-
-def statistics(docs: DataFrame, order: int = ORDER, model_rows: int = MODEL_ROWS) -> DataFrame:
-    """doc_id, lang, text_md5, the five counts, base_failed and loss (nats per byte, null below `order` bytes) per row."""
-    model = durable(kneser_ney(durable(gram_counts(docs, order), "grams"), order), "model")
-    if model.count() <= model_rows:
-        rows = _scored(docs, _sorted_arrays(model, order), order)
-    else:
-        scores = durable(_joined_scores(docs, model, order), "scores")
-        rows = _scored(docs, None, order).drop("score").join(scores, ["lang", "text_md5"], "left")
+                parts = -(-lengths // SEGMENT)
+                first = np.repeat(np.cumsum(lengths) - lengths, parts) + SEGMENT * arrays.ranges(np.zeros_like(parts), parts)
+                sums = [np.add.reduceat(held.scores(i, codes), first) for i in range(len(held.langs))] if len(first) else []
+                top = np.max(sums, axis=0) if sums else np.zeros(0, dtype=np.int64)
+                best += np.split(top, np.cumsum(parts)[:-1])
+            yield pa.RecordBatch.from_arrays([batch.column("text_md5"), pa.array(best, pa.list_(pa.int64()))], names=["text_md5", "best"])
+
+    return texts.select("text_md5", "text").mapInArrow(run, "text_md5 string, best array<long>")
+
+
+def _second_scores(texts: DataFrame, models: list[Broadcast], order: int) -> DataFrame:
+    """(text_md5, mixed): the sum of the best scores of the segments over all languages."""
+    result = durable(_segments(texts, models[0], order), "segments")
+    for model in models[1:]:
+        more = durable(_segments(texts, model, order).withColumnRenamed("best", "other"), "segments")
+        result = result.join(more, "text_md5").select("text_md5", F.zip_with("best", "other", F.greatest).alias("best"))
+    return result.select("text_md5", F.aggregate("best", F.lit(0).cast("long"), lambda a, x: a + x).alias("mixed"))
+
+
+def statistics(docs: DataFrame, models: list[Broadcast], order: int = ORDER) -> DataFrame:
+    """doc_id, lang, text_md5, the five counts, base_failed, grams and loss (nats per byte, null below `order` bytes)."""
+    texts = _texts(docs)
+    parts = [_scored(texts.filter(F.col("lang").isin(m.value.langs)), m, order) for m in models]
+    known = [lang for m in models for lang in m.value.langs]
+    parts.append(_scored(texts.filter(~F.col("lang").isin(known)) if known else texts, None, order))
+    rows = reduce(DataFrame.unionByName, parts)
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words"))
-    loss = F.when(F.col("grams") > 0, -F.col("score") / (F.col("grams") * F.lit(float(UNIT))))
-    return rows.select("doc_id", "lang", "text_md5", *COUNTS, failed.alias("base_failed"), loss.alias("loss"))
+    loss = F.when(F.col("grams") > 0, -F.try_divide(F.col("score"), F.col("grams") * F.lit(float(UNIT))))
+    return rows.select("doc_id", "lang", "text_md5", *COUNTS, failed.alias("base_failed"), "grams", loss.alias("loss"))
 
 
 def _medians(values: DataFrame, out: str) -> DataFrame:
@@ -271,36 +330,48 @@ def _medians(values: DataFrame, out: str) -> DataFrame:
     return sums.filter(2 * F.col("upto") >= F.col("all")).groupBy("lang").agg(F.min("bin").alias(out))
 
 
-def bands(rows: DataFrame, width: float = BAND_WIDTH, least: float = LEAST_DEVIATION) -> DataFrame:
-    """(lang, low, high): median loss per language, plus and minus `width` robust standard deviations.
+def bands(rows: DataFrame) -> DataFrame:
+    """(lang, middle, spread): the median loss per language and the robust standard deviation of one n-gram.
 
-    Every distinct text that meets the base rules counts once, so that a text with very many copies does not move the
-    band. The tables behind the medians have one row per language and ten-thousandth of a nat at most.
+    The deviation of a text from the median is taken times the root of its length, as the mean of more n-grams varies
+    less. Every distinct text that meets the base rules counts once, so that a text with very many copies does not move
+    the band. The tables behind the medians have one row per language and ten-thousandth of a nat at most.
     """
     clean = rows.filter(~F.col("base_failed") & F.col("loss").isNotNull())
-    clean = clean.groupBy("lang", "text_md5").agg(F.min(F.round(F.col("loss") * BINS).cast("long")).alias("bin"))
-    clean = durable(clean.select("lang", "bin"), "losses")
-    middle = durable(_medians(clean, "middle"), "middle")
-    away = clean.join(middle, "lang").select("lang", F.abs(F.col("bin") - F.col("middle")).alias("bin"))
-    spread = F.greatest(1.4826 * F.col("away") / BINS, F.lit(least)) * width
-    at = F.col("middle") / BINS
-    return middle.join(_medians(away, "away"), "lang").select("lang", (at - spread).alias("low"), (at + spread).alias("high"))
+    clean = clean.groupBy("lang", "text_md5").agg(F.min("loss").alias("loss"), F.min("grams").alias("grams"))
+    clean = durable(clean.select("lang", "loss", "grams"), "losses")
+    bin_ = lambda c: F.round(c * BINS).cast("long").alias("bin")
+    middle = durable(_medians(clean.select("lang", bin_(F.col("loss"))), "middle"), "middle")
+    away = F.abs(F.col("loss") - F.col("middle") / BINS) * F.sqrt("grams")
+    spread = _medians(clean.join(middle, "lang").select("lang", bin_(away)), "spread")
+    return middle.join(spread, "lang").select("lang", (F.col("middle") / BINS).alias("middle"), (1.4826 * F.col("spread") / BINS).alias("spread"))
 
 
 def quality(docs: DataFrame, order: int = ORDER, width: float = BAND_WIDTH, model_rows: int = MODEL_ROWS) -> DataFrame:
     """doc_id, the five counts, base_failed, perplexity (per byte) and kept, one row for every row of docs.
 
-    kept: the base rules hold and the perplexity lies inside the band of the language. A null or empty text has counts of
-    zero, no perplexity, and fails the base rules. A null language is a language of its own. Repeated rows give equal
-    rows; an empty table gives none.
+    kept: the base rules hold and the perplexity lies inside the band of the language, or is above it only until each
+    segment is scored in the language that suits it best. A null or empty text has counts of zero, no perplexity, and
+    fails the base rules. A null language is a language of its own. Repeated rows give equal rows; an empty table none.
     """
-    rows = durable(statistics(docs, order, model_rows), "quality")
-    limits = durable(bands(rows, width), "bands")
-    inside = F.col("loss").between(F.col("low"), F.col("high"))
+    model = durable(kneser_ney(durable(gram_counts(docs, order), "grams"), order), "model")
+    models = _models(model, order, model_rows)
+    rows = durable(statistics(docs, models, order), "quality")
+    allowed = width * F.sqrt(F.try_divide(F.col("spread") * F.col("spread"), F.col("grams")) + F.lit(LEAST_DEVIATION**2))
+    rows = rows.join(durable(bands(rows), "bands"), "lang", "left").withColumn("allowed", allowed)
+    rows = rows.withColumn("over", (F.col("loss") - F.col("middle")) / F.col("allowed"))
+    rows = durable(rows, "judged")
+    high = rows.filter(~F.col("base_failed") & (F.col("over") > 1)).select("text_md5").distinct()
+    again = _texts(docs).join(durable(high, "high"), "text_md5", "left_semi").dropDuplicates(["text_md5"])
+    if models:
+        second = durable(_second_scores(again.repartition("text_md5"), models, order), "second")
+        rows = rows.join(second, "text_md5", "left")
+    else:
+        rows = rows.withColumn("mixed", F.lit(None).cast("long"))
+    mixed = (-F.try_divide(F.col("mixed"), F.col("grams") * F.lit(float(UNIT))) - F.col("middle")) / F.col("allowed")
+    inside = F.when(F.col("over") > 1, mixed <= 1).otherwise(F.col("over") >= -1)
     kept = ~F.col("base_failed") & F.coalesce(inside, F.lit(False))
-    return rows.join(limits, "lang", "left").select(
-        "doc_id", "text_md5", *COUNTS, "base_failed", F.exp("loss").alias("perplexity"), kept.alias("kept")
-    )
+    return rows.select("doc_id", "text_md5", *COUNTS, "base_failed", F.exp("loss").alias("perplexity"), kept.alias("kept"))
 
 
 def accepted(docs: DataFrame, order: int = ORDER, width: float = BAND_WIDTH) -> DataFrame:
