@@ -113,7 +113,8 @@ def scanned(docs: DataFrame, example_owners: int = EXAMPLE_OWNERS) -> DataFrame:
     rows = rows.withColumn("base", base)
     free = lambda s: ~F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
     rows = rows.withColumn("all", F.filter("judged", lambda s: (s["rank"] < len(BASE)) | (~s["example"] & free(s))))
-    counts = [F.size(F.filter("base", lambda s, k=k: s["rank"] == k)).cast("long").alias(f"n_{kind}") for k, (kind, *_) in enumerate(BASE)]
+    count = lambda rank: F.size(F.filter("base", lambda s: s["rank"] == rank)).cast("long")
+    counts = [count(rank).alias(f"n_{kind}") for rank, (kind, *_) in enumerate(BASE)]
     return rows.select(
         "doc_id",
         *counts,
