@@ -212,4 +212,4 @@ def anchored_runs(prefix: np.ndarray, kind: str, offsets: np.ndarray, width: int
     parts = -(-lengths // longest)
     head = np.repeat(head, parts) + longest * ranges(np.zeros(len(parts), dtype=np.int64), parts)
     windows = np.diff(np.append(head, len(starts)))
-    return Runs(anchor[head], starts[head], windows, text[head])
+    return Runs(mix(anchor[head]), starts[head], windows, text[head])  # least hashes are small: spread them again

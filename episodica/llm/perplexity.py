@@ -306,7 +306,7 @@ def _second_scores(texts: DataFrame, models: list[Broadcast], order: int) -> Dat
     result = durable(_segments(texts, models[0], order), "segments")
     for model in models[1:]:
         more = durable(_segments(texts, model, order).withColumnRenamed("best", "other"), "segments")
-        result = result.join(more, "text_md5").select("text_md5", F.zip_with("best", "other", F.greatest).alias("best"))
+        result = result.join(more, "text_md5").select("text_md5", F.zip_with("best", "other", lambda a, b: F.greatest(a, b)).alias("best"))
     return result.select("text_md5", F.aggregate("best", F.lit(0).cast("long"), lambda a, x: a + x).alias("mixed"))
 
 
