@@ -30,7 +30,7 @@ def test_shards_are_minimax(make_docs, odd_rows, monkeypatch, first, more):
     monkeypatch.setattr(sharding, "MORE_BITS", more)
     draw = random.Random(4)
     rows = [(i, "x" * draw.randint(0, 60) + str(draw.randint(0, 120))) for i in range(300)] + [(1000 + i, "copy" * 20) for i in range(80)]
-    rows += odd_rows[:7]
+    rows += [(None if i is None else 5000 + i, t) for i, t in odd_rows[:7]]
     got = sharding.sharded(make_docs(rows), 7).collect()
     assert sorted(str(r.doc_id) for r in got) == sorted(str(i) for i, _ in rows)
     text = defaultdict(set)
