@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from episodica.operators.ordered import ranked
@@ -66,15 +66,28 @@ def ntile_by(
 
     The first (rows mod n) bins get one row more. cap names a column, constant per group, that lowers n; the number of
     distinct values of the group (see distinct_values) makes n depend on the data.
+
+    Ranks are made on one row per distinct value. A value whose rows all fall into one bin takes its rows there by a join;
+    only the rows of values on the border of two bins, at most n - 1 values per group, are ranked themselves.
     """
     by = list(by)
-    placed = ranked(df, by, [col, tie], {"_rn": F.lit(1)}, {"_rows": "_rn"})
+    values = df.groupBy(*by, col, *([] if cap is None else [cap])).agg(F.count(F.lit(1)).alias("_n"))
+    placed = ranked(values, by, [col], {"_upto": F.col("_n")}, {"_rows": "_upto"})
     bins = F.lit(n).cast("long") if cap is None else F.least(F.col(cap), F.lit(n).cast("long"))
-    rn, rows = F.col("_rn"), F.col("_rows")
-    more = rows % bins
-    size = ((rows - more) / bins).cast("long")
-    in_larger = rn <= more * (size + 1)
-    bin_of = F.when(in_larger, F.ceil(rn / (size + 1))).otherwise(
-        more + F.ceil((rn - more * (size + 1)) / F.when(size > 0, size))
-    )
-    return placed.withColumn(out, bin_of.cast("long")).drop("_rn", "_rows")
+    placed = placed.withColumn("_more", F.col("_rows") % bins)
+    placed = placed.withColumn("_size", ((F.col("_rows") - F.col("_more")) / bins).cast("long"))
+
+    def bin_of(rank: Column) -> Column:
+        more, size = F.col("_more"), F.col("_size")
+        after = more + F.ceil((rank - more * (size + 1)) / F.when(size > 0, size))
+        return F.when(rank <= more * (size + 1), F.ceil(rank / (size + 1))).otherwise(after).cast("long")
+
+    before = (F.col("_upto") - F.col("_n")).alias("_before")
+    borders = [bin_of(F.col("_upto") - F.col("_n") + 1).alias("_first"), bin_of(F.col("_upto")).alias("_last")]
+    table = durable(placed.select(F.struct(*by, col).alias("_value"), before, "_more", "_size", *borders), "bins")
+    rows = df.withColumn("_value", F.struct(*by, col)).join(table, "_value")
+    inside = rows.filter(F.col("_first") == F.col("_last")).select(*df.columns, F.col("_first").alias(out))
+    if table.filter(F.col("_first") < F.col("_last")).isEmpty():
+        return inside
+    border = ranked(rows.filter(F.col("_first") < F.col("_last")), ["_value"], [tie], {"_at": F.lit(1)})
+    return inside.unionByName(border.select(*df.columns, bin_of(F.col("_before") + F.col("_at")).alias(out)))

@@ -214,10 +214,14 @@ def group_mean(spark, sf):
     return rounded(shap_rows(spark, sf).groupBy("feature_pretty", tens).agg(F.avg("shap_value").alias("shap_value")), "shap_value")
 
 
-@query("shap_summary")
+@query("shap_summary", with_views("""SELECT feature_pretty, round(feature_value_bin, 6) AS feature_value_bin, round(s, 6) AS shap_value,
+    round(m, 6) AS feature_value, round((m - min(m) OVER g) / nullif(max(m) OVER g - min(m) OVER g, 0), 6) AS colour_var FROM (
+    SELECT feature_pretty, feature_value_bin, avg(shap_value) AS s, avg(v) AS m FROM binned GROUP BY ALL) x
+    WINDOW g AS (PARTITION BY feature_pretty)""",
+    ev="SELECT *, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events", u=UNFOLDED, binned=SHAP_BINS))
 def shap_summary(spark, sf):
     binned = ex.binned_features(shap_rows(spark, sf), ["feature_pretty"], "admission_id")
-    return rounded(ex.summary_by_bin(binned, ["feature_pretty"]), "shap_value", "feature_value", "colour_var")
+    return rounded(ex.summary_by_bin(binned, ["feature_pretty"]), "feature_value_bin", "shap_value", "feature_value", "colour_var")
 
 
 @query("bivariate_ranges", with_views("""SELECT feature_pretty, v AS feature_value, round(min(shap_value) - 3 * bw, 5) AS y_min,
@@ -228,24 +232,24 @@ def shap_summary(spark, sf):
     ev="SELECT *, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events", u=UNFOLDED,
     kept="""SELECT u.* FROM u JOIN (SELECT feature_pretty FROM u GROUP BY 1 HAVING bool_and(v IN (0, 1))) b USING (feature_pretty)"""))
 def bivariate_ranges(spark, sf):
-    _, ranges, _ = ex.bivariate_data(shap_rows(spark, sf), [], "feature_pretty", "admission_id", n_dens=64)
+    _, ranges, _ = ex.bivariate_data(shap_rows(spark, sf), [], "feature_pretty", "admission_id")
     return rounded(ranges, "y_min", "y_max", places=5)
 
 
 @query("bivariate_trends")
 def bivariate_trends(spark, sf):
-    _, _, trends = ex.bivariate_data(shap_rows(spark, sf), [], "feature", "admission_id", sample_size=5000, n_dens=64)
+    _, _, trends = ex.bivariate_data(shap_rows(spark, sf), [], "feature", "admission_id", sample_size=5000)
     return rounded(trends.withColumn("feature", feature_title(F.col("feature"))), "x_mid", "y_smooth")
 
 
-SHAP_POINTS = 200
+SHAP_POINTS = 1000
 
 
 @query("shap_density", with_views(f"""SELECT feature_pretty, round(m, 6) AS mean_feature_value, g AS place, round(dens, 5) AS dens FROM (
     SELECT feature_pretty, m, g, raw / max(raw) OVER (PARTITION BY feature_pretty, m) AS dens FROM (
     SELECT feature_pretty, m, g, sum(w * exp(-0.5 * pow((g - i) * step / bw, 2))) AS raw
     FROM weights JOIN bands USING (feature_pretty, m), ends, range({SHAP_POINTS}) t(g) GROUP BY feature_pretty, m, g) r) d
-    WHERE dens >= 0.01""",
+    WHERE dens >= 0.001""",
     ev="SELECT *, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events", u=UNFOLDED, binned=SHAP_BINS,
     means="SELECT feature_pretty, feature_value_bin, avg(v) AS m FROM binned GROUP BY ALL",
     b="SELECT feature_pretty, m, shap_value FROM binned JOIN means USING (feature_pretty, feature_value_bin)",
@@ -263,7 +267,7 @@ def shap_density(spark, sf):
     out = ex.shap_density(binned, n=SHAP_POINTS)
     low = binned.agg(F.min("shap_value")).first()[0]
     place = F.round((F.col("shap_value") - F.lit(low)) / F.col("tile_width")).cast("long")
-    kept = out.filter(F.col("dens") >= 0.01)
+    kept = out.filter(F.col("dens") >= 0.001)
     return kept.select("feature_pretty", F.round("mean_feature_value", 6).alias("mean_feature_value"), place.alias("place"),
                        F.round("dens", 5).alias("dens"))
 

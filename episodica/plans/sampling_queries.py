@@ -152,7 +152,7 @@ def class_handling(spark, sf):
         F.count(F.lit(1)).alias("n"), F.round(F.sum("weight"), 3).alias("total"))
 
 
-N_GRID = 64
+N_GRID = 512
 
 
 @query("density_grid", with_views(f"""SELECT dataset, place, round(raw / max(raw) OVER (PARTITION BY dataset), 6) AS dens FROM (

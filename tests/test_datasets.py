@@ -49,8 +49,7 @@ def test_one_hot_with_pinned_values(spark):
     out = rs.left_one_hot(base, df, "v", "v_", values=["a", "b", "z"]).orderBy("admission_id")
     assert [tuple(r) for r in out.collect()] == [(1, 1, 1, 0), (2, 0, 0, 0), (3, 0, 0, 0)]
     assert rs.one_hot(df, "admission_id", "v", "v_").columns == ["admission_id", "v_a", "v_b", "v_c"]
-    with pytest.raises(ValueError):
-        rs.vocabulary(df, "v", limit=2)
+    assert rs.vocabulary(df.union(spark.createDataFrame([(4, None)], df.schema)), "v") == ["a", "b", "c"]
 
 
 @pytest.mark.parametrize("qs", [(0.0, 0.25, 0.5), (0.75, 0.999, 1.0)])
