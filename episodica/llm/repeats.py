@@ -23,7 +23,7 @@ from episodica.llm import arrays
 BITS = 26
 RANGE_BITS = 8
 #: Counts are held this much finer than the sketch, so that few single anchors are taken for repeated ones.
-FINER_BITS = 6
+FINER_BITS = 3
 #: From so many runs on, an anchor (or a few anchors that share a cell of the sketch) is taken as frequent.
 FREQUENT = 4096
 #: Anchors that a task gathers before it sends them.
