@@ -19,33 +19,6 @@ from episodica.operators.sampling import sample_n
 from episodica.operators.windows import group_range, min_max_scale
 from episodica.session import durable
 
-# Names of the ICD-10 chapters.
-ICD10_CHAPTERS = {
-    1: "Infections",
-    2: "Neoplasms",
-    3: "Blood and immune",
-    4: "Endocrine, nutritional, metabolic",
-    5: "Psychiatry",
-    6: "Nervous system",
-    7: "Eye and adnexa",
-    8: "Ear and mastoid",
-    9: "Cardiovascular",
-    10: "Respiratory",
-    11: "Digestive system",
-    12: "Dermatology",
-    13: "Musculoskelatal and connective tissue",
-    14: "Genitourinary",
-    15: "Obstetrics",
-    16: "Perinatal",
-    17: "Congenital",
-    18: "Miscellaenous symptions/findings",
-    19: "Injury, poisoning, etc.",
-    20: "External causes",
-    21: "Other determinants",
-    22: "Special codes",
-}
-
-
 def _total(values: Column) -> Column:
     return F.aggregate(values, F.lit(0.0), lambda a, v: a + v)
 
@@ -146,22 +119,23 @@ def explain_long(
     return long if factors is None else denormalise_long(long, factors)
 
 
-def pretty_feature(feature: Column, atc_names: Mapping[str, str], kidney_names: Mapping[str, str]) -> Column:
-    """Printed names of features."""
+def pretty_feature(
+    feature: Column, atc_names: Mapping[str, str], kidney_names: Mapping[str, str], chapter_names: Mapping[str, str]
+) -> Column:
+    """Printed names of features; the names of codes and chapters come from the caller's classification tables."""
 
     def lookup(names: Mapping, code: Column) -> Column:
         if not names:
             return F.lit(None).cast("string")
         return F.element_at(F.create_map(*[F.lit(v) for item in names.items() for v in item]), code)
 
-    chapters = {str(k): v for k, v in ICD10_CHAPTERS.items()}
     plain = prettify(feature, [("^n_", "No. "), ("_", " ")])
     return (
         F.when(feature.contains("atc_level2_"), F.concat(F.lit("MED: "), lookup(atc_names, F.right(feature, F.lit(3)))))
         .when(feature.contains("n18_diag_"), F.concat(F.lit("DX: "), lookup(kidney_names, F.right(feature, F.lit(4)))))
         .when(
             feature.contains("icd10_chapter_"),
-            F.concat(F.lit("DX: "), lookup(chapters, F.translate(F.right(feature, F.lit(2)), "_", ""))),
+            F.concat(F.lit("DX: "), lookup(chapter_names, F.translate(F.right(feature, F.lit(2)), "_", ""))),
         )
         .otherwise(F.concat(F.lit("DEMO/CLIN: "), sentence(plain)))
     )

@@ -226,9 +226,10 @@ def mark_seen(df: DataFrame, person: str, in_dev: Column, out: str = "seen") ->
 
 
 def label_codes(df: DataFrame, col: str, labels: dict[str, str], out: str) -> DataFrame:
-    """Code -> label through a dictionary given in the program text, inlined as a map literal."""
-    pairs = [F.lit(x) for item in labels.items() for x in item]
-    return df.withColumn(out, F.element_at(F.create_map(*pairs), F.col(col)))
+    """Code -> label through a dictionary given in the program text, joined as a small table; null for other codes."""
+    table = df.sparkSession.createDataFrame(list(labels.items()), "_code string, _label string")
+    joined = df.join(table, F.col(col) == F.col("_code"), "left")
+    return joined.withColumn(out, F.col("_label")).drop("_code", "_label")
 
 
 def settings_grid(spark, base: DataFrame | None = None, **axes: Sequence) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from episodica.functions.text import json_choice, parse_number, prettify
@@ -70,10 +71,10 @@ def table_one(
     return out
 
 
-def print_table(table: DataFrame, strata: str, values: Sequence[str]) -> DataFrame:
+def print_table(table: DataFrame, strata: str, values: Sequence[str], order: Sequence[str] = ()) -> DataFrame:
     """The summary as printed: one row per variate, one text column per stratum, the short-table mark and print order.
 
-    A variable with several levels is printed as a heading followed by indented levels; levels of 0/1 variables are
+    order lists the variables as they shall follow each other inside a kind; `place` is the row's number. A variable with several levels is printed as a heading followed by indented levels; levels of 0/1 variables are
     shown for 1 only.
     """
     n = F.col("n").cast("long").cast("string")
@@ -100,10 +101,12 @@ def print_table(table: DataFrame, strata: str, values: Sequence[str]) -> DataFra
     variate = F.when(
         F.col("_text").startswith("   "), F.concat(F.col("_under"), F.lit(": "), F.trim("_text"))
     ).otherwise(F.col("_text"))
+    listed = F.array_position(F.array(*[F.lit(v) for v in order]).cast("array<string>"), F.col("variable"))
     out = labelled.filter(F.coalesce(*[F.col(v) for v in values]).isNotNull()).select(
-        variate.alias("variate"), *values
+        variate.alias("variate"), *values, F.when(listed > 0, listed).otherwise(len(order) + 1).alias("_at"), "_seq"
     )
-    return table_order(out)
+    whole = W.orderBy(F.col("in_table1").desc(), "kind", "_at", "_seq")
+    return table_order(out).withColumn("place", F.row_number().over(whole)).drop("_at", "_seq")
 
 
 def table_order(df: DataFrame) -> DataFrame:
@@ -130,10 +133,10 @@ def pretty_study(name):
 
 
 def trial_report(studies: DataFrame, trials: DataFrame, params: DataFrame, values: DataFrame, best: DataFrame) -> DataFrame:
-    """One row per trial and parameter: decoded value, its plotting position, the loss, whether the trial is the best
-    one of its study and whether its loss lies above the third quartile."""
+    """One row per trial and parameter: the trial's number, the decoded value, its plotting position, the loss, whether
+    it is missing, whether the trial is the best one of its study and whether its loss lies above the third quartile."""
     joined = (
-        params.join(trials, "trial_id").join(values, "trial_id").join(studies, "study_id")
+        params.join(trials, "trial_id").join(values, "trial_id", "left").join(studies, "study_id")
         .withColumn("real_param_value", json_choice(F.col("distribution_json"), F.col("param_value")))
         .withColumn("real_param_value_numeric", parse_number(F.col("real_param_value")))
     )
@@ -156,9 +159,11 @@ def trial_report(studies: DataFrame, trials: DataFrame, params: DataFrame, value
         "study_name",
         "param_name",
         "trial_id",
+        F.col("number").alias("trial_number"),
         "real_param_value",
         F.when(F.col("is_number"), F.col("real_param_value_numeric")).otherwise(F.col("code").cast("double")).alias("y"),
         F.col("value").alias("metric_value"),
+        F.col("value").isNull().alias("loss_missing"),
         F.coalesce(F.col("trial_id") == F.col("best_trial_id"), F.lit(False)).alias("is_best"),
         (F.col("value") > F.col("q75")).alias("above_q75"),
     )

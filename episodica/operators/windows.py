@@ -95,9 +95,10 @@ def group_range(df: DataFrame, by: Sequence[str], col: str) -> DataFrame:
     return df.groupBy(*by).agg(F.min(col).alias("y_min"), F.max(col).alias("y_max"))
 
 
-def carry_label(df: DataFrame, label: str, seq: str, out: str) -> DataFrame:
-    """Repeat the last non-null label downwards. For finished report tables: a few hundred rows in print order."""
+def carry_label(df: DataFrame, label: str, seq: str, out: str, by: Sequence[str] = ()) -> DataFrame:
+    """Repeat the last non-null label downwards within `by`. Without `by` all rows go through one task: for finished
+    report tables, a few hundred rows in print order."""
     from pyspark.sql import Window as W
 
-    up_to_here = W.orderBy(seq).rowsBetween(W.unboundedPreceding, W.currentRow)
+    up_to_here = W.partitionBy(*by).orderBy(seq).rowsBetween(W.unboundedPreceding, W.currentRow)
     return df.withColumn(out, F.last(label, ignorenulls=True).over(up_to_here))

@@ -68,7 +68,8 @@ def table_one(spark, sf):
 def print_table(spark, sf):
     table = durable(rp.table_one(
         summary_rows(spark, sf), "set", ["daily_rate_not_zero", "r", "n_persons"], ["time_at_risk"], ["age_at_admission"]), "table")
-    printed = rp.print_table(table, "set", SETS)
+    order = ["n", "n_persons", "age_at_admission", "time_at_risk", "r", "daily_rate_not_zero"]
+    printed = rp.print_table(table, "set", SETS, order)
     return printed.withColumns({s: redact(F.col(s)) for s in SETS})
 
 
@@ -86,6 +87,7 @@ def trial_tables(spark, sf):
                   F.col("study_id").cast("int"))
     trials = orders.select(
         F.col("o_orderkey").alias("trial_id"), (F.col("o_custkey") % 3).alias("study_id"),
+        F.floor(F.col("o_orderkey") / 3).cast("long").alias("number"),
         F.when(F.col("o_orderstatus") == "F", "COMPLETE").when(F.col("o_orderstatus") == "P", "PRUNED").otherwise("FAIL").alias("state"))
     studies = trials.select("study_id").distinct().withColumn("study_name", name)
     categorical = '{"name": "CategoricalDistribution", "attributes": {"choices": [%s]}}'
@@ -99,26 +101,26 @@ def trial_tables(spark, sf):
             F.struct(F.lit("n_hidden_layers").alias("param_name"), (F.col("o_orderkey") % 4 + 1).cast("double").alias("param_value"),
                      F.lit('{"name": "IntUniformDistribution"}').alias("distribution_json")),
         )))
-    values = orders.select(F.col("o_orderkey").alias("trial_id"), F.col("o_totalprice").alias("value"))
+    values = orders.filter("o_orderkey % 11 <> 0").select(F.col("o_orderkey").alias("trial_id"), F.col("o_totalprice").alias("value"))
     best = trials.join(values, "trial_id").groupBy("study_id").agg(F.min_by("trial_id", F.struct("value", "trial_id")).alias("trial_id"))
     return studies, trials, params, values, best.join(studies, "study_id").select("study_name", "trial_id")
 
 
 STUDIES = """SELECT o_orderkey AS trial_id, CASE o_custkey % 3 WHEN 0 THEN 'binary__mlp__daily_rate_geq_1'
-    WHEN 1 THEN 'binary__linear__daily_rate_not_zero' ELSE 'refmodel__mlp__daily_rate_geq_1' END AS study_name, o_totalprice AS value,
-    o_custkey, o_orderkey FROM orders"""
+    WHEN 1 THEN 'binary__linear__daily_rate_not_zero' ELSE 'refmodel__mlp__daily_rate_geq_1' END AS study_name, CASE WHEN o_orderkey % 11 <> 0
+    THEN o_totalprice END AS value, o_custkey, o_orderkey, o_orderkey // 3 AS trial_number FROM orders"""
 
 
-@query("learning_report", with_views("""SELECT study_name, param_name, trial_id, real_param_value,
+@query("learning_report", with_views("""SELECT study_name, param_name, trial_id, trial_number, real_param_value, value IS NULL AS loss_missing,
     CASE WHEN param_name = 'class_handling' THEN dense_rank() OVER (PARTITION BY study_name, param_name ORDER BY real_param_value)
     ELSE CAST(CASE WHEN param_name = 'class_handling' THEN NULL ELSE real_param_value END AS DOUBLE) END AS y, value AS metric_value,
     trial_id = first_value(trial_id) OVER (PARTITION BY study_name ORDER BY value, trial_id) AS is_best,
     value > quantile_cont(value, 0.75) OVER (PARTITION BY study_name, param_name) AS above_q75 FROM (
-    SELECT study_name, 'batch_size' AS param_name, trial_id, CASE o_orderkey % 5 WHEN 0 THEN '32' WHEN 1 THEN '64' WHEN 2 THEN '128'
+    SELECT study_name, 'batch_size' AS param_name, trial_id, trial_number, CASE o_orderkey % 5 WHEN 0 THEN '32' WHEN 1 THEN '64' WHEN 2 THEN '128'
         WHEN 3 THEN '256' ELSE '512' END AS real_param_value, value FROM st
-    UNION ALL SELECT study_name, 'class_handling', trial_id, CASE o_custkey % 3 WHEN 0 THEN 'random_over' WHEN 1 THEN 'none'
+    UNION ALL SELECT study_name, 'class_handling', trial_id, trial_number, CASE o_custkey % 3 WHEN 0 THEN 'random_over' WHEN 1 THEN 'none'
         ELSE 'class_weighting' END, value FROM st
-    UNION ALL SELECT study_name, 'n_hidden_layers', trial_id, CAST(o_orderkey % 4 + 1 AS VARCHAR) || '.0', value FROM st) t""", st=STUDIES))
+    UNION ALL SELECT study_name, 'n_hidden_layers', trial_id, trial_number, CAST(o_orderkey % 4 + 1 AS VARCHAR) || '.0', value FROM st) t""", st=STUDIES))
 def learning_report(spark, sf):
     return rp.trial_report(*trial_tables(spark, sf))
 
@@ -160,6 +162,7 @@ def best_trial(spark, sf):
 
 FEATURES = ["n_previous_admissions", "age_at_admission", "atc_level2_N02", "n18_diag_N182", "icd10_chapter_14"]
 ATC_NAMES = {"N02": "Analgesics", "A10": "Drugs used in diabetes"}
+CHAPTER_NAMES = {"14": "Genitourinary"}
 KIDNEY_NAMES = {"N182": "Chronic kidney disease, stage 2"}
 WEIGHTS = {"n_previous_admissions": 0.02, "age_at_admission": 0.001, "atc_level2_N02": 0.05, "n18_diag_N182": -0.03, "icd10_chapter_14": 0.01}
 
@@ -179,7 +182,7 @@ def shap_tables(spark, sf):
 def shap_rows(spark, sf):
     shap, data = shap_tables(spark, sf)
     long = ex.explain_long(shap, data, FEATURES, [])
-    return durable(long.withColumn("feature_pretty", ex.pretty_feature(F.col("feature"), ATC_NAMES, KIDNEY_NAMES)), "long")
+    return durable(long.withColumn("feature_pretty", ex.pretty_feature(F.col("feature"), ATC_NAMES, KIDNEY_NAMES, CHAPTER_NAMES)), "long")
 
 
 PRETTY = ["DEMO/CLIN: No. previous admissions", "DEMO/CLIN: Age at admission", "MED: Analgesics",
