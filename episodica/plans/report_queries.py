@@ -279,25 +279,37 @@ def shap_density(spark, sf):
 def report(spark, sf):
     """Every report table in one long form: (section, item, name, value)."""
     preds = durable(P.predictions(spark, sf), "predictions")
-    item = F.concat_ws(" / ", *BY)
+    study = F.concat_ws(" / ", *BY)
 
-    def section(df, title, label, value):
+    def section(df, title, label, value, item=study):
         return df.select(F.lit(title).alias("section"), item.alias("item"), label.alias("name"), value.cast("double").alias("value"))
 
-    bins = m.with_jeffreys(m.calibration(preds, BY, "id"))
-    curves = m.net_benefit(preds, BY)
-    limits = m.net_benefit_limits(preds, BY)
-    roc = m.roc(preds, BY)
-    metrics = m.evaluation_metrics(preds)
-    parts = [
-        section(bins, "calibration", F.concat(F.lit("bin "), F.col("q").cast("string")), F.col("y_true")),
-        section(bins, "calibration upper", F.concat(F.lit("bin "), F.col("q").cast("string")), F.col("y_true_hi")),
-        section(curves, "decision curve", F.concat_ws(" at ", "model", F.col("threshold").cast("string")), F.col("snb")),
-        section(limits, "decision curve lower", F.concat(F.lit("at "), F.col("threshold").cast("string")), F.col("snb_lower")),
-        section(roc.groupBy(*BY).agg(F.count(F.lit(1)).alias("points")), "roc", F.lit("points"), F.col("points")),
-        section(metrics, "metrics", F.lit("auroc"), F.col("auroc")),
-        section(metrics, "metrics", F.lit("mcc"), F.col("mcc")),
-    ]
+    bins = durable(m.with_jeffreys(m.calibration(preds, BY, "id")), "bins")
+    limits = durable(m.net_benefit_limits(preds, BY), "limits")
+    roc = durable(m.roc(preds, BY).filter("cutoff is not null"), "roc")
+    metrics = durable(m.evaluation_metrics(preds), "metrics")
+    table = durable(rp.table_one(
+        summary_rows(spark, sf), "set", ["daily_rate_not_zero", "r", "n_persons"], ["time_at_risk"], ["age_at_admission"]), "table")
+    binned = ex.binned_features(shap_rows(spark, sf), ["feature_pretty"], "admission_id")
+    shap = durable(ex.summary_by_bin(binned, ["feature_pretty"]), "shap")
+    trials = durable(rp.trial_report(*trial_tables(spark, sf)).filter("is_best"), "trials")
+
+    bin_no = F.concat(F.lit("bin "), F.col("q").cast("string"))
+    at = F.concat(F.lit("at "), F.col("threshold").cast("string"))
+    cutoff = F.concat(F.lit("at "), F.col("cutoff").cast("string"))
+    line = F.concat_ws(" ", "variable", "level")
+    parts = [section(bins, f"calibration {name}", bin_no, F.col(c)) for name, c in (
+        ("predicted", "y_pred"), ("observed", "y_true"), ("lower", "y_true_lo"), ("upper", "y_true_hi"))]
+    parts.append(section(m.net_benefit(preds, BY), "decision curve", F.concat_ws(" at ", "model", F.col("threshold").cast("string")), F.col("snb")))
+    parts += [section(limits, f"decision curve {c[4:]}", at, F.col(c)) for c in ("snb_lower", "snb_upper")]
+    parts += [section(roc, f"roc {c}", cutoff, F.col(c)) for c in ("fpr", "tpr")]
+    parts += [section(metrics, "metrics", F.lit(c), F.col(c)) for c in ("threshold", "auroc", "avg_prec_score", "mcc", "precision", "recall")]
+    parts += [section(table.filter(F.col(c).isNotNull()), f"table one {c}", line, F.col(c), F.col("set")) for c in (
+        "n", "percent", "median", "q1", "q3", "mean", "sd")]
+    value_bin = F.concat(F.lit("value bin "), F.col("feature_value_bin").cast("string"))
+    parts += [section(shap, f"contributions {name}", value_bin, F.col(c), F.col("feature_pretty")) for name, c in (
+        ("mean", "shap_value"), ("colour", "colour_var"))]
+    parts.append(section(trials, "tuning best loss", F.col("param_name"), F.col("metric_value"), F.col("study_name")))
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)
