@@ -2,9 +2,10 @@
 
 The edges of the graph are the windows of 13 words. Runs of windows with one anchor meet in one task, where each distinct
 edge finds its first source, the occurrence in the smallest doc_id. An edge of a later document is a repeat of that
-source. Consecutive repeats whose sources are consecutive too, so that no branch lies between them, are compacted into
-one path by a join of neighbours over document and source coordinates. A path is a long repeated span with the
-coordinates of both copies; its words are covered and removed.
+source. Consecutive repeats whose sources are consecutive too, so that no branch lies between them, are one path: inside
+a run they are compacted where they are found, and across runs Spark brings the pieces of one document and one source
+together by the distance of their coordinates and joins each to the piece that it continues. A path is a long repeated
+span with the coordinates of both copies; its words are covered and removed.
 
 Frequent anchors do not meet in one task: their edges are reduced per edge, on the map side first, and joined back.
 """
