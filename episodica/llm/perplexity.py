@@ -24,6 +24,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from episodica.llm import arrays
+from episodica.llm.bitmaps import bitmap, with_possible
 from episodica.session import durable
 
 ORDER = 3
@@ -37,6 +38,8 @@ BAND_WIDTH = 4.0
 LEAST_DEVIATION = 0.015
 #: N-grams of a segment.
 SEGMENT = 48
+#: Bits of the map that spares texts inside the bands the shuffle to their second scoring.
+HIGH_BITS = 22
 #: Resolution of the tables of scores from which medians are taken.
 BINS = 10_000
 
@@ -361,10 +364,12 @@ def quality(docs: DataFrame, order: int = ORDER, width: float = BAND_WIDTH, mode
     rows = rows.join(durable(bands(rows), "bands"), "lang", "left").withColumn("allowed", allowed)
     rows = rows.withColumn("over", (F.col("loss") - F.col("middle")) / F.col("allowed"))
     rows = durable(rows, "judged")
-    high = rows.filter(~F.col("base_failed") & (F.col("over") > 1)).select("text_md5").distinct()
-    again = _texts(docs).join(durable(high, "high"), "text_md5", "left_semi").dropDuplicates(["text_md5"])
+    high = durable(rows.filter(~F.col("base_failed") & (F.col("over") > 1)).select("text_md5").distinct(), "high")
     if models:
-        second = durable(_second_scores(again.repartition("text_md5"), models, order), "second")
+        table = bitmap(high.select(F.xxhash64("text_md5").alias("key")), "key", HIGH_BITS)
+        near = with_possible(_texts(docs), F.xxhash64("text_md5"), table).filter("possible")
+        again = near.join(high, "text_md5", "left_semi").dropDuplicates(["text_md5"])
+        second = durable(_second_scores(again, models, order), "second")
         rows = rows.join(second, "text_md5", "left")
     else:
         rows = rows.withColumn("mixed", F.lit(None).cast("long"))
