@@ -46,3 +46,15 @@ def with_possible(df: DataFrame, key: Column, table: Broadcast) -> DataFrame:
         return pd.Series(possible(table.value, keys.to_numpy().view(np.uint64)))
 
     return df.withColumn("possible", held(key))
+
+
+def without(df: DataFrame, drop: DataFrame, key: Column, drop_key: Column, same: Column, bits: int = 24) -> DataFrame:
+    """The rows of df that match no row of drop.
+
+    key and drop_key are hashes (longs) that are equal for rows that match by `same`. Rows whose key cannot be in drop go
+    straight through; only the others are shuffled to the join that decides.
+    """
+    table = bitmap(drop.select(drop_key.alias("key")).distinct(), "key", bits)
+    marked = with_possible(df, key, table)
+    rest = marked.filter("possible").join(drop, same, "left_anti").select(*df.columns)
+    return marked.filter(~F.col("possible")).select(*df.columns).unionByName(rest)

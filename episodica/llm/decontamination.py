@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from episodica.llm import arrays
-from episodica.llm.bitmaps import bitmap, possible
+from episodica.llm.bitmaps import bitmap, possible, without
 from episodica.session import durable
 
 SEED_WORDS = 4
@@ -166,5 +166,6 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMI
 def clean(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """The rows of docs that match no item of the benchmark."""
     drop = contaminated(docs, benchmark, similarity).select(F.col("doc_id").alias("_id"), F.col("text_md5").alias("_text"))
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & F.md5(F.col("text").cast("string")).eqNullSafe(F.col("_text"))
-    return docs.join(durable(drop.distinct(), "dropped"), same, "left_anti").select(*docs.columns)
+    own, text = F.col("doc_id").cast("long"), F.md5(F.col("text").cast("string"))
+    same = own.eqNullSafe(F.col("_id")) & text.eqNullSafe(F.col("_text"))
+    return without(docs, durable(drop.distinct(), "dropped"), F.xxhash64(own, text), F.xxhash64("_id", "_text"), same)

@@ -23,31 +23,29 @@ FRAME = 256
 POWER = 0.7
 
 
-def source_weights(docs: DataFrame, power: float = POWER) -> DataFrame:
-    """(source, weight): the row count of each source to a power below one, which lifts small sources."""
-    return docs.groupBy(_source().alias("source")).agg(F.pow(F.count(F.lit(1)), F.lit(power)).alias("weight"))
-
-
 def _source() -> Column:
     return F.coalesce(F.col("source").cast("string"), F.lit(""))
 
 
-def _in_blocks(docs: DataFrame, block_rows: int) -> DataFrame:
-    """(doc_id, source, block, in_block) per row. Rows of a source are ordered by a hash of the id, in 16,384 cells.
+def _cells(docs: DataFrame, *more: Column) -> DataFrame:
+    """Rows with their cell: a source is ordered by a hash of the id, in 16,384 cells."""
+    rows = docs.select(
+        F.col("doc_id").cast("long").alias("doc_id"), _source().alias("source"), F.xxhash64("doc_id").alias("order"), *more
+    )
+    return rows.withColumn("cell", F.shiftrightunsigned("order", 50))
 
-    A window sees one cell of one source, never a whole source; the start of a cell is the sum of the counts before it.
-    """
-    order = F.xxhash64("doc_id")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _source().alias("source"), order.alias("order"))
-    rows = rows.withColumn("cell", F.shiftrightunsigned("order", 50))
-    cells = durable(rows.groupBy("source", "cell").agg(F.count(F.lit(1)).alias("n")), "cells")
+
+def _in_blocks(rows: DataFrame, cells: DataFrame, block_rows: int) -> DataFrame:
+    """Rows with block and in_block. A window sees one cell of one source, never a whole source; the start of a cell is
+    the sum of the counts before it."""
     before = W.partitionBy("source").orderBy("cell").rowsBetween(W.unboundedPreceding, -1)
     starts = cells.select("source", "cell", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
     inside = F.row_number().over(W.partitionBy("source", "cell").orderBy("order", "doc_id")) - 1
     placed = rows.withColumn("inside", inside).join(durable(starts, "starts"), ["source", "cell"])
     rank = F.col("start") + F.col("inside")
     block = F.floor(rank / F.lit(block_rows)).cast("long")
-    return placed.select("doc_id", "source", block.alias("block"), F.pmod(rank, F.lit(block_rows)).cast("int").alias("in_block"))
+    placed = placed.withColumns({"block": block, "in_block": F.pmod(rank, F.lit(block_rows)).cast("int")})
+    return placed.drop("order", "cell", "inside", "start")
 
 
 def _frame(counts: Column, length: Column) -> Column:
@@ -106,47 +104,49 @@ def _plan(sources: DataFrame, frame: int) -> tuple[DataFrame, DataFrame]:
     ).withColumn("length", F.aggregate("counts", F.lit(0).cast("long"), lambda a, c: a + c))
     kinds = durable(kinds.filter("length > 0").repartition("since"), "kinds")
     slots = kinds.select("since", "names", "base", "length", F.posexplode(_frame(F.col("counts"), F.col("length"))).alias("at", "i"))
-    turn = F.row_number().over(W.partitionBy("since", "i").orderBy("at")) - 1
-    slots = slots.select("since", F.get("names", F.col("i")).alias("source"), turn.cast("long").alias("turn"), "base", "length", "at")
-    return shares, durable(slots, "slots")
+    slots = slots.groupBy("since", F.get("names", F.col("i")).alias("source"), "base", "length").agg(
+        F.array_sort(F.collect_list("at")).alias("slots")
+    )
+    return durable(shares, "shares"), durable(slots, "slots")
+
+
+def _placed(rows: DataFrame, cells: DataFrame, weights: DataFrame | None, block_rows: int, frame: int) -> DataFrame:
+    """Rows with block, in_block and slot."""
+    counts = cells.groupBy("source").agg(F.sum("n").alias("n"))
+    if weights is None:
+        weights = counts.select("source", F.pow("n", F.lit(POWER)).alias("weight"))
+    weights = weights.groupBy(_source().alias("source")).agg(F.max(F.col("weight").cast("double")).alias("weight"))
+    known = F.coalesce("weight", F.min("weight").over(W.partitionBy()), F.lit(1.0))
+    blocks = F.ceil(F.col("n") / F.lit(block_rows)).cast("long").alias("blocks")
+    sources = counts.join(weights.filter("weight > 0"), "source", "left").select("source", blocks, known.alias("weight"))
+    shares, slots = _plan(sources, frame)
+    rows = _in_blocks(rows, cells, block_rows).join(shares, "source").withColumn("f", F.floor(F.col("block") / F.col("share")))
+    rows = rows.withColumn("since", F.array_max(F.filter("changes", lambda c: c <= F.col("f"))))
+    rows = rows.join(slots, ["source", "since"])
+    slot = F.col("base") + (F.col("f") - F.col("since")) * F.col("length") + F.get("slots", F.pmod("block", "share").cast("int"))
+    return rows.withColumn("slot", slot.cast("long")).drop("changes", "share", "f", "since", "base", "length", "slots")
 
 
 def mixed(docs: DataFrame, weights: DataFrame | None = None, block_rows: int = BLOCK_ROWS, frame: int = FRAME) -> DataFrame:
     """(doc_id, source, block, in_block, slot) for every row of docs: the block slot of a row in the mixed order.
 
     weights: (source, weight > 0), one row per source; a source without one gets the least weight given (1 if none is).
-    Default: `source_weights`. Slots count from 0 without gaps, one block of up to block_rows rows each; the last block
+    Default: row counts to the power POWER, which lifts small sources. Slots count from 0 without gaps, one block of up to block_rows rows each; the last block
     of a source may be shorter. Up to the frame in which the first source runs out, the number of blocks of a source
     before any slot differs from its share by less than one. A null source is a source of its own (shown as ''); rows
     without doc_id and repeated rows take places like any others. Empty table: no rows.
     """
-    placed = durable(_in_blocks(docs, block_rows), "blocks")
-    blocks = placed.groupBy("source").agg((F.max("block") + 1).alias("blocks"))
-    weights = source_weights(docs) if weights is None else weights
-    weights = weights.groupBy(_source().alias("source")).agg(F.max(F.col("weight").cast("double")).alias("weight"))
-    known = F.coalesce("weight", F.min("weight").over(W.partitionBy()), F.lit(1.0))
-    sources = blocks.join(weights.filter("weight > 0"), "source", "left").select("source", "blocks", known.alias("weight"))
-    shares, slots = _plan(sources, frame)
-    rows = placed.join(durable(shares, "shares"), "source").withColumn("f", F.floor(F.col("block") / F.col("share")))
-    rows = rows.select(
-        "doc_id",
-        "source",
-        "block",
-        "in_block",
-        "f",
-        F.pmod("block", "share").alias("turn"),
-        F.array_max(F.filter("changes", lambda c: c <= F.col("f"))).alias("since"),
-    )
-    slot = F.col("base") + (F.col("f") - F.col("since")) * F.col("length") + F.col("at")
-    joined = rows.join(slots, ["source", "since", "turn"])
-    return joined.select("doc_id", "source", "block", "in_block", slot.cast("long").alias("slot"))
+    rows = _cells(docs)
+    cells = durable(rows.groupBy("source", "cell").agg(F.count(F.lit(1)).alias("n")), "cells")
+    return _placed(rows, cells, weights, block_rows, frame).select("doc_id", "source", "block", "in_block", "slot")
 
 
-def in_mixed_order(docs: DataFrame, weights: DataFrame | None = None) -> DataFrame:
+def in_mixed_order(docs: DataFrame, weights: DataFrame | None = None, block_rows: int = BLOCK_ROWS, frame: int = FRAME) -> DataFrame:
     """All rows of docs, range-partitioned and sorted by their place in the mixed order, so that files hold the mixture.
 
-    Rows that share a doc_id share the place of the first of them; rows without one come first.
+    The documents are shuffled twice: to their cell, which gives them their place, and to the place.
     """
-    places = mixed(docs, weights).groupBy("doc_id").agg(F.min(F.struct("slot", "in_block")).alias("_place"))
-    placed = docs.join(durable(places.withColumnRenamed("doc_id", "_id"), "places"), F.col("doc_id").cast("long") == F.col("_id"), "left")
-    return placed.repartitionByRange("_place", "_id").sortWithinPartitions("_place", "_id").select(*docs.columns)
+    cells = durable(_cells(docs).groupBy("source", "cell").agg(F.count(F.lit(1)).alias("n")), "cells")
+    rows = _cells(docs, F.struct(*docs.columns).alias("row"))
+    placed = _placed(rows, cells, weights, block_rows, frame).select("slot", "in_block", "row")
+    return placed.repartitionByRange("slot", "in_block").sortWithinPartitions("slot", "in_block").select("row.*")

@@ -24,7 +24,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from episodica.llm import arrays
-from episodica.llm.bitmaps import bitmap, with_possible
+from episodica.llm.bitmaps import bitmap, with_possible, without
 from episodica.session import durable
 
 ORDER = 3
@@ -383,5 +383,6 @@ def accepted(docs: DataFrame, order: int = ORDER, width: float = BAND_WIDTH) ->
     """The rows of docs that `quality` keeps."""
     rejected = quality(docs, order, width).filter(~F.col("kept")).select(F.col("doc_id").alias("_id"), F.col("text_md5").alias("_text"))
     rejected = durable(rejected.distinct(), "rejected")
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & F.md5(F.col("text").cast("string")).eqNullSafe(F.col("_text"))
-    return docs.join(rejected, same, "left_anti").select(*docs.columns)
+    own, text = F.col("doc_id").cast("long"), F.md5(F.col("text").cast("string"))
+    same = own.eqNullSafe(F.col("_id")) & text.eqNullSafe(F.col("_text"))
+    return without(docs, rejected, F.xxhash64(own, text), F.xxhash64("_id", "_text"), same)

@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from episodica.llm import arrays
+from episodica.llm.bitmaps import without
 from episodica.llm.components import components
 from episodica.session import durable
 
@@ -216,5 +217,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, limit: int = 4, key_rows:
 
 def representatives(docs: DataFrame, shingle: int = 4, limit: int = 4) -> DataFrame:
     """The rows of docs without those that belong to a group with a smaller doc_id; rows without doc_id stay."""
-    drop = near_duplicates(docs, shingle, limit).filter(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
-    return docs.join(durable(drop, "dropped"), "doc_id", "left_anti").select(*docs.columns)
+    drop = near_duplicates(docs, shingle, limit).filter(F.col("doc_id") != F.col("component_id"))
+    drop = durable(drop.select(F.col("doc_id").alias("_id")).distinct(), "dropped")
+    own = F.col("doc_id").cast("long")
+    return without(docs, drop, F.xxhash64(own), F.xxhash64("_id"), own == F.col("_id"))
