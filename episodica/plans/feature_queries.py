@@ -4,7 +4,6 @@ from pyspark.sql import functions as F
 
 from episodica.operators import features as ft
 from episodica.operators import outcomes as oc
-from episodica.operators import reshape as rs
 from episodica.plans import proxies as P
 from episodica.plans.proxies import TARGET_ATC, with_views
 from episodica.plans.registry import query
