@@ -80,10 +80,10 @@ class Ranges:
         return found
 
 
-def _sums(groups: DataFrame, shift: int, spans: list[tuple[int, int]] | None) -> Ranges:
-    """Sums per range of 2**shift hashes, of all groups or of those whose hash lies in one of the spans."""
-    if spans is not None:
-        groups = groups.filter(reduce(lambda a, b: a | b, [(F.col("hash") >= lo) & (F.col("hash") < hi) for lo, hi in spans]))
+def _sums(groups: DataFrame, shift: int, wider: int = 0, inside: list[int] | None = None) -> Ranges:
+    """Sums per range of 2**shift hashes, of all groups or of those inside some ranges of 2**wider hashes."""
+    if inside is not None:
+        groups = groups.filter(F.shiftright("hash", wider).isin(inside))
     rows = (
         groups.groupBy(F.shiftright("hash", shift).alias("range"))
         .agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("n"))
@@ -94,21 +94,15 @@ def _sums(groups: DataFrame, shift: int, spans: list[tuple[int, int]] | None) ->
     return Ranges(starts[turn], rows["size"].to_numpy()[turn].astype(np.int64), rows["n"].to_numpy()[turn] == 1)
 
 
-def _spans(starts: np.ndarray, width: int) -> list[tuple[int, int]]:
-    """Neighbouring ranges as few spans."""
-    breaks = np.flatnonzero(np.diff(starts) != width) + 1
-    return [(int(part[0]), int(part[-1]) + width) for part in np.split(starts, breaks)]
-
-
 def minimax_cuts(groups: DataFrame, shards: int = SHARDS) -> list[int]:
     """First hash of each shard but the first, for groups (hash, size) with distinct hashes of HASH_BITS bits."""
     shift = HASH_BITS - FIRST_BITS
-    held = _sums(groups, shift, None)
+    held = _sums(groups, shift)
     if not len(held.sizes):
         return []
     while (open_ := held.unsettled(shards)).any() and shift:
         finer = max(shift - MORE_BITS, 0)
-        part = _sums(groups, finer, _spans(held.starts[open_], 1 << shift))
+        part = _sums(groups, finer, shift, (held.starts[open_] >> shift).tolist())
         starts = np.concatenate((held.starts[~open_], part.starts))
         turn = np.argsort(starts)
         sizes = np.concatenate((held.sizes[~open_], part.sizes))[turn]
