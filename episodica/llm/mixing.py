@@ -1,17 +1,26 @@
-"""Mixing sources to target weights by Pfair scheduling, in DataFrame operations only.
+"""Mixing sources to target weights by Pfair scheduling.
 
-The documents of a source form blocks. A source has a whole share of the slots of a frame, its target weight. With w as
-share over frame length, block j of a frame, from 0, is released at slot floor(j/w) and due by slot ceil((j+1)/w); every
-slot goes to the released block with the earliest deadline. On one queue that meets every deadline, so at any slot a
-source has had its target share of the slots to within less than one block. Releases and deadlines repeat from frame to
-frame, so one frame of each kind is scheduled, and all blocks get their slots from it by arithmetic.
+The documents of a source form blocks. In an ideal mixture all sources are served at once, each in proportion to its exact
+weight, until it runs out; then the others share its part in proportion. Block j of a source is released in the slot in
+which that mixture begins it and is due by the end of the slot in which it ends it; every slot goes to the released block
+with the earliest deadline. On one queue that meets every deadline, so before any slot, also behind sources that ran out, a
+source has had what the ideal mixture gives it to within less than one block. No document is left out and none is repeated.
 
-A source that runs out leaves its slots to the others, in the proportion of their shares: no document is left out and
-none is repeated. Frames change only where a source runs out, so there are at most 2 * sources + 1 kinds of frames.
+Rows are placed by DataFrame operations. The queue itself goes block after block: it runs on the driver, over whole numbers
+without rounding, and holds one number per block of block_rows documents, never a document or an id.
 """
 
 from __future__ import annotations
 
+from array import array
+from bisect import bisect_right
+from fractions import Fraction
+from heapq import heapify, heappop, heappush
+from itertools import accumulate
+from math import lcm
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -19,7 +28,6 @@ from pyspark.sql import functions as F
 from episodica.session import durable
 
 BLOCK_ROWS = 64
-FRAME = 256
 POWER = 0.7
 
 
@@ -48,69 +56,65 @@ def _in_blocks(rows: DataFrame, cells: DataFrame, block_rows: int) -> DataFrame:
     return placed.drop("order", "cell", "inside", "start")
 
 
-def _frame(counts: Column, length: Column) -> Column:
-    """Which entry of counts has each slot of a frame: the earliest deadline among the released blocks."""
-    start = F.struct(
-        F.transform(counts, lambda c: F.lit(0).cast("long")).alias("done"), F.array().cast("array<int>").alias("slots")
-    )
-
-    def step(state: Column, slot: Column) -> Column:
-        def window(count: Column, i: Column) -> Column:
-            done = F.get(state["done"], i)
-            released = (done < count) & (F.floor(done * length / count) <= slot)
-            return F.when(released, F.struct(F.ceil((done + 1) * length / count).alias("deadline"), count.alias("count"), i.alias("i")))
-
-        chosen = F.array_min(F.filter(F.transform(counts, window), lambda w: w.isNotNull()))["i"]
-        return F.transform(
-            F.array(chosen),
-            lambda own: F.struct(
-                F.transform(state["done"], lambda n, i: n + (i == own).cast("long")).alias("done"),
-                F.concat(state["slots"], F.array(own)).alias("slots"),
-            ),
-        )[0]
-
-    return F.aggregate(F.sequence(F.lit(0).cast("long"), length - 1), start, step, lambda state: state["slots"])
-
+def edf_slots(blocks: list[int], weights: list[Fraction]) -> list[array]:
+    """The slots of the blocks of every source, by the earliest deadline among the released blocks, in whole numbers.
 
-def _plan(sources: DataFrame, frame: int) -> tuple[DataFrame, DataFrame]:
-    """Shares per source with the frames at which anything changes, and the slots of every kind of frame.
-
-    sources: (source, blocks, weight), one row per source, put into one row as arrays: its size is the number of sources.
+    fluid(x) = sum over k of min(blocks[k], weights[k] * x) is the slot at which an ideal mixture has served every source
+    up to weight * x; block j of a source is released at floor(fluid(j / w)) and due by ceil(fluid((j + 1) / w)).
     """
-    row = sources.groupBy().agg(F.array_sort(F.collect_list(F.struct("source", "blocks", "weight"))).alias("all"))
-    total = F.aggregate("all", F.lit(0.0), lambda a, s: a + s["weight"])
-    row = row.select("all", total.alias("total")).select(
-        F.transform(
-            "all",
-            lambda s: F.struct(
-                s["source"].alias("source"),
-                s["blocks"].alias("blocks"),
-                F.greatest(F.lit(1), F.round(s["weight"] / F.col("total") * frame)).cast("long").alias("share"),
-            ),
-        ).alias("all")
-    )
-    ends = F.transform("all", lambda s: F.floor(s["blocks"] / s["share"]))
-    changes = F.array_sort(F.array_distinct(F.concat(F.array(F.lit(0).cast("long")), ends, F.transform(ends, lambda e: e + 1))))
-    row = durable(row.select("all", changes.alias("changes")), "plan")
-
-    shares = row.select(F.explode("all").alias("s"), "changes").select("s.source", "s.share", "changes")
-    kinds = row.select("all", F.explode("changes").alias("since"))
-    left = lambda s: s["blocks"] - F.col("since") * s["share"]
-    kinds = kinds.select(
-        "since",
-        F.transform("all", lambda s: s["source"]).alias("names"),
-        F.transform("all", lambda s: F.greatest(F.lit(0).cast("long"), F.least(s["share"], left(s)))).alias("counts"),
-        F.aggregate("all", F.lit(0).cast("long"), lambda a, s: a + F.least(s["blocks"], F.col("since") * s["share"])).alias("base"),
-    ).withColumn("length", F.aggregate("counts", F.lit(0).cast("long"), lambda a, c: a + c))
-    kinds = durable(kinds.filter("length > 0").repartition("since"), "kinds")
-    slots = kinds.select("since", "names", "base", "length", F.posexplode(_frame(F.col("counts"), F.col("length"))).alias("at", "i"))
-    slots = slots.groupBy("since", F.get("names", F.col("i")).alias("source"), "base", "length").agg(
-        F.array_sort(F.collect_list("at")).alias("slots")
-    )
-    return durable(shares, "shares"), durable(slots, "slots")
-
-
-def _placed(rows: DataFrame, cells: DataFrame, weights: DataFrame | None, block_rows: int, frame: int) -> DataFrame:
+    scale = lcm(*(w.denominator for w in weights))
+    parts = [int(w * scale) for w in weights]
+    ends = sorted(range(len(blocks)), key=lambda k: Fraction(blocks[k], parts[k]))
+    breaks = [Fraction(blocks[k], parts[k]) for k in ends]
+    served = [0, *accumulate(blocks[k] for k in ends)]
+    active = [sum(parts) - gone for gone in (0, *accumulate(parts[k] for k in ends))]
+    epoch = [0] * len(blocks)
+
+    def fluid(i: int, j: int) -> tuple[int, int]:
+        """Numerator and denominator of fluid(j / w) of source i; j must not fall from call to call."""
+        e = epoch[i]
+        if e < len(ends) and blocks[ends[e]] * parts[i] <= j * parts[ends[e]]:
+            e = epoch[i] = bisect_right(breaks, Fraction(j, parts[i]), e)
+        return served[e] * parts[i] + active[e] * j, parts[i]
+
+    def window(i: int, j: int) -> tuple[int, int]:
+        (a, p), (b, _) = fluid(i, j), fluid(i, j + 1)
+        return a // p, -(-b // p)
+
+    slots = [array("q") for _ in blocks]
+    waiting, ready = [(*window(i, 0), i) for i, n in enumerate(blocks) if n], []
+    heapify(waiting)
+    for slot in range(sum(blocks)):
+        while waiting and waiting[0][0] <= slot:
+            _, due, i = heappop(waiting)
+            heappush(ready, (due, i))
+        _, i = heappop(ready)
+        slots[i].append(slot)
+        if len(slots[i]) < blocks[i]:
+            heappush(waiting, (*window(i, len(slots[i])), i))
+    return slots
+
+
+def _schedule(sources: DataFrame, frame: int | None) -> DataFrame:
+    """(source, block, slot), one row per block, from sources (source, blocks, weight), one row per source."""
+    rows = sorted(sources.collect())
+    weights = [Fraction(r.weight) for r in rows]
+    if frame is not None:
+        total = sum(weights)
+        weights = [Fraction(max(1, round(w * frame / total))) for w in weights]
+    slots = edf_slots([r.blocks for r in rows], weights) if rows else []
+    names = pa.array([r.source for r in rows], pa.string())
+    which = np.repeat(np.arange(len(rows)), [len(s) for s in slots])
+    table = pa.table({
+        "source": names.take(pa.array(which, pa.int64())),
+        "block": pa.array(np.concatenate([np.zeros(0, np.int64), *(np.arange(len(s)) for s in slots)]), pa.int64()),
+        "slot": pa.array(np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(s, np.int64) for s in slots)]), pa.int64()),
+    })
+    spark = sources.sparkSession
+    return durable(spark.createDataFrame(table, "source string, block long, slot long"), "slots")
+
+
+def _placed(rows: DataFrame, cells: DataFrame, weights: DataFrame | None, block_rows: int, frame: int | None) -> DataFrame:
     """Rows with block, in_block and slot."""
     counts = cells.groupBy("source").agg(F.sum("n").alias("n"))
     if weights is None:
@@ -119,29 +123,25 @@ def _placed(rows: DataFrame, cells: DataFrame, weights: DataFrame | None, block_
     known = F.coalesce("weight", F.min("weight").over(W.partitionBy()), F.lit(1.0))
     blocks = F.ceil(F.col("n") / F.lit(block_rows)).cast("long").alias("blocks")
     sources = counts.join(weights.filter("weight > 0"), "source", "left").select("source", blocks, known.alias("weight"))
-    shares, slots = _plan(sources, frame)
-    rows = _in_blocks(rows, cells, block_rows).join(shares, "source").withColumn("f", F.floor(F.col("block") / F.col("share")))
-    rows = rows.withColumn("since", F.array_max(F.filter("changes", lambda c: c <= F.col("f"))))
-    rows = rows.join(slots, ["source", "since"])
-    slot = F.col("base") + (F.col("f") - F.col("since")) * F.col("length") + F.get("slots", F.pmod("block", "share").cast("int"))
-    return rows.withColumn("slot", slot.cast("long")).drop("changes", "share", "f", "since", "base", "length", "slots")
+    return _in_blocks(rows, cells, block_rows).join(_schedule(sources, frame), ["source", "block"])
 
 
-def mixed(docs: DataFrame, weights: DataFrame | None = None, block_rows: int = BLOCK_ROWS, frame: int = FRAME) -> DataFrame:
+def mixed(docs: DataFrame, weights: DataFrame | None = None, block_rows: int = BLOCK_ROWS, frame: int | None = None) -> DataFrame:
     """(doc_id, source, block, in_block, slot) for every row of docs: the block slot of a row in the mixed order.
 
     weights: (source, weight > 0), one row per source; a source without one gets the least weight given (1 if none is).
-    Default: row counts to the power POWER, which lifts small sources. Slots count from 0 without gaps, one block of up to block_rows rows each; the last block
-    of a source may be shorter. Up to the frame in which the first source runs out, the number of blocks of a source
-    before any slot differs from its share by less than one. A null source is a source of its own (shown as ''); rows
-    without doc_id and repeated rows take places like any others. Empty table: no rows.
+    Default: row counts to the power POWER, which lifts small sources. Slots count from 0 without gaps, one block of up to
+    block_rows rows each; the last block of a source may be shorter. The number of blocks of a source before any slot
+    differs from its share by less than one; a source that has run out leaves its part to the others. frame: round weights
+    to whole slots of such a frame, one at least; by default they are exact. A null source is a source of its own (shown as
+    ''); rows without doc_id and repeated rows take places like any others. Empty table: no rows.
     """
     rows = _cells(docs)
     cells = durable(rows.groupBy("source", "cell").agg(F.count(F.lit(1)).alias("n")), "cells")
     return _placed(rows, cells, weights, block_rows, frame).select("doc_id", "source", "block", "in_block", "slot")
 
 
-def in_mixed_order(docs: DataFrame, weights: DataFrame | None = None, block_rows: int = BLOCK_ROWS, frame: int = FRAME) -> DataFrame:
+def in_mixed_order(docs: DataFrame, weights: DataFrame | None = None, block_rows: int = BLOCK_ROWS, frame: int | None = None) -> DataFrame:
     """All rows of docs, range-partitioned and sorted by their place in the mixed order, so that files hold the mixture.
 
     The documents are shuffled twice: to their cell, which gives them their place, and to the place.

@@ -4,6 +4,7 @@ import itertools
 import random
 import zlib
 from collections import Counter, defaultdict
+from fractions import Fraction
 
 import pytest
 from pyspark.sql import functions as F
@@ -89,6 +90,52 @@ def test_share_of_every_source_is_within_one_block(spark, make_docs, weights):
     assert max(per_block.values()) == 4
 
 
+def ideal(blocks, weights):
+    """Per slot what an ideal mixture has given to every source before it, run-outs included."""
+    had, out = [0.0] * len(blocks), []
+    for _ in range(sum(blocks)):
+        out.append(list(had))
+        room = 1.0
+        while room > 1e-9:
+            live = [i for i, n in enumerate(blocks) if n - had[i] > 1e-9]
+            if not live:
+                break
+            total = sum(weights[i] for i in live)
+            step = min(room, *((blocks[i] - had[i]) * total / weights[i] for i in live))
+            for i in live:
+                had[i] += step * weights[i] / total
+            room -= step
+    return out
+
+
+@pytest.mark.parametrize("blocks, weights", [
+    ([700, 600, 400, 330], [0.335, 0.3, 0.2, 0.165]), ([900] + [1] * 100, [0.9] + [0.001] * 100),
+    ([40, 3, 250, 1, 90], [5.0, 0.02, 1.0, 7.0, 0.3]), ([3, 2, 2], [0.1, 0.1, 0.1])])
+def test_no_source_is_a_block_off_its_exact_weight(blocks, weights):
+    slots = mixing.edf_slots(blocks, [Fraction(w) for w in weights])
+    order = sorted((t, i) for i, s in enumerate(slots) for t in s)
+    assert [len(s) for s in slots] == blocks and [t for t, _ in order] == list(range(sum(blocks)))
+    had = [0] * len(blocks)
+    for (_, i), want in zip(order, ideal(blocks, weights), strict=True):
+        assert all(abs(a - b) < 1 + 1e-6 for a, b in zip(had, want, strict=True))
+        had[i] += 1
+
+
+def test_weights_are_not_rounded(spark, make_docs):
+    """Many slots, and more sources than a frame of 256 has slots for at these weights."""
+    big = make_docs([(i, "t") for i in range(2000)], source="big")
+    rest = make_docs([(10_000 + i, "t") for i in range(300)]).withColumn("source", F.concat(F.lit("s"), F.col("doc_id").cast("string")))
+    sources = [("big", 0.9)] + [(f"s{10_000 + i}", 0.1 / 300) for i in range(300)]
+    table = spark.createDataFrame(sources, "source string, weight double")
+    got = mixing.mixed(big.unionByName(rest), table, block_rows=1).collect()
+    order = [s for _, s in sorted((r.slot, r.source) for r in got)]
+    had = 0
+    for t, s in enumerate(order[:2000]):
+        assert abs(had - 0.9 * t) < 1
+        had += s == "big"
+    assert len(got) == 2300
+
+
 def test_odd_sources(make_docs, spark):
     docs = make_docs([(1, "a"), (1, "a"), (None, "b"), (None, None)], source=None).unionByName(make_docs([(5, "c")], source="x"))
     got = mixing.mixed(docs).collect()
