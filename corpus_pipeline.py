@@ -43,9 +43,9 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The shard and slot of every document."""
+    """The shard and slot of every document; both follow the mixed order in which the documents were written."""
     _ready(spark)
-    return sharding.sharded(docs)
+    return sharding.sharded(docs, place=mixing.written_place())
 
 
 STAGES: list[tuple[str, Stage]] = [

@@ -150,3 +150,15 @@ def in_mixed_order(docs: DataFrame, weights: DataFrame | None = None, block_rows
     rows = _cells(docs, F.struct(*docs.columns).alias("row"))
     placed = _placed(rows, cells, weights, block_rows, frame).select("slot", "in_block", "row")
     return placed.repartitionByRange("slot", "in_block").sortWithinPartitions("slot", "in_block").select("row.*")
+
+
+def written_place() -> Column:
+    """The place of a row in files that in_mixed_order gave, read back: number of the file, its part, row of that part.
+
+    A whole number below 2**60. Spark numbers files by range and sorts rows inside, so it rises along the mixed order.
+    """
+    def number(pattern: str) -> Column:
+        return F.coalesce(F.regexp_extract("_metadata.file_name", pattern, 1).try_cast("long"), F.lit(0))
+
+    file, part = number(r"^part-(\d+)"), number(r"-c(\d+)\.")
+    return F.shiftleft(file, 40) + F.shiftleft(part, 30) + F.col("_metadata.row_index")

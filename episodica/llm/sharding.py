@@ -1,10 +1,11 @@
 """Shards of nearly equal size whose cuts never divide a group of equal texts.
 
-Groups are ordered by the hash of their text. The best contiguous partition has the least possible largest shard: a binary
-search over the capacity, where a capacity is feasible if filling shard after shard up to it needs no more than the
-allowed number. The search runs on sums per range of hashes. Such sums give a lower and an upper bound of the capacity and
-of every cut; only the ranges between the bounds are summed again more finely, until every cut lies between two groups.
-The driver holds one number per range, a few hundred thousand at most, whatever the number of documents.
+Groups are ordered by the hash of their text, or by a given place of their rows. The best contiguous partition has the least
+possible largest shard: a binary search over the capacity, where a capacity is feasible if filling shard after shard up to
+it needs no more than the allowed number. The search runs on sums per range of hashes or places. Such sums give a lower and
+an upper bound of the capacity and of every cut; only the ranges between the bounds are summed again more finely, until
+every cut lies between two groups. The driver holds one number per range, a few hundred thousand at most, whatever the
+number of documents.
 """
 
 from __future__ import annotations
@@ -94,9 +95,9 @@ def _sums(groups: DataFrame, shift: int, wider: int = 0, inside: list[int] | Non
     return Ranges(starts[turn], rows["size"].to_numpy()[turn].astype(np.int64), rows["n"].to_numpy()[turn] == 1)
 
 
-def minimax_cuts(groups: DataFrame, shards: int = SHARDS) -> list[int]:
-    """First hash of each shard but the first, for groups (hash, size) with distinct hashes of HASH_BITS bits."""
-    shift = HASH_BITS - FIRST_BITS
+def minimax_cuts(groups: DataFrame, shards: int = SHARDS, bits: int = HASH_BITS) -> list[int]:
+    """First hash of each shard but the first, for groups (hash, size) with distinct hashes of that many bits."""
+    shift = max(bits - FIRST_BITS, 0)
     held = _sums(groups, shift)
     if not len(held.sizes):
         return []
@@ -109,20 +110,31 @@ def minimax_cuts(groups: DataFrame, shards: int = SHARDS) -> list[int]:
         held = Ranges(starts[turn], sizes, np.concatenate((held.whole[~open_], part.whole | (finer == 0)))[turn])
         shift = finer
     ends = held.cuts(held.least_capacity(shards, False), shards, False)
-    return [int(held.starts[e]) if e < len(held.starts) else 1 << HASH_BITS for e in ends[:-1]]
+    return [int(held.starts[e]) if e < len(held.starts) else 1 << bits for e in ends[:-1]]
 
 
 def _text() -> Column:
     return F.coalesce(F.col("text").cast("string"), F.lit(""))
 
 
-def sharded(docs: DataFrame, shards: int = SHARDS, cells: int = 4096) -> DataFrame:
+def _in_place_order(rows: DataFrame) -> tuple[DataFrame, int]:
+    """Rows with the least place of their text as hash, and its bits. Texts that occur once, mostly all, need no join."""
+    several = rows.groupBy("hash").agg(F.min("place").alias("least"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    rows = rows.join(durable(several.select("hash", "least"), "several"), "hash", "left")
+    rows = durable(rows.withColumn("hash", F.coalesce("least", "place")).drop("least"), "places")
+    return rows, int(rows.agg(F.max("place")).first()[0] or 0).bit_length()
+
+
+def sharded(docs: DataFrame, shards: int = SHARDS, cells: int = 4096, place: Column | None = None) -> DataFrame:
     """(doc_id, size, text_crc32, law, shard, slot, grown_shard) for every row of docs; law is 'bytes'.
 
     size is the number of UTF-8 bytes of the text plus 8 (null counts as an empty text). Rows with equal texts share a
     shard. No partition into contiguous groups in the order of the text hash has a smaller largest shard; shards may stay
     empty if there are fewer groups. slot counts the rows of a shard from 0, in the order of a hash of the doc_id; repeated
     rows and rows without doc_id take slots of their own. grown_shard is null. Empty table: no rows.
+
+    place: whole numbers of up to HASH_BITS bits, another for every row, that give an order to keep: groups are cut in the
+    order of their least place, and slots follow the places.
     """
     digest = F.conv(F.substring(F.md5(_text()), 1, HASH_BITS // 4), 16, 10).cast("long")
     rows = docs.select(
@@ -130,17 +142,20 @@ def sharded(docs: DataFrame, shards: int = SHARDS, cells: int = 4096) -> DataFra
         (F.octet_length(_text()) + 8).cast("long").alias("size"),
         F.crc32(_text()).alias("text_crc32"),
         digest.alias("hash"),
-        F.xxhash64("doc_id").alias("order"),
+        (F.xxhash64("doc_id") if place is None else place).alias("place"),
     )
-    rows = durable(rows, "sizes")
+    rows, bits = durable(rows, "sizes"), HASH_BITS
+    if place is not None:
+        rows, bits = _in_place_order(rows)
     groups = durable(rows.groupBy("hash").agg(F.sum("size").alias("size")), "groups")
-    cuts = minimax_cuts(groups, shards)
+    cuts = minimax_cuts(groups, shards, bits)
     shard = reduce(lambda a, b: a + b, [(F.col("hash") >= c).cast("int") for c in cuts], F.lit(0))
-    placed = rows.withColumn("shard", shard).withColumn("cell", F.pmod("order", F.lit(cells)))
+    cell = F.pmod("place", F.lit(cells)) if place is None else F.floor(F.col("place") / F.lit(cells))
+    placed = rows.withColumn("shard", shard).withColumn("cell", cell)
     counts = durable(placed.groupBy("shard", "cell").agg(F.count(F.lit(1)).alias("n")), "cells")
     before = W.partitionBy("shard").orderBy("cell").rowsBetween(W.unboundedPreceding, -1)
     starts = counts.select("shard", "cell", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
-    inside = F.row_number().over(W.partitionBy("shard", "cell").orderBy("order", "doc_id", "hash")) - 1
+    inside = F.row_number().over(W.partitionBy("shard", "cell").orderBy("place", "doc_id", "hash")) - 1
     slotted = placed.withColumn("inside", inside).join(durable(starts, "starts"), ["shard", "cell"])
     return slotted.select(
         "doc_id",

@@ -157,6 +157,37 @@ def test_pipeline_runs_on_the_small_tables(spark, sf):
     assert {r.doc_id for r in pipeline.run(spark, sf).collect()} == ids
 
 
+def test_shards_keep_the_mixed_order(spark, sf, monkeypatch):
+    """With the mixing stage left out, run() gives other shards and slots."""
+    pipeline = pytest.importorskip("corpus_pipeline")
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    want = [r.doc_id for r in mixing.mixed(docs).orderBy("slot", "in_block").collect()]
+    ids = defaultdict(list)
+    for r in docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).collect():
+        ids[r.text].append(r.doc_id)
+    once = {own[0] for own in ids.values() if len(own) == 1}
+    stages = dict(pipeline.STAGES)
+
+    def run(mix):
+        monkeypatch.setattr(pipeline, "STAGES", [("mix_sources", mix), ("shard", stages["shard"])])
+        return sorted((r.shard, r.slot, r.doc_id) for r in pipeline.run(spark, sf).collect())
+
+    got = run(stages["mix_sources"])
+    shard = {i: s for s, _, i in got}
+    assert sorted(shard) == sorted(want) and all(len({shard[i] for i in own}) == 1 for own in ids.values())
+    assert [i for *_, i in got if i in once] == [i for i in want if i in once]
+    at = {i: t for t, i in enumerate(want)}
+    for s, rows in itertools.groupby(got, key=lambda r: r[0]):
+        rows = list(rows)
+        assert [t for _, t, _ in rows] == list(range(len(rows))) and sorted(rows, key=lambda r: at[r[2]]) == rows, s
+    groups = sorted((min(at[i] for i in own), sum(len(t.encode()) + 8 for _ in own)) for t, own in ids.items())
+    loads = Counter()
+    for t, own in ids.items():
+        loads[shard[own[0]]] += (len(t.encode()) + 8) * len(own)
+    assert max(loads.values()) == best_capacity([n for _, n in groups], sharding.SHARDS)
+    assert run(lambda spark, docs, sf_dir: docs) != got
+
+
 def test_pipeline_stages_take_empty_tables(spark, sf):
     pipeline = pytest.importorskip("corpus_pipeline")
     docs = spark.read.parquet(f"{sf}/documents.parquet").limit(0)
