@@ -2,8 +2,8 @@
 
 Candidates are found by patterns. The positions of all matches follow from cutting the text at the matches: a match starts
 after the pieces and matches before it. Each candidate value is hashed and counted over the whole corpus by distinct
-documents and distinct owners (here the source of a document): a value that several owners have is a copied example, a
-value that one owner has looks live.
+documents (its repositories) and distinct owners (here the source of a document): a value that several owners have, or that
+many documents of one owner have, is a copied example; a value in a few documents of one owner looks live.
 """
 
 from __future__ import annotations
@@ -19,10 +19,11 @@ BASE = (
     ("access", r"AKIA[A-Z0-9]+", 0, 20),
     ("hex", r"[0-9a-f]+", 0, 24),
 )
-#: Looser candidates, which count only if one owner alone has them: long tokens of mixed case with digits.
+#: Looser candidates, which count only if they look live: long tokens of mixed case with digits.
 LOOSE = (("token", r"(?<![A-Za-z0-9+/_-])(?=[a-z0-9+/_-]*[A-Z])(?=[A-Z0-9+/_-]*[a-z])(?=[A-Za-z+/_-]*[0-9])[A-Za-z0-9+/_-]{24,}", 0, 24),)
 ORDER = [kind for kind, *_ in BASE + LOOSE]
 EXAMPLE_OWNERS = 2
+EXAMPLE_DOCUMENTS = 10
 
 
 def _text() -> Column:
@@ -74,16 +75,18 @@ def candidates(docs: DataFrame) -> DataFrame:
     return rows.select("doc_id", "source", F.array_sort(found).alias("spans"))
 
 
-def ownership(found: DataFrame, example_owners: int = EXAMPLE_OWNERS) -> DataFrame:
+def ownership(found: DataFrame, example_owners: int = EXAMPLE_OWNERS, example_documents: int = EXAMPLE_DOCUMENTS) -> DataFrame:
     """(hash, documents, owners, example) per candidate value over all documents.
 
-    Counts are added up per (value, owner) before owners are counted, on the map side first, so a value that a third of
-    all documents has is a few rows when it meets. The value itself is not kept, only its SHA-256.
+    Repeated rows of a document count once; rows without doc_id count as one document. Equal (value, document) and (value,
+    owner) are brought together before they are counted, and counts are added up on the map side first, so a value that a
+    third of all documents has is a few rows when it meets. The value itself is not kept, only its SHA-256.
     """
     values = found.select("doc_id", "source", F.explode(F.array_distinct(F.transform("spans", lambda s: s["value"]))).alias("value"))
-    per_owner = values.groupBy(F.sha2("value", 256).alias("hash"), "source").agg(F.count(F.lit(1)).alias("n"))
-    counts = per_owner.groupBy("hash").agg(F.sum("n").alias("documents"), F.count(F.lit(1)).alias("owners"))
-    return counts.withColumn("example", F.col("owners") >= example_owners)
+    counts = values.groupBy(F.sha2("value", 256).alias("hash")).agg(
+        F.count_distinct(F.struct("doc_id")).alias("documents"), F.count_distinct("source").alias("owners")
+    )
+    return counts.withColumn("example", (F.col("owners") >= example_owners) | (F.col("documents") >= example_documents))
 
 
 def _listed(spans: Column) -> Column:
@@ -92,16 +95,17 @@ def _listed(spans: Column) -> Column:
     return F.array_join(text, ",")
 
 
-def scanned(docs: DataFrame, example_owners: int = EXAMPLE_OWNERS) -> DataFrame:
+def scanned(docs: DataFrame, example_owners: int = EXAMPLE_OWNERS, example_documents: int = EXAMPLE_DOCUMENTS) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_live, n_example per row of docs.
 
-    Base spans always count. A loose candidate is added to spans if only one owner has its value and no base span overlaps
-    it. n_live and n_example count the spans whose value one owner or several have. Null text is empty: no spans. Repeated
+    Base spans always count. A loose candidate is added to spans if its value looks live and no base span overlaps it.
+    n_live counts the spans whose value fewer than example_owners owners and fewer than example_documents documents have,
+    n_example the others. Null text is empty: no spans. Repeated
     rows give equal rows. Empty table: no rows.
     """
     found = durable(candidates(docs).withColumn("row", F.monotonically_increasing_id()), "candidates")
     some = found.filter(F.size("spans") > 0)
-    owned = durable(ownership(some, example_owners).select("hash", "example"), "ownership")
+    owned = durable(ownership(some, example_owners, example_documents).select("hash", "example"), "ownership")
     each = some.select("row", F.explode("spans").alias("s")).withColumn("hash", F.sha2("s.value", 256)).join(owned, "hash")
     judged = each.groupBy("row").agg(
         F.array_sort(F.collect_list(F.struct("s.start", "s.rank", "s.end", "example"))).alias("judged")

@@ -157,3 +157,15 @@ def test_ownership(make_docs):
     one = counts[hashlib.sha256(shared.encode()).hexdigest()]
     assert (one.documents, one.owners, one.example) == (2, 2, True)
     assert secret_scan.scanned(make_docs([])).count() == 0
+
+
+def test_a_value_in_many_documents_of_one_source_is_an_example(make_docs):
+    boiler, live, again = (f"{head}b3Dq9Zk7Lm2Xw8Rt5Vn1Yc" for head in ("Aa1", "Bb2", "Cc3"))
+    rows = [(i, f"see {boiler} here") for i in range(secret_scan.EXAMPLE_DOCUMENTS)] + [(100, f"see {live} here"), (101, f"see {live} here")]
+    rows += [(200, f"see {again} here")] * 30
+    docs = make_docs(rows, source="hot")
+    got = {r.doc_id: r for r in secret_scan.scanned(docs).collect()}
+    assert (got[0].n_live, got[0].n_example, got[0].spans) == (0, 0, "")
+    assert got[100].n_live == got[200].n_live == 1 and got[200].spans == f"token:4:{4 + len(again)}"
+    counts = {(r.documents, r.owners, r.example) for r in secret_scan.ownership(secret_scan.candidates(docs)).collect()}
+    assert counts == {(secret_scan.EXAMPLE_DOCUMENTS, 1, True), (2, 1, False), (1, 1, False)}
