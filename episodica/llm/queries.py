@@ -12,6 +12,7 @@ from episodica.llm import (
     secret_scan,
     sharding,
     simhash,
+    spelling,
     substring_dedup,
     suffix_dedup,
     warc,
@@ -58,6 +59,50 @@ FROM p LEFT JOIN g USING (payload_digest)
 """
 
 
+SPELLING_SQL = r"""
+WITH RECURSIVE bits AS (
+  SELECT i AS slot, i::BIGINT AS c, 0 AS step FROM range(256) t(i)
+  UNION ALL
+  SELECT slot, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, step + 1 FROM bits WHERE step < 8
+), crc AS (
+  SELECT list(c ORDER BY slot) AS tab FROM bits WHERE step = 8
+), runs AS (
+  SELECT doc_id, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run
+  FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z\x{00C0}-\x{00FF}]+')) AS run FROM documents)
+), counted AS (
+  SELECT doc_id, run, count(*) AS n FROM runs WHERE length(run) >= 5 GROUP BY doc_id, run
+), digests AS (
+  SELECT run, n, length(run) AS size, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, length(key), 2),
+           lambda i: ((instr('0123456789ABCDEF', key[i]) - 1) * 16 + instr('0123456789ABCDEF', key[i + 1]) - 1)::BIGINT)),
+           lambda a, b: xor(a >> 8, tab[1 + (xor(a, b) & 255)])), 4294967295) AS h
+  FROM (SELECT run, n, hex(encode(concat(doc_id::VARCHAR, ':', run))) AS key FROM counted), crc
+), words AS (
+  SELECT word, sum(n)::BIGINT AS n
+  FROM (SELECT CASE WHEN h % 97 = 0 THEN concat(run[:h % size], run[h % size + 2:]) ELSE run END AS word, n FROM digests)
+  WHERE length(word) >= 5 GROUP BY word HAVING sum(n) >= 3
+), less AS (
+  SELECT word, n, i, concat(word[:i - 1], word[i + 1:]) AS rest FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM words)
+), pairs AS (
+  SELECT a.word, b.word AS other, b.n AS other_n FROM less a JOIN less b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word
+  UNION
+  SELECT less.word, words.word, words.n FROM less JOIN words ON less.rest = words.word
+  UNION
+  SELECT words.word, less.word, less.n FROM less JOIN words ON less.rest = words.word
+), best AS (
+  SELECT word, count(*) AS n_near, max(other_n) AS form_n FROM pairs GROUP BY word
+), formed AS (
+  SELECT w.word, w.n, coalesce(b.n_near, 0) AS n_near, CASE WHEN b.form_n >= 2 * w.n THEN b.form_n END AS form_n,
+         CASE WHEN b.form_n >= 2 * w.n THEN (SELECT min(p.other) FROM pairs p WHERE p.word = w.word AND p.other_n = b.form_n) END AS form
+  FROM words w LEFT JOIN best b USING (word)
+), chain AS (
+  SELECT word, word AS root, form AS next FROM formed
+  UNION ALL
+  SELECT c.word, f.word, f.form FROM chain c JOIN formed f ON c.next = f.word
+)
+SELECT f.word, f.form, c.root, f.n, f.n_near, f.form_n FROM formed f JOIN chain c ON f.word = c.word WHERE c.next IS NULL
+"""
+
+
 @query("op1_de_bruijn_dedup", SUBSTRING_SQL)
 def de_bruijn_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.deduplicated(table(spark, sf_dir, "documents"), keep_text=False)
@@ -107,3 +152,9 @@ def feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_secret_ownership")
 def secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scanned(table(spark, sf_dir, "documents"))
+
+
+@query("op11_spelling_variants", SPELLING_SQL)
+def spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = spelling.counted_words(table(spark, sf_dir, "documents"), least_chars=5, slip_every=97)
+    return spelling.variant_groups(words.filter("n >= 3"))
