@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from episodica.llm import (
@@ -15,6 +16,7 @@ from episodica.llm import (
     spelling,
     substring_dedup,
     suffix_dedup,
+    token_counts,
     warc,
 )
 from episodica.llm.registry import ORACLES, QUERIES, query, table
@@ -158,3 +160,8 @@ def secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
 def spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = spelling.counted_words(table(spark, sf_dir, "documents"), least_chars=5, slip_every=97)
     return spelling.variant_groups(words.filter("n >= 3"))
+
+
+@query("op13_token_counts")
+def count_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.counted(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
