@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from episodica.llm import (
+    collocations,
     decontamination,
     mixing,
     perplexity,
@@ -105,6 +106,43 @@ SELECT f.word, f.form, c.root, f.n, f.n_near, f.form_n FROM formed f JOIN chain
 """
 
 
+COLLOCATION_SQL = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''),
+         'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents
+), lines AS (
+  SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces
+), grams AS (
+  SELECT lang, size, array_to_string(w[i:i + size - 1], ' ') AS phrase
+  FROM (SELECT lang, w, size, unnest(range(1, len(w) + 2 - size)) AS i FROM lines, (SELECT unnest([1, 2, 3, 4]) AS size))
+), f AS (
+  SELECT lang, size, phrase, string_split(phrase, ' ') AS w, count(*) AS f FROM grams GROUP BY lang, size, phrase HAVING count(*) >= 30
+), totals AS (
+  SELECT lang, sum(len(w))::BIGINT AS n FROM lines GROUP BY lang
+), inside AS (
+  SELECT lang, phrase, max(f) AS longer
+  FROM (SELECT lang, f, array_to_string(w[i:i + part - 1], ' ') AS phrase
+        FROM (SELECT lang, f, w, part, unnest(range(1, size + 2 - part)) AS i FROM f, (SELECT unnest([2, 3]) AS part) WHERE part < size))
+  GROUP BY lang, phrase
+), cuts AS (
+  SELECT f.lang, f.phrase, f.f AS a, f.w, unnest(range(1, f.size)) AS k
+  FROM f LEFT JOIN inside i ON i.lang = f.lang AND i.phrase = f.phrase
+  WHERE f.size > 1 AND (i.longer IS NULL OR 100::HUGEINT * i.longer < 80::HUGEINT * f.f)
+), scored AS (
+  SELECT c.lang, c.phrase, c.a, x.f AS l, y.f AS r, c.k, ((2000000::HUGEINT * c.a) // (x.f::HUGEINT + y.f))::BIGINT AS score
+  FROM cuts c
+  JOIN f x ON x.lang = c.lang AND x.phrase = array_to_string(c.w[:c.k], ' ')
+  JOIN f y ON y.lang = c.lang AND y.phrase = array_to_string(c.w[c.k + 1:], ' ')
+), best AS (
+  SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1
+), ranked AS (
+  SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, score FROM best
+)
+SELECT k.lang, k.rank, k.phrase, k.a, k.l, k.r, t.n, k.score FROM ranked k JOIN totals t USING (lang) WHERE k.rank <= 2000
+"""
+
+
 @query("op1_de_bruijn_dedup", SUBSTRING_SQL)
 def de_bruijn_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.deduplicated(table(spark, sf_dir, "documents"), keep_text=False)
@@ -162,6 +200,11 @@ def spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variant_groups(words.filter("n >= 3"))
 
 
+@query("op12_phrase_collocations", COLLOCATION_SQL)
+def phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 @query("op13_token_counts")
 def count_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.counted(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
