@@ -52,8 +52,8 @@ class Words:
     offsets: np.ndarray
 
 
-def pieces(column: pa.Array) -> Iterator[Piece]:
-    """The texts of an Arrow column as pieces of about PIECE_BYTES; null is an empty text."""
+def pieces(column: pa.Array, size: int = PIECE_BYTES) -> Iterator[Piece]:
+    """The texts of an Arrow column as pieces of about `size` bytes; null is an empty text."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     if pa.types.is_null(column.type):
@@ -68,7 +68,7 @@ def pieces(column: pa.Array) -> Iterator[Piece]:
     whole = np.frombuffer(data, dtype=np.uint8) if data is not None else np.zeros(0, dtype=np.uint8)
     first = 0
     while first < n:
-        last = int(np.searchsorted(offsets, offsets[first] + PIECE_BYTES, side="right")) - 1
+        last = int(np.searchsorted(offsets, offsets[first] + size, side="right")) - 1
         last = min(max(last, first + 1), n)
         own = offsets[first : last + 1]
         yield Piece(slice(first, last), whole[own[0] : own[-1]], own - own[0])

@@ -6,9 +6,10 @@ trigger window. Equal passages therefore fall into equal chunks wherever they li
 their numbers the parse frequencies; phrases are counted inside the distinct chunks only, weighted by these frequencies. A
 phrase belongs to the chunk in which it starts before the last trigger, so overlaps are counted once.
 
-Phrases are counted level by level. Only phrases of at least `least` occurrences matter, and all parts of such a phrase are
-at least as frequent; so a phrase is only looked at if both phrases of one word less were found frequent. A bitmap of fixed
-size, made from the frequent phrases of the level before, tells that in the tasks; it can only let too much through.
+Only phrases of at least `least` occurrences matter, and all parts of such a phrase are at least as frequent. Phrases are
+first counted as hashes, level by level, where a phrase is looked at only if both phrases of one word less passed; what
+passed is kept as a bitmap of fixed size. Hashes and bitmap can only let too much through: the strings that pass are then
+counted themselves, so that the counts are exact.
 """
 
 from __future__ import annotations
@@ -30,12 +31,11 @@ from episodica.session import durable
 LONGEST = 4
 #: Words of a trigger window; a phrase that starts before it ends within it.
 OVERLAP = LONGEST - 1
-PERIOD = 12
+PERIOD = 32
 #: Bits of the bitmap of frequent phrases (8 MB).
 BITS = 26
-#: Phrases or bytes of chunks that a task adds up before it sends them.
-HELD_ROWS = 2_000_000
-HELD_BYTES = 32 << 20
+#: Bytes of chunks whose phrases a task adds up at a time.
+UNIT_BYTES = 3 << 20
 
 #: Space and tab separate words; . , ; : ! ? and U+000A to U+000D separate pieces.
 SPACES = np.zeros(256, dtype=bool)
@@ -54,16 +54,10 @@ def _gather(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.large_string(), len(sizes), buffers)
 
 
-def _added(tables: list[pa.Table], keys: list[str], value: str) -> pa.RecordBatch:
-    total = pa.concat_tables(tables).combine_chunks().group_by(keys).aggregate([(value, "sum")])
-    total = total.rename_columns([*keys, value])
-    return pa.RecordBatch.from_arrays([c.combine_chunks() for c in total.columns], names=total.column_names)
-
-
 def dictionary(docs: DataFrame, period: int = PERIOD) -> DataFrame:
     """(lang, chunk, own, freq): distinct chunks, words joined by one space; phrases at the first `own` words are its own."""
 
-    def cut(piece: arrays.Piece, langs: pa.Array) -> tuple[pa.Table, int] | None:
+    def cut(piece: arrays.Piece, langs: pa.Array) -> pa.RecordBatch | None:
         data = arrays.LOWER[piece.bytes]
         words = arrays.words_of(arrays.Piece(piece.rows, data, piece.offsets), SPACES | BREAKS)
         n = len(words.starts)
@@ -97,23 +91,14 @@ def dictionary(docs: DataFrame, period: int = PERIOD) -> DataFrame:
         owner = pa.array(text[start] + piece.rows.start)
         columns = [langs.take(owner), chunk, pa.array((np.where(inner, following, end[start]) - start).astype(np.int32))]
         columns.append(pa.array(np.ones(len(start), dtype=np.int64)))
-        return pa.Table.from_arrays(columns, names=["lang", "chunk", "own", "freq"]), int(offsets[-1])
+        return pa.RecordBatch.from_arrays(columns, names=["lang", "chunk", "own", "freq"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
         for batch in batches:
-            langs = batch.column("lang")
             for piece in arrays.pieces(batch.column("text")):
-                found = cut(piece, langs)
-                if found is None:
-                    continue
-                held.append(found[0])
-                size += found[1]
-                if size > HELD_BYTES:
-                    yield _added(held, ["lang", "chunk", "own"], "freq")
-                    held, size = [], 0
-        if held:
-            yield _added(held, ["lang", "chunk", "own"], "freq")
+                found = cut(piece, batch.column("lang"))
+                if found is not None:
+                    yield found
 
     rows = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit(UNKNOWN)).alias("lang"), F.col("text").cast("string").alias("text"))
     made = rows.mapInArrow(run, "lang string, chunk string, own int, freq long")
@@ -127,67 +112,107 @@ def _lang_keys(langs: pa.Array) -> np.ndarray:
     return known[coded.indices.to_numpy()]
 
 
-def _frequent_map(phrases: DataFrame) -> Broadcast:
-    """Bitmap over (language, phrase) of the given phrases."""
+class _Phrases:
+    """The phrases that start at the own words of the chunks of a piece, as word positions, and their hashes."""
+
+    def __init__(self, piece: arrays.Piece, own: np.ndarray, langs: np.ndarray):
+        self.piece, self.own, self.langs = piece, own, langs
+        self.words = arrays.words_of(piece, SPACES)
+        self.count = np.diff(self.words.offsets)
+        self.prefix = arrays.prefix_hash(piece.bytes, "bytes")
+
+    def of(self, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """(first word, row) of every own phrase of `size` words."""
+        starts = np.minimum(self.own, np.maximum(self.count - size + 1, 0))
+        return arrays.ranges(self.words.offsets[:-1], starts), np.repeat(np.arange(self.piece.count), starts)
+
+    def keys(self, at: np.ndarray, row: np.ndarray, size: int) -> np.ndarray:
+        content = arrays.span_hash(self.prefix, self.words.starts[at], self.words.ends[at + size - 1], "bytes")
+        return arrays.mix(content + np.uint64(size) ^ self.langs[row])
+
+    def likely(self, size: int, table: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
+        """Own phrases of `size` words whose sub-phrases of `parts` words may all be frequent."""
+        at, row = self.of(size)
+        for shift in range(size - parts + 1):
+            keep = possible(table, self.keys(at + shift, row, parts))
+            at, row = at[keep], row[keep]
+        return at, row
+
+
+def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, np.ndarray, _Phrases]]:
+    """(lang, freq, phrases) of about UNIT_BYTES of chunks at a time."""
+
+    def unit(held: list[pa.RecordBatch]) -> Iterator[tuple[pa.Array, np.ndarray, _Phrases]]:
+        rows = pa.Table.from_batches(held).combine_chunks()
+        lang, chunk, own, freq = (rows.column(c).combine_chunks() for c in ("lang", "chunk", "own", "freq"))
+        own, freq, langs = own.to_numpy(), freq.to_numpy(), _lang_keys(lang)
+        for piece in arrays.pieces(chunk, UNIT_BYTES):
+            at = piece.rows
+            yield lang[at.start : at.stop], freq[at], _Phrases(piece, own[at], langs[at])
+
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.nbytes
+        if size >= UNIT_BYTES:
+            yield from unit(held)
+            held, size = [], 0
+    if held:
+        yield from unit(held)
+
+
+def _distinct(codes: list[np.ndarray], weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first place, sum of weights) of every distinct row of the code columns."""
+    dense = codes[0]
+    for code in codes[1:]:
+        dense = np.unique(dense, return_inverse=True)[1] * (int(code.max(initial=0)) + 1) + code
+    _, first, place = np.unique(dense, return_index=True, return_inverse=True)
+    sums = np.zeros(len(first), dtype=np.int64)
+    np.add.at(sums, place, weights)
+    return first, sums
+
+
+def _frequent_keys(chunks: DataFrame, sizes: list[int], least: int, before: Broadcast | None) -> DataFrame:
+    """(key): hashes of (language, phrase) with at least `least` occurrences, over phrases whose parts passed `before`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            langs = _lang_keys(batch.column("lang"))
-            for piece in arrays.pieces(batch.column("phrase")):
-                prefix = arrays.prefix_hash(piece.bytes, "bytes")
-                keys = arrays.span_hash(prefix, piece.offsets[:-1], piece.offsets[1:], "bytes")
-                yield pa.RecordBatch.from_arrays([pa.array(arrays.mix(keys ^ langs[piece.rows]).view(np.int64))], names=["key"])
-
-    return bitmap(phrases.select("lang", "phrase").mapInArrow(run, "key long"), "key", BITS)
-
+        for _, freq, phrases in _units(batches):
+            for size in sizes:
+                at, row = phrases.of(size) if before is None else phrases.likely(size, before.value, size - 1)
+                keys = phrases.keys(at, row, size)
+                first, sums = _distinct([keys], freq[row])
+                yield pa.RecordBatch.from_arrays([pa.array(keys[first].view(np.int64)), pa.array(sums)], names=["key", "f"])
 
-def _counted(chunks: DataFrame, size: int, least: int, frequent: Broadcast | None) -> DataFrame:
-    """(lang, phrase, words, f): phrases of `size` words with at least `least` occurrences."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, rows = [], 0
-        for batch in batches:
-            own, freq = (batch.column(c).to_numpy() for c in ("own", "freq"))
-            langs, keys = batch.column("lang"), _lang_keys(batch.column("lang"))
-            for piece in arrays.pieces(batch.column("chunk")):
-                words = arrays.words_of(piece, SPACES)
-                count = np.diff(words.offsets)
-                starts = np.minimum(own[piece.rows], np.maximum(count - size + 1, 0))
-                at = arrays.ranges(words.offsets[:-1], starts)
-                row = np.repeat(np.arange(piece.count), starts)
-                if frequent is not None and len(at):
-                    prefix = arrays.prefix_hash(piece.bytes, "bytes")
-                    lang = keys[piece.rows][row]
-                    for shift in (0, 1):  # both phrases of one word less
-                        part = arrays.span_hash(prefix, words.starts[at + shift], words.ends[at + shift + size - 2], "bytes")
-                        keep = possible(frequent.value, arrays.mix(part ^ lang))
-                        at, row, lang = at[keep], row[keep], lang[keep]
-                if not len(at):
-                    continue
-                phrase = _gather(piece.bytes, words.starts[at], words.ends[at + size - 1])
-                owner = row + piece.rows.start
-                columns = [langs.take(pa.array(owner)), phrase, pa.array(freq[owner])]
-                held.append(pa.Table.from_arrays(columns, names=["lang", "phrase", "f"]))
-                rows += len(at)
-                if rows > HELD_ROWS:
-                    yield _added(held, ["lang", "phrase"], "f")
-                    held, rows = [], 0
-        if held:
-            yield _added(held, ["lang", "phrase"], "f")
-
-    sums = chunks.mapInArrow(run, "lang string, phrase string, f long").groupBy("lang", "phrase").agg(F.sum("f").alias("f"))
-    return sums.filter(F.col("f") >= least).select("lang", "phrase", F.lit(size).alias("words"), "f")
+    sums = chunks.mapInArrow(run, "key long, f long").groupBy("key").agg(F.sum("f").alias("f"))
+    return sums.filter(F.col("f") >= least).select("key")
 
 
 def frequent_phrases(chunks: DataFrame, least: int, longest: int = LONGEST) -> DataFrame:
     """(lang, phrase, words, f): all phrases of 1 to `longest` words that occur at least `least` times in a language."""
-    found, frequent = None, None
-    for size in range(1, longest + 1):
-        level = durable(_counted(chunks, size, least, frequent), f"phrases{size}")
-        found = level if found is None else found.unionByName(level)
-        if size < longest:
-            frequent = _frequent_map(level)
-    return found
+    sizes, passed, keys = [1, 2], None, None
+    while sizes[0] <= longest:
+        found = durable(_frequent_keys(chunks, sizes, least, passed), "keys")
+        keys = found if keys is None else keys.unionByName(found)
+        passed = bitmap(keys, "key", BITS)
+        sizes = [sizes[-1] + 1]
+    table = passed
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for langs, freq, phrases in _units(batches):
+            data, words = phrases.piece.bytes, phrases.words
+            word = _gather(data, words.starts, words.ends).dictionary_encode().indices.to_numpy().astype(np.int64)
+            lang = langs.dictionary_encode().indices.to_numpy().astype(np.int64)
+            for size in range(1, longest + 1):
+                at, row = phrases.likely(size, table.value, size)
+                first, sums = _distinct([lang[row], *[word[at + k] for k in range(size)]], freq[row])
+                at, row = at[first], row[first]
+                text = _gather(data, words.starts[at], words.ends[at + size - 1])
+                columns = [langs.take(pa.array(row)), pa.array(np.full(len(at), size, dtype=np.int32)), text, pa.array(sums)]
+                yield pa.RecordBatch.from_arrays(columns, names=["lang", "words", "phrase", "f"])
+
+    counted = chunks.mapInArrow(run, "lang string, words int, phrase string, f long")
+    counted = counted.groupBy("lang", "words", "phrase").agg(F.sum("f").alias("f"))
+    return durable(counted.filter(F.col("f") >= least).select("lang", "phrase", "words", "f"), "phrases")
 
 
 def _wide(column: Column | str) -> Column:

@@ -6,6 +6,9 @@ the first position of their overlap that is a token bound in both encodings and
 that the encoding of what lies before does not depend on what follows, and the other way round. Where an overlap has no
 such position, it is widened to the whole next chunk, and so on: the chunks of a stretch without one become one chunk.
 
+Texts of one chunk are split at their white space, which is stable by the same proof, and every distinct word is encoded
+once per worker process.
+
 What is stable is a property of the tokenizer and therefore an argument. `WORD_SEAMS` holds for tokenizers that split off
 white space, single digits and runs of letters before merging, such as the one of the registered query: normal forms do
 not reach over ASCII white space or digits, and the punctuation named in the pattern ends a run of (caseless or ASCII)
@@ -30,12 +33,13 @@ from episodica.session import durable
 
 CHUNK = 1 << 15
 OVERLAP = 1 << 10
-#: Bytes of short texts that are encoded by one call.
-BATCH_BYTES = 1 << 19
+#: Bytes of distinct words whose token counts a worker process remembers, over its tasks.
+KNOWN_BYTES = 12 << 20
 
 WORD_SEAMS = r"(?=[\x09-\x0D\x20])|(?=[0-9])|(?<=[A-Za-zぁ-ゖァ-ヺ一-龥])(?=[.,;:!?()、。，！？])"
 
 _loaded: dict[str, object] = {}
+_known: dict[str, dict[bytes, int]] = {}
 
 
 def load_tokenizer(spark: SparkSession, path: str) -> Broadcast:
@@ -58,18 +62,30 @@ def _tokenizer(model: Broadcast):
 
 
 def _short_counts(rows: DataFrame, model: Broadcast) -> DataFrame:
-    """(doc_id, n_bytes, n_tokens) of texts that are encoded whole."""
+    """(doc_id, n_bytes, n_tokens) of texts that are not cut into chunks.
+
+    ASCII white space is a stable position too, so the words of a text are encoded by themselves, each once per worker.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = _known.setdefault(model.value, {})
+        size = sum(map(len, known))
         for batch in batches:
-            raw = [x.as_buffer() for x in batch.column("text")]
-            sizes = np.array([0 if x is None else x.size for x in raw], dtype=np.int64)
-            counts = np.zeros(len(sizes), dtype=np.int64)
-            call = np.cumsum(sizes) // BATCH_BYTES
-            for at in np.split(np.arange(len(sizes)), np.flatnonzero(np.diff(call)) + 1):
-                texts = [batch.column("text")[i].as_py() or "" for i in at.tolist()]
-                counts[at] = [len(x) for x in _tokenizer(model).encode_batch_fast(texts, add_special_tokens=False)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes), pa.array(counts)], names=["doc_id", "n_bytes", "n_tokens"])
+            sizes, counts = [], []
+            for text in batch.column("text"):
+                raw = b"" if text.as_buffer() is None else text.as_buffer().to_pybytes()
+                words = raw.split()
+                new = list(set(words).difference(known))
+                found = _tokenizer(model).encode_batch_fast([x.decode("utf-8") for x in new], add_special_tokens=False)
+                known.update(zip(new, map(len, found), strict=True))
+                sizes.append(len(raw))
+                counts.append(sum(map(known.__getitem__, words)))
+                size += sum(map(len, new))
+                if size > KNOWN_BYTES:
+                    known.clear()
+                    size = 0
+            columns = [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(counts, pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_bytes", "n_tokens"])
 
     return rows.select("doc_id", "text").mapInArrow(run, "doc_id long, n_bytes long, n_tokens long")
 
@@ -187,7 +203,7 @@ def counted(
     tokenizer is the path of a file of the tokenizers library. Special strings in a text count as the library takes them by
     default; nothing is cut or padded. A null text is empty and has no tokens; repeated rows and null ids come out as they
     came in; equal huge texts are encoded once. Empty table: no rows. The result for texts over `chunk` code points is the
-    same as without chunks if `seams` is right for the tokenizer; without a stable position a text is encoded whole.
+    same as without chunks if `seams` and white space are stable for the tokenizer; without a stable position a text is encoded whole.
     """
     if not 0 < overlap <= chunk:
         raise ValueError("overlap must be over 0 and at most the chunk")
