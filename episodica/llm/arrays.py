@@ -95,6 +95,23 @@ def words_of(piece: Piece, separators: np.ndarray = SEPARATORS) -> Words:
     return Words(starts, ends, np.searchsorted(starts, piece.offsets))
 
 
+def spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """The byte spans as an Arrow string column."""
+    sizes = ends - starts
+    offsets = pa.py_buffer(np.append(0, np.cumsum(sizes)).astype(np.int64))
+    flat = np.ascontiguousarray(data[ranges(starts, sizes)])
+    return pa.Array.from_buffers(pa.large_string(), len(sizes), [None, offsets, pa.py_buffer(flat)])
+
+
+def single_spaced(data: np.ndarray, words: Words) -> tuple[np.ndarray, np.ndarray]:
+    """All words, one space behind each, and the place of each word in that; one more place behind the last."""
+    size = words.ends - words.starts
+    offsets = np.append(0, np.cumsum(size + 1))
+    joined = np.full(int(offsets[-1]), 0x20, dtype=np.uint8)
+    joined[ranges(offsets[:-1], size)] = data[ranges(words.starts, size)]
+    return joined, offsets
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """Spread the information of 64 bits over all of them (a bijection)."""
     x = x ^ (x >> np.uint64(30))

@@ -45,15 +45,6 @@ BREAKS[[*b".,;:!?", 0x0A, 0x0B, 0x0C, 0x0D]] = True
 UNKNOWN = "und"
 
 
-def _gather(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Array:
-    """The byte spans as an Arrow string column."""
-    sizes = ends - starts
-    offsets = np.append(0, np.cumsum(sizes))
-    flat = data[arrays.ranges(starts, sizes)]
-    buffers = [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(flat))]
-    return pa.Array.from_buffers(pa.large_string(), len(sizes), buffers)
-
-
 def dictionary(docs: DataFrame, period: int = PERIOD) -> DataFrame:
     """(lang, chunk, own, freq): distinct chunks, words joined by one space; phrases at the first `own` words are its own."""
 
@@ -82,12 +73,8 @@ def dictionary(docs: DataFrame, period: int = PERIOD) -> DataFrame:
         following = np.append(start[1:], n)
         inner = following < end[start]
         last = np.where(inner, following + OVERLAP, end[start])
-        # chunks with single spaces: every word with one space behind it, the last space of a chunk left out
-        size = words.ends - words.starts
-        offsets = np.append(0, np.cumsum(size + 1))
-        joined = np.full(int(offsets[-1]), 0x20, dtype=np.uint8)
-        joined[arrays.ranges(offsets[:-1], size)] = data[arrays.ranges(words.starts, size)]
-        chunk = _gather(joined, offsets[start], offsets[last] - 1)
+        joined, offsets = arrays.single_spaced(data, words)
+        chunk = arrays.spans(joined, offsets[start], offsets[last] - 1)
         owner = pa.array(text[start] + piece.rows.start)
         columns = [langs.take(owner), chunk, pa.array((np.where(inner, following, end[start]) - start).astype(np.int32))]
         columns.append(pa.array(np.ones(len(start), dtype=np.int64)))
@@ -200,13 +187,13 @@ def frequent_phrases(chunks: DataFrame, least: int, longest: int = LONGEST) -> D
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for langs, freq, phrases in _units(batches):
             data, words = phrases.piece.bytes, phrases.words
-            word = _gather(data, words.starts, words.ends).dictionary_encode().indices.to_numpy().astype(np.int64)
+            word = arrays.spans(data, words.starts, words.ends).dictionary_encode().indices.to_numpy().astype(np.int64)
             lang = langs.dictionary_encode().indices.to_numpy().astype(np.int64)
             for size in range(1, longest + 1):
                 at, row = phrases.likely(size, table.value, size)
                 first, sums = _distinct([lang[row], *[word[at + k] for k in range(size)]], freq[row])
                 at, row = at[first], row[first]
-                text = _gather(data, words.starts[at], words.ends[at + size - 1])
+                text = arrays.spans(data, words.starts[at], words.ends[at + size - 1])
                 columns = [langs.take(pa.array(row)), pa.array(np.full(len(at), size, dtype=np.int32)), text, pa.array(sums)]
                 yield pa.RecordBatch.from_arrays(columns, names=["lang", "words", "phrase", "f"])
 

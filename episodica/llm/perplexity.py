@@ -219,7 +219,17 @@ def _repeated(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return more, later
 
 
+def _equal_windows(piece: arrays.Piece, words: arrays.Words, at: np.ndarray) -> np.ndarray:
+    """A number per window of words that begins at one of the words `at`, equal for equal words only."""
+    word = arrays.spans(piece.bytes, words.starts, words.ends).dictionary_encode().indices.to_numpy().astype(np.int64)
+    code = word[at]
+    for k in range(1, REPEAT_WINDOW):
+        code = np.unique(code, return_inverse=True)[1] * len(word) + word[at + k]
+    return code
+
+
 def _statistics(piece: arrays.Piece) -> list[np.ndarray]:
+    """Counts per text. Hashes only tell which windows and lines may be equal; their words and bytes decide."""
     words = arrays.words_of(piece)
     inside = ~arrays.SEPARATORS[piece.bytes]
     chars = inside & ((piece.bytes & 0xC0) != 0x80)
@@ -231,8 +241,13 @@ def _statistics(piece: arrays.Piece) -> list[np.ndarray]:
     if len(starts):
         prefix = arrays.prefix_hash(hashes, "words")
         windows = arrays.span_hash(prefix, starts, starts + REPEAT_WINDOW, "words")
-        more, _ = _repeated(windows ^ texts[arrays.owners(words.offsets, starts)])
-        repeat = arrays.covered(len(words.starts), starts[more], REPEAT_WINDOW)
+        owner = arrays.owners(words.offsets, starts)
+        more, _ = _repeated(windows ^ texts[owner])
+        starts, owner = starts[more], owner[more]
+        if len(starts):
+            codes = np.unique(_equal_windows(piece, words, starts), return_inverse=True)[1]
+            starts = starts[_repeated(codes * piece.count + owner)[0]]
+        repeat = arrays.covered(len(words.starts), starts, REPEAT_WINDOW)
 
     breaks = np.flatnonzero(piece.bytes == 0x0A) + 1
     heads = np.unique(np.concatenate((piece.offsets[:-1], breaks)))
@@ -243,7 +258,11 @@ def _statistics(piece: arrays.Piece) -> list[np.ndarray]:
     heads, tails = heads[filled], tails[filled]
     owner = arrays.owners(piece.offsets, heads)
     lines = arrays.span_hash(arrays.prefix_hash(piece.bytes, "bytes"), heads, tails, "bytes")
-    _, later = _repeated(lines ^ texts[owner]) if len(heads) else (None, np.zeros(0, dtype=bool))
+    later = np.zeros(len(heads), dtype=bool)
+    if len(heads):
+        like = np.flatnonzero(_repeated(lines ^ texts[owner])[0])
+        codes = arrays.spans(piece.bytes, heads[like], tails[like]).dictionary_encode().indices.to_numpy().astype(np.int64)
+        later[like] = _repeated(codes * piece.count + owner[like])[1]
     return [
         np.diff(words.offsets),
         _per_text(chars, piece.offsets),

@@ -35,6 +35,8 @@ CHUNK = 1 << 15
 OVERLAP = 1 << 10
 #: Bytes of distinct words whose token counts a worker process remembers, over its tasks.
 KNOWN_BYTES = 12 << 20
+#: Bytes of short texts whose new words are encoded by one call.
+CALL_BYTES = 1 << 18
 
 WORD_SEAMS = r"(?=[\x09-\x0D\x20])|(?=[0-9])|(?<=[A-Za-zぁ-ゖァ-ヺ一-龥])(?=[.,;:!?()、。，！？])"
 
@@ -61,30 +63,39 @@ def _tokenizer(model: Broadcast):
     return _loaded[model.value]
 
 
+def _counts_of(words: list[bytes], model: Broadcast) -> list[int]:
+    """Tokens of each word, from one encoding of all of them with white space between."""
+    texts = [x.decode("utf-8") for x in words]
+    found = _tokenizer(model).encode(" ".join(texts), add_special_tokens=False)
+    starts = np.fromiter((a for a, _ in found.offsets), dtype=np.int64, count=len(found))
+    first = np.append(0, np.cumsum([len(x) + 1 for x in texts]))
+    return np.diff(np.searchsorted(starts, first)).tolist()
+
+
 def _short_counts(rows: DataFrame, model: Broadcast) -> DataFrame:
     """(doc_id, n_bytes, n_tokens) of texts that are not cut into chunks.
 
-    ASCII white space is a stable position too, so the words of a text are encoded by themselves, each once per worker.
+    ASCII white space is a stable position too, so words are encoded once per worker, apart from the texts they are in.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _known.setdefault(model.value, {})
-        size = sum(map(len, known))
+        held = sum(map(len, known))
         for batch in batches:
-            sizes, counts = [], []
-            for text in batch.column("text"):
-                raw = b"" if text.as_buffer() is None else text.as_buffer().to_pybytes()
-                words = raw.split()
-                new = list(set(words).difference(known))
-                found = _tokenizer(model).encode_batch_fast([x.decode("utf-8") for x in new], add_special_tokens=False)
-                known.update(zip(new, map(len, found), strict=True))
-                sizes.append(len(raw))
-                counts.append(sum(map(known.__getitem__, words)))
-                size += sum(map(len, new))
-                if size > KNOWN_BYTES:
+            raw = [b"" if x.as_buffer() is None else x.as_buffer().to_pybytes() for x in batch.column("text")]
+            sizes = np.fromiter(map(len, raw), dtype=np.int64, count=len(raw))
+            call = np.cumsum(sizes) // CALL_BYTES
+            counts = []
+            for at in np.split(np.arange(len(raw)), np.flatnonzero(np.diff(call)) + 1):
+                words = [raw[i].split() for i in at]
+                new = list(set().union(*words).difference(known))
+                known.update(zip(new, _counts_of(new, model), strict=True))
+                counts += [sum(map(known.__getitem__, own)) for own in words]
+                held += sum(map(len, new))
+                if held > KNOWN_BYTES:
                     known.clear()
-                    size = 0
-            columns = [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(counts, pa.int64())]
+                    held = 0
+            columns = [batch.column("doc_id"), pa.array(sizes), pa.array(counts, pa.int64())]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_bytes", "n_tokens"])
 
     return rows.select("doc_id", "text").mapInArrow(run, "doc_id long, n_bytes long, n_tokens long")

@@ -48,6 +48,19 @@ def test_counts(make_docs, odd_rows):
         assert r.base_failed == failed and not (failed and r.kept)
 
 
+def test_lines_and_words_of_one_weak_hash_are_told_apart(make_docs):
+    """The Thue-Morse word and its complement agree under every polynomial hash modulo 2**64."""
+    rows = []
+    for i, size in enumerate((1024, 2048, 4096)):
+        a = "a"
+        while len(a) < size:
+            a += a.translate(str.maketrans("ab", "ba"))
+        b = a.translate(str.maketrans("ab", "ba"))
+        rows += [(10 * i, f"{a}\n{b}\nx\n{a}"), (10 * i + 1, " ".join([a] * 8 + [b] + [a] * 7)), (10 * i + 2, " ".join([a, b] * 30))]
+    got = px.quality(make_docs(rows)).collect()
+    assert sorted((r.doc_id, *(r[c] for c in px.COUNTS)) for r in got) == sorted((i, *counts_truth(t)) for i, t in rows)
+
+
 def model_truth(texts, order):
     """Interpolated modified Kneser-Ney over the bytes of the texts: probabilities and back-off weights per order."""
     levels = {order: Counter()}

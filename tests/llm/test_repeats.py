@@ -71,10 +71,9 @@ def key(row):
     return tuple("" if x is None else str(x) for x in row)
 
 
-@pytest.mark.parametrize("frequent", [repeats.FREQUENT, 3])
-def test_words(make_docs, monkeypatch, frequent):
-    monkeypatch.setattr(repeats, "FREQUENT", frequent)
-    rows = corpus(1)
+@pytest.mark.parametrize("seed", [1, 4])
+def test_words(make_docs, seed):
+    rows = corpus(seed)
     found = substring_dedup.deduplicated(make_docs(rows), window=5).collect()
     got = [(r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in found]
     assert sorted(got) == sorted(word_truth(rows, 5))
@@ -91,6 +90,32 @@ def test_bytes(make_docs, monkeypatch, frequent):
     assert sorted(got) == sorted(byte_truth(rows, 24))
 
 
+def thue_morse(size):
+    a = "a"
+    while len(a) < size:
+        a += a.translate(str.maketrans("ab", "ba"))
+    return a, a.translate(str.maketrans("ab", "ba"))
+
+
+def test_words_of_one_weak_hash_are_told_apart(make_docs):
+    rows = []
+    for size in (1024, 4096):
+        a, b = thue_morse(size)
+        rows += [(size, " ".join([a] * 13)), (size + 1, " ".join([b] * 13)), (size + 2, " ".join([a, b] * 8)), (size + 3, " ".join([a] * 14))]
+    found = substring_dedup.deduplicated(make_docs(rows), keep_text=False).collect()
+    assert sorted(map(key, found)) == sorted(map(key, word_truth(rows, 13)))
+
+
+def test_many_copies_and_branches_of_one_passage(make_docs):
+    """Copies are reduced to one run; what differs at both ends of the passage branches off and stays."""
+    passage = " ".join(f"p{i}" for i in range(30))
+    draw = random.Random(6)
+    rows = [(i, " ".join([f"l{draw.randrange(3)}"] * 3 + [passage] + [f"r{draw.randrange(3)}"] * 20)) for i in range(60)]
+    rows += [(i, passage + " " + passage) for i in range(60, 90)]
+    found = substring_dedup.deduplicated(make_docs(rows), keep_text=False).collect()
+    assert sorted(map(key, found)) == sorted(map(key, word_truth(rows, 13)))
+
+
 def test_odd_rows(make_docs, odd_rows):
     docs = make_docs(odd_rows)
     words = substring_dedup.deduplicated(docs, keep_text=False).collect()
