@@ -151,9 +151,48 @@ def span_hash(prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray, kind: st
     return mix((prefix[ends] - prefix[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
 
 
+#: The prime field of the second hash of words, and the number whose powers weight the bytes there.
+PRIME = (1 << 31) - 1
+FIELD_BASE = 0x5BD1E995 % PRIME
+_BLOCK = 1 << 22
+
+
+def _field_powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    held = _powers.get("field")
+    if held is None or len(held[0]) < n:
+        size, tables = max(n, PIECE_BYTES + 1), []
+        for base in (FIELD_BASE, pow(FIELD_BASE, -1, PRIME)):
+            table = np.ones(1, dtype=np.uint64)
+            while len(table) < size:
+                table = np.append(table, table * np.uint64(pow(base, len(table), PRIME)) % np.uint64(PRIME))
+            tables.append(table.astype(np.uint32))
+        held = (tables[0], tables[1])
+        if size <= 4 * PIECE_BYTES:
+            _powers["field"] = held
+    return held
+
+
+def field_hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hash below PRIME of each span of bytes, polynomial in the prime field.
+
+    Modulo 2**64 some texts agree whatever the base is (the Thue-Morse word and its complement); here they do not.
+    """
+    prime = np.uint64(PRIME)
+    powers, inverse = _field_powers(len(data) + 1)
+    prefix, carry = np.zeros(len(data) + 1, dtype=np.uint64), np.uint64(0)
+    for a in range(0, len(data), _BLOCK):
+        part = (data[a : a + _BLOCK] + np.uint64(1)) * powers[a : min(a + _BLOCK, len(data))]
+        np.cumsum(part, out=part)
+        prefix[a + 1 : a + 1 + len(part)] = part + carry
+        carry = prefix[a + len(part)] % prime
+    return (prefix[ends] % prime + prime - prefix[starts] % prime) % prime * inverse[starts] % prime
+
+
 def word_hashes(piece: Piece, words: Words, lower: bool = False) -> np.ndarray:
+    """64-bit hash per word, from a hash modulo 2**64 and one in a prime field."""
     data = LOWER[piece.bytes] if lower else piece.bytes
-    return span_hash(prefix_hash(data, "bytes"), words.starts, words.ends, "bytes")
+    plain = span_hash(prefix_hash(data, "bytes"), words.starts, words.ends, "bytes")
+    return mix(plain + field_hash(data, words.starts, words.ends) * np.uint64(0x9FB21C651E98DF25))
 
 
 def window_starts(offsets: np.ndarray, width: int) -> np.ndarray:

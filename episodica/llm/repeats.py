@@ -39,7 +39,7 @@ def texts(docs: DataFrame) -> DataFrame:
     return rows.filter(F.col("text").isNotNull())
 
 
-def anchor_sketch(docs: DataFrame, find: Finder) -> Broadcast:
+def anchor_sketch(docs: DataFrame, find: Finder, gathered: int = GATHERED, piece_bytes: int = arrays.PIECE_BYTES) -> Broadcast:
     """Broadcast of two bitmaps: anchors that may occur more than once, and those that may be frequent.
 
     find gives the anchors of the texts of a piece and how often each counts there. No more than 2 * 2**BITS / 8 bytes
@@ -65,11 +65,11 @@ def anchor_sketch(docs: DataFrame, find: Finder) -> Broadcast:
             held.clear()
 
         for batch in batches:
-            for piece in arrays.pieces(batch.column("text")):
+            for piece in arrays.pieces(batch.column("text"), piece_bytes):
                 anchors, counts = find(piece)
                 if len(anchors):
                     held.append((anchors, counts))
-            if sum(len(a) for a, _ in held) > GATHERED:
+            if sum(len(a) for a, _ in held) > gathered:
                 yield from sent()
         if held:
             yield from sent()

@@ -1,26 +1,26 @@
 """Removal of repeated word sequences by compacting the De Bruijn graph of word k-mers.
 
-The edges of the graph are the windows of 13 words. Texts are cut into runs of windows with one anchor (the least hash of
-the shorter grams in the window, which the window alone decides), and runs whose anchor occurs once are left out. Equal
-runs are reduced to one, with its first occurrence: they are compared as words, not as hashes. Only where one anchor has
-several different runs, the paths branch, and single edges, again as words, find their first occurrence. A run, or an edge
-of it, is a repeat wherever it occurs in a document behind its source. Consecutive repeats whose sources are consecutive
-too, so that no branch lies between them, are compacted into one path by the distance of their coordinates: a long
-repeated span with the place of both copies. Its words are covered and removed.
-
-No key is brought together whole: runs, edges and occurrences are reduced on the map side or met by joins that Spark can
-split.
+The edges of the graph are the windows of 13 words, each known by 96 bits of two hashes over its words, which both must
+agree (each word by a hash modulo 2**64 and one in a prime field). Runs of windows with one anchor meet in one task, where each distinct edge finds its
+first source, the occurrence in the smallest doc_id. An edge of a later document is a repeat of that source. Consecutive
+repeats whose sources are consecutive too, so that no branch lies between them, are one path: inside a run they are
+compacted where they are found, and across runs by the distance of their coordinates. A path is a long repeated span with
+the coordinates of both copies; its words are covered and removed.
+
+Frequent anchors do not meet in one task. Their equal runs are reduced to one first, with its first and last document;
+only the edges of distinct runs are unfolded, reduced per edge, and the sources are joined back once per run.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 from pyspark.broadcast import Broadcast
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -29,75 +29,156 @@ from episodica.llm.bitmaps import bitmap, with_possible
 from episodica.session import durable
 
 WINDOW = 13
-GRAM = 6
+GRAM = 3
 RUN_WINDOWS = 16
 DOC_BITS = 22
-
-
-def _runs(piece: arrays.Piece, window: int) -> tuple[arrays.Words, arrays.Runs]:
+#: Anchors that a task gathers before it sends them to be counted.
+GATHERED = 500_000
+#: Bytes of text that a task works on at a time.
+PIECE_BYTES = 1 << 18
+#: Rows of a batch that Spark hands to Python; whole texts are long, and a batch is held on both sides.
+BATCH_ROWS = "2000"
+
+
+@contextmanager
+def _small_batches(spark: SparkSession) -> Iterator[None]:
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, BATCH_ROWS)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+def _runs(piece: arrays.Piece, window: int) -> tuple[arrays.Words, np.ndarray, np.ndarray, arrays.Runs]:
     words = arrays.words_of(piece)
-    prefix = arrays.prefix_hash(arrays.word_hashes(piece, words), "words")
+    hashes = arrays.word_hashes(piece, words)
+    prefix = arrays.prefix_hash(hashes, "words")
     gram = min(GRAM, window)
-    return words, arrays.anchored_runs(prefix, "words", words.offsets, window, gram, RUN_WINDOWS)
+    return words, hashes, prefix, arrays.anchored_runs(prefix, "words", words.offsets, window, gram, RUN_WINDOWS)
 
 
 def _anchors(window: int):
     def find(piece: arrays.Piece) -> tuple[np.ndarray, np.ndarray]:
         """Distinct anchors of the runs and how often each occurs."""
-        return np.unique(_runs(piece, window)[1].anchor, return_counts=True)
+        return np.unique(_runs(piece, window)[3].anchor, return_counts=True)
 
     return find
 
 
-def _occurrences(rows: DataFrame, sketch: Broadcast, window: int) -> DataFrame:
-    """(anchor, run, doc_id, mark, start) of the runs whose anchor may repeat; run holds their words, joined by one space."""
-    names = ["anchor", "run", "doc_id", "mark", "start"]
+def _edge_runs(rows: DataFrame, sketch: Broadcast, window: int, frequent: bool) -> DataFrame:
+    """(anchor, doc_id, mark, start, edges, checks) of the runs whose anchor may repeat: both hashes of each window."""
+    names = ["anchor", "doc_id", "mark", "start", "edges", "checks"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for piece in arrays.pieces(batch.column("text")):
-                words, runs = _runs(piece, window)
-                keep = repeats.marked(sketch.value[0], runs.anchor) if len(runs.anchor) else np.zeros(0, dtype=bool)
-                start, text = runs.start[keep], runs.text[keep]
+            for piece in arrays.pieces(batch.column("text"), PIECE_BYTES):
+                words, hashes, prefix, runs = _runs(piece, window)
+                if not len(runs.anchor):
+                    continue
+                keep = repeats.marked(sketch.value[0], runs.anchor)
+                keep &= repeats.marked(sketch.value[1], runs.anchor) == frequent
+                start, count, text = runs.start[keep], runs.windows[keep], runs.text[keep]
                 if not len(start):
                     continue
-                joined, place = arrays.single_spaced(piece.bytes, words)
-                content = arrays.spans(joined, place[start], place[start + runs.windows[keep] + window - 1] - 1)
+                at = arrays.ranges(start, count)
+                edges = arrays.span_hash(prefix, at, at + window, "words").view(np.int64)
+                second = arrays.prefix_hash(arrays.mix(~hashes), "bytes")
+                checks = (arrays.span_hash(second, at, at + window, "bytes") >> np.uint64(32)).astype(np.uint32).view(np.int32)
+                cuts = pa.array(np.append(0, np.cumsum(count)).astype(np.int32))
                 owner = pa.array(text + piece.rows.start)
-                at = pa.array((start - words.offsets[text]).astype(np.int64))
-                columns = [pa.array(runs.anchor[keep].view(np.int64)), content, batch.column("doc_id").take(owner), batch.column("mark").take(owner), at]
+                columns = [
+                    pa.array(runs.anchor[keep].view(np.int64)),
+                    batch.column("doc_id").take(owner),
+                    batch.column("mark").take(owner),
+                    pa.array((start - words.offsets[text]).astype(np.int32)),
+                    pa.ListArray.from_arrays(cuts, pa.array(edges)),
+                    pa.ListArray.from_arrays(cuts, pa.array(checks)),
+                ]
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return rows.mapInArrow(run, "anchor long, run string, doc_id long, mark long, start long")
+    return rows.mapInArrow(run, "anchor long, doc_id long, mark long, start int, edges array<long>, checks array<int>")
 
 
-def _edges(runs: DataFrame, window: int) -> DataFrame:
-    """(edge, first, i): every window of distinct runs as words, with the run's first occurrence as its name."""
-    words = F.split("run", " ", -1)
-    at = F.explode(F.sequence(F.lit(0), F.size("words") - window)).alias("i")
-    split = runs.select("first", words.alias("words")).select("first", "words", at)
-    return split.select(F.array_join(F.slice("words", F.col("i") + 1, window), " ").alias("edge"), "first", "i")
+def _first_sources(runs: DataFrame) -> DataFrame:
+    """(doc_id, mark, start, windows, source_doc, source_start): stretches of edges that a smaller doc_id has, per run.
 
+    All edges of an anchor meet in one task, sorted by anchor; a task works on some thousand runs at a time.
+    """
+    names = ["doc_id", "mark", "start", "windows", "source_doc", "source_start"]
+
+    def resolved(rows: pa.Table) -> pa.RecordBatch | None:
+        edges = rows["edges"].combine_chunks()
+        counts = np.diff(edges.offsets.to_numpy())
+        values, checks = edges.flatten().to_numpy(), rows["checks"].combine_chunks().flatten().to_numpy()
+        if not len(values):
+            return None
+        doc = np.repeat(rows["doc_id"].to_numpy(), counts)
+        inside = arrays.ranges(np.zeros(len(counts), dtype=np.int64), counts)
+        at = np.repeat(rows["start"].to_numpy().astype(np.int64), counts) + inside
+        order = np.lexsort((at, doc, checks, values))
+        new = np.append(True, (values[order][1:] != values[order][:-1]) | (checks[order][1:] != checks[order][:-1]))
+        head = order[np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))]
+        source = np.empty(len(order), dtype=np.int64)
+        source[order] = head
+        source_doc, source_at = doc[source], at[source]
+        hit = source_doc < doc
+        row = np.repeat(np.arange(len(counts)), counts)
+        follows = np.zeros(len(hit), dtype=bool)
+        follows[1:] = hit[1:] & hit[:-1] & (row[1:] == row[:-1]) & (source_doc[1:] == source_doc[:-1])
+        follows[1:] &= source_at[1:] - source_at[:-1] == 1
+        first = np.flatnonzero(hit & ~follows)
+        if not len(first):
+            return None
+        length = np.diff(np.append(np.cumsum(hit)[first] - 1, hit.sum()))
+        owner = pa.array(row[first])
+        columns = [rows["doc_id"].combine_chunks().take(owner), rows["mark"].combine_chunks().take(owner)]
+        columns += [pa.array(x.astype(np.int64)) for x in (at[first], length, source_doc[first], source_at[first])]
+        return pa.RecordBatch.from_arrays(columns, names=names)
 
-def _sources(runs: DataFrame, window: int) -> DataFrame:
-    """(run, parts): stretches (i, windows, source_doc, source_start) of the windows of each distinct run that some document
-    repeats; the whole run at once if no other run has its anchor."""
-    shared = durable(runs.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("anchor"), "branching")
-    whole = F.struct(
-        F.lit(0).alias("i"),
-        (F.size(F.split("run", " ", -1)) - window + 1).alias("windows"),
-        F.col("first.doc_id").alias("source_doc"),
-        F.col("first.start").alias("source_start"),
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.Table | None = None
+        for batch in batches:
+            held = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
+            anchors = held["anchor"].to_numpy()
+            cut = int(np.searchsorted(anchors, anchors[-1])) if len(anchors) else 0
+            if cut:
+                out = resolved(held.slice(0, cut))
+                if out is not None:
+                    yield out
+                held = held.slice(cut)
+        if held is not None and held.num_rows:
+            out = resolved(held)
+            if out is not None:
+                yield out
+
+    together = runs.repartition("anchor").sortWithinPartitions("anchor")
+    return together.mapInArrow(run, "doc_id long, mark long, start long, windows long, source_doc long, source_start long")
+
+
+def _frequent_sources(found: DataFrame) -> DataFrame:
+    """The same for frequent anchors: equal runs are reduced first, and the edges of distinct runs on the map side."""
+    found = durable(found, "frequent")
+    name = ["anchor", "edges", "checks"]
+    runs = found.groupBy(*name).agg(F.min(F.struct("doc_id", "mark", "start")).alias("first"), F.max("doc_id").alias("last"))
+    runs = durable(runs, "runs")
+    each = runs.select("first", "last", F.posexplode(F.arrays_zip("edges", "checks")).alias("i", "edge"))
+    place = F.struct("first.doc_id", (F.col("first.start") + F.col("i")).cast("long").alias("start"))
+    sources = durable(each.groupBy("edge").agg(F.min(place).alias("source"), F.max("last").alias("last")), "sources")
+    sources = sources.filter(F.col("source.doc_id") < F.col("last")).select("edge", "source")
+    parts = each.join(sources, "edge").filter(F.col("source.doc_id") < F.col("last"))
+    parts = parts.groupBy("first").agg(F.collect_list(F.struct("i", "source")).alias("parts"))
+    met = found.join(runs.join(parts, "first").select(*name, "parts"), name)
+    met = met.select("doc_id", "mark", "start", F.explode("parts").alias("part")).filter(F.col("part.source.doc_id") < F.col("doc_id"))
+    return met.select(
+        "doc_id",
+        "mark",
+        (F.col("start") + F.col("part.i")).cast("long").alias("start"),
+        F.lit(1).cast("long").alias("windows"),
+        F.col("part.source.doc_id").alias("source_doc"),
+        F.col("part.source.start").alias("source_start"),
     )
-    alone = runs.join(shared, "anchor", "left_anti").filter(F.col("first.doc_id") < F.col("last")).select("run", F.array(whole).alias("parts"))
-    branching = durable(runs.join(shared, "anchor", "left_semi"), "branches")
-    edges = durable(_edges(branching, window), "edges")
-    place = F.struct("first.doc_id", (F.col("first.start") + F.col("i")).alias("start"))
-    firsts = edges.groupBy("edge").agg(F.min(place).alias("source"))
-    part = F.struct("i", F.lit(1).alias("windows"), F.col("source.doc_id").alias("source_doc"), F.col("source.start").alias("source_start"))
-    parts = edges.join(firsts, "edge").groupBy("first").agg(F.collect_list(part).alias("parts"))
-    met = branching.join(parts, "first").filter(F.exists("parts", lambda x: x["source_doc"] < F.col("last")))
-    return alone.unionByName(met.select("run", "parts"))
 
 
 def repeated_paths(docs: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -107,14 +188,12 @@ def repeated_paths(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     have no place in the order and take no part.
     """
     rows = repeats.texts(docs).filter("doc_id is not null")
-    sketch = repeats.anchor_sketch(rows, _anchors(window))
-    found = durable(_occurrences(rows, sketch, window), "occurrences")
-    first = F.min(F.struct("doc_id", "mark", "start")).alias("first")
-    runs = durable(found.groupBy("anchor", "run").agg(first, F.max("doc_id").alias("last")), "runs")
-    met = found.join(_sources(runs, window), "run").select("doc_id", "mark", "start", F.explode("parts").alias("part"))
-    met = met.filter(F.col("part.source_doc") < F.col("doc_id"))
-    at = (F.col("start") + F.col("part.i")).alias("start")
-    pieces = durable(met.select("doc_id", "mark", at, F.col("part.windows").alias("windows"), "part.source_doc", "part.source_start"), "pieces")
+    with _small_batches(docs.sparkSession):
+        sketch = repeats.anchor_sketch(rows, _anchors(window), GATHERED, PIECE_BYTES)
+        pieces = _first_sources(_edge_runs(rows, sketch, window, False))
+        if repeats.any_marked(sketch.value[1]):
+            pieces = pieces.unionByName(_frequent_sources(_edge_runs(rows, sketch, window, True)))
+        pieces = durable(pieces, "pieces")
     line = W.partitionBy("doc_id", "mark", "source_doc", "shift").orderBy("start")
     joined = (
         pieces.withColumn("shift", F.col("start") - F.col("source_start"))
@@ -144,7 +223,7 @@ def _kept(rows: DataFrame, spans: bool, keep_text: bool) -> DataFrame:
         for batch in batches:
             given = batch.column("spans").to_pylist() if spans else None
             total, removed, digests, kept_texts = [], [], [], []
-            for piece in arrays.pieces(batch.column("text")):
+            for piece in arrays.pieces(batch.column("text"), PIECE_BYTES):
                 words = arrays.words_of(piece)
                 drop = np.zeros(len(words.starts), dtype=bool)
                 if given is not None:

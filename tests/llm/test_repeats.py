@@ -7,7 +7,7 @@ import re
 import numpy as np
 import pytest
 
-from episodica.llm import repeats, substring_dedup, suffix_dedup
+from episodica.llm import arrays, repeats, substring_dedup, suffix_dedup
 
 WORD = re.compile("[^\x20\x09-\x0d]+")
 
@@ -71,9 +71,10 @@ def key(row):
     return tuple("" if x is None else str(x) for x in row)
 
 
-@pytest.mark.parametrize("seed", [1, 4])
-def test_words(make_docs, seed):
-    rows = corpus(seed)
+@pytest.mark.parametrize("frequent", [repeats.FREQUENT, 3])
+def test_words(make_docs, monkeypatch, frequent):
+    monkeypatch.setattr(repeats, "FREQUENT", frequent)
+    rows = corpus(1)
     found = substring_dedup.deduplicated(make_docs(rows), window=5).collect()
     got = [(r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in found]
     assert sorted(got) == sorted(word_truth(rows, 5))
@@ -97,7 +98,19 @@ def thue_morse(size):
     return a, a.translate(str.maketrans("ab", "ba"))
 
 
-def test_words_of_one_weak_hash_are_told_apart(make_docs):
+def test_hash_in_the_field_is_the_polynomial(monkeypatch):
+    monkeypatch.setattr(arrays, "_BLOCK", 64)
+    draw = np.random.default_rng(4)
+    data = draw.integers(0, 256, 300).astype(np.uint8)
+    starts = draw.integers(0, 300, 200)
+    ends = np.minimum(starts + draw.integers(0, 150, 200), 300)
+    want = [sum((v + 1) * pow(arrays.FIELD_BASE, i, arrays.PRIME) for i, v in enumerate(data[a:b].tolist())) % arrays.PRIME for a, b in zip(starts, ends, strict=True)]
+    assert arrays.field_hash(data, starts, ends).tolist() == want
+
+
+@pytest.mark.parametrize("frequent", [repeats.FREQUENT, 2])
+def test_words_of_one_weak_hash_are_told_apart(make_docs, monkeypatch, frequent):
+    monkeypatch.setattr(repeats, "FREQUENT", frequent)
     rows = []
     for size in (1024, 4096):
         a, b = thue_morse(size)
@@ -106,8 +119,10 @@ def test_words_of_one_weak_hash_are_told_apart(make_docs):
     assert sorted(map(key, found)) == sorted(map(key, word_truth(rows, 13)))
 
 
-def test_many_copies_and_branches_of_one_passage(make_docs):
+@pytest.mark.parametrize("frequent", [repeats.FREQUENT, 20])
+def test_many_copies_and_branches_of_one_passage(make_docs, monkeypatch, frequent):
     """Copies are reduced to one run; what differs at both ends of the passage branches off and stays."""
+    monkeypatch.setattr(repeats, "FREQUENT", frequent)
     passage = " ".join(f"p{i}" for i in range(30))
     draw = random.Random(6)
     rows = [(i, " ".join([f"l{draw.randrange(3)}"] * 3 + [passage] + [f"r{draw.randrange(3)}"] * 20)) for i in range(60)]
