@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -15,6 +13,8 @@ from episodica.operators.ordered import hash_ranked, ranked
 from episodica.session import durable
 
 BLOCK_ROWS = 20_000
+#: Pivots of the nearest-neighbour join; they and three numbers per cell go to every task.
+PIVOTS = 256
 
 
 def sample_n(df: DataFrame, key: str, n: int, seed: object = 42) -> DataFrame:
@@ -103,29 +103,17 @@ def undersample(df: DataFrame, y: str, key: str, seed: object = 42) -> DataFrame
     return df.filter(F.col(y) != large).unionByName(kept)
 
 
-def nearest(
-    queries: DataFrame, points: DataFrame, k: int, key: str, vector: str, block_rows: int = BLOCK_ROWS
-) -> DataFrame:
-    """The k points closest to each query (Euclidean), exactly; a query is not its own neighbour.
+def _distances(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
+    """Distance of every row of x to every pivot, from the differences themselves, some rows at a time."""
+    out = np.empty((len(x), len(pivots)))
+    step = max(1, 2_000_000 // max(1, pivots.size))
+    for a in range(0, len(x), step):
+        out[a : a + step] = np.sqrt(((x[a : a + step, None, :] - pivots[None, :, :]) ** 2).sum(axis=2))
+    return out
 
-    Points and queries are cut by hash into blocks of about block_rows rows, whatever their distribution. Each pair of
-    blocks is one bounded task that returns k candidates per query, so no list of pairs is ever formed; the k best
-    over all point blocks remain. The arithmetic is queries times points: meant for the rare class of a data set.
-    """
-    n_blocks = max(1, math.ceil(points.count() / block_rows))
-    n_slices = max(1, math.ceil(queries.count() / block_rows))
-    p = points.select(F.col(key).alias("p_id"), F.col(vector).alias("p_x")).withColumns(
-        {
-            "_block": F.pmod(F.xxhash64("p_id"), F.lit(n_blocks)),
-            "_slice": F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_slices - 1).cast("long"))),
-        }
-    )
-    q = queries.select(F.col(key).alias("q_id"), F.col(vector).alias("q_x")).withColumns(
-        {
-            "_slice": F.pmod(F.xxhash64("q_id"), F.lit(n_slices)),
-            "_block": F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_blocks - 1).cast("long"))),
-        }
-    )
+
+def _closest(k: int):
+    """The k closest points of every query in one pair of blocks, if not farther than known; ties by the id of the point."""
 
     def best(qs: pd.DataFrame, ps: pd.DataFrame) -> pd.DataFrame:
         if qs.empty or ps.empty:
@@ -137,23 +125,110 @@ def nearest(
         out = []
         for start in range(0, len(qs), 512):
             part = qs.iloc[start : start + 512]
-            q_id, qx = part["q_id"].to_numpy(), np.stack(part["q_x"].to_numpy())
+            q_id, qx, known = part["q_id"].to_numpy(), np.stack(part["q_x"].to_numpy()), part["known"].to_numpy(dtype=float)
             squared = (qx * qx).sum(axis=1)[:, None] + p_norm[None, :] - 2.0 * qx @ px.T
             squared[q_id[:, None] == p_id[None, :]] = np.inf
             # everything up to the k-th distance, ties and what rounding may hide included; exact distances decide
             kth = np.partition(squared, min(k, len(p_id)) - 1, axis=1)[:, min(k, len(p_id)) - 1]
             slack = 1e-12 * (np.sqrt((qx * qx).sum(axis=1)) + size) ** 2 * qx.shape[1]
-            for i in range(len(q_id)):
-                row = np.flatnonzero((squared[i] <= kth[i] + slack[i]) & np.isfinite(squared[i]))
-                exact = np.sqrt(((qx[i] - px[row]) ** 2).sum(axis=1))
-                chosen = np.lexsort((p_id[row], exact))[:k]
-                out.append(pd.DataFrame({"q_id": q_id[i], "p_id": p_id[row][chosen], "distance": exact[chosen]}))
+            row, point = np.nonzero((squared <= np.fmin(kth, known**2)[:, None] + slack[:, None]) & np.isfinite(squared))
+            exact = np.sqrt(((qx[row] - px[point]) ** 2).sum(axis=1))
+            order = np.lexsort((point, exact, row))
+            row, point, exact = row[order], point[order], exact[order]
+            chosen = np.arange(len(row)) - np.searchsorted(row, row) < k
+            out.append(pd.DataFrame({"q_id": q_id[row[chosen]], "p_id": p_id[point[chosen]], "distance": exact[chosen]}))
         return pd.concat(out, ignore_index=True)
 
-    grouped = q.groupBy("_block", "_slice").cogroup(p.groupBy("_block", "_slice"))
-    candidates = grouped.applyInPandas(best, "q_id long, p_id long, distance double")
-    place = F.row_number().over(W.partitionBy("q_id").orderBy("distance", "p_id"))
-    return candidates.withColumn("place", place).filter(F.col("place") <= k)
+    return best
+
+
+def _met(visits: DataFrame, placed: DataFrame, k: int, block_rows: int) -> DataFrame:
+    """(q_id, p_id, distance): the k closest points of every visited cell, or more. Cells with many points or visits are cut
+    by hash into blocks of about block_rows rows, so that a pair of blocks is one bounded task whatever the distribution."""
+    parts = lambda df, out: df.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / block_rows).alias(out))
+    sizes = durable(parts(visits, "_slices").join(parts(placed, "_blocks"), "cell"), "cells")
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    own = lambda key, n: F.pmod(F.xxhash64(key), F.col(n))
+    q = visits.join(sizes, "cell").withColumns({"_slice": own("q_id", "_slices"), "_block": every("_blocks")})
+    p = placed.join(sizes, "cell").withColumns({"_block": own("p_id", "_blocks"), "_slice": every("_slices")})
+    keys = ["cell", "_block", "_slice"]
+    met = q.select(*keys, "q_id", "q_x", "known").groupBy(*keys).cogroup(p.select(*keys, "p_id", "p_x").groupBy(*keys))
+    return met.applyInPandas(_closest(k), "q_id long, p_id long, distance double")
+
+
+def _visits(queries: DataFrame, pivots: np.ndarray, cells: pd.DataFrame, k: int) -> DataFrame:
+    """(q_id, q_x, known, cell) of the cells that can hold one of the k nearest points of a query.
+
+    queries has q_id, q_x, known (a distance within which k points are known to lie, or null), and first: the cell looked
+    at before, or null, in which case the closest cell alone is returned. A cell is left out if one of three lower bounds
+    of its distances (outer radius, inner radius, half the difference to the closest pivot) is over the known distance.
+    """
+    number, outer, inner = cells["n"].to_numpy(), cells["outer"].to_numpy(), cells["inner"].to_numpy()
+    center, name = pivots[cells["cell"].to_numpy()], cells["cell"].to_numpy()
+
+    def visit(batches):
+        for batch in batches:
+            if batch.empty:
+                continue
+            x = np.stack(batch["q_x"].to_numpy())
+            away = _distances(x, center)
+            first, known = batch["first"].to_numpy(dtype=float), batch["known"].to_numpy(dtype=float)
+            new = np.isnan(first)
+            reach = np.zeros(away.shape, dtype=bool)
+            reach[new, away[new].argmin(axis=1)] = True
+            far = away + outer
+            order = np.argsort(far, axis=1)
+            enough = (np.cumsum(number[order], axis=1) > k).argmax(axis=1)  # one more than k: a query may be a point itself
+            bound = np.where(number.sum() > k, far[np.arange(len(x)), order[np.arange(len(x)), enough]], np.inf)
+            bound = np.fmin(bound, known)
+            least = np.maximum(np.maximum(away - outer, inner - away), (away - away.min(axis=1, keepdims=True)) / 2)
+            slack = 1e-9 * (1 + away + outer)
+            again = (least <= bound[:, None] + slack) & (name[None, :] != first[:, None])
+            reach[~new] = again[~new]
+            row, cell = np.nonzero(reach)
+            if len(row):
+                yield pd.DataFrame({"q_id": batch["q_id"].to_numpy()[row], "q_x": list(x[row]), "known": known[row], "cell": name[cell]})
+
+    return queries.mapInPandas(visit, "q_id long, q_x array<double>, known double, cell long")
+
+
+def nearest(
+    queries: DataFrame, points: DataFrame, k: int, key: str, vector: str, block_rows: int = BLOCK_ROWS, pivots: int = PIVOTS
+) -> DataFrame:
+    """The k points closest to each query (Euclidean), exactly, ties by the id of the point; a query is not its own neighbour.
+
+    Points belong to the cell of their closest pivot. A query first meets the points of its own cell, which bounds its k-th
+    distance, and then only those other cells that the triangle inequality does not rule out. `pivots` points, those of
+    least md5, are the pivots; they and three numbers per cell are all that reaches the driver. How many cells a query
+    meets depends on the data: few where points form groups, most where all distances are alike.
+    """
+    spark = queries.sparkSession
+    schema = "q_id long, p_id long, distance double, place int"
+    points = points.select(F.col(key).cast("long").alias("p_id"), F.col(vector).cast("array<double>").alias("p_x"))
+    chosen = [r["p_x"] for r in points.orderBy(F.md5(F.col("p_id").cast("string")), "p_id").limit(pivots).collect()]
+    if not chosen:
+        return spark.createDataFrame([], schema)
+    center = np.unique(np.asarray(chosen, dtype=float), axis=0)
+
+    def place(batches):
+        for batch in batches:
+            if not batch.empty:
+                away = _distances(np.stack(batch["p_x"].to_numpy()), center)
+                yield batch.assign(cell=away.argmin(axis=1), away=away.min(axis=1))
+
+    placed = durable(points.mapInPandas(place, "p_id long, p_x array<double>, cell long, away double"), "placed")
+    cells = placed.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("away").alias("outer"), F.min("away").alias("inner"))
+    cells = cells.orderBy("cell").toPandas()
+    q = durable(queries.select(F.col(key).cast("long").alias("q_id"), F.col(vector).cast("array<double>").alias("q_x")), "queries")
+    nothing = F.lit(None).cast("double")
+    first = durable(_visits(q.select("q_id", "q_x", nothing.alias("known"), nothing.alias("first")), center, cells, k), "visits")
+    found = durable(_met(first, placed, k, block_rows), "found")
+    best = W.partitionBy("q_id").orderBy("distance", "p_id")
+    known = found.withColumn("place", F.row_number().over(best)).filter(F.col("place") == k).select("q_id", F.col("distance").alias("known"))
+    again = first.drop("known").join(known, "q_id", "left").select("q_id", "q_x", "known", F.col("cell").cast("double").alias("first"))
+    others = durable(_visits(again, center, cells, k), "visits")
+    found = found.unionByName(_met(others, placed, k, block_rows))
+    return found.withColumn("place", F.row_number().over(best)).filter(F.col("place") <= k)
 
 
 def smote(df: DataFrame, y: str, key: str, vector: str, k: int = 5, seed: object = 42) -> DataFrame:

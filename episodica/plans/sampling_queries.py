@@ -142,12 +142,18 @@ def smote(spark, sf):
 @query("class_handling", with_views("""SELECT 'none' AS how, y_true, count(*) AS n, round(sum(1.0), 3) AS total FROM predictions GROUP BY y_true
     UNION ALL SELECT 'class_weighting', y_true, count(*), round(n / 2.0, 3) FROM predictions, (SELECT count(*) AS n FROM predictions) x GROUP BY y_true, n
     UNION ALL SELECT 'random_over', y, n0, n0 FROM sizes, (VALUES (0), (1)) v(y)
-    UNION ALL SELECT 'random_under', y, n1, n1 FROM sizes, (VALUES (0), (1)) v(y)""", "predictions", sizes=SIZES))
+    UNION ALL SELECT 'random_under', y, n1, n1 FROM sizes, (VALUES (0), (1)) v(y)
+    UNION ALL SELECT how, y, n, n FROM (SELECT 'near_miss' AS how, count(*) FILTER (y = 1) AS n FROM rare
+    UNION ALL SELECT 'smote', count(*) FILTER (y = 0) FROM rare) r, (VALUES (0), (1)) v(y)""", "predictions", sizes=SIZES, rare=RARE))
 def class_handling(spark, sf):
     from episodica.operators.reshape import union_with_label
 
     preds = P.predictions(spark, sf).select("id", F.col("y_pred").alias("x"), "y_true")
     frames = {how: sp.rebalance(preds, "y_true", "id", "x", how) for how in ("none", "class_weighting", "random_over", "random_under")}
+    vectors = rare_vectors(spark, sf).withColumnRenamed("y", "y_true")
+    for how in ("near_miss", "smote"):  # both need vectors and a class that is clearly smaller
+        frames[how] = sp.rebalance(vectors, "y_true", "id", "x", how).select("id", F.lit(0.0).alias("x"), "y_true", "weight")
+    frames = {how: df.select("id", "x", "y_true", "weight") for how, df in frames.items()}
     return union_with_label(frames, "how").groupBy("how", "y_true").agg(
         F.count(F.lit(1)).alias("n"), F.round(F.sum("weight"), 3).alias("total"))
 

@@ -72,6 +72,29 @@ def test_nearest_among_copies(spark):
     assert out.count() == 82
 
 
+@pytest.mark.parametrize("pivots,block_rows", [(1, 7), (5, 20), (40, 1000)])
+def test_nearest_equals_all_pairs(spark, pivots, block_rows):
+    """Groups, copies, ties on a grid and a far point, for few and many cells and blocks."""
+    draw = np.random.default_rng(pivots)
+    x = np.concatenate([draw.integers(0, 3, (60, 2)), 50 + draw.normal(size=(60, 2)), [[1e6, -1e6], [0.1, 0.2], [0.1, 0.2]]]).astype(float)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, x array<double>")
+    queries, points = df.filter("id % 3 > 0"), df.filter("id % 2 = 0")
+    want = []
+    for q in range(len(x)):
+        if q % 3 > 0:
+            near = sorted((float(np.sqrt(((x[q] - x[p]) ** 2).sum())), p) for p in range(0, len(x), 2) if p != q)[:4]
+            want += [(q, p, round(d, 9), i + 1) for i, (d, p) in enumerate(near)]
+    out = sp.nearest(queries, points, 4, "id", "x", block_rows, pivots)
+    assert sorted((r.q_id, r.p_id, round(r.distance, 9), r.place) for r in out.collect()) == sorted(want)
+
+
+def test_nearest_of_few_or_no_points(spark):
+    df = spark.createDataFrame([(1, [0.0]), (2, [1.0])], "id long, x array<double>")
+    assert [(r.q_id, r.p_id) for r in sp.nearest(df, df, 5, "id", "x").orderBy("q_id").collect()] == [(1, 2), (2, 1)]
+    assert sp.nearest(df, df.limit(0), 5, "id", "x").collect() == []
+    assert sp.nearest(df.limit(0), df, 5, "id", "x").collect() == []
+
+
 def test_smote_lies_between_neighbours(rows):
     new = sp.smote(rows, "y", "id", "x").limit(50).collect()
     x = {r.id: np.array(r.x) for r in rows.collect()}
