@@ -5,6 +5,7 @@ Rows are reduced to weights on a grid first; everything after that has the size
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
@@ -116,3 +117,57 @@ def trend(df: DataFrame, by: Sequence[str], x: str, y: str, n: int = 50, span: f
     slope = F.when(spread_x > 1e-12 * s["n"] * s["xx"], (s["n"] * s["xy"] - s["x"] * s["y"]) / spread_x).otherwise(F.lit(0.0))
     level = (s["y"] - slope * s["x"]) / s["n"]
     return sums.select(*by, "bin", middle.alias("x_mid"), (level + slope * middle).alias("y_smooth"))
+
+
+def local_regression(df: DataFrame, by: Sequence[str], x: str, y: str, n: int = 50, span: float = 0.75) -> DataFrame:
+    """(by, bin, x_mid, y_smooth): local regression of degree 2, over the nearest `span` of the rows around every bin.
+
+    A group is reduced to n bins of equal width, each with the moments of its rows about the middle of the bin. Around a
+    bin the window grows until it holds the share `span` of all rows of the group (whole bins, both sides alike), so that
+    it is wide where rows are sparse; rows weigh by the tricube of the distance of their bin. Moments move from bin to
+    bin by the binomial rule, which is exact, and the weighted parabola has a closed form. Where the window has too few
+    different values for it, a straight line is fitted, and where it has one value, the mean. Rows without x or y are
+    left out; a group of a single x is one bin. Only bins that have rows are returned.
+    """
+    by = list(by)
+    df = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull())
+    ends = durable(df.groupBy(*by).agg(F.min(x).alias("_lo"), F.max(x).alias("_hi")), "ends")
+    width = (F.col("_hi") - F.col("_lo")) / n
+    place = F.when(width > 0, (F.col(x) - F.col("_lo")) / width).otherwise(F.lit(0.5))
+    placed = df.join(ends, by).withColumn("_u", place).withColumn("_b", F.least(F.floor("_u"), F.lit(n - 1)).cast("int"))
+    v, value = F.col("_u") - F.col("_b") - 0.5, F.col(y).cast("double")
+    power = lambda k: F.pow(v, F.lit(float(k))) if k else F.lit(1.0)
+    moments = [F.sum(power(k)).alias(f"s{k}") for k in range(5)] + [F.sum(power(k) * value).alias(f"t{k}") for k in range(3)]
+    bins = durable(placed.groupBy(*by, "_b").agg(*moments), "bins")
+    cells = bins.groupBy(*by).agg(F.collect_list(F.struct("_b", *[f"s{k}" for k in range(5)], *[f"t{k}" for k in range(3)])).alias("_cells"))
+    around = bins.select(*by, F.col("_b").alias("bin")).join(cells, by)
+
+    nearer = F.array_sort(F.transform("_cells", lambda c: F.struct(F.abs(c["_b"] - F.col("bin")).alias("d"), c["s0"].alias("n"))))
+    enough = F.aggregate("_cells", F.lit(0.0), lambda a, c: a + c["s0"]) * span
+    start = F.struct(F.lit(0.0).alias("n"), F.lit(0).alias("d"))
+    grown = F.aggregate(nearer, start, lambda a, c: F.when(a["n"] >= enough, a).otherwise(F.struct((a["n"] + c["n"]).alias("n"), c["d"].alias("d"))))
+    around = around.withColumn("_reach", grown["d"] + 1)
+
+    def moved(c, kind: str, k: int, shift):
+        terms = [math.comb(k, j) * F.pow(shift, F.lit(float(k - j))) * c[f"{kind}{j}"] for j in range(k)]
+        return sum(terms, c[f"{kind}{k}"])
+
+    def add(total, c):
+        shift = (c["_b"] - F.col("bin")).cast("double")
+        w = F.pow(1 - F.pow(F.least(F.abs(shift) / F.col("_reach"), F.lit(1.0)), F.lit(3.0)), F.lit(3.0))
+        sums = [(total[f"s{k}"] + w * moved(c, "s", k, shift)).alias(f"s{k}") for k in range(5)]
+        return F.struct(*sums, *[(total[f"t{k}"] + w * moved(c, "t", k, shift)).alias(f"t{k}") for k in range(3)])
+
+    zero = F.struct(*[F.lit(0.0).alias(f"s{k}") for k in range(5)], *[F.lit(0.0).alias(f"t{k}") for k in range(3)])
+    fits = durable(around.withColumn("_fit", F.aggregate("_cells", zero, add)).select(*by, "bin", "_fit.*"), "fits")
+    s, t = [F.col(f"s{k}") for k in range(5)], [F.col(f"t{k}") for k in range(3)]
+    minor = s[2] * s[4] - s[3] * s[3]
+    whole = s[0] * minor - s[1] * (s[1] * s[4] - s[2] * s[3]) + s[2] * (s[1] * s[3] - s[2] * s[2])
+    parabola = (t[0] * minor - s[1] * (t[1] * s[4] - s[3] * t[2]) + s[2] * (t[1] * s[3] - s[2] * t[2])) / whole
+    flat = s[0] * s[2] - s[1] * s[1]
+    line = (t[0] * s[2] - s[1] * t[1]) / flat
+    level = (
+        F.when(whole > 1e-9 * s[0] * s[2] * s[4], parabola).when(flat > 1e-9 * s[0] * s[2], line).otherwise(t[0] / s[0])
+    )
+    middle = F.when(width > 0, F.col("_lo") + (F.col("bin") + 0.5) * width).otherwise(F.col("_lo"))
+    return fits.join(ends, by).select(*by, "bin", middle.alias("x_mid"), level.alias("y_smooth"))

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from episodica.functions.text import prettify, sentence
-from episodica.operators.density import kde, trend
+from episodica.operators.density import kde, local_regression
 from episodica.operators.ordered import hash_ranked
 from episodica.operators.quantiles import distinct_values, ntile_by, trim_upper
 from episodica.operators.reshape import denormalise_long
@@ -175,7 +175,7 @@ def bivariate_data(
     densities = with_tile_width(kde(marked.filter("_binary"), cells, "shap_value", n_dens), cells, n_dens)
     densities = durable(densities, "densities")
     ranges = group_range(densities, cells, "shap_value")
-    trends = trend(marked.filter("not _binary"), groups, "feature_value", "shap_value", n_trend)
+    trends = local_regression(marked.filter("not _binary"), groups, "feature_value", "shap_value", n_trend)
     return densities, ranges, trends
 
 

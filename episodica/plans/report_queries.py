@@ -241,7 +241,7 @@ def bivariate_ranges(spark, sf):
 
 @query("bivariate_trends")
 def bivariate_trends(spark, sf):
-    _, _, trends = ex.bivariate_data(shap_rows(spark, sf), [], "feature", "admission_id", sample_size=5000)
+    _, _, trends = ex.bivariate_data(shap_rows(spark, sf), [], "feature", "admission_id")
     return rounded(trends.withColumn("feature", feature_title(F.col("feature"))), "x_mid", "y_smooth")
 
 

@@ -194,3 +194,33 @@ TREND_W = f"pow(1 - pow(least(abs(c.b - t.b) / {0.75 * N_TREND / 2 + 1e-9}, 1),
 def binned_trend(spark, sf):
     out = dn.trend(P.predictions(spark, sf), ["dataset"], "y_pred", "y_true", N_TREND)
     return out.select("dataset", "bin", F.round("y_smooth", 6).alias("y_smooth"))
+
+
+#: A skewed column: most rows lie near 0, so that the window around a bin is narrow there and wide at the other end.
+LOESS = dict(
+    points="SELECT dataset, pow(y_pred, 4) AS x, CAST(y_true AS DOUBLE) AS y FROM predictions WHERE y_pred IS NOT NULL AND y_true IS NOT NULL",
+    span="SELECT dataset, min(x) AS lo, (max(x) - min(x)) / 50 AS width FROM points GROUP BY dataset",
+    place="SELECT dataset, y, (x - lo) / width AS u, least(floor((x - lo) / width), 49) AS b FROM points JOIN span USING (dataset)",
+    bins="""SELECT dataset, b, count(*) AS n, sum(u - b - 0.5) AS s1, sum(pow(u - b - 0.5, 2)) AS s2, sum(pow(u - b - 0.5, 3)) AS s3,
+        sum(pow(u - b - 0.5, 4)) AS s4, sum(y) AS t0, sum(y * (u - b - 0.5)) AS t1, sum(y * pow(u - b - 0.5, 2)) AS t2 FROM place GROUP BY dataset, b""",
+    pairs="SELECT o.dataset, o.b AS bin, c.b - o.b AS d, c.* EXCLUDE (dataset, b) FROM bins o JOIN bins c USING (dataset)",
+    held="SELECT dataset, bin, abs(d) AS d, sum(n) OVER (PARTITION BY dataset, bin ORDER BY abs(d)) AS n, sum(n) OVER (PARTITION BY dataset, bin) AS rows FROM pairs",
+    reach="SELECT dataset, bin, min(d) + 1 AS r FROM held WHERE n >= 0.75 * rows GROUP BY dataset, bin",
+    fits="""SELECT dataset, bin, sum(w * n) AS a0, sum(w * (s1 + d * n)) AS a1, sum(w * (s2 + 2 * d * s1 + d * d * n)) AS a2,
+        sum(w * (s3 + 3 * d * s2 + 3 * d * d * s1 + pow(d, 3) * n)) AS a3,
+        sum(w * (s4 + 4 * d * s3 + 6 * d * d * s2 + 4 * pow(d, 3) * s1 + pow(d, 4) * n)) AS a4, sum(w * t0) AS y0,
+        sum(w * (t1 + d * t0)) AS y1, sum(w * (t2 + 2 * d * t1 + d * d * t0)) AS y2
+        FROM (SELECT *, pow(1 - pow(least(abs(d) / r, 1), 3), 3) AS w FROM pairs JOIN reach USING (dataset, bin)) p GROUP BY dataset, bin""",
+)
+
+
+@query("local_regression", with_views("""SELECT dataset, CAST(bin AS INTEGER) AS bin, round(lo + (bin + 0.5) * width, 6) AS x_mid, round(
+    CASE WHEN a0 * (a2 * a4 - a3 * a3) - a1 * (a1 * a4 - a2 * a3) + a2 * (a1 * a3 - a2 * a2) > 1e-9 * a0 * a2 * a4
+    THEN (y0 * (a2 * a4 - a3 * a3) - a1 * (y1 * a4 - a3 * y2) + a2 * (y1 * a3 - a2 * y2))
+    / (a0 * (a2 * a4 - a3 * a3) - a1 * (a1 * a4 - a2 * a3) + a2 * (a1 * a3 - a2 * a2))
+    WHEN a0 * a2 - a1 * a1 > 1e-9 * a0 * a2 THEN (y0 * a2 - a1 * y1) / (a0 * a2 - a1 * a1) ELSE y0 / a0 END, 6) AS y_smooth
+    FROM fits JOIN span USING (dataset)""", "predictions", **LOESS))
+def local_regression(spark, sf):
+    skewed = P.predictions(spark, sf).withColumn("x", F.pow("y_pred", F.lit(4.0)))
+    out = dn.local_regression(skewed, ["dataset"], "x", "y_true")
+    return out.withColumns({c: F.round(c, 6) for c in ("x_mid", "y_smooth")})

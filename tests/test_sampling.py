@@ -125,3 +125,35 @@ def test_trend_of_a_straight_line(spark):
     df = spark.createDataFrame([("a", i / 100, 2 * i / 100 + 1) for i in range(1000)], "g string, x double, y double")
     for r in dn.trend(df, ["g"], "x", "y", 20).collect():
         assert r.y_smooth == pytest.approx(2 * r.x_mid + 1, abs=1e-6)
+
+
+def test_local_regression_follows_parabolas_and_uses_the_nearest_share(spark):
+    rows = [("p", i / 100, 3 + 2 * (i / 100) ** 2) for i in range(-200, 201)]
+    rows += [("one", 5.0, float(i)) for i in range(4)] + [("two", float(i % 2), float(i % 2)) for i in range(6)]
+    rows += [("step", i / 1000, 0.0) for i in range(1000)] + [("step", 1.0 + i, 1.0) for i in range(40)] + [("none", None, 1.0)]
+    out = dn.local_regression(spark.createDataFrame(rows, "g string, x double, y double"), ["g"], "x", "y").collect()
+    found = {}
+    for r in out:
+        found.setdefault(r.g, {})[r.bin] = (r.x_mid, r.y_smooth)
+    assert set(found) == {"p", "one", "two", "step"}
+    assert all(abs(y - (3 + 2 * x * x)) < 1e-6 for x, y in found["p"].values())
+    assert found["one"] == {0: (5.0, 1.5)}
+    assert len(found["two"]) == 2 and all(abs(y - x) < 1e-6 for x, y in found["two"].values())
+    # the first bin alone holds the share of the rows, so nothing beyond it counts there
+    assert found["step"][0][1] == 0.0
+
+
+def test_local_regression_equals_a_weighted_fit(spark):
+    draw = np.random.default_rng(2)
+    x = np.sort(draw.exponential(size=400))
+    y = np.sin(x) + 0.1 * draw.normal(size=400)
+    df = spark.createDataFrame([(float(a), float(b)) for a, b in zip(x, y, strict=True)], "x double, y double")
+    width = (x[-1] - x[0]) / 20
+    bins = np.minimum(np.floor((x - x[0]) / width), 19)
+    for r in dn.local_regression(df.withColumn("g", F.lit(1)), ["g"], "x", "y", 20, 0.6).collect():
+        away = np.abs(bins - r.bin)
+        reach = next(h for h in range(21) if (away <= h).sum() >= 0.6 * 400) + 1
+        w = (1 - np.minimum(away / reach, 1) ** 3) ** 3
+        u = (x - x[0]) / width - (r.bin + 0.5)
+        fit = np.polynomial.polynomial.polyfit(u, y, 2, w=np.sqrt(w))
+        assert abs(fit[0] - r.y_smooth) < 1e-6
