@@ -8,7 +8,8 @@ compacted where they are found, and across runs by the distance of their coordin
 the coordinates of both copies; its words are covered and removed.
 
 Frequent anchors do not meet in one task. Their equal runs are reduced to one first, with its first and last document;
-only the edges of distinct runs are unfolded, reduced per edge, and the sources are joined back once per run.
+a later occurrence is a copy of that first one as a whole. Only the edges of distinct runs are unfolded, reduced per edge
+and compacted, which settles what is repeated in the first occurrences themselves.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from contextlib import contextmanager
 import numpy as np
 import pyarrow as pa
 from pyspark.broadcast import Broadcast
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -157,6 +158,24 @@ def _first_sources(runs: DataFrame) -> DataFrame:
     return together.mapInArrow(run, "doc_id long, mark long, start long, windows long, source_doc long, source_start long")
 
 
+def _stretches(parts: Column) -> Column:
+    """Edges (i, source) of one run as stretches (i, windows, source_doc, source_start) of consecutive sources."""
+
+    def add(found: Column, x: Column) -> Column:
+        last = F.get(found, F.size(found) - 1)
+        goes_on = (last["i"] + last["windows"] == x["i"]) & (last["source_doc"] == x["source"]["doc_id"])
+        goes_on &= last["source_start"] + last["windows"] == x["source"]["start"]
+        names = ("i", "windows", "source_doc", "source_start")
+        longer = F.struct(*[(last[c] + 1 if c == "windows" else last[c]).alias(c) for c in names])
+        values = (x["i"].cast("long"), F.lit(1).cast("long"), x["source"]["doc_id"], x["source"]["start"])
+        new = F.struct(*[v.alias(c) for v, c in zip(values, names, strict=True)])
+        before = F.slice(found, F.lit(1), F.greatest(F.size(found) - 1, F.lit(0)))
+        return F.when(goes_on, F.concat(before, F.array(longer))).otherwise(F.concat(found, F.array(new)))
+
+    none = F.array().cast("array<struct<i:bigint,windows:bigint,source_doc:bigint,source_start:bigint>>")
+    return F.aggregate(F.array_sort(parts), none, add)
+
+
 def _frequent_sources(found: DataFrame) -> DataFrame:
     """The same for frequent anchors: equal runs are reduced first, and the edges of distinct runs on the map side."""
     found = durable(found, "frequent")
@@ -168,23 +187,20 @@ def _frequent_sources(found: DataFrame) -> DataFrame:
     sources = durable(each.groupBy("edge").agg(F.min(place).alias("source"), F.max("last").alias("last")), "sources")
     sources = sources.filter(F.col("source.doc_id") < F.col("last")).select("edge", "source")
     parts = each.join(sources, "edge").filter(F.col("source.doc_id") < F.col("last"))
-    parts = parts.groupBy("first").agg(F.collect_list(F.struct("i", "source")).alias("parts"))
-    met = found.join(runs.join(parts, "first").select(*name, "parts"), name)
-    met = met.select("doc_id", "mark", "start", F.explode("parts").alias("part")).filter(F.col("part.source.doc_id") < F.col("doc_id"))
-    return met.select(
-        "doc_id",
-        "mark",
-        (F.col("start") + F.col("part.i")).cast("long").alias("start"),
-        F.lit(1).cast("long").alias("windows"),
-        F.col("part.source.doc_id").alias("source_doc"),
-        F.col("part.source.start").alias("source_start"),
-    )
+    parts = parts.groupBy("first").agg(_stretches(F.collect_list(F.struct("i", "source"))).alias("parts"))
+    known = runs.join(parts, "first", "left").filter((F.col("first.doc_id") < F.col("last")) | F.col("parts").isNotNull())
+    copy = [F.lit(0), F.size("edges"), F.col("first.doc_id"), F.col("first.start")]
+    copy = F.array(F.struct(*[v.cast("long").alias(c) for v, c in zip(copy, ("i", "windows", "source_doc", "source_start"), strict=True)]))
+    met = found.join(known, name).withColumn("parts", F.when(F.col("doc_id") > F.col("first.doc_id"), copy).otherwise(F.col("parts")))
+    met = met.select("doc_id", "mark", "start", F.explode("parts").alias("part")).filter(F.col("part.source_doc") < F.col("doc_id"))
+    at = (F.col("start") + F.col("part.i")).alias("start")
+    return met.select("doc_id", "mark", at, "part.windows", "part.source_doc", "part.source_start")
 
 
 def repeated_paths(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """(doc_id, mark, start, words, source_doc, source_start): maximal paths of repeated edges, in words of the input.
 
-    The words of a path at `start` equal those of source_doc at source_start, its first occurrence. Rows without doc_id
+    The words of a path at `start` equal those of source_doc at source_start, an occurrence in a smaller doc_id. Rows without doc_id
     have no place in the order and take no part.
     """
     rows = repeats.texts(docs).filter("doc_id is not null")
