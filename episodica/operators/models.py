@@ -23,6 +23,7 @@ from episodica.functions.hashing import uniform
 from episodica.operators.metrics import cross_entropy
 from episodica.operators.reshape import union_with_label
 from episodica.operators.sampling import rebalance
+from episodica.operators.shared_fits import cross_validated
 from episodica.session import durable
 
 
@@ -110,11 +111,18 @@ def search(
 ) -> DataFrame:
     """Random search: every trial is fitted on all folds but one and evaluated on that one.
 
-    Returns one row per (trial, fold) with the setting and the evaluation as JSON. Training sets are prepared once per
-    (fold, class handling) and shared by the trials. The driver only holds the list of settings and one loss per fit.
+    Returns one row per (trial, fold) with the setting and the evaluation as JSON. Linear models are all fitted together
+    (`shared_fits`). Networks are fitted one by one, with training sets prepared once per (fold, class handling) and shared
+    by the trials. The driver holds the settings, the coefficients of linear models and one loss per fit.
     """
     spark = dev.sparkSession
     trials = [r.asDict() for r in draw_params(spark, space, n, seed).collect()]
+    schema = "study_name string, trial_number long, cv_fold int, hyperparameters string, eval_val string"
+    if model_type == "linear":
+        params = {int(t["number"]): json.dumps({k: v for k, v in t.items() if k != "number"}) for t in trials}
+        found, _ = cross_validated(dev, trials, y, key, fold, max_iter=max_iter)
+        rows = [(study, t, int(f), params[t], json.dumps({"loss": loss, "accuracy": right})) for t, f, loss, right in found]
+        return spark.createDataFrame(rows, schema)
     folds = sorted(r[0] for r in dev.select(fold).distinct().collect())
     ways = sorted({t.get("class_handling", "none") for t in trials})
     train = {
@@ -133,7 +141,6 @@ def search(
 
     with ThreadPoolExecutor(parallelism) as pool:
         rows = list(pool.map(run, [(hp, f) for hp in trials for f in folds]))
-    schema = "study_name string, trial_number long, cv_fold int, hyperparameters string, eval_val string"
     return spark.createDataFrame(rows, schema)
 
 

@@ -12,11 +12,11 @@ from episodica.plans.metric_queries import rounded
 from episodica.plans.registry import query
 from episodica.session import durable, scratch_path
 
-# Part of the study's search space: both distance-based class handlings are left to the caller, as a trial with them costs far more.
 LINEAR_SPACE = {
     "l2_penalty": ("loguniform", 1e-6, 1e-2),
-    "class_handling": ("choice", ["random_over", "class_weighting", "random_under", "none"]),
+    "class_handling": ("choice", ["random_over", "class_weighting", "random_under", "none", "smote", "near_miss"]),
 }
+TRIALS, FOLDS = 100, 5
 MLP_SPACE = {
     "n_hidden_layers": ("int", 1, 4),
     "n_hidden_nodes": ("choice", [8, 16, 32, 64, 128, 256]),
@@ -51,8 +51,8 @@ def train_mlp(spark, sf):
 def search(spark, sf):
     from episodica.operators.sampling import assign_folds
 
-    dev = durable(assign_folds(P.vectors(spark, sf).withColumn("person", F.col("id") % 100), "person", "y", 3), "dev")
-    return md.search(dev, LINEAR_SPACE, 4, "y", "id", "fold", "vectors__linear", max_iter=20)
+    dev = durable(assign_folds(P.vectors(spark, sf).withColumn("person", F.col("id") % 100), "person", "y", FOLDS), "dev")
+    return md.search(dev, LINEAR_SPACE, TRIALS, "y", "id", "fold", "vectors__linear")
 
 
 @query("search_space", """SELECT o_custkey AS number, exp(ln(1e-6) + u * (ln(1e-2) - ln(1e-6))) > 1e-4 AS large_penalty FROM (
@@ -164,6 +164,6 @@ def train_and_score(spark, sf):
         name: durable(rs.cast_cols(md.feature_array(df, features), [y], "int").select("admission_id", "person_id", "x", y), name)
         for name, df in sets.items()
     }
-    preds, _ = md.train_and_score(arrays, LINEAR_SPACE, 3, y, "binary__linear__daily_rate_not_zero__final", folds=3, max_iter=20)
+    preds, _ = md.train_and_score(arrays, LINEAR_SPACE, TRIALS, y, "binary__linear__daily_rate_not_zero__final", folds=FOLDS)
     out = m.evaluation_metrics(durable(preds, "predictions"))
     return rounded(out, "threshold", "auroc", "avg_prec_score", "mcc", "precision", "recall")
