@@ -8,6 +8,7 @@ a setting meet in one group, which solves for the Newton step. Only coefficients
 from __future__ import annotations
 
 from collections.abc import Iterator, Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pandas as pd
@@ -25,33 +26,39 @@ SUMS = "setting int, sums binary"
 STEPS = "setting int, loss double, gain double, step binary"
 
 
-def training_rows(dev: DataFrame, y: str, key: str, fold: str, cells: Sequence[tuple[int, str]], seed: object = 42) -> DataFrame:
+def training_rows(dev: DataFrame, y: str, key: str, fold: str, cells: Sequence[tuple[int, str]], seed: object = 42, parallelism: int = 8) -> DataFrame:
     """(x, y, fold, weights): every row once, weights[i] being its weight in training set i of cells, (fold left out, way).
 
     Weights that follow from fold and class are expressions; those of samplers are counted per key and joined. Synthetic
     rows have no fold, and a weight in their own training set only. Rows without fold or class are left out.
     """
     dev = durable(dev.filter(F.col(fold).isNotNull() & F.col(y).isNotNull()).select(key, "x", y, fold), "dev")
-    weights: list[Column] = []
-    picked, made = [], []
-    for i, (left_out, how) in enumerate(cells):
+
+    def cell_weights(i: int) -> tuple[Column, DataFrame | None, DataFrame | None]:
+        """Weight of a row inside cell i, the weights picked per key, the rows made."""
+        left_out, how = cells[i]
         train = dev.filter(F.col(fold) != left_out).select(key, "x", y)
-        inside = F.col(fold) != left_out
+        if how == "none":
+            return F.lit(1.0), None, None
         if how == "class_weighting":
-            by_class = {r[y]: r["weight"] for r in class_weights(train.select(y), y).distinct().collect()}
             own = F.lit(0.0)
-            for label, weight in by_class.items():
-                own = F.when(F.col(y) == label, F.lit(float(weight))).otherwise(own)
-        elif how in ("none", "smote"):
-            own = F.lit(1.0)
-            if how == "smote":
-                alone = F.array(*[F.lit(float(i == j)) for j in range(len(cells))])
-                made.append(durable(smote(train, y, key, "x", seed=seed).select("x", y, F.lit(None).cast("int").alias(fold), alone.alias("weights")), "made"))
-        else:
-            counts = rebalance(train, y, key, "x", how, seed).groupBy(key).agg(F.sum("weight").alias("weight"))
-            picked.append(durable(counts.select(key, F.lit(i).alias("cell"), "weight"), "picked"))
-            own = F.coalesce(F.try_element_at("_picked", F.lit(i)), F.lit(0.0))
-        weights.append(F.when(inside, own).otherwise(0.0))
+            for r in class_weights(train.select(y), y).distinct().collect():
+                own = F.when(F.col(y) == r[y], F.lit(float(r["weight"]))).otherwise(own)
+            return own, None, None
+        if how == "smote":
+            alone = F.array(*[F.lit(float(i == j)) for j in range(len(cells))])
+            new = smote(train, y, key, "x", seed=seed)
+            return F.lit(1.0), None, durable(new.select("x", y, F.lit(None).cast("int").alias(fold), alone.alias("weights")), "made")
+        counts = rebalance(train, y, key, "x", how, seed).groupBy(key).agg(F.sum("weight").alias("weight"))
+        own = F.coalesce(F.try_element_at("_picked", F.lit(i)), F.lit(0.0))
+        return own, durable(counts.select(key, F.lit(i).alias("cell"), "weight"), "picked"), None
+
+    # samplers are many small jobs: those of several training sets run side by side
+    with ThreadPoolExecutor(parallelism) as pool:
+        told = list(pool.map(cell_weights, range(len(cells))))
+    weights = [F.when(F.col(fold) != left_out, own).otherwise(0.0) for (left_out, _), (own, _, _) in zip(cells, told, strict=True)]
+    picked = [p for _, p, _ in told if p is not None]
+    made = [m for *_, m in told if m is not None]
     if picked:
         together = picked[0]
         for part in picked[1:]:
