@@ -1,26 +1,32 @@
-"""Benchmark decontamination: n-gram seeds find passages, Smith-Waterman alignment scores them.
+"""Benchmark decontamination: rare n-gram seeds find passages, Smith-Waterman alignment scores them.
 
-Words are lower-cased runs of letters and digits. Every passage of a document that shares a seed (a 4-gram of words) with
-a test item is cut out with as many words around it as the longest item has. The seeds of the items go to all tasks as a
-bitmap of fixed size; what passes it is settled by a join. Seeds are counted over all documents; a pair must share enough
-of them, the rarest of which is reported: an alignment that reaches the limit cannot lose more than four of the item's
-seeds per edit, so pairs below that number are left out without loss. Equal passages are aligned once per item.
+Words are lower-cased runs of letters and digits, seeds are pairs of neighbouring words. An alignment of an item of n words
+that scores t * n has t * n matches more than edits, so at most edits + 1 runs of matches, and at least t * n - 1 of the
+item's seeds stay intact, whatever the edits are: any (1 - t) * n + 1 of its seeds hold one of them. The rarest are taken,
+by a count of the seeds over all documents, so that no pair over the limit is lost and common seeds meet nothing.
+
+Items are classed by length (powers of two). Per class, the seeds go to all tasks as a bitmap of fixed size, and around every
+seed of a document as many words are cut out as an alignment of that class may reach; what passes is settled by a join.
+Equal passages are aligned once per item.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import ceil
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.broadcast import Broadcast
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from episodica.llm import arrays
 from episodica.llm.bitmaps import bitmap, possible, without
 from episodica.session import durable
 
-SEED_WORDS = 4
+SEED_WORDS = 2
+LEAST_WORDS = 4
 SIMILARITY = 0.8
 BITMAP_BITS = 22
 
@@ -30,63 +36,100 @@ def _texts(df: DataFrame, key: str) -> DataFrame:
     return df.select(F.col(key).cast("long").alias(key), F.md5(text).alias("text_md5"), F.lower(text).alias("text"))
 
 
-def _seeds(piece: arrays.Piece, size: int) -> tuple[arrays.Words, np.ndarray, np.ndarray]:
-    """Words of a piece, the first word of every seed and the hashes of the seeds; a shorter text is one seed."""
+def _seeds(piece: arrays.Piece) -> tuple[arrays.Words, np.ndarray, np.ndarray]:
+    """Words of a piece, the first word of every seed and the hashes of the seeds."""
     words = arrays.words_of(piece, arrays.PUNCTUATION)
     prefix = arrays.prefix_hash(arrays.word_hashes(piece, words), "words")
-    starts = arrays.window_starts(words.offsets, size)
-    return words, starts, arrays.span_hash(prefix, starts, starts + size, "words")
+    starts = arrays.window_starts(words.offsets, SEED_WORDS)
+    return words, starts, arrays.span_hash(prefix, starts, starts + SEED_WORDS, "words")
 
 
-def _items(benchmark: DataFrame, size: int) -> DataFrame:
-    """(item, item_id, text, n_words, seeds) per distinct item; a text with fewer words than a seed has no seeds."""
+def _items(benchmark: DataFrame) -> DataFrame:
+    """(item, item_id, text, n_words, class, seeds) per distinct item of LEAST_WORDS words or more; seeds in their places."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             counts, seeds = [], []
             for piece in arrays.pieces(batch.column("text")):
-                words, starts, hashes = _seeds(piece, size)
+                words, starts, hashes = _seeds(piece)
                 counts += np.diff(words.offsets).tolist()
                 bounds = np.searchsorted(starts, words.offsets)
-                seeds += [np.unique(hashes[a:b]).view(np.int64) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+                seeds += [hashes[a:b].view(np.int64) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
             columns = [batch.column("item"), batch.column("item_id"), batch.column("text")]
             columns += [pa.array(counts, pa.int64()), pa.array(seeds, pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays(columns, names=["item", "item_id", "text", "n_words", "seeds"])
 
     rows = _texts(benchmark, "item_id").filter("text is not null").distinct()
     rows = rows.select(F.xxhash64("item_id", "text_md5").alias("item"), "item_id", "text")
-    return rows.mapInArrow(run, "item long, item_id long, text string, n_words long, seeds array<long>")
+    rows = rows.mapInArrow(run, "item long, item_id long, text string, n_words long, seeds array<long>")
+    return rows.filter(F.col("n_words") >= LEAST_WORDS).withColumn("class", F.ceil(F.log2("n_words")).cast("int"))
 
 
-def _passages(docs: DataFrame, table, size: int, reach: int) -> DataFrame:
-    """(doc_id, text_md5, passage, seeds): stretches of a document around seeds that may belong to an item."""
+def _spread(docs: DataFrame, table: Broadcast) -> DataFrame:
+    """(seed, documents): rows of docs that hold a seed of the bitmap, added up per batch first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows, passages, seeds = [], [], []
+            found = []
             for piece in arrays.pieces(batch.column("text")):
-                words, starts, hashes = _seeds(piece, size)
+                words, starts, hashes = _seeds(piece)
                 hit = possible(table.value, hashes)
-                at, hashes = starts[hit], hashes[hit]
-                if not len(at):
-                    continue
-                text = arrays.owners(words.offsets, at)
-                new = np.flatnonzero(np.append(True, (np.diff(at) > reach) | (np.diff(text) > 0)))
-                ends = np.append(new[1:], len(at))
+                text, hashes = arrays.owners(words.offsets, starts[hit]), hashes[hit]
+                order = np.lexsort((text, hashes))
+                text, hashes = text[order], hashes[order]
+                new = np.append(True, (np.diff(text) != 0) | (hashes[1:] != hashes[:-1]))[: len(hashes)]
+                found.append(hashes[new])
+            if found:
+                seeds, counts = np.unique(np.concatenate(found), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(seeds.view(np.int64)), pa.array(counts, pa.int64())], names=["seed", "n"])
+
+    return _texts(docs, "doc_id").select("text").mapInArrow(run, "seed long, n long").groupBy("seed").agg(F.sum("n").alias("documents"))
+
+
+def rare_seeds(items: DataFrame, spread: DataFrame, similarity: float) -> DataFrame:
+    """(item, class, n_words, seed, documents): so many of an item's rarest seeds that one must be intact."""
+    share = 2 * (1 - similarity)
+    placed = items.select("item", "class", "n_words", F.posexplode("seeds").alias("at", "seed"))
+    placed = placed.join(spread, "seed", "left").fillna(0, ["documents"])
+    order = Window.partitionBy("item").orderBy("documents", "seed", "at")
+    chosen = placed.withColumn("rank", F.row_number().over(order))
+    chosen = chosen.filter(F.col("rank") <= F.floor(F.col("n_words") * F.lit(share) + 1e-6) + 1)
+    return chosen.select("item", "class", "n_words", "seed", "documents").distinct()
+
+
+def _passages(docs: DataFrame, tables: dict[int, Broadcast], similarity: float) -> DataFrame:
+    """(doc_id, text_md5, class, passage, seeds): stretches of a document around seeds that may belong to an item."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, classes, passages, seeds = [], [], [], []
+            for piece in arrays.pieces(batch.column("text")):
+                words, starts, hashes = _seeds(piece)
                 data = piece.bytes.tobytes()
-                for a, b in zip(new.tolist(), ends.tolist(), strict=True):
-                    own = text[a]
-                    first = max(at[a] - reach, words.offsets[own])
-                    last = min(at[b - 1] + size + reach, words.offsets[own + 1])
-                    rows.append(piece.rows.start + int(own))
-                    passages.append(data[words.starts[first] : words.ends[last - 1]].decode("utf-8", "replace"))
-                    seeds.append(np.unique(hashes[a:b]).view(np.int64))
+                for kind, table in tables.items():
+                    # matched, replaced and added words of an alignment: n and at most the share of n that may be added
+                    reach = ceil(2**kind * (1 + 2 * (1 - similarity)))
+                    hit = possible(table.value, hashes)
+                    at, own_hashes = starts[hit], hashes[hit]
+                    if not len(at):
+                        continue
+                    text = arrays.owners(words.offsets, at)
+                    new = np.flatnonzero(np.append(True, (np.diff(at) > reach) | (np.diff(text) > 0)))
+                    for a, b in zip(new.tolist(), [*new[1:].tolist(), len(at)], strict=True):
+                        own = text[a]
+                        first = max(at[a] - reach, words.offsets[own])
+                        last = min(at[b - 1] + SEED_WORDS + reach, words.offsets[own + 1])
+                        rows.append(piece.rows.start + int(own))
+                        classes.append(kind)
+                        passages.append(data[words.starts[first] : words.ends[last - 1]].decode("utf-8", "replace"))
+                        seeds.append(np.unique(own_hashes[a:b]).view(np.int64))
             if rows:
                 columns = [batch.column("doc_id").take(pa.array(rows)), batch.column("text_md5").take(pa.array(rows))]
-                columns += [pa.array(passages, pa.string()), pa.array(seeds, pa.list_(pa.int64()))]
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "text_md5", "passage", "seeds"])
+                columns += [pa.array(classes, pa.int32()), pa.array(passages, pa.string()), pa.array(seeds, pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "text_md5", "class", "passage", "seeds"])
 
-    return _texts(docs, "doc_id").mapInArrow(run, "doc_id long, text_md5 string, passage string, seeds array<long>")
+    schema = "doc_id long, text_md5 string, class int, passage string, seeds array<long>"
+    return _texts(docs, "doc_id").mapInArrow(run, schema)
 
 
 def smith_waterman(passage: np.ndarray, item: np.ndarray) -> int:
@@ -113,52 +156,57 @@ def _words(column: pa.Array) -> list[np.ndarray]:
     return found
 
 
-def _aligned(pairs: DataFrame) -> DataFrame:
+def _aligned(pairs: DataFrame, similarity: float) -> DataFrame:
+    """(passage_md5, item, score); 0 where too few words of the item occur in the passage at all."""
+
+    def score(passage: np.ndarray, item: np.ndarray) -> int:
+        item_there = np.isin(item, passage)
+        return smith_waterman(passage, item) if item_there.sum() >= (2 * similarity - 1) * len(item) - 1e-6 else 0
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = zip(_words(batch.column("passage")), _words(batch.column("item_text")), strict=True)
-            scores = [smith_waterman(a, b) for a, b in rows]
+            scores = [score(a, b) for a, b in rows]
             columns = [batch.column("passage_md5"), batch.column("item"), pa.array(scores, pa.int64())]
             yield pa.RecordBatch.from_arrays(columns, names=["passage_md5", "item", "score"])
 
     return pairs.select("passage_md5", "item", "passage", "item_text").mapInArrow(run, "passage_md5 string, item long, score long")
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, size: int = SEED_WORDS) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """(doc_id, item_id, similarity, score, shared_seeds, rarest_seed, text_md5) per document and item at or over the limit.
 
-    similarity is (score / words of the item + 1) / 2: 1 for a full copy, less 1/words for every replaced word. rarest_seed
-    is the number of documents that have the rarest shared seed. Null and empty texts, and items with fewer words than a
-    seed, match nothing. Equal rows of documents give one row; a null doc_id or item_id stays null. Empty tables: no rows.
+    similarity is (score / words of the item + 1) / 2: 1 for a full copy, less 1/words for every replaced word and half of
+    that for every added one. shared_seeds counts the chosen seeds that are shared, rarest_seed is the number of rows of
+    docs that have the rarest of them. Null and empty texts, and items of fewer than LEAST_WORDS words, match nothing.
+    Equal rows of documents give one row; a null doc_id or item_id stays null. Empty tables: no rows.
     """
-    items = durable(_items(benchmark, size), "items")
-    seeds = durable(items.select("item", "n_words", F.size("seeds").alias("n_seeds"), F.explode("seeds").alias("seed")), "seeds")
-    longest = items.agg(F.max("n_words").alias("n")).first()["n"] or 0
-    table = bitmap(seeds, "seed", BITMAP_BITS)
-    found = durable(_passages(docs, table, size, longest).withColumn("passage_md5", F.md5("passage")), "passages")
-    hits = found.select("doc_id", "text_md5", "passage_md5", F.explode("seeds").alias("seed"))
-    spread = hits.groupBy("seed", "doc_id", "text_md5").agg(F.count(F.lit(1))).groupBy("seed").agg(F.count(F.lit(1)).alias("documents"))
-    unique = found.groupBy("passage_md5").agg(F.first("seeds").alias("seeds"), F.first("passage").alias("passage"))
+    if LEAST_WORDS * (2 * similarity - 1) <= 1:
+        raise ValueError("at this similarity an alignment need not keep a seed")
+    items = durable(_items(benchmark), "items")
+    every = bitmap(items.select(F.explode("seeds").alias("seed")), "seed", BITMAP_BITS)
+    spread = durable(_spread(docs, every), "spread")
+    seeds = durable(rare_seeds(items, spread, similarity), "seeds")
+    kinds = sorted(r["class"] for r in items.select("class").distinct().collect())
+    tables = {kind: bitmap(seeds.filter(F.col("class") == kind), "seed", BITMAP_BITS) for kind in kinds}
+    found = durable(_passages(docs, tables, similarity).withColumn("passage_md5", F.md5("passage")), "passages")
+    unique = found.groupBy("passage_md5", "class").agg(F.first("seeds").alias("seeds"), F.first("passage").alias("passage"))
     unique = durable(unique, "distinct")
-    # each edit costs one point and at most `size` of the item's seeds; repeated seeds of the item count once
-    intact = F.ceil(F.col("n_words") * (1 - size * (1 - similarity)) - 1e-6) - (size - 1)
-    needed = F.greatest(F.lit(1), intact - (F.col("n_words") - (size - 1) - F.col("n_seeds")))
     candidates = (
-        unique.select("passage_md5", F.explode("seeds").alias("seed"))
-        .join(seeds, "seed")
-        .join(spread, "seed")
-        .groupBy("passage_md5", "item", "n_words", "n_seeds")
+        unique.select("passage_md5", "class", F.explode("seeds").alias("seed"))
+        .join(seeds, ["seed", "class"])
+        .groupBy("passage_md5", "class", "item", "n_words")
         .agg(F.count(F.lit(1)).alias("shared_seeds"), F.min("documents").alias("rarest_seed"))
-        .filter(F.col("shared_seeds") >= needed)
     )
     texts = items.select("item", "item_id", F.col("text").alias("item_text"))
-    pairs = durable(candidates.join(unique.select("passage_md5", "passage"), "passage_md5").join(texts, "item"), "pairs")
-    scores = _aligned(pairs.repartition("passage_md5", "item"))
+    pairs = candidates.join(unique.select("passage_md5", "class", "passage"), ["passage_md5", "class"]).join(texts, "item")
+    pairs = durable(pairs, "pairs")
+    scores = _aligned(pairs.repartition("passage_md5", "item"), similarity)
     value = (F.col("score") / F.col("n_words") + 1) / 2
     kept = pairs.drop("passage", "item_text").join(scores, ["passage_md5", "item"]).withColumn("similarity", value)
-    kept = durable(kept.filter(F.col("similarity") >= similarity), "kept")
+    kept = durable(kept.filter(F.col("similarity") >= similarity - 1e-9), "kept")
     best = F.max_by(F.struct("score", "shared_seeds", "rarest_seed"), "similarity")
-    rows = found.select("doc_id", "text_md5", "passage_md5").join(kept, "passage_md5")
+    rows = found.select("doc_id", "text_md5", "passage_md5", "class").join(kept, ["passage_md5", "class"])
     rows = rows.groupBy("doc_id", "text_md5", "item", "item_id").agg(F.max("similarity").alias("similarity"), best.alias("best"))
     return rows.select("doc_id", "item_id", "similarity", "best.score", "best.shared_seeds", "best.rarest_seed", "text_md5")
 

@@ -78,3 +78,35 @@ def test_empty_tables(make_docs, items, spark):
     none = spark.createDataFrame([], "item_id long, text string")
     assert dc.contaminated(make_docs([(1, "a b c d e f")]), none).count() == 0
     assert dc.clean(make_docs([(1, "a b c d e f")]), none).count() == 1
+
+
+def test_random_edits_against_alignment_of_all_pairs(make_docs, spark):
+    """Replaced, left out and added words, items of 4 to 200 words: the pairs over the limit, and no others."""
+    draw = random.Random(11)
+    word = lambda: "".join(draw.choice("aeiourst") for _ in range(draw.randint(1, 3)))
+    items = [(i, [word() for _ in range(draw.choice((4, 5, 6, 7, 10, 11, 15, 30, 60, 100, 200)))]) for i in range(60)]
+    docs = []
+    for d in range(300):
+        _, source = items[d % 60]
+        copy, share = [], draw.choice((0.05, 0.15, 0.25, 0.33))
+        for w in source:
+            edit = draw.choice("rdia") if draw.random() < share else ""
+            copy += {"r": [word()], "d": [], "i": [w, word()], "a": [word(), w]}.get(edit, [w])
+        docs.append((d, [word() for _ in range(draw.randint(0, 40))] + copy + [word() for _ in range(draw.randint(0, 40))]))
+    source = [f"w{i}" for i in range(100)]
+    items += [(60, source), (61, [f"v{i}" for i in range(15)])]
+    docs.append((300, [x for i, w in enumerate(source) for x in ([w, "new"] if i % 3 == 1 else [w])]))
+    docs.append((301, [w if i % 4 != 3 else "new" for i, (_, w) in enumerate(zip(range(15), items[61][1]))]))
+    benchmark = spark.createDataFrame([(i, " ".join(w)) for i, w in items], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r.score for r in dc.contaminated(make_docs([(d, " ".join(w)) for d, w in docs]), benchmark).collect()}
+    number: dict[str, int] = {}
+    coded = lambda words: np.array([number.setdefault(w, len(number)) for w in words])
+    coded_items = [(i, coded(w)) for i, w in items]
+    want = {}
+    for d, words in docs:
+        at = coded(words)
+        for i, item in coded_items:
+            if (score := dc.smith_waterman(at, item)) * 10 >= 6 * len(item):
+                want[d, i] = score
+    assert got == want
+    assert (300, 60) in want and (301, 61) in want and 150 < len(want) < 3000
