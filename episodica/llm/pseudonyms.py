@@ -56,7 +56,7 @@ def _alphabet(c: str) -> str | None:
 
 
 def _masked(text: str, key: bytes, tweak: str, back: bool, alphabets: list[str | None] | None = None) -> str:
-    """Permute the letters and digits of a text together, each within its alphabet; other characters stay."""
+    """Permute the ASCII letters and digits of a text together, each within its alphabet; other characters stay."""
     alphabets = [_alphabet(c) for c in text] if alphabets is None else alphabets
     used = [(i, a) for i, a in enumerate(alphabets) if a]
     number = 0
@@ -143,8 +143,14 @@ def _ssn(text: str, key: bytes, back: bool) -> str | None:
 
 
 def _phone(text: str, key: bytes, back: bool) -> str | None:
-    """The last ten digits of a number of the North American plan; a country code stays."""
+    """The last ten digits of a number of the North American plan, or all but the country code of another; the code stays."""
     digits = _digits(text)
+    if text[0] == "+" and not (digits[0] == "1" and len(digits) == 11):
+        if not 8 <= len(digits) <= 15:
+            return None
+        first = re.match(r"\+(\d+)", text)[1]
+        code = len(first) if len(first) <= 3 else 2
+        return _refill(text, digits[:code] + _masked(digits[code:], key, f"phone|{digits[:code]}", back))
     if len(digits) < 10 or digits[-10] < "2" or digits[-7] < "2":
         return None
     alphabets = ["23456789" if i in (0, 3) else "0123456789" for i in range(10)]
@@ -172,14 +178,48 @@ def _email(text: str, key: bytes, back: bool) -> str | None:
 
 
 _FIND: dict[str, tuple[re.Pattern[str], Callable[[str, bytes, bool], str | None]]] = {
-    "email": (re.compile(r"(?<![\w.+-])[A-Za-z0-9][A-Za-z0-9._+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}", re.ASCII), _email),
+    "email": (re.compile(r"(?<![\w.+-])[^\W_][\w.+-]*@[^\W_](?:[\w-]*[^\W_])?(?:\.[^\W_](?:[\w-]*[^\W_])?)*\.[^\W\d_]{2,}"), _email),
     "iban": (re.compile(r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)", re.ASCII), _iban),
-    "card": (re.compile(r"(?<![\w.-])\d(?:[ -]?\d){12,18}(?![\w-])", re.ASCII), _card),
+    "card": (re.compile(r"(?<![\w.-])\d(?:[ -]?\d){12,}(?!\w)", re.ASCII), _card),
     "ipv4": (re.compile(r"(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?!\.?\w)", re.ASCII), _ipv4),
-    "date": (re.compile(r"(?<![\w./-])(?:\d{4}([-/.])\d{2}\1\d{2}|\d{2}([-/.])\d{2}\2\d{4})(?![\w/-])", re.ASCII), _date),
+    "date": (
+        re.compile(r"(?<![\w./-])(?:\d{4}([-/.])\d{2}\1\d{2}|\d{2}([-/.])\d{2}\2\d{4})(?:(?=T\d{2})|(?![\w/-]))", re.ASCII),
+        _date,
+    ),
     "ssn": (re.compile(r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])", re.ASCII), _ssn),
-    "phone": (re.compile(r"(?<![\w(])(?:\+\d{1,3}[ .-]?)?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}(?!\w)", re.ASCII), _phone),
+    "phone": (
+        re.compile(
+            r"(?<![\w(])(?:(?:\+\d{1,3}[ .-]?)?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}|\+[1-9]\d{0,14}(?:[ .-]?\(?\d{1,12}\)?){0,6})(?!\w)",
+            re.ASCII,
+        ),
+        _phone,
+    ),
 }
+#: Sizes of the digit groups that card numbers are written in.
+_CARD_GROUPS = frozenset({(4, 4, 4, 4), (4, 6, 5), (4, 6, 4), (4, 4, 4, 4, 3), *((n,) for n in range(13, 20))})
+
+
+def _parts(kind: str, text: str, start: int, end: int) -> Iterator[tuple[int, int]]:
+    """Stretches of a match that may be a value, best first: a greedy match may hold neighbours of the value too.
+
+    Cards: runs of groups written as cards are, from the left, then the whole match. IBANs: the match without its last
+    groups, longest first. Other kinds: the match itself.
+    """
+    if kind == "card":
+        groups = [(m.start() + start, m.end() + start) for m in re.finditer("[0-9]+", text[start:end])]
+        for first in range(len(groups)):
+            for last in range(min(first + 5, len(groups)), first, -1):
+                own = groups[first:last]
+                if tuple(b - a for a, b in own) in _CARD_GROUPS and len({text[b] for _, b in own[:-1]}) < 2:
+                    yield own[0][0], own[-1][1]
+        yield start, end
+    elif kind == "iban":
+        yield start, end
+        for at in range(end - 1, start + 14, -1):
+            if text[at] == " ":
+                yield start, at
+    else:
+        yield start, end
 
 
 @lru_cache(maxsize=100_000)
@@ -189,17 +229,24 @@ def pseudonym(kind: str, value: str, key: bytes, back: bool = False) -> str | No
 
 
 def replaced(text: str, key: bytes, back: bool = False) -> tuple[str, list[tuple[int, int, str]]]:
-    """The text with pseudonyms, and (start, end, kind) of what was replaced. Earlier kinds win where matches overlap."""
+    """The text with pseudonyms, and (start, end, kind) of what was replaced. Earlier kinds win where matches overlap.
+
+    A pseudonym is reversed by its span: next to other digits, a pseudonym may make another stretch look valid.
+    """
     if not re.search("[0-9@]", text):
         return text, []
     spans: list[tuple[int, int, str, str]] = []
     for kind in KINDS:
         if kind == "email" and "@" not in text:
             continue
-        for found in _FIND[kind][0].finditer(text):
-            a, b = found.span()
-            if all(b <= c or d <= a for c, d, _, _ in spans) and (new := pseudonym(kind, found[0], key, back)) is not None:
-                spans.append((a, b, kind, new))
+        at = 0
+        while found := _FIND[kind][0].search(text, at):
+            at = found.end()
+            for a, b in _parts(kind, text, *found.span()):
+                if all(b <= c or d <= a for c, d, _, _ in spans) and (new := pseudonym(kind, text[a:b], key, back)) is not None:
+                    spans.append((a, b, kind, new))
+                    at = b
+                    break
     spans.sort()
     out, at = [], 0
     for a, b, _, new in spans:

@@ -82,6 +82,31 @@ def test_invalid_values_stay(kind, value):
     assert ps.pseudonym(kind, value, KEY) is None
 
 
+@pytest.mark.parametrize("text, start, value, kind", [
+    ("pay 4111 1111 1111 1111 12/27", 4, "4111 1111 1111 1111", "card"), ("4111111111111111 123", 0, "4111111111111111", "card"),
+    ("order 12345 4111 1111 1111 1111", 12, "4111 1111 1111 1111", "card"), ("4111-1111-1111-1111-", 0, "4111-1111-1111-1111", "card"),
+    ("ES91 2100 0418 4502 0005 1332 AND", 0, "ES91 2100 0418 4502 0005 1332", "iban"), ("2024-01-05T10:00:00", 0, "2024-01-05", "date"),
+    ("call +44 20 7946 0958.", 5, "+44 20 7946 0958", "phone"), ("+442079460958", 0, "+442079460958", "phone"),
+    ("an jörg@web.de.", 3, "jörg@web.de", "email")])
+def test_values_next_to_digits_words_and_times(text, start, value, kind):
+    new, spans = ps.replaced(text, KEY)
+    assert spans == [(start, start + len(value), kind)]
+    end = start + len(value)
+    assert new[:start] == text[:start] and new[end:] == text[end:] and new[start:end] != value
+    assert ps.pseudonym(kind, new[start:end], KEY, True) == value
+
+
+def test_long_texts_and_names_that_clash(make_docs, spark):
+    """A text of many values, a long run of digits, and columns named like those of the result."""
+    many = " ".join(["4111 1111 1111 1111 7 x"] * 500)
+    new, spans = ps.replaced(many, KEY)
+    assert len(spans) == 500 and "4111 1111" not in new
+    assert ps.replaced("12" * 50_000, KEY) == ("12" * 50_000, [])
+    df = spark.createDataFrame([(1, "ssn 123-45-6789", "mine", 5)], "doc_id long, text string, spans string, n_ssn int")
+    row = ps.pseudonymised(df, KEY).first()
+    assert (row.n_found, row.n_ssn, row.spans) == (1, 1, "ssn:4:15")
+
+
 @pytest.mark.parametrize("size", [1, 2, 3, 10, 97, 1000])
 def test_permutation(size):
     there = [ps.permuted(i, size, KEY, "t") for i in range(size)]
