@@ -7,6 +7,9 @@ full bitmap costs shuffle, never results.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from uuid import uuid4
+
 import numpy as np
 import pandas as pd
 from pyspark.broadcast import Broadcast
@@ -38,23 +41,31 @@ def possible(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return (table[slot >> np.uint64(6)] >> (slot & np.uint64(63))) & np.uint64(1) == 1
 
 
-def with_possible(df: DataFrame, key: Column, table: Broadcast) -> DataFrame:
-    """Add a column `possible`: whether the key, a long, may be in the set. Only the key goes through Python."""
+def held(key: Column, table: Broadcast) -> Column:
+    """Whether the key, a long, may be in the set. Only the key goes through Python."""
 
     @F.pandas_udf("boolean")
-    def held(keys: pd.Series) -> pd.Series:
+    def inside(keys: pd.Series) -> pd.Series:
         return pd.Series(possible(table.value, keys.to_numpy().view(np.uint64)))
 
-    return df.withColumn("possible", held(key))
+    return inside(key)
+
+
+def with_possible(df: DataFrame, key: Column, table: Broadcast) -> DataFrame:
+    """Add a column `possible`: whether the key may be in the set."""
+    return df.withColumn("possible", held(key, table))
 
 
-def without(df: DataFrame, drop: DataFrame, key: Column, drop_key: Column, same: Column, bits: int = 24) -> DataFrame:
+def without(df: DataFrame, drop: DataFrame, key: Column, drop_key: Column, same: Callable[[Column], Column], bits: int = 24) -> DataFrame:
     """The rows of df that match no row of drop.
 
-    key and drop_key are hashes (longs) that are equal for rows that match by `same`. Rows whose key cannot be in drop go
-    straight through; only the others are shuffled to the join that decides.
+    key and drop_key are hashes (longs) that are equal for rows that match by `same`, a condition on the columns of df and
+    the struct of a row of drop that it is given. Rows whose key cannot be in drop go straight through; only the others are
+    shuffled to the join that decides. The columns of df may have any names: the two that are added get names of their own.
     """
+    mark, other = f"_mark_{uuid4().hex}", f"_drop_{uuid4().hex}"
     table = bitmap(drop.select(drop_key.alias("key")).distinct(), "key", bits)
-    marked = with_possible(df, key, table)
-    rest = marked.filter("possible").join(drop, same, "left_anti").select(*df.columns)
-    return marked.filter(~F.col("possible")).select(*df.columns).unionByName(rest)
+    marked = df.withColumn(mark, held(key, table))
+    dropped = drop.select(F.struct(*drop.columns).alias(other))
+    rest = marked.filter(F.col(mark)).join(dropped, same(F.col(other)), "left_anti").drop(mark)
+    return marked.filter(~F.col(mark)).drop(mark).unionByName(rest)

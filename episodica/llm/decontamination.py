@@ -215,5 +215,5 @@ def clean(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY)
     """The rows of docs that match no item of the benchmark."""
     drop = contaminated(docs, benchmark, similarity).select(F.col("doc_id").alias("_id"), F.col("text_md5").alias("_text"))
     own, text = F.col("doc_id").cast("long"), F.md5(F.col("text").cast("string"))
-    same = own.eqNullSafe(F.col("_id")) & text.eqNullSafe(F.col("_text"))
+    same = lambda d: own.eqNullSafe(d["_id"]) & text.eqNullSafe(d["_text"])
     return without(docs, durable(drop.distinct(), "dropped"), F.xxhash64(own, text), F.xxhash64("_id", "_text"), same)

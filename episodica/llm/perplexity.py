@@ -403,5 +403,5 @@ def accepted(docs: DataFrame, order: int = ORDER, width: float = BAND_WIDTH) ->
     rejected = quality(docs, order, width).filter(~F.col("kept")).select(F.col("doc_id").alias("_id"), F.col("text_md5").alias("_text"))
     rejected = durable(rejected.distinct(), "rejected")
     own, text = F.col("doc_id").cast("long"), F.md5(F.col("text").cast("string"))
-    same = own.eqNullSafe(F.col("_id")) & text.eqNullSafe(F.col("_text"))
+    same = lambda d: own.eqNullSafe(d["_id"]) & text.eqNullSafe(d["_text"])
     return without(docs, rejected, F.xxhash64(own, text), F.xxhash64("_id", "_text"), same)

@@ -163,22 +163,23 @@ def _variant_links(crowded: DataFrame, masks: list[int], limit: int) -> DataFram
     """Links under keys with very many rows, without comparing pairs.
 
     Every row goes to all words that differ from it in at most limit/2 of the bits outside its key. Rows within the limit
-    share such a word, and rows that share one are within the limit. A word has a bounded number of such rows.
+    share such a word, and rows that share one are within the limit. For an odd limit, rows also go to the words one bit
+    farther; rows that come from there are linked only to rows that are nearer. A word has a bounded number of such rows.
     """
     half = limit // 2
     flips = []
     for mask in masks:
         free = [b for b in range(BITS) if not mask >> b & 1]
-        flips.append([_signed(sum(1 << b for b in c)) for k in range(half + 1) for c in combinations(free, k)])
+        flips.append([_signed(sum(1 << b for b in c)) for k in range(limit - half + 1) for c in combinations(free, k)])
     spread = None
     for at, changes in enumerate(flips):
         own = crowded.filter(F.col("at") == at)
         one = own.select(
             "at", "node", F.explode(F.array(*[F.lit(x) for x in changes])).alias("change"), "fp"
-        ).select("at", "node", F.col("fp").bitwiseXOR(F.col("change")).alias("word"))
+        ).select("at", "node", F.col("fp").bitwiseXOR(F.col("change")).alias("word"), (F.bit_count("change") <= half).alias("near"))
         spread = one if spread is None else spread.unionByName(one)
-    met = spread.groupBy("at", "word").agg(F.min("node").alias("a"), F.collect_list("node").alias("nodes"))
-    return met.filter(F.size("nodes") > 1).select("a", F.explode("nodes").alias("b")).filter("a <> b").distinct()
+    met = spread.groupBy("at", "word").agg(F.min(F.when(F.col("near"), F.col("node"))).alias("a"), F.collect_list("node").alias("nodes"))
+    return met.filter("a is not null").filter(F.size("nodes") > 1).select("a", F.explode("nodes").alias("b")).filter("a <> b").distinct()
 
 
 def links(nodes: DataFrame, limit: int = 4, key_rows: int = KEY_ROWS) -> DataFrame:
@@ -220,4 +221,4 @@ def representatives(docs: DataFrame, shingle: int = 4, limit: int = 4) -> DataFr
     drop = near_duplicates(docs, shingle, limit).filter(F.col("doc_id") != F.col("component_id"))
     drop = durable(drop.select(F.col("doc_id").alias("_id")).distinct(), "dropped")
     own = F.col("doc_id").cast("long")
-    return without(docs, drop, F.xxhash64(own), F.xxhash64("_id"), own == F.col("_id"))
+    return without(docs, drop, F.xxhash64(own), F.xxhash64("_id"), lambda d: own == d["_id"])

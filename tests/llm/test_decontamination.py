@@ -80,6 +80,12 @@ def test_empty_tables(make_docs, items, spark):
     assert dc.clean(make_docs([(1, "a b c d e f")]), none).count() == 1
 
 
+def test_columns_of_any_name_stay(spark, items):
+    rows, benchmark = items
+    docs = spark.createDataFrame([(1, rows[0][1], 7, "t", True), (2, "free", 8, "u", False)], "doc_id long, text string, _id long, _text string, possible boolean")
+    assert [tuple(r) for r in dc.clean(docs, benchmark).collect()] == [(2, "free", 8, "u", False)]
+
+
 def test_random_edits_against_alignment_of_all_pairs(make_docs, spark):
     """Replaced, left out and added words, items of 4 to 200 words: the pairs over the limit, and no others."""
     draw = random.Random(11)

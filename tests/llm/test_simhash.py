@@ -40,6 +40,40 @@ def test_near_duplicates(make_docs, odd_rows, key_rows):
     assert sorted(map(key, got)) == sorted(map(key, truth(rows)))
 
 
+@pytest.mark.parametrize("key_rows", [10, 1])
+@pytest.mark.parametrize("limit", [2, 3])
+def test_links_at_any_limit_and_size(spark, limit, key_rows):
+    """Fingerprints 1 to 3 bits apart are connected by comparison and by changed words alike."""
+    draw = np.random.default_rng(limit)
+    prints = {int(draw.integers(-(2**62), 2**62)) for _ in range(6)}
+    for fp in sorted(prints):
+        for n in (1, 2, 3, 4):
+            prints.add(fp ^ sum(1 << int(b) for b in draw.choice(62, n, replace=False)))
+    prints = sorted(prints)
+    nodes = spark.createDataFrame(list(enumerate(prints)), "node long, fp long")
+
+    def groups(pairs):
+        own = list(range(len(prints)))
+        for _ in own:
+            for a, b in pairs:
+                own[a] = own[b] = min(own[a], own[b])
+        return own
+
+    near = [(a, b) for b in range(len(prints)) for a in range(b) if ((prints[a] ^ prints[b]) % 2**64).bit_count() <= limit]
+    assert near
+    found = [(r.a, r.b) for r in simhash.links(nodes, limit, key_rows).collect()]
+    assert groups(found) == groups(near)
+
+
+def test_columns_of_any_name_stay(spark):
+    from pyspark.sql import functions as F
+
+    docs = spark.createDataFrame([(2, "a b c d e", 7, True), (1, "a b c d e", 8, False)], "doc_id long, text string, _id long, possible boolean")
+    kept = simhash.representatives(docs.withColumn("_text", F.lit("mine")))
+    assert kept.columns == [*docs.columns, "_text"]
+    assert [tuple(r) for r in kept.collect()] == [(1, "a b c d e", 8, False, "mine")]
+
+
 def test_no_rows(make_docs):
     assert simhash.near_duplicates(make_docs([])).count() == 0
 
