@@ -65,14 +65,15 @@ def _spans(kind: str, pattern: str, group: int, least: int) -> Column:
 
 
 def candidates(docs: DataFrame) -> DataFrame:
-    """(doc_id, source, spans) per row of docs: all candidates of all kinds, by start and kind."""
+    """(doc_id, source, spans) per row of docs: all candidates of all kinds, by start and kind, with the SHA-256 of the value."""
     found = F.concat(*[_spans(*kind) for kind in BASE + LOOSE])
     rows = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         F.coalesce(F.col("source").cast("string"), F.lit("")).alias("source"),
         _text().alias("text"),
     )
-    return rows.select("doc_id", "source", F.array_sort(found).alias("spans"))
+    hashed = F.transform(F.array_sort(found), lambda s: F.struct(s["start"], s["rank"], s["end"], F.sha2(s["value"], 256).alias("hash")))
+    return rows.select("doc_id", "source", hashed.alias("spans"))
 
 
 def ownership(found: DataFrame, example_owners: int = EXAMPLE_OWNERS, example_documents: int = EXAMPLE_DOCUMENTS) -> DataFrame:
@@ -80,10 +81,10 @@ def ownership(found: DataFrame, example_owners: int = EXAMPLE_OWNERS, example_do
 
     Repeated rows of a document count once; rows without doc_id count as one document. Equal (value, document) and (value,
     owner) are brought together before they are counted, and counts are added up on the map side first, so a value that a
-    third of all documents has is a few rows when it meets. The value itself is not kept, only its SHA-256.
+    third of all documents has is a few rows when it meets. Values are never written, only their SHA-256.
     """
-    values = found.select("doc_id", "source", F.explode(F.array_distinct(F.transform("spans", lambda s: s["value"]))).alias("value"))
-    counts = values.groupBy(F.sha2("value", 256).alias("hash")).agg(
+    values = found.select("doc_id", "source", F.explode(F.array_distinct(F.transform("spans", lambda s: s["hash"]))).alias("hash"))
+    counts = values.groupBy("hash").agg(
         F.count_distinct(F.struct("doc_id")).alias("documents"), F.count_distinct("source").alias("owners")
     )
     return counts.withColumn("example", (F.col("owners") >= example_owners) | (F.col("documents") >= example_documents))
@@ -106,7 +107,7 @@ def scanned(docs: DataFrame, example_owners: int = EXAMPLE_OWNERS, example_docum
     found = durable(candidates(docs).withColumn("row", F.monotonically_increasing_id()), "candidates")
     some = found.filter(F.size("spans") > 0)
     owned = durable(ownership(some, example_owners, example_documents).select("hash", "example"), "ownership")
-    each = some.select("row", F.explode("spans").alias("s")).withColumn("hash", F.sha2("s.value", 256)).join(owned, "hash")
+    each = some.select("row", F.explode("spans").alias("s")).withColumn("hash", F.col("s.hash")).join(owned, "hash")
     judged = each.groupBy("row").agg(
         F.array_sort(F.collect_list(F.struct("s.start", "s.rank", "s.end", "example"))).alias("judged")
     )

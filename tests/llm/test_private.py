@@ -194,3 +194,8 @@ def test_a_value_in_many_documents_of_one_source_is_an_example(make_docs):
     assert got[100].n_live == got[200].n_live == 1 and got[200].spans == f"token:4:{4 + len(again)}"
     counts = {(r.documents, r.owners, r.example) for r in secret_scan.ownership(secret_scan.candidates(docs)).collect()}
     assert counts == {(secret_scan.EXAMPLE_DOCUMENTS, 1, True), (2, 1, False), (1, 1, False)}
+
+
+def test_values_are_not_written(make_docs):
+    found = secret_scan.candidates(make_docs([(1, "password = hunter2hunter2")]))
+    assert "hunter2" not in str(found.collect()) and found.first().spans[0]["start"] == 0
