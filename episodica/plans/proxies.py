@@ -250,3 +250,8 @@ def with_views(body: str, *names: str, **extra: str) -> str:
         add(name)
     done |= extra
     return "WITH " + ",\n".join(f"{n} AS ({text})" for n, text in done.items()) + "\n" + body
+
+
+def with_recursive(body: str, *names: str, **extra: str) -> str:
+    """As with_views, where a common table expression may refer to itself."""
+    return with_views(body, *names, **extra).replace("WITH ", "WITH RECURSIVE ", 1)

@@ -6,7 +6,7 @@ from episodica.operators import cohort as c
 from episodica.operators import density as dn
 from episodica.operators import sampling as sp
 from episodica.plans import proxies as P
-from episodica.plans.proxies import with_views
+from episodica.plans.proxies import with_recursive, with_views
 from episodica.plans.registry import query
 
 
@@ -69,12 +69,28 @@ def impute_hours(spark, sf):
     return stays
 
 
-FOLDS = """SELECT p.id, p.person_id, p.y_true, CASE WHEN pos < 5 THEN pos ELSE 9 - pos END AS fold FROM predictions p JOIN (
-    SELECT person_id, (row_number() OVER (ORDER BY e DESC, o DESC, md5(person_id || '|42'), person_id) - 1) % 10 AS pos FROM (
-    SELECT person_id, sum(y_true) AS e, sum(1 - y_true) AS o FROM predictions GROUP BY person_id) g) f USING (person_id)"""
-
-
-@query("stratified_group_folds", with_views(FOLDS, "predictions"))
+FOLDS = """SELECT p.id, p.person_id, p.y_true, s.fold FROM predictions p JOIN (SELECT *, row_number() OVER (
+    PARTITION BY e, o ORDER BY md5(person_id || '|42'), person_id) AS pos FROM persons) g USING (person_id)
+    JOIN runs r ON r.e = g.e AND r.o = g.o JOIN steps s ON s.run = r.run AND s.upto >= pos AND s.upto - s.block < pos"""
+PERSONS = """SELECT person_id, sum(y_true)::BIGINT AS e, sum(1 - y_true)::BIGINT AS o FROM predictions GROUP BY person_id"""
+RUNS = """SELECT *, row_number() OVER (ORDER BY abs(e - o) DESC, e DESC) AS run, greatest(1, sum(e * m) OVER ())::BIGINT AS n1,
+    greatest(1, sum(o * m) OVER ())::BIGINT AS n0 FROM (SELECT e, o, count(*) AS m FROM persons GROUP BY e, o) c"""
+# every step tries one block of equal persons in each of 5 folds
+STEPS = """SELECT 0::BIGINT AS run, 0::BIGINT AS m, 0::BIGINT AS upto, 0::BIGINT AS block, NULL::INT AS fold,
+        [0, 0, 0, 0, 0]::BIGINT[] AS es, [0, 0, 0, 0, 0]::BIGINT[] AS os
+    UNION ALL SELECT run, m, upto + block, block, fold, es, os FROM (SELECT *, row_number() OVER (ORDER BY
+        sqrt((5 * list_sum(list_transform(es, lambda v: v * v)) - list_sum(es) ** 2)::DOUBLE) / n1
+        + sqrt((5 * list_sum(list_transform(os, lambda v: v * v)) - list_sum(os) ** 2)::DOUBLE) / n0, fold) AS place FROM (
+        SELECT r.run, r.m, r.n1, r.n0, i.done AS upto, i.block, f.fold::INT AS fold,
+            list_transform(i.es, lambda v, j: v + CASE WHEN j = f.fold + 1 THEN i.block * r.e ELSE 0 END) AS es,
+            list_transform(i.os, lambda v, j: v + CASE WHEN j = f.fold + 1 THEN i.block * r.o ELSE 0 END) AS os
+        FROM (SELECT c.next_run, c.done, c.es, c.os, greatest(1, (q.m - c.done) // 80) AS block FROM (
+            SELECT CASE WHEN upto < m THEN run ELSE run + 1 END AS next_run, CASE WHEN upto < m THEN upto ELSE 0 END AS done, es, os
+            FROM steps) c JOIN runs q ON q.run = c.next_run) i
+        JOIN runs r ON r.run = i.next_run, range(5) f(fold)) tried) ranked WHERE place = 1"""
+
+
+@query("stratified_group_folds", with_recursive(FOLDS, "predictions", persons=PERSONS, runs=RUNS, steps=STEPS))
 def stratified_group_folds(spark, sf):
     preds = P.predictions(spark, sf).select("id", "person_id", "y_true")
     return sp.assign_folds(preds, "person_id", "y_true", 5, 42)

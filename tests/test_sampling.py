@@ -30,6 +30,57 @@ def test_folds_do_not_depend_on_partitions(rows):
     assert sorted((r.id, r.fold) for r in a.collect()) == sorted((r.id, r.fold) for r in b.collect())
 
 
+def placed_one_by_one(runs, k):
+    """The sequential rule, group by group; (events, others) per fold."""
+    total = np.maximum(1, sum(np.array(r[:2]) * r[2] for r in runs))
+    held = np.zeros((k, 2))
+    for e, o, n in runs:
+        for _ in range(n):
+            tried = [(held + np.eye(k)[:, [i]] * (e, o)) / total for i in range(k)]
+            spread = [round(t.std(axis=0).sum(), 12) for t in tried]
+            held[int(np.argmin(spread))] += (e, o)
+    return held
+
+
+def test_blocks_of_equal_groups_spread_no_wider_than_single_groups():
+    rng = np.random.default_rng(4)
+    for _ in range(12):
+        k = int(rng.integers(2, 7))
+        runs = [(int(rng.integers(0, 40)), int(rng.integers(0, 200)), int(rng.integers(1, 400))) for _ in range(8)]
+        runs = sorted(runs, key=lambda r: (-abs(r[0] - r[1]), -r[0])) + [(1, 0, 30), (0, 1, 700), (0, 0, 9)]
+        total = sum(np.array(r[:2]) * r[2] for r in runs)
+        held = np.zeros((k, 2))
+        for (e, o, n), blocks in zip(runs, sp.fold_blocks(runs, k)):
+            assert blocks[-1][0] == n
+            for (upto, fold), before in zip(blocks, [0, *[b[0] for b in blocks]]):
+                held[fold] += (upto - before) * np.array((e, o))
+        assert (held.sum(axis=0) == total).all()
+        single = (placed_one_by_one(runs, k) / total).std(axis=0).sum()
+        assert (held / total).std(axis=0).sum() <= single + 0.002
+
+
+def test_short_runs_are_placed_one_by_one():
+    runs = [(9, 1, 2), (0, 5, 6), (2, 2, 31), (1, 2, 17), (0, 1, 40), (1, 0, 3)]
+    held = np.zeros((3, 2))
+    for (e, o, _), blocks in zip(runs, sp.fold_blocks(runs, 3)):
+        assert [b[0] for b in blocks] == list(range(1, len(blocks) + 1))
+        for _, fold in blocks:
+            held[fold] += (e, o)
+    assert (held == placed_one_by_one(runs, 3)).all()
+
+
+def test_folds_of_many_equal_groups_one_huge_group_and_no_rows(spark):
+    made = spark.range(30_000).select(F.when(F.col("id") < 10_000, -1).otherwise(F.col("id")).alias("person"),
+                                      F.when(F.col("id") % 50 == 0, 1).when(F.col("id") % 50 == 1, None).otherwise(0).alias("y"))
+    out = sp.assign_folds(made, "person", "y", 4)
+    rows = {r.fold: (r.events, r.n) for r in out.groupBy("fold").agg(F.sum("y").alias("events"), F.count("*").alias("n")).collect()}
+    assert sum(n for _, n in rows.values()) == 30_000 and set(rows) == {0, 1, 2, 3}
+    alone = out.filter("person = -1").first().fold
+    events = sorted(e for f, (e, _) in rows.items() if f != alone)
+    assert rows[alone][0] == 200 and events[-1] - events[0] <= 1
+    assert sp.assign_folds(made.limit(0), "person", "y", 4).count() == 0
+
+
 def test_samples(rows):
     assert sp.sample_n(rows, "id", 50).count() == 50
     assert sp.sample_n(rows, "id", 5000).count() == 900
