@@ -7,15 +7,13 @@ combines before the shuffle. Running totals over scores use `ranked`, so one stu
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
+from episodica.functions.hashing import uniform
 from episodica.operators.ordered import ranked
 from episodica.operators.quantiles import ntile_by
 from episodica.session import durable
@@ -170,51 +168,70 @@ def calibration(preds: DataFrame, by: Sequence[str], tie: str, n: int = 10, y="y
     )
 
 
-def _inc_beta(a: float, b: float, x: float) -> float:
-    """Regularised incomplete beta function by its continued fraction."""
-    if x <= 0.0 or x >= 1.0:
-        return float(x >= 1.0)
-    if x > (a + 1.0) / (a + b + 2.0):
-        return 1.0 - _inc_beta(b, a, 1.0 - x)
-    front = math.exp(
-        math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x)
-    ) / a
-    tiny = 1e-300
-    c, d = 1.0, 1.0 / max(1.0 - (a + b) * x / (a + 1.0), tiny)
-    total = d
-    for m in range(1, 10_000):
-        even = m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m))
-        d = 1.0 / (1.0 + even * d or tiny)
-        c = 1.0 + even / c or tiny
-        total *= c * d
-        odd = -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))
-        d = 1.0 / (1.0 + odd * d or tiny)
-        c = 1.0 + odd / c or tiny
-        total *= c * d
-        if abs(c * d - 1.0) < 1e-14:
-            return front * total
-    raise ArithmeticError(f"incomplete beta function of {a}, {b} at {x} does not settle")
-
-
-def beta_quantile(q: float, a: float, b: float) -> float:
-    """Inverse of the incomplete beta function by bisection."""
-    lo, hi = 0.0, 1.0
-    for _ in range(60):
-        mid = (lo + hi) / 2
-        lo, hi = (mid, hi) if _inc_beta(a, b, mid) < q else (lo, mid)
-    return (lo + hi) / 2
+def _log_gamma(x: Column) -> Column:
+    """Stirling's series, eight steps up from x > 0."""
+    y = x + 8
+    series = (y - 0.5) * F.log(y) - y + 0.5 * math.log(2 * math.pi)
+    tail = 1 / (12 * y) - 1 / (360 * F.pow(y, 3)) + 1 / (1260 * F.pow(y, 5)) - 1 / (1680 * F.pow(y, 7))
+    return series + tail - sum((F.log(x + i) for i in range(1, 8)), F.log(x))
 
 
-def with_jeffreys(bins: DataFrame, level: float = 0.95) -> DataFrame:
-    """Jeffreys limits of the observed share. The function sees calibration bins, not rows."""
-    tail = (1 - level) / 2
+def _bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is worked out once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _beta_fraction(a: Column, b: Column, x: Column) -> Column:
+    """Continued fraction of the incomplete beta function; some sqrt(a + b) terms are enough for x below the mean, where
+    no denominator gets zero."""
+    terms = F.sequence(F.lit(1), F.floor(60 + 5 * F.sqrt(a + b)).cast("int")).cast("array<double>")
+    pairs = F.transform(terms, lambda m: F.array(
+        m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))))
+
+    def step(state: Column, numerator: Column) -> Column:
+        new = F.struct((1 + numerator / state["c"]).alias("c"), (1 / (1 + numerator * state["d"])).alias("d"))
+        return _bound(new, lambda v: F.struct(v["c"], v["d"], (state["total"] * v["c"] * v["d"]).alias("total")))
+
+    first = F.struct((1 / (1 - (a + b) * x / (a + 1))).alias("d"))
+    start = _bound(first, lambda v: F.struct(F.lit(1.0).alias("c"), v["d"], v["d"].alias("total")))
+    return F.aggregate(F.flatten(pairs), start, step, lambda state: state["total"])
+
+
+def incomplete_beta(a: Column, b: Column, x: Column) -> Column:
+    """Regularised incomplete beta function of 0 < x < 1, from the side where the continued fraction settles fast."""
+    above = x > (a + 1) / (a + b + 2)
+    sides = F.struct(F.when(above, b).otherwise(a).alias("p"), F.when(above, a).otherwise(b).alias("q"),
+                     F.when(above, 1 - x).otherwise(x).alias("z"), above.alias("above"))
+
+    def part(v: Column) -> Column:
+        p, q, z = v["p"], v["q"], v["z"]
+        front = F.exp(_log_gamma(p + q) - _log_gamma(p) - _log_gamma(q) + p * F.log(z) + q * F.log1p(-z)) / p
+        return _bound(front * _beta_fraction(p, q, z), lambda share: F.when(v["above"], 1 - share).otherwise(share))
+
+    return _bound(sides, part)
+
+
+def beta_quantile(q: Column, a: Column, b: Column, steps: int = 44) -> Column:
+    """Inverse of the incomplete beta function by bisection, as a column expression."""
+    start = F.struct(F.lit(0.0).alias("lo"), F.lit(1.0).alias("hi"))
+
+    def halve(state: Column, _: Column) -> Column:
+        tried = F.struct(((state["lo"] + state["hi"]) / 2).alias("mid"))
+        tried = _bound(tried, lambda v: F.struct(v["mid"], (incomplete_beta(a, b, v["mid"]) < q).alias("below")))
+        return _bound(tried, lambda v: F.struct(
+            F.when(v["below"], v["mid"]).otherwise(state["lo"]).alias("lo"),
+            F.when(v["below"], state["hi"]).otherwise(v["mid"]).alias("hi")))
 
-    @F.pandas_udf(T.DoubleType())
-    def limit(events: pd.Series, non_events: pd.Series, q: pd.Series) -> pd.Series:
-        return pd.Series([beta_quantile(z, 0.5 + e, 0.5 + n) for e, n, z in zip(events, non_events, q)])
+    halves = F.sequence(F.lit(1), F.lit(steps))
+    return F.aggregate(halves, start, halve, lambda state: (state["lo"] + state["hi"]) / 2)
 
-    return bins.withColumn("y_true_lo", limit("events", "non_events", F.lit(tail))).withColumn(
-        "y_true_hi", limit("events", "non_events", F.lit(1 - tail))
+
+def with_jeffreys(bins: DataFrame, level: float = 0.95) -> DataFrame:
+    """Jeffreys limits of the observed share. The expression is evaluated on calibration bins, not on rows."""
+    tail = (1 - level) / 2
+    a, b = F.col("events") + 0.5, F.col("non_events") + 0.5
+    return bins.withColumn("y_true_lo", beta_quantile(F.lit(tail), a, b)).withColumn(
+        "y_true_hi", beta_quantile(F.lit(1 - tail), a, b)
     )
 
 
@@ -274,52 +291,60 @@ def net_benefit(preds: DataFrame, by: Sequence[str], steps: int = NB_STEPS) -> D
     )
 
 
+def poisson_draws(cells: DataFrame, by: Sequence[str], n: str, key: Column, replicates: int, seed: object) -> DataFrame:
+    """For each cell (distinct `by`) with n > 0 rows and each replicate a Poisson(n) number `drawn`.
+
+    That is the number of rows of the cell in a Poisson bootstrap, where every row has a Poisson(1) weight, without a
+    draw per row. The distribution is tabulated within 12 standard deviations around n, so a cell costs some
+    24 sqrt(n) rows; the draw is the first number whose cumulated share exceeds a hash of key and replicate.
+    """
+    by = list(by)
+    reach = 12 * F.sqrt(n) + 12
+    numbers = F.sequence(F.greatest(F.lit(0), F.floor(F.col(n) - reach)).cast("long"), F.ceil(F.col(n) + reach).cast("long"))
+    table = cells.filter(F.col(n) > 0).select(*by, F.log(F.col(n).cast("double")).alias("_ln"), F.posexplode(numbers).alias("_at", "_k"))
+    whole = W.partitionBy(*by)
+    upto = whole.orderBy("_k").rowsBetween(W.unboundedPreceding, W.currentRow)
+    table = table.withColumn("_l", F.sum(F.when(F.col("_at") == 0, 0.0).otherwise(F.col("_ln") - F.log("_k"))).over(upto))
+    table = table.withColumn("_w", F.exp(F.col("_l") - F.max("_l").over(whole)))
+    table = table.select(*by, (F.sum("_w").over(upto) / F.sum("_w").over(whole)).alias("_x"), "_k", F.lit(None).cast("int").alias("replicate"))
+    draws = cells.filter(F.col(n) > 0).withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
+    place = uniform(F.concat_ws("|", key, F.col("replicate").cast("string")), seed)
+    draws = draws.select(*by, place.alias("_x"), F.lit(None).cast("long").alias("_k"), "replicate")
+    # from above: the least number passed so far is the first whose cumulated share is greater
+    passed = whole.orderBy(F.desc("_x"), F.desc_nulls_last("replicate")).rowsBetween(W.unboundedPreceding, W.currentRow)
+    return table.unionByName(draws).withColumn("drawn", F.min("_k").over(passed)).filter("replicate IS NOT NULL").select(*by, "replicate", "drawn")
+
+
 def net_benefit_limits(
     preds: DataFrame, by: Sequence[str], steps: int = NB_STEPS, replicates: int = 500, level: float = 0.95, seed: int = 42
 ) -> DataFrame:
-    """Bootstrap limits of the model's standardised net benefit.
+    """Poisson bootstrap limits of the standardised net benefit of the model and of treating all.
 
-    Net benefit depends on the rows only through the counts per (threshold bucket, outcome), so drawing rows with
-    replacement is drawing those counts from a multinomial distribution: every replicate costs 2*(steps+2) numbers,
-    not one pass over the rows.
+    Net benefit depends on the rows only through the counts per (threshold bucket, outcome), so each of these counts is
+    drawn instead of the weights of its rows: every replicate costs 2 * (steps + 2) numbers, not one pass over the rows.
     """
     by = list(by)
-    cells = benefit_cells(preds, by, steps).groupBy(*by).agg(
-        F.array_sort(F.collect_list(F.struct("bucket", "pos", "neg"))).alias("cells")
+    cells = durable(benefit_cells(preds, by, steps), "cells")
+    counts = cells.select(*by, "bucket", F.explode(F.map_from_arrays(F.array(F.lit(1), F.lit(0)), F.array("pos", "neg"))).alias("outcome", "n"))
+    key = F.concat_ws("|", *[F.col(c).cast("string") for c in [*by, "bucket", "outcome"]])
+    drawn = poisson_draws(counts, [*by, "bucket", "outcome"], "n", key, replicates, seed)
+    event = F.col("outcome") == 1
+    again = drawn.groupBy(*by, "replicate").agg(
+        F.sum(F.when(event, F.col("drawn")).otherwise(0)).alias("n_pos"),
+        F.sum("drawn").alias("n"),
+        *[F.sum(F.when(event & (F.col("bucket") > t), F.col("drawn")).otherwise(0)).alias(f"tp{t}") for t in range(steps + 1)],
+        *[F.sum(F.when(~event & (F.col("bucket") > t), F.col("drawn")).otherwise(0)).alias(f"fp{t}") for t in range(steps + 1)],
     )
-    group = F.concat_ws("|", *[F.col(c).cast("string") for c in by])
-    drawn = cells.select(
-        *by,
-        "cells",
-        F.shiftrightunsigned(F.xxhash64(group, F.lit(seed)), 1).alias("seed_no"),
-        F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("replicate_no"),
-    )
-
-    def resample(batches):
-        thresholds = np.arange(steps + 1) / steps
-        with np.errstate(divide="ignore"):
-            odds = np.where(thresholds < 1, thresholds / (1 - thresholds), np.nan)
-        for pdf in batches:
-            out = []
-            for row in pdf.itertuples(index=False):
-                counts = np.zeros((steps + 2, 2))
-                for cell in row.cells:
-                    counts[cell["bucket"]] = cell["pos"], cell["neg"]
-                n = counts.sum()
-                rng = np.random.default_rng([row.seed_no, row.replicate_no])
-                again = rng.multinomial(int(n), (counts / n).ravel()).reshape(counts.shape)
-                tp, fp = again[::-1].cumsum(axis=0)[::-1][1:].T
-                prevalence = again[:, 0].sum() / n
-                snb = (tp / n - fp / n * odds) / prevalence if prevalence > 0 else np.full(steps + 1, np.nan)
-                for t, v in zip(thresholds, snb):
-                    out.append((*row[: len(by)], t, None if np.isnan(v) else v))
-            yield pd.DataFrame(out, columns=[*by, "threshold", "snb"])
-
-    fields = [preds.schema[c] for c in by]
-    schema = T.StructType([*fields, T.StructField("threshold", T.DoubleType()), T.StructField("snb", T.DoubleType())])
-    draws = drawn.mapInPandas(resample, schema)
+    n, prevalence = F.nullif(F.col("n"), F.lit(0)), F.nullif(F.col("n_pos") / F.nullif(F.col("n"), F.lit(0)), F.lit(0.0))
+    points = []
+    for t in range(steps + 1):
+        pt = F.lit(t / steps)
+        model = _benefit(F.col(f"tp{t}"), F.col(f"fp{t}"), n, pt)
+        everyone = _benefit(F.col("n_pos"), F.col("n") - F.col("n_pos"), n, pt)
+        for name, benefit in (("Prediction model", model), ("All", everyone)):
+            points.append(F.struct(pt.alias("threshold"), F.lit(name).alias("model"), (benefit / prevalence).alias("snb")))
     tail = (1 - level) / 2
-    return draws.groupBy(*by, "threshold").agg(
+    return again.select(*by, F.inline(F.array(*points))).groupBy(*by, "threshold", "model").agg(
         F.percentile("snb", tail).alias("snb_lower"), F.percentile("snb", 1 - tail).alias("snb_upper")
     )
 

@@ -295,12 +295,12 @@ def report(spark, sf):
     trials = durable(rp.trial_report(*trial_tables(spark, sf)).filter("is_best"), "trials")
 
     bin_no = F.concat(F.lit("bin "), F.col("q").cast("string"))
-    at = F.concat(F.lit("at "), F.col("threshold").cast("string"))
+    at = F.concat_ws(" at ", "model", F.col("threshold").cast("string"))
     cutoff = F.concat(F.lit("at "), F.col("cutoff").cast("string"))
     line = F.concat_ws(" ", "variable", "level")
     parts = [section(bins, f"calibration {name}", bin_no, F.col(c)) for name, c in (
         ("predicted", "y_pred"), ("observed", "y_true"), ("lower", "y_true_lo"), ("upper", "y_true_hi"))]
-    parts.append(section(m.net_benefit(preds, BY), "decision curve", F.concat_ws(" at ", "model", F.col("threshold").cast("string")), F.col("snb")))
+    parts.append(section(m.net_benefit(preds, BY), "decision curve", at, F.col("snb")))
     parts += [section(limits, f"decision curve {c[4:]}", at, F.col(c)) for c in ("snb_lower", "snb_upper")]
     parts += [section(roc, f"roc {c}", cutoff, F.col(c)) for c in ("fpr", "tpr")]
     parts += [section(metrics, "metrics", F.lit(c), F.col(c)) for c in ("threshold", "auroc", "avg_prec_score", "mcc", "precision", "recall")]

@@ -102,8 +102,10 @@ def test_net_benefit(preds, data):
 
 def test_bootstrap_limits_agree_with_resampled_rows(preds, data):
     y, p = data
-    got = {round(r.threshold, 1): r for r in m.net_benefit_limits(preds, ["study_name"], replicates=400).collect()}
-    again = {round(r.threshold, 1): r for r in m.net_benefit_limits(preds.repartition(3), ["study_name"], replicates=400).collect()}
+    model = F.col("model") == "Prediction model"
+    got = {round(r.threshold, 1): r for r in m.net_benefit_limits(preds, ["study_name"], replicates=400).filter(model).collect()}
+    again = {round(r.threshold, 1): r for r in m.net_benefit_limits(
+        preds.repartition(3), ["study_name"], replicates=400).filter(model).collect()}
     assert {t: (r.snb_lower, r.snb_upper) for t, r in got.items()} == {t: (r.snb_lower, r.snb_upper) for t, r in again.items()}
     rng, t, draws = np.random.default_rng(0), 0.3, []
     for _ in range(400):
@@ -114,11 +116,36 @@ def test_bootstrap_limits_agree_with_resampled_rows(preds, data):
     assert got[t].snb_upper == pytest.approx(np.quantile(draws, 0.975), abs=0.05)
 
 
-def test_beta_quantiles():
+def test_beta_quantiles(spark):
     # Beta(a, 1) has quantile q^(1/a); Beta(1/2, 1/2) is the arcsine law
-    assert m.beta_quantile(0.3, 4, 1) == pytest.approx(0.3 ** 0.25)
-    assert m.beta_quantile(0.975, 0.5, 0.5) == pytest.approx(math.sin(math.pi * 0.975 / 2) ** 2)
-    assert m.beta_quantile(0.025, 50.5, 950.5) == pytest.approx(1 - m.beta_quantile(0.975, 950.5, 50.5))
+    rows = [(0.3, 4.0, 1.0), (0.975, 0.5, 0.5), (0.025, 50.5, 950.5), (0.975, 950.5, 50.5), (0.5, 2e6 + 0.5, 2e6 + 0.5), (0.025, 0.5, 1e6)]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, q double, a double, b double")
+    got = [r.v for r in df.select("i", m.beta_quantile(F.col("q"), F.col("a"), F.col("b")).alias("v")).orderBy("i").collect()]
+    assert got[0] == pytest.approx(0.3 ** 0.25) and got[1] == pytest.approx(math.sin(math.pi * 0.975 / 2) ** 2)
+    assert got[2] == pytest.approx(1 - got[3])
+    assert got[4] == pytest.approx(0.5, abs=1e-9)
+    # b times the value of Beta(1/2, b) tends to a gamma law: half a squared standard normal of probability 0.025
+    assert got[5] * 1e6 == pytest.approx(0.0313380 ** 2 / 2, rel=1e-3)
+
+
+def test_poisson_draws_have_the_moments_of_the_counts(spark):
+    cells = spark.createDataFrame([("a", 1), ("b", 40), ("c", 90_000), ("d", 0)], "cell string, n long")
+    drawn = m.poisson_draws(cells, ["cell"], "n", F.col("cell"), 4000, 7)
+    stats = {r.cell: r for r in drawn.groupBy("cell").agg(
+        F.count("*").alias("n"), F.avg("drawn").alias("mean"), F.variance("drawn").alias("var"), F.min("drawn").alias("least")).collect()}
+    assert set(stats) == {"a", "b", "c"} and {r.n for r in stats.values()} == {4000}
+    for cell, n in (("a", 1), ("b", 40), ("c", 90_000)):
+        assert stats[cell].mean == pytest.approx(n, abs=5 * math.sqrt(n / 4000))
+        assert stats[cell].var == pytest.approx(n, rel=0.15)
+    zero = drawn.filter("cell = 'a' and drawn = 0").count() / 4000
+    assert zero == pytest.approx(math.exp(-1), abs=0.04)
+
+
+def test_limits_of_groups_without_events_or_rows(spark):
+    none = spark.createDataFrame([(0, 0.2), (0, 0.7), (None, 0.5), (1, None)], "y_true int, y_pred double").withColumn("study_name", F.lit("s"))
+    out = m.net_benefit_limits(none, ["study_name"], replicates=5).collect()
+    assert len(out) == 22 and all(r.snb_lower is None and r.snb_upper is None for r in out)
+    assert m.net_benefit_limits(none.limit(0), ["study_name"], replicates=5).count() == 0
 
 
 def test_calibration(preds, data):
