@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from episodica.functions.hashing import uniform
-from episodica.operators.metrics import cross_entropy
+from episodica.operators.metrics import cross_entropy, rated, score_counts
 from episodica.operators.reshape import union_with_label
 from episodica.operators.sampling import rebalance
 from episodica.operators.shared_fits import cross_validated
@@ -189,41 +189,53 @@ def load_model(path: str) -> Model:
     return PipelineModel.load(path).stages[0]
 
 
-def fit_platt(preds: DataFrame, y: str = "y_true", p: str = "y_pred") -> LogisticRegressionModel:
-    """Sigmoid recalibration with smoothed targets (n1+1)/(n1+2) and 1/(n0+2).
+def fit_platt(preds: DataFrame, y: str = "y_true", p: str = "y_pred", max_iter: int = 100) -> tuple[float, float]:
+    """(a, b) of the recalibrated risk 1 / (1 + exp(a * score + b)), for the smoothed targets (n1+1)/(n1+2) and 1/(n0+2).
 
-    A fractional target t is a row of each class with weights t and 1-t. Rows are counted per (score, class) first.
+    Newton steps on the counts per score; a step that does not lower the loss is halved. Each step is one aggregate of
+    six sums. Rows without score or outcome are left out; without any rows the risk is 1/2.
     """
-    cells = preds.groupBy(F.col(p).alias("s"), F.col(y).alias("c")).agg(F.count(F.lit(1)).alias("n"))
-    sizes = preds.agg(F.struct(F.sum((F.col(y) == 1).cast("long")).alias("n1"), F.sum((F.col(y) != 1).cast("long")).alias("n0"))).scalar()
-    target = F.when(F.col("c") == 1, (F.col("z.n1") + 1) / (F.col("z.n1") + 2)).otherwise(1 / (F.col("z.n0") + 2))
-    rows = cells.withColumn("z", sizes).withColumn("t", target)
-    both = rows.select(
-        "s",
-        F.explode(
-            F.array(
-                F.struct(F.lit(1.0).alias("label"), (F.col("n") * F.col("t")).alias("weight")),
-                F.struct(F.lit(0.0).alias("label"), (F.col("n") * (1 - F.col("t"))).alias("weight")),
-            )
-        ).alias("r"),
-    ).select("r.*", F.array("s").alias("x"))
-    est = LogisticRegression(weightCol="weight", standardization=True, maxIter=200, tol=1e-10)
-    return est.fit(as_vector(both))
-
-
-def platt_coefficients(model: LogisticRegressionModel) -> tuple[float, float]:
-    """(a, b) of the recalibrated risk 1 / (1 + exp(a * score + b))."""
-    return -model.coefficients[0], -model.intercept
-
-
-def apply_platt(preds: DataFrame, model: LogisticRegressionModel, p: str = "y_pred") -> DataFrame:
-    a, b = platt_coefficients(model)
+    cells = durable(score_counts(preds, [], y, p), "cells")
+    n1, n0 = (int(v or 0) for v in cells.agg(F.sum("pos"), F.sum("neg")).first())
+    hits = F.col("pos") * ((n1 + 1) / (n1 + 2)) + F.col("neg") * (1 / (n0 + 2))
+    n, s = F.col("pos") + F.col("neg"), F.col("score")
+
+    def sums(a: float, b: float) -> list[float]:
+        z = F.lit(a) * s + F.lit(b)
+        risk = 1 / (1 + F.exp(z))
+        loss = n * (F.greatest(z, F.lit(0.0)) + F.log1p(F.exp(-F.abs(z)))) - (n - hits) * z
+        slope, bend = hits - n * risk, n * risk * (1 - risk)
+        terms = [loss, s * slope, slope, s * s * bend, s * bend, bend]
+        return [float(v or 0.0) for v in cells.agg(*[F.sum(t) for t in terms]).first()]
+
+    a, b = 0.0, math.log((n0 + 1) / (n1 + 1))
+    loss, ga, gb, haa, hab, hbb = sums(a, b)
+    for _ in range(max_iter):
+        haa, hbb = haa + 1e-12, hbb + 1e-12
+        det = haa * hbb - hab * hab
+        da, db = (hab * gb - hbb * ga) / det, (hab * ga - haa * gb) / det
+        if max(abs(da), abs(db)) < 1e-10 * (1 + max(abs(a), abs(b))):
+            break
+        for _ in range(30):
+            tried = sums(a + da, b + db)
+            if tried[0] <= loss:
+                break
+            da, db = da / 2, db / 2
+        else:
+            break
+        a, b = a + da, b + db
+        loss, ga, gb, haa, hab, hbb = tried
+    return a, b
+
+
+def apply_platt(preds: DataFrame, fitted: tuple[float, float], p: str = "y_pred") -> DataFrame:
+    a, b = fitted
     return preds.withColumn(p, 1 / (1 + F.exp(F.lit(a) * F.col(p) + F.lit(b)))).withColumn("pred_type", F.lit("platt"))
 
 
 def fit_isotonic(preds: DataFrame, y: str = "y_true", p: str = "y_pred") -> IsotonicRegressionModel:
-    """Monotone recalibration, fitted on one weighted row per distinct score."""
-    cells = preds.groupBy(F.col(p).alias("s")).agg(
+    """Monotone recalibration, fitted on one weighted row per distinct score. Rows without score or outcome are left out."""
+    cells = rated(preds, y, p).groupBy(F.col(p).alias("s")).agg(
         F.avg(F.col(y).cast("double")).alias("label"), F.count(F.lit(1)).cast("double").alias("weight")
     )
     return IsotonicRegression(featuresCol="s", labelCol="label", weightCol="weight").fit(cells)

@@ -9,6 +9,7 @@ from episodica.operators import reshape as rs
 from episodica.plans import dataset_queries as dq
 from episodica.plans import proxies as P
 from episodica.plans.metric_queries import rounded
+from episodica.plans.proxies import with_recursive
 from episodica.plans.registry import query
 from episodica.session import durable, scratch_path
 
@@ -70,7 +71,21 @@ def score(spark, sf):
     return rounded(_scored(spark, sf), "y_pred")
 
 
-@query("platt")
+DEV_SCORES = """SELECT y_pred AS score, sum(y_true)::DOUBLE AS pos, sum(1 - y_true)::DOUBLE AS neg FROM predictions
+    WHERE dataset = 'dev' GROUP BY y_pred"""
+TARGETS = """SELECT score, pos + neg AS n, pos * (n1 + 1) / (n1 + 2) + neg / (n0 + 2) AS hits, n1, n0
+    FROM dev_scores, (SELECT sum(pos) AS n1, sum(neg) AS n0 FROM dev_scores) s"""
+NEWTON = """SELECT 0 AS step, 0.0::DOUBLE AS a, ln((max(n0) + 1) / (max(n1) + 1))::DOUBLE AS b FROM targets
+    UNION ALL SELECT step + 1, a + (hab * gb - hbb * ga) / (haa * hbb - hab * hab), b + (hab * ga - haa * gb) / (haa * hbb - hab * hab)
+    FROM (SELECT step, a, b, sum(score * (hits - n * risk)) AS ga, sum(hits - n * risk) AS gb,
+        sum(score * score * n * risk * (1 - risk)) AS haa, sum(score * n * risk * (1 - risk)) AS hab, sum(n * risk * (1 - risk)) AS hbb
+        FROM (SELECT *, 1 / (1 + exp(a * score + b)) AS risk FROM newton, targets WHERE step < 30) r GROUP BY step, a, b) sums"""
+PLATT = dict(dev_scores=DEV_SCORES, targets=TARGETS, newton=NEWTON)
+
+
+@query("platt", with_recursive("""SELECT study_name, dataset, 'platt' AS pred_type,
+    round(avg(1 / (1 + exp(a * y_pred + b))), 6) AS y_pred, round(avg(y_true), 6) AS y_true
+    FROM predictions, (SELECT a, b FROM newton WHERE step = 30) f GROUP BY study_name, dataset""", "predictions", **PLATT))
 def platt(spark, sf):
     preds = P.predictions(spark, sf)
     fitted = md.fit_platt(preds.filter(F.col("dataset") == "dev"))
@@ -79,7 +94,31 @@ def platt(spark, sf):
         F.avg("y_pred").alias("y_pred"), F.avg("y_true").alias("y_true")), "y_pred", "y_true")
 
 
-@query("isotonic")
+@query("platt_coefficients", with_recursive(
+    "SELECT n1, n0, round(a, 6) AS a, round(b, 6) AS b FROM newton, (SELECT max(n1) AS n1, max(n0) AS n0 FROM targets) t WHERE step = 30",
+    "predictions", **PLATT))
+def platt_coefficients(spark, sf):
+    dev = P.predictions(spark, sf).filter(F.col("dataset") == "dev")
+    a, b = md.fit_platt(dev)
+    sizes = dev.agg(F.sum("y_true").cast("double").alias("n1"), F.sum(1 - F.col("y_true")).cast("double").alias("n0"))
+    return sizes.withColumns({"a": F.round(F.lit(a), 6), "b": F.round(F.lit(b), 6)})
+
+
+# running sums of weight and events over the scores; the corners of their greatest convex minorant bound the blocks
+SUMS = """SELECT row_number() OVER (ORDER BY score) AS i, score, sum(pos + neg) OVER (ORDER BY score) AS w,
+    sum(pos) OVER (ORDER BY score) AS e FROM dev_scores"""
+CORNERS = """SELECT 0::BIGINT AS i, 0::DOUBLE AS w, 0::DOUBLE AS e, NULL::DOUBLE AS value
+    UNION ALL SELECT i, w, e, value FROM (SELECT s.i, s.w, s.e, (s.e - c.e) / (s.w - c.w) AS value,
+        row_number() OVER (ORDER BY (s.e - c.e) / (s.w - c.w), s.i DESC) AS place FROM corners c JOIN sums s ON s.i > c.i) t WHERE place = 1"""
+KNOTS = """SELECT DISTINCT score, value FROM (SELECT value, i AS hi, lag(i) OVER (ORDER BY i) + 1 AS lo FROM corners) b
+    JOIN sums s ON s.i = b.lo OR s.i = b.hi WHERE value IS NOT NULL"""
+
+
+@query("isotonic", with_recursive("""SELECT study_name, dataset, 'isotonic' AS pred_type, round(avg(CASE
+        WHEN l.score IS NULL THEN h.value WHEN h.score IS NULL OR h.score = l.score THEN l.value
+        ELSE l.value + (h.value - l.value) * (y_pred - l.score) / (h.score - l.score) END), 6) AS y_pred, round(avg(y_true), 6) AS y_true
+    FROM predictions p ASOF LEFT JOIN knots l ON p.y_pred >= l.score ASOF LEFT JOIN knots h ON p.y_pred <= h.score
+    GROUP BY study_name, dataset""", "predictions", dev_scores=DEV_SCORES, sums=SUMS, corners=CORNERS, knots=KNOTS))
 def isotonic(spark, sf):
     preds = P.predictions(spark, sf)
     fitted = md.fit_isotonic(preds.filter(F.col("dataset") == "dev"))

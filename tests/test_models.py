@@ -48,16 +48,29 @@ def test_platt_is_the_maximum(spark):
     p = np.round(rng.random(500), 3)
     y = (rng.random(500) < p ** 2).astype(int)
     df = spark.createDataFrame([(int(a), float(b)) for a, b in zip(y, p)], "y_true int, y_pred double")
-    a, b = md.platt_coefficients(md.fit_platt(df))
+    a, b = md.fit_platt(df)
     n1, n0 = y.sum(), (1 - y).sum()
     target = np.where(y == 1, (n1 + 1) / (n1 + 2), 1 / (n0 + 2))
     fitted = 1 / (1 + np.exp(a * p + b))
     # the gradient of the loss vanishes
-    assert (target - fitted).sum() == pytest.approx(0, abs=1e-2)
-    assert ((target - fitted) * p).sum() == pytest.approx(0, abs=1e-2)
+    assert (target - fitted).sum() == pytest.approx(0, abs=1e-6)
+    assert ((target - fitted) * p).sum() == pytest.approx(0, abs=1e-6)
     assert a < 0
 
 
+def test_platt_of_separated_constant_and_missing_scores(spark):
+    def fit(rows):
+        return md.fit_platt(spark.createDataFrame(rows, "y_true int, y_pred double"))
+
+    assert fit([(None, 0.5), (1, None)]) == (0.0, 0.0)
+    a, b = fit([(0, 0.1)] * 40 + [(1, 0.9)] * 40)
+    assert 1 / (1 + np.exp(a * 0.9 + b)) == pytest.approx(41 / 42, abs=1e-6) and 1 / (1 + np.exp(a * 0.1 + b)) == pytest.approx(1 / 42, abs=1e-6)
+    a, b = fit([(0, 0.5)] * 3 + [(1, 0.5)])
+    assert 1 / (1 + np.exp(a * 0.5 + b)) == pytest.approx((2 / 3 + 3 / 5) / 4, abs=1e-4)
+    wide = fit([(int(i % 7 > 4 or i > 900), float(i)) for i in range(1000)])
+    assert all(np.isfinite(wide)) and wide[0] < 0
+
+
 def test_isotonic_is_monotone(spark):
     df = spark.createDataFrame([(int(i % 3 == 0 or i > 60), i / 100) for i in range(100)], "y_true int, y_pred double")
     model = md.fit_isotonic(df)
