@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from episodica.session import durable
 
@@ -24,12 +25,44 @@ LOOSE = (("token", r"(?<![A-Za-z0-9+/_-])(?=[a-z0-9+/_-]*[A-Z])(?=[A-Z0-9+/_-]*[
 ORDER = [kind for kind, *_ in BASE + LOOSE]
 EXAMPLE_OWNERS = 2
 EXAMPLE_DOCUMENTS = 10
+BLOCK = 128
 
 
 def _text() -> Column:
     return F.coalesce(F.col("text").cast("string"), F.lit(""))
 
 
+def _running(sizes: Column) -> Column:
+    """Start and end of matches from an array of (gap, size).
+
+    Appending copies what is there, so it is done within blocks of BLOCK matches; blocks are then moved behind each other.
+    """
+    blocks = F.transform(
+        F.sequence(F.lit(0), F.floor((F.size(sizes) - 1) / BLOCK).cast("int")), lambda i: F.slice(sizes, i * BLOCK + 1, BLOCK)
+    )
+    empty = F.array().cast("array<struct<start:int,end:int>>")
+    within = F.transform(blocks, lambda block: F.aggregate(
+        block,
+        F.struct(F.lit(0).alias("end"), empty.alias("spans")),
+        lambda s, x: F.struct(
+            (s["end"] + x["gap"] + x["size"]).alias("end"),
+            F.array_append(
+                s["spans"], F.struct((s["end"] + x["gap"]).alias("start"), (s["end"] + x["gap"] + x["size"]).alias("end"))
+            ).alias("spans"),
+        ),
+    ))
+    offsets = F.transform(blocks, lambda block: F.aggregate(block, F.lit(0), lambda n, x: n + x["gap"] + x["size"]))
+    behind = F.aggregate(
+        offsets,
+        F.struct(F.lit(0).alias("upto"), F.array().cast("array<int>").alias("starts")),
+        lambda s, n: F.struct((s["upto"] + n).alias("upto"), F.array_append(s["starts"], s["upto"]).alias("starts")),
+        lambda s: s["starts"],
+    )
+    moved = F.zip_with(within, behind, lambda block, by: F.transform(
+        block["spans"], lambda s: F.struct((s["start"] + by).alias("start"), (s["end"] + by).alias("end"))))
+    return F.flatten(moved)
+
+
 def _spans(kind: str, pattern: str, group: int, least: int) -> Column:
     """Array of (start, end, kind, rank, value) of the matches of one kind, in code points.
 
@@ -42,18 +75,11 @@ def _spans(kind: str, pattern: str, group: int, least: int) -> Column:
     matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     counted = F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
     between = F.split(text, pattern, -1)
-    at = F.aggregate(
-        F.zip_with(F.slice(between, 1, F.size(matches)), matches, lambda b, m: F.struct(F.length(b).alias("gap"), F.length(m).alias("size"))),
-        F.struct(F.lit(0).alias("end"), F.array().cast("array<struct<start:int,end:int>>").alias("spans")),
-        lambda s, x: F.struct(
-            (s["end"] + x["gap"] + x["size"]).alias("end"),
-            F.concat(
-                s["spans"],
-                F.array(F.struct((s["end"] + x["gap"]).alias("start"), (s["end"] + x["gap"] + x["size"]).alias("end"))),
-            ).alias("spans"),
-        ),
-        lambda s: s["spans"],
+    sizes = F.zip_with(
+        F.slice(between, 1, F.size(matches)), matches, lambda b, m: F.struct(F.length(b).alias("gap"), F.length(m).alias("size"))
     )
+    # worked out once, then read block by block
+    at = F.get(F.transform(F.array(sizes), _running), F.lit(0))
     spans = F.zip_with(
         at,
         counted,
@@ -107,17 +133,20 @@ def scanned(docs: DataFrame, example_owners: int = EXAMPLE_OWNERS, example_docum
     found = durable(candidates(docs).withColumn("row", F.monotonically_increasing_id()), "candidates")
     some = found.filter(F.size("spans") > 0)
     owned = durable(ownership(some, example_owners, example_documents).select("hash", "example"), "ownership")
-    each = some.select("row", F.explode("spans").alias("s")).withColumn("hash", F.col("s.hash")).join(owned, "hash")
-    judged = each.groupBy("row").agg(
-        F.array_sort(F.collect_list(F.struct("s.start", "s.rank", "s.end", "example"))).alias("judged")
+    each = some.select("row", F.inline("spans")).join(owned, "hash")
+    is_base = F.col("rank") < len(BASE)
+    before = W.partitionBy("row").orderBy("start", "rank").rowsBetween(W.unboundedPreceding, W.currentRow)
+    behind = W.partitionBy("row").orderBy(F.desc("start"), F.desc("rank")).rowsBetween(W.unboundedPreceding, W.currentRow)
+    each = each.withColumn("base_end", F.max(F.when(is_base, F.col("end"))).over(before))
+    each = each.withColumn("base_start", F.min(F.when(is_base, F.col("start"))).over(behind))
+    clear = (F.coalesce("base_end", F.lit(0)) <= F.col("start")) & F.coalesce(F.col("base_start") >= F.col("end"), F.lit(True))
+    judged = each.filter(is_base | (~F.col("example") & clear)).groupBy("row").agg(
+        F.array_sort(F.collect_list(F.struct("start", "rank", "end", "example"))).alias("all")
     )
     rows = found.select("doc_id", "row").join(judged, "row", "left")
     none = F.array().cast("array<struct<start:int,rank:int,end:int,example:boolean>>")
-    rows = rows.withColumn("judged", F.coalesce("judged", none))
-    base = F.filter("judged", lambda s: s["rank"] < len(BASE))
-    rows = rows.withColumn("base", base)
-    free = lambda s: ~F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
-    rows = rows.withColumn("all", F.filter("judged", lambda s: (s["rank"] < len(BASE)) | (~s["example"] & free(s))))
+    rows = rows.withColumn("all", F.coalesce("all", none))
+    rows = rows.withColumn("base", F.filter("all", lambda s: s["rank"] < len(BASE)))
     count = lambda rank: F.size(F.filter("base", lambda s: s["rank"] == rank)).cast("long")
     counts = [count(rank).alias(f"n_{kind}") for rank, (kind, *_) in enumerate(BASE)]
     return rows.select(

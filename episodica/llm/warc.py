@@ -3,7 +3,8 @@
 Headers alone are shuffled by payload digest to find the original of every group of equal payloads; revisits are joined to
 their originals by digest. The archives are written by Spark's text writer with a record as a row: a record ends with
 CRLF CRLF, which is the writer's line separator, so every file is a plain sequence of WARC/1.1 records. Reading takes
-whole files, whose size is bounded by RECORDS per file, and follows the lengths in the headers.
+whole files and follows the lengths in the headers. Pages go to files by the length of their payload, and the longer the
+payloads, the fewer of them share a file, so a file holds FILE_BYTES and headers, or a single longer payload.
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ from episodica.session import durable, scratch_path
 
 LEAST_BYTES = 1000
 RECORDS = 2000
+FILE_BYTES = 128 << 20
 DATE = "2024-01-01T00:00:00Z"
 CRLF = "\r\n"
 
@@ -77,21 +79,37 @@ def _record(kind: Column, refers_to: Column, url: Column, page_id: Column, diges
     )
 
 
-def write_archives(pages: DataFrame, path: str, least_bytes: int = LEAST_BYTES, records: int = RECORDS) -> None:
+def size_classes(file_bytes: int = FILE_BYTES, records: int = RECORDS) -> list[tuple[int | None, int]]:
+    """(longest payload, records per file) from short to long: file_bytes hold that many of the longest payloads."""
+    classes = [(file_bytes // records, records)]
+    while classes[-1][1] > 1:
+        fewer = max(1, classes[-1][1] // 16)
+        classes.append((file_bytes // fewer if fewer > 1 else None, fewer))
+    return classes
+
+
+def write_archives(
+    pages: DataFrame, path: str, least_bytes: int = LEAST_BYTES, records: int = RECORDS, file_bytes: int = FILE_BYTES
+) -> None:
     """Write one record per page to path: a response, or a revisit of the original of its payload.
 
-    Rows that repeat a page_id share its record type. A null page_id is always a response.
+    Rows that repeat a page_id share its record type. A null page_id is always a response. Every class of payload lengths
+    that the pages have is a write of its own.
     """
     known = durable(revisits(pages, least_bytes).withColumnRenamed("page_id", "_id"), "revisits")
     same = (F.col("page_id").cast("long") == F.col("_id")) & (F.sha1(F.encode(_payload(), "UTF-8")) == F.col("payload_digest"))
     rows = pages.select("page_id", F.col("url").cast("string").alias("url"), _payload().alias("html")).join(known, same, "left")
-    digest = F.sha1(F.encode(F.col("html"), "UTF-8"))
+    digest, size = F.sha1(F.encode(F.col("html"), "UTF-8")), F.octet_length("html")
     kind = F.when(F.col("refers_to").isNull(), "response").otherwise("revisit")
-    record = _record(
-        kind, F.col("refers_to"), F.col("url"), F.col("page_id").cast("long"), digest, F.octet_length("html"), F.col("html")
-    )
-    writer = rows.select(record.alias("value")).write.option("lineSep", CRLF + CRLF).option("maxRecordsPerFile", records)
-    writer.option("compression", "none").text(path)
+    record = _record(kind, F.col("refers_to"), F.col("url"), F.col("page_id").cast("long"), digest, size, F.col("html"))
+    classes = size_classes(file_bytes, records)
+    bounds = [(F.octet_length(_payload()) > low) & (F.lit(True) if top is None else F.octet_length(_payload()) <= top)
+              for low, (top, _) in zip([-1, *[top for top, _ in classes]], classes)]
+    found = pages.agg(*[F.coalesce(F.max(b), F.lit(False)) for b in bounds]).first()
+    for i, (bound, (_, per_file)) in enumerate(zip(bounds, classes)):
+        if found[i] or not any(found) and i == 0:
+            writer = rows.filter(bound).select(record.alias("value")).write.option("lineSep", CRLF + CRLF)
+            writer.option("maxRecordsPerFile", per_file).option("compression", "none").mode("append").text(path)
 
 
 def _parse(data: memoryview) -> Iterator[tuple[dict[str, str], memoryview]]:
