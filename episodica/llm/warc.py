@@ -81,7 +81,7 @@ def _record(kind: Column, refers_to: Column, url: Column, page_id: Column, diges
 
 def size_classes(file_bytes: int = FILE_BYTES, records: int = RECORDS) -> list[tuple[int | None, int]]:
     """(longest payload, records per file) from short to long: file_bytes hold that many of the longest payloads."""
-    classes = [(file_bytes // records, records)]
+    classes = [(file_bytes // records if records > 1 else None, records)]
     while classes[-1][1] > 1:
         fewer = max(1, classes[-1][1] // 16)
         classes.append((file_bytes // fewer if fewer > 1 else None, fewer))

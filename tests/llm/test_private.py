@@ -53,6 +53,21 @@ def test_archive_text(pages, spark, tmp_path):
     assert warc.round_trip(df.limit(0)).count() == 0
 
 
+def test_archives_are_bounded_by_bytes(spark, tmp_path):
+    """Payloads from empty to far over the bound, beside columns of the names used inside."""
+    sizes = [0, 5, 90, 90, 500, 500, 2_000, 2_001, 30_000, 300_000] * 4
+    rows = [(i, "u", chr(97 + i % 26) * n, "x", 1, "y") for i, n in enumerate(sizes)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, refers_to string, _id long, value string").coalesce(1)
+    path = tmp_path / "bounded"
+    warc.write_archives(df, str(path), records=32, file_bytes=4_000)
+    for file in path.glob("part-*"):
+        held = file.read_bytes().count(b"WARC/1.1\r\nWARC-Type")
+        assert held == 1 or file.stat().st_size - 600 * held <= 4_000
+    assert sorted(r.stated_bytes for r in warc.read_archives(spark, str(path)).collect()) == sorted(sizes)
+    assert sorted(r.payload_bytes for r in warc.round_trip(df).collect()) == sorted(sizes)
+    assert warc.size_classes(100, 1) == [(None, 1)] and warc.size_classes(1 << 20, 16) == [(65_536, 16), (None, 1)]
+
+
 def luhn(text):
     digits = [int(c) for c in re.sub(r"\D", "", text)]
     return sum(sum(divmod(2 * d, 10)) if i % 2 else d for i, d in enumerate(reversed(digits))) % 10 == 0
