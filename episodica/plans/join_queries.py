@@ -51,6 +51,24 @@ def interval_join(spark, sf):
     return pairs.select("admission_id", "person_id", "admin_id", "admin_datetime")
 
 
+MIXED = """SELECT *, CASE admission_id % 4 WHEN 0 THEN admission_datetime + INTERVAL 30 MINUTE WHEN 1 THEN
+    admission_datetime + INTERVAL 25 HOUR WHEN 2 THEN discharge_datetime ELSE TIMESTAMP '9999-12-31' END AS until FROM stays"""
+
+
+@query("interval_join_mixed", with_views("""SELECT s.admission_id, s.person_id, d.admin_id, d.admin_datetime FROM spans s
+    JOIN drug_admins d ON s.person_id = d.person_id AND d.admin_datetime BETWEEN s.admission_datetime AND s.until""",
+    "stays", "drug_admins", spans=MIXED))
+def interval_join_mixed(spark, sf):
+    """Spans from half an hour to without an end, in one join."""
+    points = P.drug_admins(spark, sf).select("admin_id", "person_id", "admin_datetime")
+    start, which = F.col("admission_datetime"), F.col("admission_id") % 4
+    until = F.when(which == 0, plus(start, seconds=1800)).when(which == 1, plus(start, hours=25)).when(
+        which == 2, F.col("discharge_datetime")).otherwise(F.lit("9999-12-31").cast("timestamp_ntz"))
+    spans = P.stays(spark, sf).select("admission_id", "person_id", "admission_datetime", until.alias("until"))
+    pairs = j.dyadic_join(points, spans, "person_id", "admin_datetime", "admission_datetime", "until")
+    return pairs.select("admission_id", "person_id", "admin_id", "admin_datetime")
+
+
 @query("right_then_filter", with_views("""SELECT s.admission_id, d.admin_id FROM drug_admins d RIGHT JOIN stays s
     ON s.person_id = d.person_id WHERE d.admin_datetime BETWEEN s.admission_datetime
     AND s.admission_datetime + INTERVAL 25 HOUR""", "stays", "drug_admins"))

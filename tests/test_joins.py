@@ -53,6 +53,22 @@ def test_seen_in_span_when_all_spans_cross(points, spans):
     assert sorted(map(tuple, got)) == sorted({(s.span, p.code) for s, p in brute(points, long)})
 
 
+def test_dyadic_join(spark, points, spans):
+    far = spark.createDataFrame(
+        [(1, 2000, datetime(1900, 1, 1), datetime(9999, 12, 31)), (1, 2001, at(20), at(20)), (1, 2002, datetime(1969, 12, 31), at(90)),
+         (1, 2003, None, at(4)), (1, 2004, at(4), None), (None, 2005, at(0), at(400))],
+        "p int, span long, lo timestamp_ntz, hi timestamp_ntz")
+    many = spans.unionByName(far)
+    early = spark.createDataFrame([(1, 900, datetime(1969, 12, 31, 23, 59, 59, 999999), "a"), (1, 901, None, "a")], points.schema)
+    all_points = points.unionByName(early)
+    got = j.dyadic_join(all_points, many, "p", "ts", "lo", "hi").select("span", "id").collect()
+    known = many.filter("p is not null and lo is not null and hi is not null")
+    want = brute(all_points.filter("ts is not null"), known)
+    assert len(want) > 500 and sorted(map(tuple, got)) == sorted((s.span, p.id) for s, p in want)
+    assert j.dyadic_join(all_points, many.limit(0), "p", "ts", "lo", "hi").count() == 0
+    assert j.dyadic_join(points.limit(0), many, "p", "ts", "lo", "hi").count() == 0
+
+
 def test_spans_without_an_end(spark, points):
     """Placeholder dates far away must not be unfolded bucket by bucket."""
     open_ended = spark.createDataFrame(
