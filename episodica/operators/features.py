@@ -107,7 +107,8 @@ def comorbidity_scores(
     """Weighted number of distinct comorbidity categories diagnosed before the admission date; 0 without any.
 
     prefixes(prefix, category) and weights(category, weight) are the published tables, given as data. Codes are
-    matched to categories once per distinct code, by prefixes of each length that occurs in the table.
+    matched to categories once per distinct code, by prefixes of each length that occurs in the table. A category without a weight
+    counts nothing, several weights of one add up.
     """
     coded = visit_diagnoses(visits, diagnoses).withColumn("diag_code", code_part(F.col("diag_code"), 2))
     codes = coded.select("diag_code").distinct()
@@ -115,10 +116,13 @@ def comorbidity_scores(
         "prefix",
         F.explode(F.transform(F.sequence(F.lit(1), F.length("diag_code")), lambda n: F.substring("diag_code", F.lit(1), n))),
     )
-    mapped = durable(cut.join(prefixes, "prefix").select("diag_code", "category").distinct(), "mapped")
+    # weights go with the codes: a join of what was seen would bring all admissions of a category together
+    given = weights.groupBy("category").agg(F.sum("weight").alias("weight"))
+    mapped = cut.join(prefixes, "prefix").select("diag_code", "category").distinct().join(given, "category")
+    mapped = durable(mapped.select("diag_code", "category", "weight"), "mapped")
     seen = seen_before(
-        coded.join(mapped, "diag_code"), _anchors(cohort), "person_id", "departure_date", "anchor_day", ["category"],
+        coded.join(mapped, "diag_code"), _anchors(cohort), "person_id", "departure_date", "anchor_day", ["category", "weight"],
         ["admission_id"],
     )
-    scores = seen.join(weights, "category").groupBy("admission_id").agg(F.sum("weight").alias(out))
+    scores = seen.groupBy("admission_id").agg(F.sum("weight").alias(out))
     return cohort.select("admission_id").join(scores, "admission_id", "left").na.fill(0, [out])

@@ -4,6 +4,8 @@ from datetime import date, datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
+from episodica import session
+from episodica.operators import features as ft
 from episodica.operators import joins as j
 
 T0 = datetime(2024, 2, 27, 22, 0)
@@ -122,3 +124,28 @@ def test_multiplicity(spark):
 def test_settings_grid(spark):
     grid = j.settings_grid(spark, a=["x", "y"], b=[1, 2, 3])
     assert sorted(map(tuple, grid.collect())) == [(a, b) for a in "xy" for b in (1, 2, 3)]
+
+
+def test_comorbidity_scores_bring_no_category_together(spark):
+    """Weights are met per code, not by a shuffle of all that was seen by category; missing, repeated and null weights."""
+    cohort = spark.createDataFrame([(i, i % 3, "2020-01-02") for i in range(6)], "admission_id long, person_id long, at string")
+    cohort = cohort.withColumn("admission_datetime", F.to_timestamp("at"))
+    visits = spark.createDataFrame([(0, 0, "2020-01-01"), (1, 1, "2020-01-01"), (2, 0, "2019-01-01"), (3, 2, "2020-01-02")],
+        "visit_id long, person_id long, at string").select("visit_id", "person_id", F.to_date("at").alias("departure_date"))
+    diagnoses = spark.createDataFrame([(0, "DA10"), (0, "DB10"), (1, "DC10"), (2, "DA11"), (2, "DD1"), (3, "DA10")], "visit_id long, diag_code string")
+    prefixes = spark.createDataFrame([("A1", "a"), ("A10", "a"), ("B", "b"), ("C", "c"), ("D", "d")], "prefix string, category string")
+    weights = spark.createDataFrame([("a", 2), ("b", 3), ("b", 4), ("d", None)], "category string, weight int")
+    out = ft.comorbidity_scores(cohort, visits, diagnoses, prefixes, weights)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning" in plan and "hashpartitioning(category#" not in plan
+    assert sorted((r.admission_id, r.elixhauser_score_ahrq) for r in out.collect()) == [(0, 9), (1, 0), (2, 0), (3, 9), (4, 0), (5, 0)]
+
+
+def test_shuffle_partitions_are_gathered_small_unless_set(spark):
+    try:
+        for given, want in ((None, "16m"), ("8m", "8m")):
+            spark.conf.unset(session.ADVISORY) if given is None else spark.conf.set(session.ADVISORY, given)
+            assert session.configure(spark).conf.get(session.ADVISORY) == want
+    finally:
+        spark.conf.unset(session.ADVISORY)
+        session.configure(spark)
