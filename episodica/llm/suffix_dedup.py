@@ -52,10 +52,7 @@ def suffix_array(data: np.ndarray, depth: int) -> np.ndarray:
     following[run_end == n - 1] = -1
     smaller = data.astype(np.int16) < following
 
-    text = data.tobytes().decode("latin-1")
-    starts = np.flatnonzero(smaller)
-    keys = [text[i : i + depth] for i in starts.tolist()]
-    direct = starts[sorted(range(len(keys)), key=keys.__getitem__)] if len(keys) else starts
+    direct = _sorted_directly(np.flatnonzero(smaller), data, depth)
     bounds = np.searchsorted(data[direct], np.arange(257))
 
     buckets: list[list[np.ndarray]] = [[] for _ in range(256)]
@@ -75,6 +72,33 @@ def suffix_array(data: np.ndarray, depth: int) -> np.ndarray:
     return np.concatenate(done)
 
 
+def _sorted_directly(starts: np.ndarray, data: np.ndarray, depth: int) -> np.ndarray:
+    """The suffixes in an order by their first `depth` bytes at least: by 16 bytes as two numbers, then those alike in
+    them by comparison. The end of the data reads as zeros there, which sorts before or ties with what is longer."""
+    if not len(starts):
+        return starts
+    words = _words(data, 16)
+    starts = starts[np.argsort(words[starts + 8])]
+    starts = starts[np.argsort(words[starts], kind="stable")]
+    first, second = words[starts], words[starts + 8]
+    same = (first[1:] == first[:-1]) & (second[1:] == second[:-1])
+    tied = np.flatnonzero(np.append(same, False) | np.append(False, same))
+    text, at = data.tobytes().decode("latin-1"), starts[tied]
+    keys = [text[i : i + depth] for i in at.tolist()]
+    # neighbours are nearly in order already, which sorted() makes use of
+    starts[tied] = at[sorted(range(len(keys)), key=keys.__getitem__)] if len(keys) else at
+    return starts
+
+
+def _words(data: np.ndarray, depth: int) -> np.ndarray:
+    """The 8 bytes from every place on as a number, first byte highest, up to depth + 8 places behind the data; zeros there."""
+    padded = np.append(data, np.zeros(depth + 16, dtype=np.uint8)).astype(np.uint64)
+    words = padded[: len(data) + depth + 8]
+    for i in range(1, 8):
+        words = (words << np.uint64(8)) | padded[i : i + len(words)]
+    return words
+
+
 def _induce(at: np.ndarray, data: np.ndarray, smaller: np.ndarray, byte: int, buckets: list[list[np.ndarray]]) -> np.ndarray:
     """Place the larger-type suffixes one byte before `at` in their buckets; those of the same bucket are returned."""
     before = at[at > 0] - 1
@@ -87,10 +111,7 @@ def _induce(at: np.ndarray, data: np.ndarray, smaller: np.ndarray, byte: int, bu
 
 def common_prefixes(data: np.ndarray, order: np.ndarray, depth: int) -> np.ndarray:
     """Length of the common prefix of each suffix with the one before it in the order, up to depth; 0 for the first."""
-    padded = np.append(data, np.zeros(depth + 16, dtype=np.uint8)).astype(np.uint64)
-    words = padded[: len(data) + depth + 8]
-    for i in range(1, 8):
-        words = (words << np.uint64(8)) | padded[i : i + len(words)]
+    words = _words(data, depth)
     same = np.zeros(len(order), dtype=np.int64)
     pairs = np.arange(1, len(order))
     for step in range(0, depth, 8):
