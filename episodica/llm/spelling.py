@@ -112,6 +112,15 @@ def _rows(words: DataFrame, shifts: list[int]) -> DataFrame:
     return words.filter(cut >= 1).select("word", "n", cut.alias("cut"), F.explode(F.array(*made)).alias("key")).select("word", "n", "cut", "key.*").distinct()
 
 
+def _merged(left: DataFrame, right: DataFrame, on: str | list[str], how: str = "inner") -> DataFrame:
+    """Sort-merge join, never a broadcast, at any estimate of the sides.
+
+    Spark sizes exploded rows like the rows before explode, and stored words by their compressed bytes, so a side that fills
+    the driver would pass for small. The sizes seen at run time do not help: a plan that shuffles more is not taken then.
+    """
+    return left.join(right.hint("merge"), on, how)
+
+
 def near_pairs(words: DataFrame) -> DataFrame:
     """(word, other, other_n), both ways round: distinct words that differ by one inserted, deleted or replaced code point.
 
@@ -121,8 +130,8 @@ def near_pairs(words: DataFrame) -> DataFrame:
     keys = ["cut", "kind", "first", "second"]
     cut = _rows(words, [0])
     other = [F.col(k) for k in keys] + [F.col("word").alias("other"), F.col("n").alias("other_n")]
-    same = cut.join(cut.select(*other), keys).filter(F.col("word") < F.col("other"))
-    longer = cut.join(_rows(words, [0, 1]).select(*other), keys)
+    same = _merged(cut, cut.select(*other), keys).filter(F.col("word") < F.col("other"))
+    longer = _merged(cut, _rows(words, [0, 1]).select(*other), keys)
     pairs = same.unionByName(longer).filter(F.levenshtein("word", "other", 1) == 1)
     pairs = durable(pairs.select("word", "n", "other", "other_n").distinct(), "pairs")
     back = pairs.select(F.col("other").alias("word"), F.col("word").alias("other"), F.col("n").alias("other_n"))
@@ -134,7 +143,7 @@ def _roots(forms: DataFrame) -> DataFrame:
     roots = durable(forms.select("word", F.col("form").alias("root")), "roots")
     while True:
         onward = roots.select(F.col("word").alias("root"), F.col("root").alias("next"))
-        step = durable(roots.join(onward, "root", "left").select("word", F.coalesce("next", "root").alias("root"), "next"), "roots")
+        step = durable(_merged(roots, onward, "root", "left").select("word", F.coalesce("next", "root").alias("root"), "next"), "roots")
         roots = step.drop("next")
         if step.filter("next is not null").isEmpty():
             return roots
@@ -154,7 +163,7 @@ def variant_groups(words: DataFrame, ratio: int = 2) -> DataFrame:
         F.count(F.lit(1)).alias("n_near"), F.min(F.struct((-F.col("other_n")).alias("less"), F.col("other"))).alias("best")
     )
     best = best.select("word", "n_near", F.col("best.other").alias("form"), (-F.col("best.less")).alias("form_n"))
-    joined = words.join(best, "word", "left")
+    joined = _merged(words, best, "word", "left")
     strong = F.col("form_n") >= ratio * F.col("n")
     joined = durable(
         joined.select(
@@ -167,4 +176,4 @@ def variant_groups(words: DataFrame, ratio: int = 2) -> DataFrame:
         "forms",
     )
     roots = _roots(joined.filter("form is not null"))
-    return joined.join(roots, "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
+    return _merged(joined, roots, "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")

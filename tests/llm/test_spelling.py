@@ -101,3 +101,22 @@ def test_empty_tables_and_null_words(spark, make_docs):
     assert [tuple(r) for r in spelling.variant_groups(frame).collect()] == [("apple", None, "apple", 3, 0, None)]
     with pytest.raises(ValueError):
         spelling.variant_groups(frame, ratio=1)
+
+
+def test_no_join_is_broadcast(spark, monkeypatch):
+    """Few bytes of words become many signatures: Spark's guess of their size must not decide."""
+    written, plans = spelling.durable, []
+
+    def ran(frame):
+        frame.collect()
+        plans.append(frame._jdf.queryExecution().executedPlan().toString())
+
+    def durable(frame, name):
+        ran(frame)
+        return written(frame, name)
+
+    monkeypatch.setattr(spelling, "durable", durable)
+    words = [(f"{a}pple{b}", n) for n, a in ((9, "a"), (2, "o")) for b in ("", "s", "sy")]
+    ran(spelling.variant_groups(spark.createDataFrame(words, "word string, n long")))
+    assert [p for p in plans if "Broadcast" in p] == []
+    assert sum("SortMergeJoin" in p for p in plans) >= 4
